@@ -49,29 +49,43 @@ def has_header(text: Column) -> Column:
             & (at(13) == ":") & (at(16) == " "))
 
 
-def _field(text: Column, start: int, size: int) -> Column:
-    piece = F.trim(F.substring(text, start, size))
-    return F.when(piece.rlike("^[0-9]+$"), piece.try_cast("int"))
+def header_fields(text: Column) -> Column:
+    """Struct of the numbers in a header: ``year`` (if given), ``mon`` … ``sec``.
 
+    A year follows the time only when it is four digits and a blank. ``cut``
+    is the number of characters a header takes, 0 when there is none.
+    """
+    place = F.position(F.lower(F.substring(text, 1, 3)), F.lit(MONTHS))
+    dated = F.substring(text, 17, 5).rlike("^[0-9]{4} ")
+
+    def number(start: int) -> Column:
+        return F.trim(F.substring(text, start, 2)).try_cast("int")
+
+    return F.struct(
+        F.when(dated, F.substring(text, 17, 4).try_cast("int")).alias("year"),
+        F.when(place % 3 == 1, F.floor((place + 2) / 3).cast("int")).alias("mon"),
+        number(5).alias("day"), number(8).alias("hour"), number(11).alias("min"),
+        number(14).alias("sec"),
+        F.when(~has_header(text), 0).when(dated, 21).otherwise(16).alias("cut"))
 
-def parse_header(text: Column, ref_ts: Column) -> Column:
-    """Struct ``(ts, cut)`` of a header; ``ts`` is null when it is no valid time.
 
-    ``cut`` is the number of characters to remove. A year follows the time only
-    when it is four digits and a blank. Without it the year is the one of
-    ``ref_ts``, or the year before when that would lie in the future.
+def header_ts(h: Column, ref_ts: Column) -> Column:
+    """Time of a header from its fields; null when it is no valid time.
+
+    Without a year it is the one of ``ref_ts``, or the year before when the
+    time would lie in the future (or be a 29 February that does not exist).
     """
-    place = F.position(F.lower(F.substring(text, 1, 3)), F.lit(MONTHS))
-    month = F.when(place % 3 == 1, F.floor((place + 2) / 3).cast("int"))
-    parts = [month, _field(text, 5, 2), _field(text, 8, 2), _field(text, 11, 2),
-             _field(text, 14, 2).cast("decimal(16,6)")]
+    def place(mon: Column, day: Column, hour: Column, minute: Column, sec: Column) -> Column:
+        return (((mon * 100 + day) * 100 + hour) * 100 + minute) * 100 + sec
 
-    def build(year: Column) -> Column:
-        return F.try_make_timestamp_ntz(year, *parts)
+    now = place(*[f(ref_ts).cast("bigint") for f in (F.month, F.dayofmonth, F.hour, F.minute,
+                                                     F.second)])
+    then = place(h["mon"].cast("bigint"), h["day"], h["hour"], h["min"], h["sec"])
+    year = F.coalesce(h["year"], F.year(ref_ts) - (then > now).cast("int"))
 
-    dated = F.substring(text, 17, 5).rlike("^[0-9]{4} ")
-    this_year = build(F.year(ref_ts))
-    guessed = F.when(this_year <= ref_ts, this_year).otherwise(build(F.year(ref_ts) - 1))
-    ts = F.when(~has_header(text), F.lit(None).cast("timestamp_ntz")) \
-        .when(dated, build(F.substring(text, 17, 4).try_cast("int"))).otherwise(guessed)
-    return F.struct(ts.alias("ts"), F.when(dated, 21).otherwise(16).alias("cut"))
+    def build(y: Column) -> Column:
+        return F.try_make_timestamp_ntz(y, h["mon"], h["day"], h["hour"], h["min"],
+                                        h["sec"].cast("decimal(16,6)"))
+
+    return F.when(h["cut"] > 0, F.coalesce(build(year), F.when(
+        h["year"].isNull() & (h["mon"] == 2) & (h["day"] == 29), build(year - 1))))

@@ -14,22 +14,32 @@ def _literal_map(codes: dict) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(codes.items())])
 
 
-def decode_pri(line: Column, default: int = S.USER_NOTICE) -> Column:
-    """The PRI at the head of a line; ``default`` when absent or out of range.
+def pri_digits(line: Column) -> Column:
+    """The digits after a leading ``<``; null when the line has no PRI."""
+    return F.when(F.startswith(line, F.lit("<")), F.regexp_extract(line, "^<([0-9]*)", 1))
+
 
-    ``<`` without digits counts as 0 and the closing ``>`` is optional.
-    """
-    digits = F.regexp_extract(line, "^<([0-9]*)", 1)
+def pri_value(digits: Column, default: int = S.USER_NOTICE) -> Column:
+    """PRI from its digits; ``default`` when absent or out of range, 0 for none."""
     number = F.when(digits == "", F.lit(0)).otherwise(digits.try_cast("bigint"))
-    return (F.when(~F.startswith(line, F.lit("<")), F.lit(default))
-            .when(number.isNull() | (number > S.MAX_PRI), F.lit(default))
-            .otherwise(number).cast("int"))
+    return F.when(number <= S.MAX_PRI, number.cast("int")).otherwise(default)
+
+
+def after_pri(line: Column, digits: Column) -> Column:
+    """The line without its PRI; the closing ``>`` is optional."""
+    at = F.length(digits) + 2
+    closed = F.substr(line, at, F.lit(1)) == ">"
+    return F.when(digits.isNull(), line).otherwise(F.substr(line, at + closed.cast("int")))
+
+
+def decode_pri(line: Column, default: int = S.USER_NOTICE) -> Column:
+    """The PRI at the head of a line."""
+    return pri_value(pri_digits(line), default)
 
 
 def strip_pri(line: Column) -> Column:
     """The line without its PRI head."""
-    return F.when(F.startswith(line, F.lit("<")),
-                  F.regexp_replace(line, "^<[0-9]*>?", "")).otherwise(line)
+    return after_pri(line, pri_digits(line))
 
 
 def strip_device_head(line: Column) -> Column:

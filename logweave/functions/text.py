@@ -19,34 +19,35 @@ POSIX_CLASSES = {
 }
 
 
-def _octal(code: int) -> str:
-    return "\\" + format(code, "03o")
+def flatten_newlines(text: Column) -> Column:
+    return F.replace(text, F.lit("\n"), F.lit(" "))
 
 
-def escape_controls(text: Column, strict_bytes: bool = False) -> Column:
-    """Newline to blank, control characters to ``^X``, DEL and C1 to ``\\ooo``.
-
-    With ``strict_bytes`` every UTF-8 byte is looked at on its own, so
-    continuation bytes 0x80 to 0x9F are escaped as well; the lead byte stays,
-    and the result need not be valid UTF-8.
-    """
-    flat = F.translate(text, "\n", " ")
-    if strict_bytes:
-        flat = F.decode(F.encode(flat, "UTF-8"), _LATIN)
-    code = F.ascii
-
+def show_controls(flat: Column) -> Column:
+    """Control characters to ``^X``, DEL and C1 to ``\\ooo``; most lines have none."""
     def show(c: Column) -> Column:
-        n = code(c)
+        n = F.ascii(c)
         return (F.when(n < 32, F.concat(F.lit("^"), F.char(n + 64)))
                 .when((n >= 127) & (n <= 159),
                       F.concat(F.lit("\\"), F.lpad(F.conv(n.cast("string"), 10, 8), 3, "0")))
                 .otherwise(c))
 
     shown = F.array_join(F.transform(F.split(flat, ""), show), "")
-    out = F.when(flat.rlike("[\\x01-\\x1f\\x7f-\\x9f]"), shown).otherwise(flat)
-    if strict_bytes:
-        out = F.encode(out, _LATIN).cast("string")
-    return out
+    return F.when(flat.rlike("[\\x01-\\x1f\\x7f-\\x9f]"), shown).otherwise(flat)
+
+
+def escape_controls(text: Column, strict_bytes: bool = False) -> Column:
+    """Newline to blank and control characters made visible.
+
+    With ``strict_bytes`` every UTF-8 byte is looked at on its own, so
+    continuation bytes 0x80 to 0x9F are escaped as well; the lead byte stays,
+    and the result need not be valid UTF-8.
+    """
+    flat = flatten_newlines(text)
+    if not strict_bytes:
+        return show_controls(flat)
+    latin = F.decode(F.encode(flat, "UTF-8"), _LATIN)
+    return F.encode(show_controls(latin), _LATIN).cast("string")
 
 
 def mask_nonprint(text: Column) -> Column:

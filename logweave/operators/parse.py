@@ -8,27 +8,33 @@ from pyspark.sql import functions as F
 from logweave import schema as S
 from logweave.functions import clock, codes, text
 from logweave.operators.joins import lookup_join
+from logweave.operators.once import once
 
 
 def _has(df: DataFrame, name: str, default) -> Column:
     return F.col(name) if name in df.columns else F.lit(default)
 
 
+def _cut_hosts(lines: DataFrame) -> DataFrame:
+    """Add ``_head0``, ``_word`` and ``_rest``: around the host of each line."""
+    return (lines.withColumn("_head0", text.dated_head(F.col("line")))
+            .withColumn("_tail", text.after(F.col("line"), F.col("_head0")))
+            .withColumn("_word", text.first_word(F.col("_tail")))
+            .withColumn("_rest", text.after(F.col("_tail"), F.col("_word"))).drop("_tail"))
+
+
 def split_hosts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Take the host from each line: ``(usable, dropped)``.
 
     The host is the word after the date or, in a line without one, the first
     word. A line with nothing after the host is invalid and goes to ``dropped``.
     """
-    cut = (lines.withColumn("_head0", text.dated_head(F.col("line")))
-           .withColumn("_tail", text.after(F.col("line"), F.col("_head0")))
-           .withColumn("_word", text.first_word(F.col("_tail")))
-           .withColumn("_rest", text.after(F.col("_tail"), F.col("_word"))))
-    scratch = ["_head0", "_tail", "_word", "_rest"]
-    usable = (cut.filter(F.col("_rest") != "")
-              .withColumn("msg_host", text.strip_blanks(F.col("_word")))
-              .withColumn("line", F.concat("_head0", "_rest")).drop(*scratch))
-    return usable, cut.filter(F.col("_rest") == "").drop(*scratch)
+    others = [c for c in lines.columns if c != "line"]
+    cut = once(_cut_hosts(lines), {
+        "line": F.concat("_head0", "_rest"), "_whole": F.col("line"),
+        "msg_host": text.strip_blanks(F.col("_word")), "_empty": F.col("_rest") == ""}, others)
+    usable = cut.filter("NOT _empty").drop("_whole", "_empty")
+    return usable, cut.filter("_empty").withColumn("line", F.col("_whole")).select(*lines.columns)
 
 
 def resolve_peers(lines: DataFrame, hosts: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
@@ -64,53 +70,51 @@ def parse_lines(raw: DataFrame, *, default_host: str, ref_ts: Column | str | Non
     df = raw
     if network:
         df = df.withColumn("line", text.mask_nonprint(F.col("line")))
+    usable = F.lit(True)
     if trust_msg_host:
-        df, _ = split_hosts(df)
-        host = F.col("msg_host")
+        df = _cut_hosts(df).withColumn("line", F.concat("_head0", "_rest"))
+        host = text.strip_blanks(F.col("_word"))
+        usable = F.col("_rest") != ""
+    elif hosts is not None:
+        df = resolve_peers(df, hosts)
+        host = F.col("peer_host")
     else:
-        if hosts is not None:
-            df = resolve_peers(df, hosts)
-            host = F.col("peer_host")
-        else:
-            host = _has(df, "peer", None).cast("string")
+        host = _has(df, "peer", None).cast("string")
     if strip_domain:
         host = text.short_host(host)
 
+    line = F.col("line")
+    given = _has(df, "pri", None).cast("int")
     kernel = F.coalesce(_has(df, "is_kernel", False), F.lit(False))
     trusted = F.coalesce(_has(df, "trusted", False), F.lit(False))
-    given = _has(df, "pri", None).cast("int")
     stamped = F.coalesce(_has(df, "stamped", True), F.lit(True))
-
-    df = (df.withColumn("_given", given).withColumn("_trusted", trusted)
-          .withColumn("_kernel", kernel).withColumn("_stamped", stamped)
-          .withColumn("_host", F.coalesce(F.nullif(host, F.lit("")), F.lit(default_host)))
-          .withColumn("_pri", F.coalesce("_given", codes.decode_pri(F.col("line"))))
-          .withColumn("_text", F.when(F.col("_given").isNull(), codes.strip_pri(F.col("line")))
-                      .otherwise(F.col("line"))))
-    df = df.withColumn("_text", F.when(F.col("_trusted"), F.col("_text"))
-                       .otherwise(text.escape_controls(F.col("_text"), strict_bytes)))
-    df = df.withColumn("_head", F.when(F.col("_stamped"), clock.parse_header(F.col("_text"), ref)))
-    dated = F.col("_head.ts").isNotNull()
-    pri = F.when(F.col("_trusted"), F.col("_pri")).otherwise(
-        codes.guard_kernel(F.col("_pri"), F.col("_kernel")))
-    df = (df.withColumn("_pri", pri)
-          .withColumn("_msg", F.when(dated, F.substring(F.col("_text"), F.col("_head.cut") + 1,
-                                                        F.length("_text")))
+    shown = text.escape_controls(F.col("_body"), strict_bytes) if strict_bytes \
+        else text.show_controls(F.col("_flat"))
+    # one step per column: each is read by the next ones, none is computed twice
+    df = (df.withColumn("_given", given).withColumn("_host", host)
+          .withColumn("_digits", F.when(F.col("_given").isNull(), codes.pri_digits(line)))
+          .withColumn("_body", codes.after_pri(line, F.col("_digits")))
+          .withColumn("_flat", text.flatten_newlines(F.col("_body")))
+          .withColumn("_text", F.when(trusted, F.col("_body")).otherwise(shown))
+          .withColumn("_fields", clock.header_fields(F.col("_text")))
+          .withColumn("_ts", F.when(stamped, clock.header_ts(F.col("_fields"), ref)))
+          .withColumn("_pri", F.coalesce("_given", codes.pri_value(F.col("_digits")))))
+    dated = F.col("_ts").isNotNull()
+    df = (df.withColumn("_pri", F.when(trusted, F.col("_pri")).otherwise(
+              codes.guard_kernel(F.col("_pri"), kernel)))
+          .withColumn("_msg", F.when(dated, F.substr("_text", F.col("_fields.cut") + 1))
                       .otherwise(F.col("_text"))))
-    return df.select(
-        _has(df, "seq", None).cast("bigint").alias("seq"),
-        F.coalesce("_head.ts", arrival).alias("ts"),
-        codes.facility_of(F.col("_pri")).alias("fac"),
-        codes.severity_of(F.col("_pri")).alias("sev"),
-        F.col("_pri").alias("pri"),
-        F.col("_host").alias("host"),
-        text.program_of(F.col("_msg")).alias("prog"),
-        F.col("_msg").alias("msg"),
-        F.col("_kernel").alias("is_kernel"),
-        F.lit(False).alias("is_mark"),
-        _has(df, "source", None).cast("string").alias("source"),
-        dated.alias("has_header_ts"),
-    )
+    passed = [_has(df, "seq", None).cast("bigint").alias("seq"), kernel.alias("is_kernel"),
+              _has(df, "source", None).cast("string").alias("source")]
+    made = once(df, {
+        "ts": F.coalesce("_ts", arrival), "fac": codes.facility_of(F.col("_pri")),
+        "sev": codes.severity_of(F.col("_pri")), "pri": F.col("_pri"),
+        "host": F.coalesce(F.nullif("_host", F.lit("")), F.lit(default_host)),
+        "prog": text.program_of(F.col("_msg")), "msg": F.col("_msg"),
+        "has_header_ts": dated, "_usable": usable}, passed)
+    return (made.filter("_usable") if trust_msg_host else made).select(
+        "seq", "ts", "fac", "sev", "pri", "host", "prog", "msg", "is_kernel",
+        F.lit(False).alias("is_mark"), "source", "has_header_ts")
 
 
 def drop_empty(records: DataFrame) -> DataFrame:

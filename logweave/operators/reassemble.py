@@ -24,9 +24,9 @@ def reassemble_lines(chunks: DataFrame, conn: str = "conn_id", seq: str = "seq",
     """
     pieces = F.split(F.col(chunk), "\n", -1)
     counted = running_total(chunks.select(conn, seq, chunk), [conn],
-                            F.size(pieces) - 1, "_before", seq, block)
-    each = counted.select(conn, seq, "_before", F.posexplode(pieces).alias("_i", "_piece"))
-    lines = (each.withColumn("line_no", (F.col("_before") + F.col("_i")).cast("bigint"))
+                            F.size(pieces) - 1, "_start", seq, block)
+    each = counted.select(conn, seq, "_start", F.posexplode(pieces).alias("_i", "_piece"))
+    lines = (each.withColumn("line_no", (F.col("_start") + F.col("_i")).cast("bigint"))
              .groupBy(conn, "line_no")
              .agg(F.sort_array(F.collect_list(F.struct(seq, "_i", "_piece"))).alias("_p")))
     line = F.array_join(F.transform("_p", lambda p: p["_piece"]), "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, SALTS, fits_broadcast
 from logweave.operators.rules import DEAD_MASK
+from logweave.session import freeze
 
 _TARGET = ("rule_id", "dest", "sink")
 
@@ -31,21 +32,25 @@ def _candidates(records: DataFrame, index: DataFrame, keys: list[str], name: str
     return records.join(F.broadcast(lists), keys, "left")
 
 
-def _matched(records: DataFrame, compiled: DataFrame) -> tuple[DataFrame, list[str]]:
+def _matched(records: DataFrame, index: DataFrame) -> tuple[DataFrame, list[str]]:
     """Records with ``_hits``, the list of rules taking each of them."""
-    index = rule_index(compiled)
     cols = [c for c in index.columns if c not in ("fac", "sev", "program")]
-    any_prog = index.filter(F.col("program").isNull())
-    own_prog = index.filter(F.col("program").isNotNull())
-    hits = [F.expr("array()").cast(index.select(F.array(F.struct(*cols))).schema[0].dataType)]
-    for part, keys, name in ((any_prog, ["fac", "sev"], "_any"),
-                             (own_prog, ["fac", "sev", "program"], "_own")):
+    no_hits = F.array().cast(index.select(F.array(F.struct(*cols))).schema[0].dataType)
+    hits = [no_hits]
+    for part, keys, name in ((index.filter("program IS NULL"), ["fac", "sev"], "_any"),
+                             (index.filter("program IS NOT NULL"), ["fac", "sev", "program"],
+                              "_own")):
         if not part.isEmpty():
             records = _candidates(records, part, keys, name)
-            hits.append(F.coalesce(F.col(name), hits[0]))
+            hits.append(F.coalesce(F.col(name), no_hits))
     return records.withColumn("_hits", F.concat(*hits)).drop("_any", "_own"), cols
 
 
+def _spread(records: DataFrame) -> list[str]:
+    """Columns whose hash tells records apart, for salting."""
+    return [c for c in ("source", "seq", "host", "msg") if c in records.columns] or records.columns
+
+
 def route(records: DataFrame, compiled: DataFrame, max_rows: int = BROADCAST_ROWS,
           max_bytes: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
     """Records with ``rule_id``, ``dest`` and ``sink`` of each rule that takes them.
@@ -56,15 +61,14 @@ def route(records: DataFrame, compiled: DataFrame, max_rows: int = BROADCAST_ROW
     shuffled. A larger rule set is joined by a shuffle on (facility, severity)
     and a salt, since 192 keys alone would not spread the records.
     """
-    index = rule_index(compiled)
+    index = freeze(rule_index(compiled))
     if fits_broadcast(index, max_rows, max_bytes):
-        found, cols = _matched(records, compiled)
+        found, cols = _matched(records, index)
         return (found.withColumn("_hit", F.explode("_hits"))
                 .select(*records.columns, *[F.col(f"_hit.{c}").alias(c) for c in cols]))
-    spread = [c for c in ("source", "seq", "host", "msg") if c in records.columns]
-    left = records.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = (index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-             .withColumnsRenamed({"fac": "_fac", "sev": "_sev", "_salt": "_rsalt"}))
+    left = records.withColumn("_salt", F.pmod(F.xxhash64(*_spread(records)), F.lit(salts)).cast("int"))
+    right = (index.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+             .withColumnsRenamed({"fac": "_fac", "sev": "_sev"}))
     on = ((left["fac"] == right["_fac"]) & (left["sev"] == right["_sev"])
           & (left["_salt"] == right["_rsalt"])
           & (right["program"].isNull() | (right["program"] == left["prog"])))
@@ -73,19 +77,18 @@ def route(records: DataFrame, compiled: DataFrame, max_rows: int = BROADCAST_ROW
 
 def unrouted(records: DataFrame, compiled: DataFrame, max_rows: int = BROADCAST_ROWS,
              max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Records that no rule takes, in one pass."""
-    # whether a record is taken depends on (fac, sev, prog) alone, so the
-    # distinct combinations of the rules decide, not the rules themselves
-    index = rule_index(compiled).select("fac", "sev", "program").distinct()
-    if fits_broadcast(index, max_rows, max_bytes):
-        found, _ = _matched(records, compiled.dropDuplicates(["program", "masks"]))
-        return found.filter(F.size("_hits") == 0).select(*records.columns)
-    any_prog = index.filter(F.col("program").isNull()).select("fac", "sev")
-    own = (index.filter(F.col("program").isNotNull())
-           .withColumnRenamed("program", "prog").select("fac", "sev", "prog"))
-    # at most 200 combinations without a program: always a bounded broadcast
-    rest = records.join(F.broadcast(any_prog), ["fac", "sev"], "left_anti")
-    spread = [c for c in ("source", "seq", "host", "msg") if c in records.columns]
-    rest = rest.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    """Records that no rule takes, in one pass.
+
+    That depends on facility, severity and program alone, so only the distinct
+    combinations the rules take are looked at.
+    """
+    taken = freeze(rule_index(compiled).select("fac", "sev", "program").distinct())
+    # without a program there are 192 combinations at most
+    rest = records.join(F.broadcast(taken.filter("program IS NULL").select("fac", "sev")),
+                        ["fac", "sev"], "left_anti")
+    own = taken.filter("program IS NOT NULL").select("fac", "sev", F.col("program").alias("prog"))
+    if fits_broadcast(own, max_rows, max_bytes):
+        return rest.join(F.broadcast(own), ["fac", "sev", "prog"], "left_anti").select(*records.columns)
+    rest = rest.withColumn("_salt", F.pmod(F.xxhash64(*_spread(records)), F.lit(SALTS)).cast("int"))
     own = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rest.join(own, ["fac", "sev", "prog", "_salt"], "left_anti").drop("_salt")
+    return (rest.join(own, ["fac", "sev", "prog", "_salt"], "left_anti").select(*records.columns))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from logweave import schema as S
 from logweave.functions import codes
+from logweave.operators.once import once
 from logweave.operators.ordering import carry_forward
 
 # One term: facilities, a dot, a level; a comma or semicolon after it ends it.
@@ -45,12 +46,12 @@ def _term(text: Column) -> Column:
 def parse_selectors(rules: DataFrame) -> DataFrame:
     """Add ``terms`` and ``valid`` (every name known) to the rules."""
     texts = F.regexp_extract_all("selector", F.lit(_TERM), F.lit(1))
-    terms = F.transform(texts, _term)
+    rest = F.trim(F.regexp_replace("selector", _TERM, ""))
+    split = once(rules, {"terms": F.transform(texts, _term), "_rest": rest})
     bad = F.exists(F.col("terms"), lambda t: t["bits"].isNull() | (F.size(t["facs"]) == 0)
                    | F.exists(t["facs"], lambda f: f.isNull()))
-    rest = F.regexp_replace(F.col("selector"), _TERM, "")
-    return (rules.withColumn("terms", terms)
-            .withColumn("valid", (F.size("terms") > 0) & ~bad & (F.trim(rest) == "")))
+    return once(split, {"valid": (F.size("terms") > 0) & ~bad & (F.col("_rest") == "")},
+                [*rules.columns, "terms"])
 
 
 def compile_masks(rules: DataFrame) -> DataFrame:
@@ -70,7 +71,8 @@ def compile_masks(rules: DataFrame) -> DataFrame:
     good = parse_selectors(rules).filter("valid")
     program = F.when(F.col("program").isin("*", ""), F.lit(None)).otherwise(F.col("program")) \
         if "program" in rules.columns else F.lit(None).cast("string")
-    return good.withColumn("masks", masks).withColumn("program", program).drop("terms", "valid")
+    base = [c for c in rules.columns if c != "program"]
+    return once(good, {"program": program, "masks": masks}, base)
 
 
 def rejected_rules(rules: DataFrame) -> DataFrame:

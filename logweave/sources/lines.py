@@ -90,7 +90,7 @@ def kernel_lines(lines: DataFrame, style: str = "linux", kernel_name: str = "/ke
 
 def device_lines(lines: DataFrame) -> DataFrame:
     """Device lines whose PRI came separately: a ``<n>`` in the text goes."""
-    return lines.withColumn("line", text.strip_device_head(F.col("line")))
+    return lines.withColumn("line", codes.strip_device_head(F.col("line")))
 
 
 def from_stream(df: DataFrame, value: str = "value", peer: str | None = "peer",
