@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from logweave import schema as S
 from logweave.functions.clock import epoch_seconds, from_epoch
-from logweave.operators.ordering import (BLOCK, CHUNK, HOT_ROWS, add_chunks, in_chunk)
+from logweave.operators.ordering import BLOCK, CHUNK, HOT_ROWS, add_chunks, in_chunk
+from logweave.session import freeze
 
 KEYS = ["rule_id"]
 
@@ -211,6 +212,14 @@ class RepeatTimer:
                 self._wrote(t)
                 self.p = 0
 
+    def overdue(self, clock: int, out: list) -> None:
+        """Write pending repeats whose deadline is not after ``clock``."""
+        if self.p and self._due() <= clock:
+            due = self._due()
+            out.append((due, self.last, self.p))
+            self._wrote(due)
+            self.p = 0
+
     def close(self, nxt: int | None, out: list) -> None:
         if self.p:
             out.append((min(self._due(), self._due() if nxt is None else nxt), self.last, self.p))
@@ -291,19 +300,10 @@ def _timed_runs(lines: DataFrame) -> DataFrame:
                     (F.col("_e") == 1).alias("is_last")))
 
 
-def collapse_emit(routed: DataFrame, hot_rows: int = HOT_ROWS, block: int = BLOCK,
-                  collapse: bool = True) -> DataFrame:
-    """The records each output writes, with repeats summed up and timed.
-
-    ``at`` is when a record is written, ``ts`` the time it shows, ``n`` the
-    repeats it stands for (0 for the first line of a run), ``run`` the ``seq``
-    of the run's first line. A line without repeats is written at once. Runs
-    inside a chunk are folded in place. The pieces of a run over several
-    chunks are streamed in order through a task that carries four numbers.
-    """
+def _emission_parts(lines: DataFrame, collapse: bool) -> tuple[DataFrame, DataFrame]:
+    """What inner runs write, and the pieces of edge runs still to be folded."""
     w = in_chunk(KEYS)
-    lines = (_lines(routed, hot_rows, block, collapse)
-             .withColumn("_next_new", F.lead("_new").over(w))
+    lines = (lines.withColumn("_next_new", F.lead("_new").over(w))
              .withColumn("_next_sec", F.lead("_sec").over(w)))
     alone = F.col("_new") & F.coalesce("_next_new", F.lit(False)) & (F.col("_pos") > 1)
     zero = F.lit(0).cast("bigint")
@@ -327,13 +327,127 @@ def collapse_emit(routed: DataFrame, hot_rows: int = HOT_ROWS, block: int = BLOC
     outer = (pieces.withColumn("_after", after)
              .select("rule_id", F.col("_gid").cast("bigint").alias("gid"), "_sec", "seq",
                      "fac", "sev", "host", "msg", F.col("times.sec").alias("secs"),
-                     F.col("times.c").alias("counts"), F.coalesce("nxt", "_after").alias("nxt"))
-             .repartition("rule_id", "gid").sortWithinPartitions("rule_id", "gid", "_sec", "seq")
-             .mapInPandas(_fold_pieces, _EMITTED_SCHEMA))
-    return (single.unionByName(inner).unionByName(outer)
-            .select("rule_id", "run", from_epoch(F.col("at")).alias("at"),
-                    from_epoch(F.col("stamp")).alias("ts"), "fac", "sev", "host",
-                    repeat_text(F.col("n"), F.col("msg")).alias("msg"), "n"))
+                     F.col("times.c").alias("counts"), F.coalesce("nxt", "_after").alias("nxt")))
+    return single.unionByName(inner), outer
+
+
+def _by_run(pieces: DataFrame) -> DataFrame:
+    return (pieces.repartition("rule_id", "gid")
+            .sortWithinPartitions("rule_id", "gid", "_sec", "seq"))
+
+
+def _shown(written: DataFrame) -> DataFrame:
+    return written.select("rule_id", "run", from_epoch(F.col("at")).alias("at"),
+                          from_epoch(F.col("stamp")).alias("ts"), "fac", "sev", "host",
+                          repeat_text(F.col("n"), F.col("msg")).alias("msg"), "n")
+
+
+def collapse_emit(routed: DataFrame, hot_rows: int = HOT_ROWS, block: int = BLOCK,
+                  collapse: bool = True) -> DataFrame:
+    """The records each output writes, with repeats summed up and timed.
+
+    ``at`` is when a record is written, ``ts`` the time it shows, ``n`` the
+    repeats it stands for (0 for the first line of a run), ``run`` the ``seq``
+    of the run's first line. A line without repeats is written at once. Runs
+    inside a chunk are folded in place. The pieces of a run over several
+    chunks are streamed in order through a task that carries four numbers.
+    """
+    done, pieces = _emission_parts(_lines(routed, hot_rows, block, collapse), collapse)
+    outer = _by_run(pieces).mapInPandas(_fold_pieces, _EMITTED_SCHEMA)
+    return _shown(done.unionByName(outer))
+
+
+# --- the same, batch after batch of a stream --------------------------------
+
+STATE_SCHEMA = ("rule_id string, run bigint, fac int, sev int, host string, msg string, "
+                "sec bigint, lw bigint, step int, p bigint, last bigint")
+CARRY_SEQ = -1
+
+
+def _open_folder(clock: int):
+    """Fold pieces that may begin with carried state and may stay open."""
+    cols = ["kind", *_EMITTED, "lw", "step", "p", "last"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run = timer = None
+        about: tuple = ()
+        nxt = None
+
+        def finish() -> list:
+            out: list[tuple] = []
+            if nxt is not None:
+                timer.close(nxt, out)
+                return [("w", *about, *o, 0, 0, 0, 0) for o in out]
+            timer.overdue(clock, out)
+            rows = [("w", *about, *o, 0, 0, 0, 0) for o in out]
+            return rows + [("s", *about, 0, 0, 0, timer.lw, timer.step, timer.p, timer.last)]
+
+        for pdf in batches:
+            rows: list[tuple] = []
+            for r in pdf.itertuples(index=False):
+                out: list[tuple] = []
+                skip = 0
+                if (r.rule_id, r.gid) != run:
+                    if timer is not None:
+                        rows += finish()
+                    run = (r.rule_id, r.gid)
+                    carried = not pd.isna(r.lw)
+                    fac, sev = (None if pd.isna(x) else int(x) for x in (r.fac, r.sev))
+                    about = (r.rule_id, int(r.run) if carried else r.seq, fac, sev, r.host, r.msg)
+                    skip = 1
+                    if carried:
+                        timer = RepeatTimer(int(r.lw), int(r.step), int(r.p), int(r.last))
+                    else:
+                        timer = RepeatTimer(int(r.secs[0]))
+                        out.append((int(r.secs[0]), int(r.secs[0]), 0))
+                for t, c in zip(r.secs, r.counts):
+                    if c > skip:
+                        timer.arrive(int(t), int(c) - skip, out)
+                    skip = 0
+                nxt = None if pd.isna(r.nxt) else int(r.nxt)
+                rows += [("w", *about, *o, 0, 0, 0, 0) for o in out]
+            yield pd.DataFrame(rows, columns=cols).astype({"fac": "Int32", "sev": "Int32"})
+        if timer is not None:
+            yield pd.DataFrame(finish(), columns=cols).astype({"fac": "Int32", "sev": "Int32"})
+
+    return fold
+
+
+def collapse_step(routed: DataFrame, state: DataFrame, clock: int, hot_rows: int = HOT_ROWS,
+                  block: int = BLOCK, collapse: bool = True) -> tuple[DataFrame, DataFrame]:
+    """One batch of a stream: ``(written, new state)``.
+
+    ``state`` is the open run of each rule (``STATE_SCHEMA``). It goes in as a
+    first line of its rule, so runs continue over batches exactly as they do
+    over chunks. ``clock`` is the latest second seen; pending repeats whose
+    deadline has passed by then are written. Lines must not be earlier than
+    the clock of the batch before.
+    """
+    carried = state.select("rule_id", from_epoch(F.col("sec")).alias("ts"),
+                           F.lit(CARRY_SEQ).cast("bigint").alias("seq"), "fac", "sev", "host",
+                           "msg", F.lit(False).alias("is_mark"))
+    both = routed.select(*carried.columns).unionByName(carried)
+    done, pieces = _emission_parts(_lines(both, hot_rows, block, collapse), collapse)
+    timers = state.select("rule_id", F.lit(CARRY_SEQ).cast("bigint").alias("seq"), "run", "lw",
+                          "step", "p", "last")
+    # both sides are small: two pieces per chunk, a state row per rule
+    known = pieces.join(timers, ["rule_id", "seq"], "left")
+    schema = f"kind string, {_EMITTED_SCHEMA}, lw bigint, step int, p bigint, last bigint"
+    folded = freeze(_by_run(known).mapInPandas(_open_folder(clock), schema))
+    written = done.unionByName(folded.filter("kind = 'w'").select(*_EMITTED))
+    opened = folded.filter("kind = 's'").select(
+        "rule_id", "run", "fac", "sev", "host", "msg",
+        F.greatest("last", "lw").alias("sec"), "lw", "step", "p", "last")
+    return _shown(written), opened
+
+
+def close_state(state: DataFrame, at: int | None = None) -> DataFrame:
+    """Write out pending repeats: at their deadline, or by ``at`` on a reload."""
+    due = F.col("lw") + _interval(F.col("step"))
+    when = due if at is None else F.least(due, F.lit(at).cast("bigint"))
+    return _shown(state.filter("p > 0").select(
+        "rule_id", "run", "fac", "sev", "host", "msg", when.alias("at"),
+        F.col("last").alias("stamp"), F.col("p").alias("n")))
 
 
 def output_gaps(routed: DataFrame, min_gap: int) -> DataFrame:

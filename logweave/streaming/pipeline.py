@@ -1,0 +1,200 @@
+"""Streams: parse, route, filter, collapse and deliver, batch after batch.
+
+Every micro-batch runs the batch operators; what has to outlive it (open runs,
+partial lines, chain keys) is a small table per batch. An output that owns the
+whole stream is therefore spread over tasks inside a batch like anywhere else,
+which a state store keyed by output could not do.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from logweave import schema as S
+from logweave.functions.clock import epoch_seconds, from_epoch
+from logweave.operators import collapse, diagnostics, filters, integrity, marks, parse, route, rules
+from logweave.operators.joins import lookup_join
+from logweave.operators.ordering import BLOCK, HOT_ROWS
+from logweave.operators.reassemble import join_pieces, numbered_pieces
+from logweave.sinks import deliver
+from logweave.streaming.state import BatchState
+
+_CLOCK = "clock bigint, version bigint, late bigint"
+
+
+@dataclass
+class LogStream:
+    """Settings of one stream. ``load_rules`` is called for every batch, so a
+    changed rule table takes effect with the next batch; open runs are then
+    written out and start anew."""
+
+    spark: SparkSession
+    load_rules: Callable[[SparkSession], DataFrame]
+    state_dir: str
+    parse_options: dict = field(default_factory=dict)
+    dead_letter: str | None = None
+    mark_interval: int | None = None
+    collapse: bool = True
+    hot_rows: int = HOT_ROWS
+    block: int = BLOCK
+    on_written: Callable[[DataFrame, int], None] | None = None
+
+    def __post_init__(self):
+        self.runs = BatchState(self.spark, f"{self.state_dir}/runs", collapse.STATE_SCHEMA)
+        self.clocks = BatchState(self.spark, f"{self.state_dir}/clock", _CLOCK)
+
+    def start(self, raw: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
+        return (raw.writeStream.foreachBatch(self.process)
+                .option("checkpointLocation", checkpoint)
+                .trigger(**(trigger or {"availableNow": True})).start())
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        self.spark = self.runs.spark = self.clocks.spark = batch.sparkSession
+        table = self.load_rules(self.spark)
+        version = table.agg(F.bit_xor(F.xxhash64(*table.columns))).first()[0] or 0
+        compiled = rules.compile_masks(table)
+        records = parse.drop_empty(parse.parse_lines(batch, **self.parse_options))
+        routed = filters.apply_filters(route.route(records, compiled), table)
+        routed = routed.persist(StorageLevel.DISK_ONLY)
+        try:
+            self._write(routed, table, compiled, version, batch_id)
+        finally:
+            routed.unpersist()
+
+    def _write(self, routed, table, compiled, version, batch_id) -> None:
+        before = self.clocks.before(batch_id).first()
+        clock0 = before["clock"] if before else None
+        state = self.runs.before(batch_id)
+        reloaded = before is not None and before["version"] != version
+        sec = epoch_seconds(F.col("ts"))
+        late = sec < F.lit(clock0)
+        seen = routed.agg(F.max(sec).alias("m"), F.count_if(late).alias("late")).first()
+        clock = max(x for x in (clock0, seen["m"], 0) if x is not None)
+        if clock0 is not None:
+            # a late line counts as arriving now: it is kept, in the order of arrival
+            routed = routed.withColumn("ts", F.greatest("ts", from_epoch(F.lit(clock0))))
+        parts = []
+        if reloaded:
+            parts.append(collapse.close_state(state, clock0))
+            state = self.spark.createDataFrame([], collapse.STATE_SCHEMA)
+        written, opened = collapse.collapse_step(routed, state, clock, self.hot_rows, self.block,
+                                                 self.collapse)
+        self.runs.write(opened, batch_id)
+        written = written.persist(StorageLevel.DISK_ONLY)
+        try:
+            parts.append(written)
+            if self.mark_interval and clock0 is not None:
+                parts.append(self._marks(written, state, compiled, clock0, clock))
+            out = parts[0]
+            for p in parts[1:]:
+                out = out.unionByName(p, allowMissingColumns=True)
+            where = table.select("rule_id", "dest", "sink")
+            out = lookup_join(out, where, ["rule_id"], "left", ["rule_id", "at", "run"])
+            self.clocks.write(self.spark.createDataFrame(
+                [(clock, version, seen["late"] or 0)], _CLOCK), batch_id)
+            if self.on_written:
+                self.on_written(out, batch_id)
+            deliver.deliver(out, batch_id, self.dead_letter)
+        finally:
+            written.unpersist()
+
+    def _marks(self, written, state, compiled, clock0, clock) -> DataFrame:
+        step = self.mark_interval
+        first = (clock0 // step + 1) * step
+        none = self.spark.createDataFrame([], "rule_id string, at timestamp_ntz")
+        last = state.select("rule_id", from_epoch(F.col("lw")).alias("at"))
+        busy = none.unionByName(last).unionByName(written.select("rule_id", "at"))
+        if first > clock:
+            return none
+        start, end = (datetime.fromtimestamp(x, timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+                      for x in (first, clock))
+        due = marks.marks(busy, compiled, start, end, interval=step)
+        return due.select("rule_id", F.col("ts").alias("at"), "ts", "fac", "sev", "host", "msg")
+
+    def diagnostics(self, batch_id: int) -> DataFrame:
+        """Late lines of a batch, as a record about ourselves."""
+        late = self.clocks.at(batch_id).filter("late > 0")
+        text = F.concat(F.col("late").cast("string"), F.lit(" lines came late"))
+        return diagnostics.as_records(late, text, from_epoch(F.col("clock")), S.SYSLOG_INFO)
+
+    def close(self, last_batch: int) -> DataFrame:
+        """What is still pending after the last batch."""
+        return collapse.close_state(self.runs.at(last_batch))
+
+
+@dataclass
+class LineStream:
+    """Chunks of connections to lines; partial lines wait for the next batch."""
+
+    spark: SparkSession
+    state_dir: str
+    on_lines: Callable[[DataFrame, int], None]
+    block: int = 10_000
+
+    def __post_init__(self):
+        self.tails = BatchState(self.spark, f"{self.state_dir}/tails",
+                                "conn_id string, tail string, lines bigint")
+
+    def process(self, chunks: DataFrame, batch_id: int) -> None:
+        self.tails.spark = chunks.sparkSession
+        state = self.tails.before(batch_id)
+        carried = state.select("conn_id", F.lit(-1).cast("bigint").alias("seq"),
+                               F.col("tail").alias("chunk"))
+        both = chunks.select(F.col("conn_id").cast("string").alias("conn_id"),
+                             F.col("seq").cast("bigint").alias("seq"), "chunk").unionByName(carried)
+        pieces = numbered_pieces(both, block=self.block)
+        ends = pieces.groupBy("conn_id").agg(F.max("line_no").alias("_end"))
+        known = (join_pieces(pieces).join(ends, "conn_id", "inner")
+                 .join(state.select("conn_id", F.col("lines").alias("_had")), "conn_id", "left")
+                 .withColumn("_had", F.coalesce("_had", F.lit(0).cast("bigint")))
+                 .persist(StorageLevel.DISK_ONLY))
+        try:
+            self.tails.write(known.filter("line_no = _end").select(
+                "conn_id", F.col("line").alias("tail"),
+                (F.col("_had") + F.col("_end")).alias("lines")), batch_id)
+            lines = known.filter("line_no < _end").select(
+                "conn_id", (F.col("line_no") + F.col("_had")).alias("line_no"),
+                F.regexp_replace("line", "\\r$", "").alias("line")).filter("line <> ''")
+            self.on_lines(lines, batch_id)
+        finally:
+            known.unpersist()
+
+    def close(self, last_batch: int) -> DataFrame:
+        """Connections are closed: partial lines count as lines."""
+        return self.tails.at(last_batch).select(
+            "conn_id", F.col("lines").alias("line_no"),
+            F.regexp_replace("tail", "\\r$", "").alias("line")).filter("line <> ''")
+
+
+@dataclass
+class ChainStream:
+    """Hash chains over a stream of ``(log_id, line_no, line)``."""
+
+    spark: SparkSession
+    state_dir: str
+    first_keys: DataFrame
+    on_macs: Callable[[DataFrame, int], None]
+
+    def __post_init__(self):
+        self.keys = BatchState(self.spark, f"{self.state_dir}/keys",
+                               "log_id string, method string, key0 binary, last_key binary")
+
+    def process(self, lines: DataFrame, batch_id: int) -> None:
+        self.keys.spark = lines.sparkSession
+        keys = self.first_keys if batch_id == 0 else self.keys.before(batch_id)
+        # the running key takes the place of the first one inside a batch
+        now = keys.join(lines.select("log_id").distinct(), "log_id", "left_semi")
+        made = integrity.protect(lines, now.withColumn("key0", F.col("last_key")))
+        made = made.persist(StorageLevel.DISK_ONLY)
+        try:
+            self.keys.write(integrity.last_keys(made, keys), batch_id)
+            self.on_macs(made.select("log_id", "line_no", "mac"), batch_id)
+        finally:
+            made.unpersist()
