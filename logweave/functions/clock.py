@@ -53,7 +53,8 @@ def header_fields(text: Column) -> Column:
     """Struct of the numbers in a header: ``year`` (if given), ``mon`` … ``sec``.
 
     A year follows the time only when it is four digits and a blank. ``cut``
-    is the number of characters a header takes, 0 when there is none.
+    is the number of characters the header takes. Null without a header, which
+    also spares other lines the casts: a failing one is slow.
     """
     place = F.position(F.lower(F.substring(text, 1, 3)), F.lit(MONTHS))
     dated = F.substring(text, 17, 5).rlike("^[0-9]{4} ")
@@ -61,12 +62,12 @@ def header_fields(text: Column) -> Column:
     def number(start: int) -> Column:
         return F.trim(F.substring(text, start, 2)).try_cast("int")
 
-    return F.struct(
+    return F.when(has_header(text), F.struct(
         F.when(dated, F.substring(text, 17, 4).try_cast("int")).alias("year"),
         F.when(place % 3 == 1, F.floor((place + 2) / 3).cast("int")).alias("mon"),
         number(5).alias("day"), number(8).alias("hour"), number(11).alias("min"),
         number(14).alias("sec"),
-        F.when(~has_header(text), 0).when(dated, 21).otherwise(16).alias("cut"))
+        F.when(dated, 21).otherwise(16).alias("cut")))
 
 
 def header_ts(h: Column, ref_ts: Column) -> Column:
@@ -87,5 +88,5 @@ def header_ts(h: Column, ref_ts: Column) -> Column:
         return F.try_make_timestamp_ntz(y, h["mon"], h["day"], h["hour"], h["min"],
                                         h["sec"].cast("decimal(16,6)"))
 
-    return F.when(h["cut"] > 0, F.coalesce(build(year), F.when(
-        h["year"].isNull() & (h["mon"] == 2) & (h["day"] == 29), build(year - 1))))
+    leap = h["year"].isNull() & (h["mon"] == 2) & (h["day"] == 29)
+    return F.when(h.isNotNull(), F.coalesce(build(year), F.when(leap, build(year - 1))))

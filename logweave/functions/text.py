@@ -24,16 +24,20 @@ def flatten_newlines(text: Column) -> Column:
 
 
 def show_controls(flat: Column) -> Column:
-    """Control characters to ``^X``, DEL and C1 to ``\\ooo``; most lines have none."""
-    def show(c: Column) -> Column:
-        n = F.ascii(c)
-        return (F.when(n < 32, F.concat(F.lit("^"), F.char(n + 64)))
-                .when((n >= 127) & (n <= 159),
-                      F.concat(F.lit("\\"), F.lpad(F.conv(n.cast("string"), 10, 8), 3, "0")))
-                .otherwise(c))
-
-    shown = F.array_join(F.transform(F.split(flat, ""), show), "")
-    return F.when(flat.rlike("[\\x01-\\x1f\\x7f-\\x9f]"), shown).otherwise(flat)
+    """Control characters to ``^X``, DEL and C1 to ``\\ooo``.
+
+    Most lines have none and are only looked at; the others take one plain
+    replacement per character. These stand in a lambda, which keeps them out
+    of the generated code: in it they would make a method too large to compile.
+    """
+    def replaced(text: Column) -> Column:
+        for code in [*range(1, 32), *range(127, 160)]:
+            shown = "^" + chr(code + 64) if code < 32 else "\\" + format(code, "03o")
+            text = F.replace(text, F.lit(chr(code)), F.lit(shown))
+        return text
+
+    return (F.when(flat.rlike("[\\x01-\\x1f\\x7f-\\x9f]"),
+                   F.transform(F.array(flat), replaced)[0]).otherwise(flat))
 
 
 def escape_controls(text: Column, strict_bytes: bool = False) -> Column:

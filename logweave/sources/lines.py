@@ -24,7 +24,7 @@ def read_log_files(spark: SparkSession, path, program: str | None = None, *,
     """Lines of log files, batch or stream; ``path`` may be a folder or pattern.
 
     ``program`` names the lines, otherwise the file path does. ``seq`` grows
-    within a file and is unique within one read.
+    within a file and is unique within one read; a stream gets it batch by batch.
     """
     if stream:
         raw = (spark.readStream.format("text")
@@ -34,11 +34,20 @@ def read_log_files(spark: SparkSession, path, program: str | None = None, *,
     name = F.lit(program) if program else F.col("_metadata.file_path")
     arrival = F.lit(arrival_ts).cast("timestamp_ntz") if arrival_ts \
         else F.col("_metadata.file_modification_time").cast("timestamp_ntz")
-    lines = raw.select(name.alias("source"), F.monotonically_increasing_id().alias("seq"),
-                       arrival.alias("arrival_ts"), F.col("value").alias("line"))
+    lines = raw.select(name.alias("source"), arrival.alias("arrival_ts"),
+                       F.col("value").alias("line"))
+    if not stream:
+        lines = with_seq(lines)
     return file_lines(lines, time_format, start, time_length)
 
 
+def with_seq(lines: DataFrame) -> DataFrame:
+    """Number the rows of a batch in reading order, where there is no ``seq`` yet."""
+    if "seq" in lines.columns:
+        return lines
+    return lines.withColumn("seq", F.monotonically_increasing_id())
+
+
 def file_lines(lines: DataFrame, time_format: str | None = None, start: int = 0,
                time_length: int | None = None) -> DataFrame:
     """File lines ``(source, line, …)`` prefixed ``source:``, with their PRI.
@@ -97,14 +106,19 @@ def from_stream(df: DataFrame, value: str = "value", peer: str | None = "peer",
                 source: str = "stream") -> DataFrame:
     """One datagram, one record: any frame with a value and, maybe, a peer.
 
-    Kafka's ``value``/``timestamp`` columns are taken as they are.
+    Kafka's ``value``, ``timestamp``, ``partition`` and ``offset`` are taken as
+    they are; without an offset a batch numbers its rows itself.
     """
     arrival = F.col("timestamp") if "timestamp" in df.columns else F.current_timestamp()
-    seq = F.col("offset") if "offset" in df.columns else F.monotonically_increasing_id()
     given = F.col(peer) if peer and peer in df.columns else F.lit(None)
-    return df.select(F.lit(source).alias("source"), seq.cast("bigint").alias("seq"),
-                     arrival.cast("timestamp_ntz").alias("arrival_ts"),
-                     given.cast("string").alias("peer"), F.col(value).cast("string").alias("line"))
+    cols = [F.lit(source).alias("source"), arrival.cast("timestamp_ntz").alias("arrival_ts"),
+            given.cast("string").alias("peer"), F.col(value).cast("string").alias("line")]
+    if "offset" in df.columns:
+        seq = F.col("offset") * 4096 + F.col("partition") if "partition" in df.columns \
+            else F.col("offset")
+        cols.append(seq.cast("bigint").alias("seq"))
+    made = df.select(*cols)
+    return made if df.isStreaming else with_seq(made)
 
 
 def merge_sources(*frames: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from logweave.operators.joins import lookup_join
 from logweave.operators.ordering import BLOCK, HOT_ROWS
 from logweave.operators.reassemble import join_pieces, numbered_pieces
 from logweave.sinks import deliver
+from logweave.sources.lines import with_seq
 from logweave.streaming.state import BatchState
 
 _CLOCK = "clock bigint, version bigint, late bigint"
@@ -60,7 +61,7 @@ class LogStream:
         table = self.load_rules(self.spark)
         version = table.agg(F.bit_xor(F.xxhash64(*table.columns))).first()[0] or 0
         compiled = rules.compile_masks(table)
-        records = parse.drop_empty(parse.parse_lines(batch, **self.parse_options))
+        records = parse.drop_empty(parse.parse_lines(with_seq(batch), **self.parse_options))
         routed = filters.apply_filters(route.route(records, compiled), table)
         routed = routed.persist(StorageLevel.DISK_ONLY)
         try:
