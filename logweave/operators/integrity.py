@@ -60,6 +60,17 @@ def chain_id(*parts: Column) -> Column:
     return F.concat_ws("|", *[p.cast("string") for p in parts])
 
 
+def segments(lines: DataFrame, every: int) -> DataFrame:
+    """Cut each log into chains of ``every`` lines: ``log_id`` gets ``|0``, ``|1``, ….
+
+    One log that holds most lines would otherwise be one sequential task. Each
+    segment has its own row in the key table, so a missing segment is found
+    like a missing line.
+    """
+    part = F.floor(F.col("line_no") / every)
+    return lines.withColumn("log_id", chain_id(F.col("log_id"), part))
+
+
 def chain_lines(routed: DataFrame) -> DataFrame:
     """Lines as protected: ``Mon dd HH:MM:SS host message``."""
     return routed.withColumn("line", F.concat(

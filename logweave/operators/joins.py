@@ -14,10 +14,13 @@ SALTS = 16
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS,
                    max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure a table: is it within both bounds? One small aggregate."""
-    size = F.octet_length(F.to_json(F.struct("*"))) if df.columns else F.lit(1)
-    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
-                                     F.sum(size).alias("b")).first()
+    """Measure a table: is it within both bounds?
+
+    One aggregate, combined map-side. (A limit would not make it cheaper: it
+    moves rows of every partition into a single task.)
+    """
+    size = F.octet_length(F.to_json(F.struct("*")))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
     return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 
 

@@ -27,12 +27,13 @@ BLOCK = 1_000_000
 CHUNK = ("_day", "_hour", "_slot", "_block")
 
 
-def _hot_hours(timed: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Hours of days that are too large, and whether the hour is so itself.
+def _timed(df: DataFrame, ts: str) -> DataFrame:
+    return (df.withColumn("_sec", epoch_seconds(F.col(ts)))
+            .withColumn("_h", F.floor(F.col("_sec") / 3600)))
 
-    Counting combines map-side, so the shuffle carries one row per task and hour.
-    """
-    hours = timed.groupBy(*keys, "_h").count()
+
+def _hot_hours(hours: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """Hours of days that are too large, and whether the hour is so itself."""
     per_day = Window.partitionBy(*keys, F.floor(F.col("_h") / 24))
     return (hours.withColumn("_d", F.sum("count").over(per_day))
             .filter(F.col("_d") > hot_rows)
@@ -40,12 +41,18 @@ def _hot_hours(timed: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFram
 
 
 def add_chunks(df: DataFrame, keys: Sequence[str], ts: str = "ts", seq: str = "seq",
-               hot_rows: int = HOT_ROWS, block: int = BLOCK) -> DataFrame:
-    """Add ``_sec`` and the chunk columns. Costs one counting pass over the input."""
+               hot_rows: int = HOT_ROWS, block: int = BLOCK,
+               hours: DataFrame | None = None) -> DataFrame:
+    """Add ``_sec`` and the chunk columns.
+
+    Costs one counting pass over the input, combined map-side to a row per task
+    and hour, unless ``hours`` (keys, ``_h``, ``count``) is already known.
+    """
     keys = list(keys)
-    timed = (df.withColumn("_sec", epoch_seconds(F.col(ts)))
-             .withColumn("_h", F.floor(F.col("_sec") / 3600)))
-    hot = freeze(_hot_hours(timed, keys, hot_rows))
+    timed = _timed(df, ts)
+    if hours is None:
+        hours = timed.groupBy(*keys, "_h").count()
+    hot = freeze(_hot_hours(hours, keys, hot_rows))
     whole = F.lit(-1).cast("bigint")
     if hot.isEmpty():
         by_hour: Column = F.lit(False)
@@ -84,24 +91,34 @@ def number_rows(df: DataFrame, keys: Sequence[str] = (), name: str = "row_no",
     """Dense row numbers 1, 2, … in the order ``(second, seq)`` within ``keys``.
 
     Counts per chunk give offsets, ``row_number`` runs inside chunks: there is
-    no global sort, also when there are no keys.
+    no global sort, also when there are no keys. The counts come from the
+    hours counted anyway; only where a day is too large are its rows counted
+    by chunk.
     """
     keys = list(keys)
     group = keys or ["_all"]
     base = df if keys else df.withColumn("_all", F.lit(0))
-    chunked = add_chunks(base, group, ts, seq, hot_rows, block)
+    hours = freeze(_timed(base, ts).groupBy(*group, "_h").count())
+    chunked = add_chunks(base, group, ts, seq, hot_rows, block, hours)
+    whole = F.lit(-1).cast("bigint")
+    days = (hours.groupBy(*group, F.floor(F.col("_h") / 24).alias("_day"))
+            .agg(F.sum("count").alias("count")))
+    large = freeze(days.filter(F.col("count") > hot_rows))
+    sizes = days.filter(F.col("count") <= hot_rows).select(
+        *group, "_day", *[whole.alias(c) for c in CHUNK[1:]], "count")
+    if not large.isEmpty():
+        sizes = sizes.unionByName(chunked.filter("_hour <> -1").groupBy(*group, *CHUNK).count())
     before = across_chunks(group).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (chunked.groupBy(*group, *CHUNK).count()
-             .withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-             .drop("count"))
+    offsets = (sizes.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+               .drop("count"))
     numbered = chunked.withColumn("_in", F.row_number().over(in_chunk(group, seq)))
-    return (join_chunks(numbered, sizes, group)
+    return (join_chunks(numbered, offsets, group)
             .withColumn(name, F.col("_in") + F.col("_before"))
             .drop("_all", "_in", "_before", "_sec", *CHUNK))
 
 
 def running_total(df: DataFrame, keys: Sequence[str], value: Column, name: str,
-                  seq: str = "seq", block: int = 10_000) -> DataFrame:
+                  seq: str = "seq", block: int = 100_000) -> DataFrame:
     """Sum of ``value`` over the earlier rows of a group (exclusive), by ``seq``.
 
     Blocks of sequence numbers take the place of time chunks.

@@ -9,7 +9,7 @@ from logweave.operators.ordering import running_total
 
 
 def numbered_pieces(chunks: DataFrame, conn: str = "conn_id", seq: str = "seq",
-                    chunk: str = "chunk", block: int = 10_000) -> DataFrame:
+                    chunk: str = "chunk", block: int = 100_000) -> DataFrame:
     """Pieces between newlines, each with the number of the line it belongs to.
 
     That number is the count of newlines before it, summed in blocks, so that
@@ -31,7 +31,7 @@ def join_pieces(pieces: DataFrame, conn: str = "conn_id", seq: str = "seq") -> D
 
 
 def reassemble_lines(chunks: DataFrame, conn: str = "conn_id", seq: str = "seq",
-                     chunk: str = "chunk", block: int = 10_000) -> DataFrame:
+                     chunk: str = "chunk", block: int = 100_000) -> DataFrame:
     """``(conn, line_no, line)`` from ``(conn, seq, chunk)``.
 
     Lines end at a newline, wherever the chunks were cut; a carriage return

@@ -273,6 +273,7 @@ written AS (SELECT *, unnest(o) AS x FROM closed)
 SELECT rule_id, first_seq AS run, strftime(make_timestamp(x.a * 1000000), {T}) AS at,
   strftime(make_timestamp(x.b * 1000000), {T}) AS ts, 1 AS fac, sev, 'h' AS host,
   CASE WHEN x.n > 1 THEN 'last message repeated ' || x.n || ' times' ELSE msg END AS msg, x.n AS n FROM written"""
+SQL["collapse_stream"] = SQL["collapse_emit"]
 SQL["collapse_off"] = f"""WITH {REPEATS} SELECT rule_id, msg, count(*) AS n, CAST(sum(seq) AS BIGINT) AS s
 FROM lines GROUP BY 1, 2"""
 SQL["output_gaps"] = f"""WITH {REPEATS}, g AS (SELECT rule_id, ts, lag(ts) OVER (PARTITION BY rule_id ORDER BY ts, seq) AS p FROM lines)
@@ -336,3 +337,27 @@ told AS (SELECT s."user", s.terminal, a.seq FROM alerts a JOIN sessions s ON NOT
   UNION ALL SELECT s."user", s.terminal, a.seq FROM alerts a JOIN sessions s ON NOT a.everyone AND s."user" = a.u2 AND a.u1 <> a.u2
   UNION ALL SELECT s."user", s.terminal, a.seq FROM alerts a JOIN sessions s ON a.everyone)
 SELECT "user", terminal, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM told GROUP BY 1, 2"""
+# Which line is bad follows from what was done to the logs: a changed line is
+# found itself, a missing one by the line after it.
+TAMPERED = """c AS (SELECT conv_id, turn, conv_id % 7 = 2 AND turn = 1 AS gone,
+  conv_id % 3 = 1 AND turn = conv_id % 4 AS changed FROM conversations),
+v AS (SELECT conv_id, min(CASE WHEN NOT gone AND (changed OR (turn > 1 AND conv_id % 7 = 2)) THEN turn END) AS bad_line,
+  max(gone OR changed) AS touched, count(*) FILTER (NOT gone) AS lines FROM c GROUP BY conv_id)"""
+SQL["verify"] = f"""WITH {TAMPERED} SELECT CAST(conv_id AS VARCHAR) AS log_id, CAST(touched AS INTEGER) AS status,
+  bad_line, lines FROM v"""
+SQL["verify_without_macs"] = f"""WITH {TAMPERED} SELECT CAST(conv_id AS VARCHAR) AS log_id,
+  CAST(touched AS INTEGER) AS status, lines FROM v"""
+SQL["first_corrupt_line"] = f"""WITH {TAMPERED} SELECT CAST(conv_id AS VARCHAR) AS log_id, bad_line
+FROM v WHERE bad_line IS NOT NULL"""
+SQL["protect_chain"] = """WITH RECURSIVE lines AS (SELECT conv_id, turn, hex(text) AS h, strlen(text) AS n FROM conversations),
+chain AS (SELECT DISTINCT conv_id, CAST(-1 AS BIGINT) AS turn, CASE conv_id % 2 WHEN 0 THEN sha1('seed-' || conv_id)
+    ELSE md5('seed-' || conv_id) END AS k FROM conversations
+  UNION ALL SELECT conv_id, turn, CASE conv_id % 2 WHEN 0 THEN sha1(unhex(x)) ELSE md5(unhex(x)) END FROM (
+    SELECT c.conv_id, l.turn, array_to_string(list_transform(
+      range(0, CASE WHEN n = 0 THEN strlen(k) // 2 WHEN n > strlen(k) // 2
+        THEN (n + strlen(k) // 2 - 1) // (strlen(k) // 2) * (strlen(k) // 2)
+        ELSE (strlen(k) // 2 + n - 1) // n * n END),
+      lambda i: printf('%02x', xor(('0x' || substr(k, 2 * (i % (strlen(k) // 2)) + 1, 2))::INT,
+        CASE WHEN n = 0 THEN 0 ELSE ('0x' || substr(h, 2 * (i % n) + 1, 2))::INT END))), '') AS x
+    FROM chain c JOIN lines l ON l.conv_id = c.conv_id AND l.turn = c.turn + 1))
+SELECT CAST(conv_id AS VARCHAR) AS log_id, turn AS line_no, k AS key FROM chain WHERE turn >= 0"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions import clock, codes, text
+from logweave.functions.clock import epoch_seconds as clock_seconds
 from logweave.operators import (collapse, diagnostics, filters, integrity, marks, notify, parse,
                                 reassemble, route, rules, symbols)
 from logweave.plans import fixtures as X
@@ -324,6 +325,22 @@ def collapse_emit(spark, sf):
         "rule_id", "run", _ts("at"), _ts("ts"), "fac", "sev", "host", "msg", "n")
 
 
+@query
+def collapse_stream(spark, sf):
+    """The same in two batches, open runs carried over as state."""
+    lines = X.repeats(spark, sf)
+    first = F.col("ts") < F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
+    state = spark.createDataFrame([], collapse.STATE_SCHEMA)
+    parts = []
+    for part in (lines.filter(first), lines.filter(~first)):
+        clock = part.agg(F.max(clock_seconds(F.col("ts")))).first()[0] or 0
+        written, state = collapse.collapse_step(part, state, clock)
+        parts.append(written)
+    parts.append(collapse.close_state(state))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(
+        "rule_id", "run", _ts("at"), _ts("ts"), "fac", "sev", "host", "msg", "n")
+
+
 @query
 def collapse_off(spark, sf):
     df = collapse.collapse_emit(X.repeats(spark, sf), collapse=False)
@@ -502,3 +519,12 @@ def verify_without_macs(spark, sf):
 @query
 def first_corrupt_line(spark, sf):
     return integrity.first_corrupt_line(*_tampered(spark, sf))
+
+
+@query
+def protect_chain(spark, sf):
+    """Running keys of all conversations, by sha1 or md5."""
+    seeds = X.seeds(spark, sf).withColumn("method", F.when(
+        F.col("log_id").cast("bigint") % 2 == 0, "sha1").otherwise("md5"))
+    made = integrity.protect(X.conversations(spark, sf), integrity.init_keys(seeds))
+    return made.select("log_id", "line_no", text.to_hex(F.col("key")).alias("key"))

@@ -137,7 +137,7 @@ class LineStream:
     spark: SparkSession
     state_dir: str
     on_lines: Callable[[DataFrame, int], None]
-    block: int = 10_000
+    block: int = 100_000
 
     def __post_init__(self):
         self.tails = BatchState(self.spark, f"{self.state_dir}/tails",

@@ -125,3 +125,17 @@ def test_stream_of_batches(spark, logs, tmp_path):
     assert sorted(got) == sorted((r.log_id, r.line_no, bytes(r.mac)) for r in macs.collect())
     end = {r.log_id: bytes(r.last_key) for r in chain.keys.at(2).collect()}
     assert end == {r.log_id: bytes(r.last_key) for r in keys.collect()}
+
+
+def test_segments_split_a_log(spark, logs):
+    lines, _, _ = logs
+    cut = I.segments(lines, 7)
+    seeds = cut.select("log_id").distinct().withColumn("method", F.lit("sha1")) \
+        .withColumn("seed", F.encode("log_id", "UTF-8"))
+    keys = I.init_keys(seeds)
+    made = I.protect(cut, keys).cache()
+    last = I.last_keys(made, keys)
+    macs = made.select("log_id", "line_no", "mac")
+    assert made.groupBy("log_id").count().agg(F.max("count")).first()[0] == 7
+    got = verdicts(I.verify(cut.filter("log_id <> 'log2|1'"), last, macs))
+    assert got.pop("log2|1") == (1, None) and set(got.values()) == {(0, None)}
