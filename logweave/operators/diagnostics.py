@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave import schema as S
@@ -19,12 +19,17 @@ def as_records(df: DataFrame, text: Column, at: Column | str, pri: int = S.SYSLO
         (seq if seq is not None else F.monotonically_increasing_id()).cast("bigint").alias("seq"),
         ts.cast("timestamp_ntz").alias("ts"),
         codes.facility_of(code).alias("fac"), codes.severity_of(code).alias("sev"),
-        code.alias("pri"), F.lit(local_host).alias("host"), F.lit("syslogd").alias("prog"),
-        F.concat(F.lit("syslogd: "), text).alias("msg"),
+        code.alias("pri"), F.lit(local_host).alias("host"), F.lit(S.OWN_NAME).alias("prog"),
+        F.concat(F.lit(S.OWN_NAME + ": "), text).alias("msg"),
         F.lit(False).alias("is_kernel"), F.lit(False).alias("is_mark"),
         F.lit("internal").alias("source"), F.lit(False).alias("has_header_ts"))
 
 
+def notice(spark: SparkSession, text: str, at: str, local_host: str = "localhost") -> DataFrame:
+    """One notice about ourselves, such as a restart or the reason for an exit."""
+    return as_records(spark.range(1), F.lit(text), at, S.SYSLOG_INFO, local_host, F.col("id"))
+
+
 def rule_errors(rules: DataFrame, at: Column | str, local_host: str = "localhost",
                 seq: Column | None = None) -> DataFrame:
     """A record per rejected rule."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from logweave import schema as S
 from logweave.operators.parse import parse_lines
 from logweave.operators.rules import compile_masks
+from logweave.sources.lines import spread
 
 REF_TS = "2024-06-01 00:00:00"
 LOCAL_HOST = "loghost"
@@ -77,7 +78,7 @@ def raw_sql(string: str, month: str, clock: str) -> str:
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq, arrival_ts, line``: a line per event."""
     raw = raw_sql("string", "date_format(ts, 'MMM')", "date_format(ts, 'HH:mm:ss')")
-    return table(spark, sf_dir, "events").selectExpr(
+    return spread(table(spark, sf_dir, "events")).selectExpr(
         "event_id AS seq", "ts AS arrival_ts", f"{raw} AS line")
 
 
@@ -150,7 +151,7 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into pieces of 100 characters, a connection each."""
-    return (table(spark, sf_dir, "documents")
+    return (spread(table(spark, sf_dir, "documents"))
             .select(F.col("doc_id").alias("conn_id"), F.posexplode(F.expr(
                 "transform(sequence(0, cast((length(text) - 1) div 100 as int)), "
                 "i -> substr(text, i * 100 + 1, 100))")).alias("seq", "chunk"))

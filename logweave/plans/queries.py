@@ -95,13 +95,13 @@ def code_names(spark, sf):
 def escape_controls(spark, sf):
     """Letters turned into control characters, then escaped."""
     dirty = F.translate("text", "eaiou", "\x01\x1b\x7f\x85\t")
-    return X.table(spark, sf, "documents").select(
+    return src.spread(X.table(spark, sf, "documents")).select(
         "doc_id", text.escape_controls(dirty).alias("shown"))
 
 
 @query
 def mask_nonprint(spark, sf):
-    return X.table(spark, sf, "documents").select(
+    return src.spread(X.table(spark, sf, "documents")).select(
         "doc_id", text.mask_nonprint(F.col("text")).alias("masked"))
 
 

@@ -25,6 +25,7 @@ FACILITY_ALIASES = {"security": 4, "mark": 24}
 MARK_FACILITY = 24
 USER_NOTICE = 13      # PRI of a line without one
 KERN_CRIT = 2         # PRI of a file or BSD kernel line without one
+OWN_NAME = "syslogd"  # fixed value: program name in records about ourselves
 SYSLOG_ERR = 43       # PRI of an error about ourselves
 SYSLOG_INFO = 46      # PRI of a notice about ourselves
 MAX_PRI = 1023

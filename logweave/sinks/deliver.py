@@ -43,6 +43,13 @@ def write_log_table(routed: DataFrame, path: str, mode: str = "append", **kw) ->
     render.to_log_table(routed, **kw).write.mode(mode).partitionBy("date").parquet(path)
 
 
+def write_forward(routed: DataFrame, format: str, add_host: bool = False,
+                  newline: bool = False, mode: str = "append", **options) -> None:
+    """Forwarded lines as ``value`` rows of any writer, for example ``kafka`` or ``text``."""
+    (render.render_forward(routed, add_host, newline).select("value")
+     .write.format(format).mode(mode).options(**options).save())
+
+
 def write_jdbc(routed: DataFrame, url: str, table: str, properties: dict | None = None,
                batch_rows: int = 10_000, **kw) -> None:
     """Log table into a database; values are bound, rows go in batches."""

@@ -41,6 +41,18 @@ def read_log_files(spark: SparkSession, path, program: str | None = None, *,
     return file_lines(lines, time_format, start, time_length)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that has fewer splits than there are.
+
+    Text work is heavy per byte, and one small file is one split. Large inputs
+    have more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def with_seq(lines: DataFrame) -> DataFrame:
     """Number the rows of a batch in reading order, where there is no ``seq`` yet."""
     if "seq" in lines.columns:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave.operators import integrity as I
-from logweave.streaming.pipeline import ChainStream
+from logweave.streaming.jobs import ChainStream
 
 METHODS = ["md5", "sha1", "rmd160"]
 LIB = {"md5": "md5", "sha1": "sha1", "rmd160": "ripemd160"}

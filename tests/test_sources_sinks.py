@@ -6,13 +6,13 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from logweave.operators import collapse, filters, notify, parse, reassemble, route, rules, symbols
+from logweave.operators import collapse, diagnostics, filters, notify, parse, reassemble, route, rules, symbols
 from logweave.operators.joins import fits_broadcast, lookup_join
 from logweave.operators.ordering import number_rows
 from logweave.plans import fixtures as X
 from logweave.sinks import deliver, render
 from logweave.sources import lines as src
-from logweave.streaming.pipeline import LineStream, LogStream
+from logweave.streaming.jobs import LineStream, LogStream
 
 
 def test_read_files_batch_and_stream(spark, tmp_path):
@@ -169,6 +169,15 @@ def test_delivery_survives_a_bad_sink(spark, tmp_path):
         deliver._SINKS.clear()
 
 
+def test_forward_and_notice(spark, sf, tmp_path):
+    routed = route.route(X.records(spark, sf), X.compiled(spark)).filter("rule_id = 'm3'")
+    deliver.write_forward(routed, "text", path=str(tmp_path / "out"))
+    assert rows(spark.read.text(str(tmp_path / "out"))) == rows(
+        render.render_forward(routed).select("value"))
+    got = diagnostics.notice(spark, "restart", "2024-01-01 00:00:00").first()
+    assert (got.pri, got.msg, got.fac, got.sev) == (46, "syslogd: restart", 5, 6)
+
+
 def test_actions_in_order(spark):
     df = spark.createDataFrame([("r", [("file", "/var/log/a"), ("table", "db")])],
                                "rule_id string, actions array<struct<sink:string,dest:string>>")
