@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from logweave import schema as S
 from logweave.functions.clock import epoch_seconds, from_epoch
 from logweave.operators.ordering import BLOCK, CHUNK, HOT_ROWS, add_chunks, in_chunk
+from logweave.schema import REPEAT_INTERVALS
 from logweave.session import freeze
 
 KEYS = ["rule_id"]
@@ -116,7 +117,7 @@ _OUT = "array<struct<at:bigint,stamp:bigint,n:bigint>>"
 
 
 def _interval(step: Column) -> Column:
-    a, b, c = S.REPEAT_INTERVALS
+    a, b, c = REPEAT_INTERVALS
     return F.when(step == 0, a).when(step == 1, b).otherwise(c).cast("bigint")
 
 
@@ -192,7 +193,7 @@ class RepeatTimer:
         self.lw, self.step, self.p, self.last = lw, step, p, lw if last is None else last
 
     def _due(self) -> int:
-        return self.lw + S.REPEAT_INTERVALS[self.step]
+        return self.lw + REPEAT_INTERVALS[self.step]
 
     def _wrote(self, at: int) -> None:
         self.lw, self.step = at, min(self.step + 1, 2)
