@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -139,3 +141,12 @@ def run_stages(spark: SparkSession, stages: list, sf_dir: str) -> DataFrame:
         if k + 1 < len(stages):
             docs = written(docs, name)
     return docs
+
+
+def worker_cache() -> dict:
+    """A dict that lives as long as the Python worker, for vocabularies and the like."""
+    name = "_logweave_worker_cache"
+    if name not in sys.modules:
+        sys.modules[name] = types.ModuleType(name)
+        sys.modules[name].kept = {}
+    return sys.modules[name].kept

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import simhash_dedup
+from logweave.llm import bpe, simhash_dedup
 from logweave.llm.common import read
 
 
+def vocabulary(name: str) -> str:
+    return public_tokenizers.path(name)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                         "component_id")
 
 
-REGISTRY = {"op3_simhash_near_dedup": op3_simhash_near_dedup}
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"),
+                       public_tokenizers.PATTERN)
+
+
+REGISTRY = {"op3_simhash_near_dedup": op3_simhash_near_dedup, "op9_byte_bpe": op9_byte_bpe}
 SQL: dict[str, str] = {}
