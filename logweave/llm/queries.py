@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, simhash_dedup
+from logweave.llm import bpe, quality_rules, simhash_dedup
 from logweave.llm.common import read
 
 
@@ -14,6 +14,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read(spark, sf_dir, "labels").filter("quality = 1")
+    return quality_rules.judge(read(spark, sf_dir, "documents"), trusted)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
@@ -25,5 +30,6 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        public_tokenizers.PATTERN)
 
 
-REGISTRY = {"op3_simhash_near_dedup": op3_simhash_near_dedup, "op9_byte_bpe": op9_byte_bpe}
+REGISTRY = {"op2_quality_rules": op2_quality_rules,
+            "op3_simhash_near_dedup": op3_simhash_near_dedup, "op9_byte_bpe": op9_byte_bpe}
 SQL: dict[str, str] = {}
