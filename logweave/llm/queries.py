@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, quality_rules, simhash_dedup
+from logweave.llm import bpe, line_crf, quality_rules, simhash_dedup
 from logweave.llm.common import read
 
 
@@ -30,6 +30,22 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        public_tokenizers.PATTERN)
 
 
+def _held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> line_crf.Model:
+    """Fitted on labelled rows that are not held out."""
+    return line_crf.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").filter(~_held_out()))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = line_crf.score(read(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", _held_out().alias("held_out"), "score",
+                         (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
+
+
 REGISTRY = {"op2_quality_rules": op2_quality_rules,
-            "op3_simhash_near_dedup": op3_simhash_near_dedup, "op9_byte_bpe": op9_byte_bpe}
+            "op3_simhash_near_dedup": op3_simhash_near_dedup, "op9_byte_bpe": op9_byte_bpe,
+            "op10_quality_classifier": op10_quality_classifier}
 SQL: dict[str, str] = {}
