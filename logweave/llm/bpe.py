@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -15,9 +14,10 @@ from pyspark.sql import functions as F
 from logweave.llm.chunks import Chunks
 from logweave.llm.common import text_slices, worker_cache
 
-#: Entries that a Python worker keeps of encoded pieces and of tested token pairs.
-CACHE_PIECES = 300_000
-CACHE_PAIRS = 400_000
+#: Entries that a Python worker keeps of encoded pieces, their prefixes and tested token pairs.
+CACHE_PIECES = 200_000
+CACHE_PREFIXES = 400_000
+CACHE_PAIRS = 300_000
 _NEVER = 1 << 40
 
 
@@ -44,15 +44,16 @@ class PrefixEncoder:
         self.children: dict[int, tuple[int, int]] = {}
         self._pairs: dict[int, bool] = {}
         self._spines: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
-        self._tokens = ahocorasick.Automaton()
-        for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
+        #: the last token of byte prefixes met so far
+        self._known: dict[bytes, int] = {}
+        self.usable = dict(ranks)
+        for token, rank in ranks.items():
             if len(token) > 1:
                 parts = self._merge(token, rank)
-                if len(parts) != 2:
-                    continue  # no merges build it: it only stands for a whole piece
-                self.children[rank] = (ranks[parts[0]], ranks[parts[1]])
-            self._tokens.add_word(token.decode("latin-1"), (rank, len(token)))
-        self._tokens.make_automaton()
+                if len(parts) == 2:
+                    self.children[rank] = (ranks[parts[0]], ranks[parts[1]])
+                else:  # no merges build it: it only stands for a whole piece
+                    del self.usable[token]
 
     def _merge(self, data: bytes, below: int) -> list[bytes]:
         """The parts of ``data`` after all merges of a lower rank than ``below``."""
@@ -99,43 +100,60 @@ class PrefixEncoder:
             self._pairs[key] = found
         return found
 
-    def fill(self, data: bytes, last: list[int], lengths: list[int]) -> None:
+    def fill(self, data: bytes, last: list[int]) -> None:
         """Continue a prefix table to the end of ``data``.
 
-        ``last[i]`` and ``lengths[i]`` are the token that ends at byte ``i``
-        and its length, for the bytes that the table already has.
+        ``last[i]`` is the token that ends with byte ``i``; the list has the
+        bytes that are known already.
         """
-        done = len(last)
-        last += [-1] * (len(data) - done)
-        lengths += [0] * (len(data) - done)
-        base = max(0, done - self.longest + 1)
-        apart = self.stay_apart
-        for end, (token, n) in self._tokens.iter(data[base:].decode("latin-1")):
-            end += base
-            if end >= done and last[end] < 0:
-                before = end - n
-                if before < -1:
-                    continue
-                if before == -1 or last[before] >= 0 and apart(last[before], token):
-                    last[end], lengths[end] = token, n
-
-    def read_back(self, last: list[int], lengths: list[int]) -> list[int]:
+        get, apart = self.usable.get, self.stay_apart
+        for end in range(len(last) + 1, len(data) + 1):
+            for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
+                token = get(data[start:end])
+                if token is not None and (not start or apart(last[start - 1], token)):
+                    last.append(token)
+                    break
+            else:
+                raise ValueError("the vocabulary has no token for a byte")
+
+    def read_back(self, last: list[int]) -> list[int]:
         """The encoding that a prefix table stands for."""
         out, at = [], len(last) - 1
         while at >= 0:
             out.append(last[at])
-            at -= lengths[at]
+            at -= len(self.bytes_of[last[at]])
         return out[::-1]
 
     def encode(self, data: bytes) -> list[int]:
-        """The tokens of one piece."""
+        """The tokens of one piece; tables of short prefixes are shared between pieces."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        last: list[int] = []
-        lengths: list[int] = []
-        self.fill(data, last, lengths)
-        return self.read_back(last, lengths)
+        if len(data) > 40:
+            last: list[int] = []
+            self.fill(data, last)
+            return self.read_back(last)
+        known = self._known
+        n = len(data)
+        while n and data[:n] not in known:
+            n -= 1
+        get, apart = self.usable.get, self.stay_apart
+        if len(known) >= CACHE_PREFIXES:
+            known.clear()
+            n = 0
+        for end in range(n + 1, len(data) + 1):
+            for start in range(end - 1, -1, -1):
+                token = get(data[start:end])
+                if token is not None and (not start or apart(known[data[:start]], token)):
+                    known[data[:end]] = token
+                    break
+            else:
+                raise ValueError("the vocabulary has no token for a byte")
+        out, end = [], len(data)
+        while end:
+            out.append(known[data[:end]])
+            end -= len(self.bytes_of[out[-1]])
+        return out[::-1]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -147,7 +165,7 @@ class EncodedText:
     def __init__(self, encoder: PrefixEncoder, pattern: str, text: str = ""):
         self.encoder, self.split, self.text = encoder, regex.compile(pattern), ""
         self.starts: list[int] = []
-        self.tables: list[tuple[bytes, list[int], list[int]]] = []
+        self.tables: list[tuple[bytes, list[int]]] = []
         self.append(text)
 
     def append(self, more: str) -> None:
@@ -171,20 +189,20 @@ class EncodedText:
                 tables += self.tables[known:]
                 break
             starts.append(found.start())
-            before = old[n] if n < len(old) else (b"", [], [])
+            before = old[n] if n < len(old) else (b"", [])
             same = 0
             while same < min(len(data), len(before[0])) and data[same] == before[0][same]:
                 same += 1
-            last, lengths = before[1][:same], before[2][:same]
-            self.encoder.fill(data, last, lengths)
-            tables.append((data, last, lengths))
+            last = before[1][:same]
+            self.encoder.fill(data, last)
+            tables.append((data, last))
         self.text, self.starts, self.tables = text, starts, tables
 
     def ids(self) -> list[int]:
         out: list[int] = []
-        for data, last, lengths in self.tables:
+        for data, last in self.tables:
             whole = self.encoder.ranks.get(data)
-            out += [whole] if whole is not None else self.encoder.read_back(last, lengths)
+            out += [whole] if whole is not None else self.encoder.read_back(last)
         return out
 
 
@@ -229,12 +247,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
         .mapInArrow(run, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded): the bytes that packed ids stand for; null ids give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = codec(path, pattern)
-        of = encoder.bytes_of.__getitem__
+        kept = worker_cache()
+        if ("bytes", path) not in kept:
+            kept["bytes", path] = {r: b for b, r in load_ranks(path).items()}
+        of = kept["bytes", path].__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -251,7 +271,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """Per row of ``docs``: number of tokens, SHA-256 of the ids and of the decoded bytes."""
-    done = decode(encode(docs, path, pattern, text), path, pattern)
+    done = decode(encode(docs, path, pattern, text), path)
     return done.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
