@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, line_crf, quality_rules, simhash_dedup
+from logweave.llm import bpe, decontaminate, line_crf, quality_rules, simhash_dedup
 from logweave.llm.common import read
 
 
@@ -14,6 +14,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = read(spark, sf_dir, "labels").filter("quality = 1")
     return quality_rules.judge(read(spark, sf_dir, "documents"), trusted)
@@ -45,7 +49,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
 
 
-REGISTRY = {"op2_quality_rules": op2_quality_rules,
+REGISTRY = {"op1_benchmark_decontamination": op1_benchmark_decontamination,
+            "op2_quality_rules": op2_quality_rules,
             "op3_simhash_near_dedup": op3_simhash_near_dedup, "op9_byte_bpe": op9_byte_bpe,
             "op10_quality_classifier": op10_quality_classifier}
 SQL: dict[str, str] = {}
