@@ -20,7 +20,7 @@ THRESHOLD = -0.3
 MIN_WORDS = 50
 #: White space between words, and what an n-gram's tokens are.
 _SPACE = r"[\x20\x09-\x0D]+"
-_TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
+_TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"
 _SCALE = 1_000_000
 
 
@@ -36,14 +36,19 @@ def signals(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
                      "n_symbols": F.regexp_count(F.coalesce(F.col(text), F.lit("")),
                                                  F.lit(r"[#*$%&|<>]")).cast("long")}, keep)
     n = F.size("_w")
-    # windows of three words as (hash, place), in order of hash: equal windows are neighbours
     made = once(made, {
         "n_words": n.cast("long"), "word_chars": F.length(F.array_join("_w", "")).cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "_s": F.sort_array(F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.struct(
-            F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))))
-            .otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))}, [*keep, "n_symbols"])
+        # hashes of the windows of three words
+        "_h": F.when(n >= 3, F.transform(
+            F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))),
+            lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))))
+        .otherwise(F.array().cast("array<bigint>"))}, [*keep, "n_symbols"])
     base = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    # where windows repeat: (hash, place) in order of hash, so that equal windows are neighbours
+    made = once(made, {"_s": F.when(F.size(F.array_distinct("_h")) == F.size("_h"), none).otherwise(
+        F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))}, base)
     made = once(made, {"_p": F.sort_array(F.transform(F.filter("_s", lambda x, k: (
         (F.get("_s", k - 1)["h"].eqNullSafe(x["h"])) | (F.get("_s", k + 1)["h"].eqNullSafe(x["h"])))),
         lambda x: x["i"]))}, base)
@@ -59,13 +64,18 @@ def base_failed() -> Column:
 
 
 def _ngrams(df: DataFrame, text: str, keep: list[str], buckets: int) -> DataFrame:
-    """One row per unigram and bigram: columns ``keep`` and the ``bucket`` of its hash."""
+    """One row per unigram and bigram: columns ``keep`` and the ``bucket`` of its hash.
+
+    Tokens are runs of letters and digits, and runs of other signs. The first
+    token of a text has none before it; as a bigram it is hashed alone.
+    """
     made = once(df, {"_t": F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_TOKEN), F.lit(0))},
                 keep)
-    hashed = F.flatten(F.transform("_t", lambda x, i: F.array(
-        F.pmod(F.xxhash64(x), F.lit(buckets)),
-        F.when(i > 0, F.pmod(F.xxhash64(F.get("_t", i - 1), x), F.lit(buckets))))))
-    return made.select(*keep, F.explode(hashed).alias("bucket")).filter("bucket IS NOT NULL")
+    hashed = F.concat(
+        F.transform("_t", lambda x: F.xxhash64(x)),
+        F.transform("_t", lambda x, i: F.xxhash64(F.get("_t", i - 1), x)))
+    return made.select(*keep, F.explode(hashed).alias("_h")).select(
+        *keep, F.pmod("_h", F.lit(buckets)).alias("bucket"))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", buckets: int = BUCKETS,
