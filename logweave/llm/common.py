@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 import uuid
@@ -32,8 +33,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` if it reads rows in the same order each time (a scan with filters), else written first."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    kinds = {re.sub(r"^[\s:+|-]*(\w+).*", r"\1", line) for line in plan.splitlines() if line.strip()}
+    if kinds <= {"Project", "Filter", "Relation", "RelationV2", "LogicalRDD", "LocalRelation"}:
+        return df
+    return written(df, "rows")
+
+
 def with_row_key(df: DataFrame, name: str = "_row") -> DataFrame:
-    """``df`` with a number that tells rows apart even if their ids are null or repeated."""
+    """``df`` with a number that tells rows apart even if their ids are null or repeated.
+
+    The number is the row's place in the scan; give it a ``stable`` frame if it is used twice.
+    """
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, decontaminate, line_crf, quality_rules, simhash_dedup
+from logweave.llm import bpe, decontaminate, line_crf, quality_rules, simhash_dedup, substring_dedup
 from logweave.llm.common import read
 
 
@@ -29,6 +29,11 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.cut_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"),
                        public_tokenizers.PATTERN)
@@ -51,6 +56,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {"op1_benchmark_decontamination": op1_benchmark_decontamination,
             "op2_quality_rules": op2_quality_rules,
-            "op3_simhash_near_dedup": op3_simhash_near_dedup, "op9_byte_bpe": op9_byte_bpe,
+            "op3_simhash_near_dedup": op3_simhash_near_dedup, "op6_substring_dedup": op6_substring_dedup,
+            "op9_byte_bpe": op9_byte_bpe,
             "op10_quality_classifier": op10_quality_classifier}
 SQL: dict[str, str] = {}
