@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from logweave.llm.chunks import Chunks
 from logweave.llm.common import text_slices, worker_cache
 
-#: Entries that a Python worker keeps of encoded pieces, their prefixes and tested token pairs.
-CACHE_PIECES = 200_000
-CACHE_PREFIXES = 400_000
+#: Entries that a Python worker keeps of tables of first bytes and of tested token pairs.
+CACHE_HEADS = 150_000
 CACHE_PAIRS = 300_000
+_HEAD = 6
 _NEVER = 1 << 40
 
 
@@ -44,8 +44,8 @@ class PrefixEncoder:
         self.children: dict[int, tuple[int, int]] = {}
         self._pairs: dict[int, bool] = {}
         self._spines: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
-        #: the last token of byte prefixes met so far
-        self._known: dict[bytes, int] = {}
+        #: tables of the first bytes of pieces met so far
+        self._heads: dict[bytes, list[int]] = {}
         self.usable = dict(ranks)
         for token, rank in ranks.items():
             if len(token) > 1:
@@ -106,15 +106,20 @@ class PrefixEncoder:
         ``last[i]`` is the token that ends with byte ``i``; the list has the
         bytes that are known already.
         """
-        get, apart = self.usable.get, self.stay_apart
+        get, pairs = self.usable.get, self._pairs
         for end in range(len(last) + 1, len(data) + 1):
             for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
                 token = get(data[start:end])
-                if token is not None and (not start or apart(last[start - 1], token)):
-                    last.append(token)
+                if token is None:
+                    continue
+                if not start:
+                    break
+                apart = pairs.get(last[start - 1] << 20 | token)
+                if apart or apart is None and self.stay_apart(last[start - 1], token):
                     break
             else:
                 raise ValueError("the vocabulary has no token for a byte")
+            last.append(token)
 
     def read_back(self, last: list[int]) -> list[int]:
         """The encoding that a prefix table stands for."""
@@ -125,35 +130,21 @@ class PrefixEncoder:
         return out[::-1]
 
     def encode(self, data: bytes) -> list[int]:
-        """The tokens of one piece; tables of short prefixes are shared between pieces."""
+        """The tokens of one piece; pieces share the tables of their first bytes."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(data) > 40:
-            last: list[int] = []
-            self.fill(data, last)
-            return self.read_back(last)
-        known = self._known
-        n = len(data)
-        while n and data[:n] not in known:
-            n -= 1
-        get, apart = self.usable.get, self.stay_apart
-        if len(known) >= CACHE_PREFIXES:
-            known.clear()
-            n = 0
-        for end in range(n + 1, len(data) + 1):
-            for start in range(end - 1, -1, -1):
-                token = get(data[start:end])
-                if token is not None and (not start or apart(known[data[:start]], token)):
-                    known[data[:end]] = token
-                    break
-            else:
-                raise ValueError("the vocabulary has no token for a byte")
-        out, end = [], len(data)
-        while end:
-            out.append(known[data[:end]])
-            end -= len(self.bytes_of[out[-1]])
-        return out[::-1]
+        head = data[:_HEAD]
+        known = self._heads.get(head)
+        if known is None:
+            known = []
+            self.fill(head, known)
+            if len(self._heads) >= CACHE_HEADS:
+                self._heads.clear()
+            self._heads[head] = known
+        last = known.copy()
+        self.fill(data, last)
+        return self.read_back(last)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -211,19 +202,13 @@ def codec(path: str, pattern: str) -> tuple[PrefixEncoder, Chunks]:
     kept = worker_cache()
     if ("bpe", path, pattern) not in kept:
         encoder, split = PrefixEncoder(load_ranks(path)), regex.compile(pattern).findall
-        pieces: dict[str, bytes] = {}
-
-        def piece(text: str) -> bytes:
-            packed = pieces.get(text)
-            if packed is None:
-                packed = np.array(encoder.encode(text.encode("utf-8", "replace")), "<u4").tobytes()
-                if len(pieces) >= CACHE_PIECES:
-                    pieces.clear()
-                if len(text) <= 48:
-                    pieces[text] = packed
-            return packed
-
-        kept["bpe", path, pattern] = encoder, Chunks(lambda t: b"".join(map(piece, split(t))))
+        packed = {rank: rank.to_bytes(4, "little") for rank in encoder.bytes_of}.__getitem__
+
+        def whole(text: str) -> bytes:
+            return b"".join([packed(i) for p in split(text)
+                             for i in encoder.encode(p.encode("utf-8", "replace"))])
+
+        kept["bpe", path, pattern] = encoder, Chunks(whole)
     return kept["bpe", path, pattern]
 
 

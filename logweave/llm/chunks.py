@@ -8,7 +8,7 @@ from collections.abc import Callable
 #: White space that is no single blank or line feed between two words.
 _ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
 #: Chunks that a Python worker remembers: this many twice, the older ones go.
-KEPT = 500_000
+KEPT = 350_000
 
 
 class Chunks(dict):
