@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, decontaminate, line_crf, quality_rules, simhash_dedup, substring_dedup
+from logweave.llm import bpe, decontaminate, line_crf, quality_rules, simhash_dedup, substring_dedup, wavelet
 from logweave.llm.common import read
 
 
@@ -34,6 +34,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = wavelet.write_shards(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return wavelet.checks(wavelet.read_shards(shards))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"),
                        public_tokenizers.PATTERN)
@@ -57,6 +62,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {"op1_benchmark_decontamination": op1_benchmark_decontamination,
             "op2_quality_rules": op2_quality_rules,
             "op3_simhash_near_dedup": op3_simhash_near_dedup, "op6_substring_dedup": op6_substring_dedup,
+            "op7_wavelet_tokens": op7_wavelet_tokens,
             "op9_byte_bpe": op9_byte_bpe,
             "op10_quality_classifier": op10_quality_classifier}
 SQL: dict[str, str] = {}
