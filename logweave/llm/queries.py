@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, decontaminate, line_crf, quality_rules, simhash_dedup, substring_dedup, wavelet
+from logweave.llm import bpe, decontaminate, html_wrappers, line_crf, quality_rules, simhash_dedup, substring_dedup, wavelet
 from logweave.llm.common import read
 
 
@@ -39,6 +39,10 @@ def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.checks(wavelet.read_shards(shards))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"),
                        public_tokenizers.PATTERN)
@@ -63,6 +67,7 @@ REGISTRY = {"op1_benchmark_decontamination": op1_benchmark_decontamination,
             "op2_quality_rules": op2_quality_rules,
             "op3_simhash_near_dedup": op3_simhash_near_dedup, "op6_substring_dedup": op6_substring_dedup,
             "op7_wavelet_tokens": op7_wavelet_tokens,
+            "op8_html_extraction": op8_html_extraction,
             "op9_byte_bpe": op9_byte_bpe,
             "op10_quality_classifier": op10_quality_classifier}
 SQL: dict[str, str] = {}
