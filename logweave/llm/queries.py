@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, decontaminate, html_wrappers, line_crf, quality_rules, simhash_dedup, substring_dedup, wavelet
+from logweave.llm import bpe, decontaminate, html_wrappers, line_crf, quality_rules, simhash_dedup, substring_dedup, warc, wavelet
 from logweave.llm.common import read
 
 
@@ -29,6 +29,11 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(read(spark, sf_dir, "pages"))
+    return warc.page_digests(warc.read_archives(files, payloads=False))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.cut_repeats(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -65,7 +70,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {"op1_benchmark_decontamination": op1_benchmark_decontamination,
             "op2_quality_rules": op2_quality_rules,
-            "op3_simhash_near_dedup": op3_simhash_near_dedup, "op6_substring_dedup": op6_substring_dedup,
+            "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_warc": op4_warc,
+            "op6_substring_dedup": op6_substring_dedup,
             "op7_wavelet_tokens": op7_wavelet_tokens,
             "op8_html_extraction": op8_html_extraction,
             "op9_byte_bpe": op9_byte_bpe,
