@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, decontaminate, html_wrappers, line_crf, quality_rules, simhash_dedup, substring_dedup, warc, wavelet
+from logweave.llm import bpe, decontaminate, gru_lm, html_wrappers, line_crf, quality_rules, simhash_dedup, substring_dedup, warc, wavelet
 from logweave.llm.common import read
 
 
@@ -34,6 +34,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.read_archives(files, payloads=False))
 
 
+def op5_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    scored = gru_lm.score(docs, docs.filter(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.cut_repeats(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -71,6 +79,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {"op1_benchmark_decontamination": op1_benchmark_decontamination,
             "op2_quality_rules": op2_quality_rules,
             "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_warc": op4_warc,
+            "op5_gru_lm": op5_gru_lm,
             "op6_substring_dedup": op6_substring_dedup,
             "op7_wavelet_tokens": op7_wavelet_tokens,
             "op8_html_extraction": op8_html_extraction,
