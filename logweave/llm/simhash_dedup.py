@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import text_slices
+from logweave.llm.common import stable, text_slices
 from logweave.llm.components import components
 from logweave.session import freeze
 
@@ -42,18 +42,18 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the SimHash of each text as a signed number; null and empty texts have zero."""
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(_row, doc_id, fp) from (_row, doc_id, text): the SimHash of each text as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
             fps = np.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()],
                            np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)],
-                                             names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("doc_id"), pa.array(fps)],
+                                             names=["_row", "doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")) \
-        .mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("_row").cast("long").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"),
+                       "text").mapInArrow(run, "_row long, doc_id long, fp long")
 
 
 def _half(fp: str, k: int) -> Column:
@@ -152,25 +152,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3,
     component has no id); repeated doc_ids give a row each; other columns are
     ignored; an empty table gives no rows. Texts of any length are read whole.
     """
-    fps = freeze(fingerprints(docs, text, shingle))
+    found = _classes(docs.select(F.lit(0).alias("_row"), "doc_id", F.col(text).alias("text")), shingle, group_limit)
+    return found.select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def _classes(docs: DataFrame, shingle: int, group_limit: int) -> DataFrame:
+    """(_row, doc_id, fp, class, least): the class of each row and its smallest doc_id."""
+    fps = freeze(fingerprints(docs, shingle))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     member = components(links(nodes.select("fp"), group_limit))
     # classes of more than one fingerprint; all other fingerprints are classes of their own
     placed = nodes.join(member, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = placed.join(ids, "component").select(F.col("fp").alias("_fp"), "component_id")
-    return fps.join(by_fp, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
+        "fp", "least", F.coalesce("component", "fp").alias("class"))
+    ids = placed.groupBy("class").agg(F.min("least").alias("least"))
+    by_fp = placed.select("fp", "class").join(ids, "class").withColumnRenamed("fp", "_fp")
+    return fps.join(by_fp, F.col("fp") == F.col("_fp"), "left").select("_row", "doc_id", "fp", "class", "least")
 
 
-def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row of each near-duplicate class of ``docs``, that of the smallest doc_id.
+def deduplicate(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
+    """One row of each near-duplicate class of ``docs``, that of the smallest doc_id, all columns.
 
-    Of rows that share that doc_id one is kept. Rows without a doc_id stay
-    unless their class has a row with one. Columns are those of ``docs``.
+    Of rows that share that doc_id the first one read is kept. Rows without a
+    doc_id go if their class has a row with one; else one of them is kept.
     """
-    found = near_duplicates(docs, text).select(F.col("doc_id").alias("_id"), "component_id")
-    gone = found.filter("_id IS NOT NULL AND _id <> component_id").select("_id").distinct()
-    kept = docs.filter("doc_id IS NOT NULL").join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    docs = stable(docs)
+    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = freeze(_classes(keyed.select("_row", "doc_id", F.col(text).alias("text")), shingle, GROUP_LIMIT))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.col("_row"))).alias("head")
+    heads = found.groupBy("class").agg(first).select(F.col("head._row").alias("_row"))
+    return keyed.join(heads, "_row", "left_semi").select(docs.columns)
