@@ -118,7 +118,8 @@ def fold_repeats(units: list[str]) -> tuple[list, list[list[int]]]:
                     again = True
                     break
                 if size > 1 and len(nodes) >= 2 * size and nodes[-1] == nodes[-1 - size] \
-                        and nodes[-2 * size:-size] == tail and "#" in tail:
+                        and nodes[-2 * size:-size] == tail and "#" in tail \
+                        and tail[0] != "#" and tail[0][0] != "/":  # groups begin with a tag
                     merged = [a + b for a, b in zip(sum(places[-2 * size:-size], []), sum(places[-size:], []),
                                                     strict=True)]
                     nodes[-2 * size:], places[-2 * size:] = [("+", tail)], [merged]
