@@ -56,10 +56,10 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _suffixes(docs: DataFrame, window: int) -> DataFrame:
-    """(prefix, whole, id, _row, start, n): suffixes whose window has an anchor met elsewhere.
+    """(path, id, _row, start, n): suffixes whose window has an anchor met elsewhere.
 
-    ``docs`` has (_row, id, text, places: anchors with their number of occurrences). Prefix and
-    whole are hashes of the suffix's first ``PREFIX`` and ``window`` words.
+    ``docs`` has (_row, id, text, places: anchors with their number of occurrences). ``path`` is the
+    way down the tree: 16 bits of a hash of the suffix's first ``PREFIX`` words, then 48 of its first ``window``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,16 +77,16 @@ def _suffixes(docs: DataFrame, window: int) -> DataFrame:
             if not len(at):
                 continue
             row = pa.array(np.searchsorted(first, at, side="right") - 1)
-            prefix = (rolling(h, min(PREFIX, window))[at] >> np.uint64(32)).astype(np.uint32)
+            short, whole = rolling(h, min(PREFIX, window))[at], rolling(h, window)[at]
+            path = (short >> np.uint64(48) << np.uint64(48)) | (whole >> np.uint64(16))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(prefix.view(np.int32)), pa.array(rolling(h, window)[at].view(np.int64)),
-                 part.column("id").take(row), part.column("_row").take(row),
+                [pa.array(path.view(np.int64)), part.column("id").take(row), part.column("_row").take(row),
                  pa.array((at - first[row.to_numpy()]).astype(np.int32)),
                  pa.array(np.minimum(n, 1 << 30).astype(np.int32))],
-                names=["prefix", "whole", "id", "_row", "start", "n"])
+                names=["path", "id", "_row", "start", "n"])
 
     return docs.select("_row", "id", "text", "places").mapInArrow(
-        run, "prefix int, whole long, id long, _row long, start int, n int")
+        run, "path long, id long, _row long, start int, n int")
 
 
 def _subtrees(suffixes: DataFrame, group: Column, first_leaves: bool) -> DataFrame:
@@ -105,23 +105,22 @@ def _subtrees(suffixes: DataFrame, group: Column, first_leaves: bool) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            prefix, whole = (batch.column(c).to_numpy() for c in ("prefix", "whole"))
-            common = np.zeros(batch.num_rows, bool)
-            common[1:] = (prefix[1:] == prefix[:-1]) & (whole[1:] == whole[:-1])
-            common[0] = before == (prefix[0], whole[0])
-            before = prefix[-1], whole[-1]
+            path = batch.column("path").to_numpy()
+            common = np.concatenate([[before == path[0]], path[1:] == path[:-1]])
+            before = path[-1]
             pick = ~common & (batch.column("n").to_numpy() > SPLIT) if first_leaves else common
             yield batch.filter(pa.array(pick))
 
-    return (suffixes.repartition(group).sortWithinPartitions("prefix", "whole", "id", "_row", "start")
+    return (suffixes.repartition(group).sortWithinPartitions("path", "id", "_row", "start")
             .mapInArrow(run, suffixes.schema))
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(_row, starts): of each text, the windows that also start earlier.
+def repeated_windows(docs: DataFrame, same: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(_row, starts): of each text, the windows that also start earlier; whole copies have no row.
 
-    ``docs`` has (_row, id, text); earlier is by (id, _row, start). Only
-    windows are compared whose anchor occurs at least twice, which loses none. Anchors
+    ``docs`` has (_row, id, text); earlier is by (id, _row, start). ``same`` has (_row, m, copy)
+    of the texts that m rows have, all but the first of them copies: these stay
+    out, and what occurs only as often as its text does occurs nowhere else. Only windows are compared whose anchor occurs at least twice, which loses none. Anchors
     are counted with a map-side sum, the suffixes around repeated ones are
     dealt to groups by a prefix of their words, longer where there are many.
     """
@@ -129,16 +128,19 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     repeated = freeze(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
     most = repeated.agg(F.max("n")).first()[0] or 0
     places = (anchors.join(repeated, "h").groupBy("_row")
-              .agg(F.collect_list(F.struct("place", F.col("n").cast("int").alias("n"))).alias("places")))
+              .agg(F.collect_list(F.struct("place", F.col("n").cast("int").alias("n"))).alias("places"))
+              .join(same, "_row", "left").filter("copy IS NULL OR NOT copy")
+              .select("_row", F.filter("places", lambda p: p["n"] > F.coalesce("m", F.lit(1))).alias("places"))
+              .filter(F.size("places") > 0))
     suffixes = _suffixes(docs.join(places, "_row"), window)
     salts = F.ceil(F.col("n") / SPLIT)
-    group = (F.when(F.col("n") <= LONG_PREFIX, F.col("prefix").cast("long"))
-             .when(F.col("n") <= SPLIT, F.col("whole"))
-             .otherwise(F.xxhash64("whole", F.pmod(F.xxhash64("_row"), salts))))
+    group = (F.when(F.col("n") <= LONG_PREFIX, F.shiftrightunsigned("path", 48))
+             .when(F.col("n") <= SPLIT, F.col("path"))
+             .otherwise(F.xxhash64("path", F.pmod(F.xxhash64("_row"), salts))))
     later = _subtrees(suffixes, group, False)
     if most > SPLIT:
         heads = _subtrees(suffixes, group, True)
-        later = later.union(_subtrees(heads, F.col("whole"), False))
+        later = later.union(_subtrees(heads, F.col("path"), False))
     return later.groupBy("_row").agg(F.collect_list("start").alias("starts"))
 
 
@@ -150,11 +152,12 @@ def _with_repeats(docs: DataFrame, text: str, window: int) -> DataFrame:
     digest = keyed.select(F.sha2("text", 256).alias("digest"), "id", "_row")
     firsts = (digest.groupBy("digest").agg(F.min(F.struct("id", "_row")).alias("head"), F.count("*").alias("n"))
               .filter("n > 1"))
-    copies = (digest.join(firsts, "digest").filter("_row <> head._row").select("_row"))
     # later copies of whole texts are settled; their first copy stands for them
-    starts = repeated_windows(keyed, window).join(copies, "_row", "left_anti")
+    same = freeze(digest.join(firsts, "digest").select(
+        "_row", F.col("n").alias("m"), (F.col("_row") != F.col("head._row")).alias("copy")))
+    starts = repeated_windows(keyed, same, window)
     marks = starts.select("_row", "starts", F.lit(False).alias("copy")).union(
-        copies.select("_row", F.array().cast("array<int>"), F.lit(True)))
+        same.filter("copy").select("_row", F.array().cast("array<int>"), F.lit(True)))
     return keyed.join(marks, "_row", "left")
 
 
