@@ -73,16 +73,18 @@ def header_fields(text: Column) -> Column:
 def header_ts(h: Column, ref_ts: Column) -> Column:
     """Time of a header from its fields; null when it is no valid time.
 
-    Without a year it is the one of ``ref_ts``, or the year before when the
-    time would lie in the future (or be a 29 February that does not exist).
+    Without a year it is the one that puts the time at most a day after
+    ``ref_ts`` and less than a year before that: a sender's clock may be
+    ahead, also over New Year. A 29 February that does not exist is one of the year before.
     """
     def place(mon: Column, day: Column, hour: Column, minute: Column, sec: Column) -> Column:
         return (((mon * 100 + day) * 100 + hour) * 100 + minute) * 100 + sec
 
-    now = place(*[f(ref_ts).cast("bigint") for f in (F.month, F.dayofmonth, F.hour, F.minute,
+    latest = ref_ts + F.expr("INTERVAL '1' DAY")
+    now = place(*[f(latest).cast("bigint") for f in (F.month, F.dayofmonth, F.hour, F.minute,
                                                      F.second)])
     then = place(h["mon"].cast("bigint"), h["day"], h["hour"], h["min"], h["sec"])
-    year = F.coalesce(h["year"], F.year(ref_ts) - (then > now).cast("int"))
+    year = F.coalesce(h["year"], F.year(latest) - (then > now).cast("int"))
 
     def build(y: Column) -> Column:
         return F.try_make_timestamp_ntz(y, h["mon"], h["day"], h["hour"], h["min"],

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 _LATIN = "ISO-8859-1"
 # Optional PRI, month, day and hour:minute:second, when a word follows.
 _DATED_HEAD = r"^(?:<[0-9]+>)?\s*\S{1,3}\s*[0-9]+\s*[0-9]+:\s*[0-9]+:\s*[0-9]+\s+(?=\S)"
-_WORD = r"^\s*\S{1,89}\s*"
+_WORD = r"^\s*\S+\s*"
 _BLANKS = " \t\n\r\f\x0b"
 
 # Bracket classes and what Java calls them.
@@ -67,7 +67,7 @@ def dated_head(line: Column) -> Column:
 
 
 def first_word(tail: Column) -> Column:
-    """The leading word (89 characters at most) with the blanks around it."""
+    """The leading word with the blanks around it."""
     return F.regexp_extract(tail, _WORD, 0)
 
 
@@ -86,7 +86,7 @@ def short_host(host: Column) -> Column:
 
 def program_of(msg: Column) -> Column:
     """Leading alphanumeric run of a message."""
-    return F.regexp_extract(msg, "^[0-9A-Za-z]{0,255}", 0)
+    return F.regexp_extract(msg, "^[0-9A-Za-z]*", 0)
 
 
 def sql_escape(msg: Column) -> Column:

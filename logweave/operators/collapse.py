@@ -320,11 +320,12 @@ def _emission_parts(lines: DataFrame, collapse: bool) -> tuple[DataFrame, DataFr
                      F.explode(folded).alias("_w"))
              .select("rule_id", "run", "fac", "sev", "host", "msg", "_w.*"))
 
-    order = Window.partitionBy("rule_id").orderBy("_sec", "seq")
+    # from the last piece to the first, so that the frame only grows
+    order = Window.partitionBy("rule_id").orderBy(F.desc("_sec"), F.desc("seq"))
     pieces = _number_edges(runs.filter("is_first OR is_last"), collapse)
     starts = F.when(F.col("_brk"), F.col("_sec"))
     # a last run ends where the next piece starts, unless that one continues it
-    after = F.first(starts, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    after = F.last(starts, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     outer = (pieces.withColumn("_after", after)
              .select("rule_id", F.col("_gid").cast("bigint").alias("gid"), "_sec", "seq",
                      "fac", "sev", "host", "msg", F.col("times.sec").alias("secs"),

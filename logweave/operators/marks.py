@@ -20,17 +20,18 @@ def marks(written: DataFrame, compiled: DataFrame, start: str, end: str,
     is reduced to the distinct (rule, tick) pairs it suppresses before any
     shuffle, then anti-joined on that pair.
     """
-    half = interval // 2
     first, final = (epoch_seconds(F.lit(x).cast("timestamp_ntz")) for x in (start, end))
     ticks = (mark_rules(compiled).select("rule_id", *[c for c in ("dest", "sink")
                                                       if c in compiled.columns])
              .withColumn("tick", F.explode(F.sequence(
                  F.lit(0).cast("bigint"), F.floor((final - first) / interval))))
              .withColumn("_at", first + F.col("tick") * interval))
-    # the slot (t - half, t] before tick t is an even one on the half-interval grid
-    slot = F.ceil((epoch_seconds(F.col(at)) - first) / half)
-    busy = (written.select("rule_id", slot.alias("_slot")).filter(F.col("_slot") % 2 == 0)
-            .select("rule_id", (F.col("_slot") / 2).cast("bigint").alias("tick")).distinct())
+    # a record keeps the next tick silent if it is less than half an interval before it
+    since = epoch_seconds(F.col(at)) - first
+    tick = F.ceil(since / interval)
+    busy = (written.select("rule_id", tick.cast("bigint").alias("tick"), since.alias("_since"))
+            .filter(2 * (F.col("tick") * interval - F.col("_since")) < interval)
+            .select("rule_id", "tick").distinct())
     info = 6
     return (ticks.join(busy, ["rule_id", "tick"], "left_anti")
             .select("rule_id", *[c for c in ("dest", "sink") if c in ticks.columns],

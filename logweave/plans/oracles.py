@@ -98,7 +98,7 @@ SELECT event_id AS seq, {stamp('ts')} AS ts, CAST(pri // 8 AS INTEGER) AS fac,
 SQL["header_times"] = f"""WITH o AS (SELECT o_orderkey AS k, o_orderdate AS d, o_orderpriority AS p,
   o_orderkey % 4 AS kind FROM orders),
 dated AS (SELECT *, CASE WHEN kind = 1 THEN year(d) WHEN kind = 3 THEN NULL
-    WHEN month(d) < 6 THEN 2024 ELSE 2023 END AS y,
+    WHEN month(d) < 6 OR month(d) = 6 AND day(d) = 1 THEN 2024 ELSE 2023 END AS y,
   strftime(d, '%b') || ' ' || lpad(CAST(day(d) AS VARCHAR), 2, ' ') AS md FROM o),
 placed AS (SELECT *, CASE WHEN kind = 3 THEN NULL WHEN month(d) = 2 AND day(d) = 29 AND kind <> 1
     THEN TIMESTAMP '2024-02-29 10:20:30'
@@ -140,16 +140,17 @@ SELECT o_orderkey AS seq, CASE WHEN o_orderstatus = 'F' THEN 'disk full on ' ||
   WHEN x2 IS NULL THEN 'oops at ' || x1 || ' from [<' || printf('%x', a2) || '>] end'
   ELSE 'oops at ' || x1 || ' from ' || x2 || ' end' END AS line FROM j"""
 
-SQL["file_input"] = f"""WITH d AS (SELECT *, split_part(text, chr(10), 1) AS first,
+SQL["file_input"] = f"""WITH d AS (SELECT *, unnest(string_split(text, chr(10))) AS first,
+  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS nr,
   CASE WHEN doc_id % 3 <> 0 OR doc_id % 1100 > 1023 THEN 2 ELSE doc_id % 1100 END AS p FROM documents)
-SELECT doc_id AS seq, '2024-03-01 00:00:00' AS ts, CAST(p AS INTEGER) AS pri, '{X.LOCAL_HOST}' AS host,
+SELECT doc_id * 1000000 + nr AS seq, '2024-03-01 00:00:00' AS ts, CAST(p AS INTEGER) AS pri, '{X.LOCAL_HOST}' AS host,
   regexp_extract(source || ':', '^[0-9A-Za-z]*') AS prog, source || ':' || first AS msg FROM d"""
 
 SQL["custom_time"] = f"""SELECT o_orderkey AS seq,
   CASE WHEN o_orderstatus = 'F' THEN '2024-03-01 00:00:00'
     WHEN month(o_orderdate) = 2 AND day(o_orderdate) = 29 THEN '2024-02-29 ' || strftime(o_orderdate, '%H:%M:%S')
-    WHEN month(o_orderdate) < 6 OR (month(o_orderdate) = 6 AND day(o_orderdate) = 1
-      AND strftime(o_orderdate, '%H:%M:%S') = '00:00:00') THEN '2024' || strftime(o_orderdate, '-%m-%d %H:%M:%S')
+    WHEN month(o_orderdate) < 6 OR (month(o_orderdate) = 6 AND (day(o_orderdate) = 1 OR day(o_orderdate) = 2
+      AND strftime(o_orderdate, '%H:%M:%S') = '00:00:00')) THEN '2024' || strftime(o_orderdate, '-%m-%d %H:%M:%S')
     ELSE '2023' || strftime(o_orderdate, '-%m-%d %H:%M:%S') END AS ts,
   2 AS pri, CASE WHEN o_orderstatus = 'F' THEN 'app:[not a time, no no no] ' ELSE 'app:[] ' END
     || o_orderpriority AS msg, o_orderstatus <> 'F' AS has_header_ts FROM orders"""
@@ -285,6 +286,11 @@ SQL["marks_due"] = f"""WITH {ROUTED}, ticks AS (SELECT m.rule_id, u.dest, t.tick
 SELECT rule_id, dest, strftime(tick, {T}) AS ts, 24 AS fac, 6 AS sev, '{X.LOCAL_HOST}' AS host, '-- MARK --' AS msg
 FROM ticks k WHERE NOT EXISTS (SELECT 1 FROM routed r WHERE r.rule_id = k.rule_id AND r.ts <= k.tick
   AND r.ts > k.tick - INTERVAL 10 MINUTE)"""
+SQL["marks_odd"] = f"""WITH {ROUTED}, ticks AS (SELECT m.rule_id, u.dest, t.tick FROM masks m JOIN rules u ON u.rule_id = m.rule_id,
+  range(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-31 00:00:01', INTERVAL 1201 SECOND) t(tick)
+  WHERE m.fac = 24 AND (m.mask & 64) <> 0)
+SELECT rule_id, dest, strftime(tick, {T}) AS ts FROM ticks k WHERE NOT EXISTS (SELECT 1 FROM routed r
+  WHERE r.rule_id = k.rule_id AND r.ts <= k.tick AND r.ts >= k.tick - INTERVAL 600 SECOND)"""
 SQL["diagnostics_records"] = f"""WITH {TENANTS}, {compile_sql('tenants')}, {RAW}
 SELECT CAST(rule_id AS BIGINT) AS seq, '2024-06-01 00:00:00' AS ts, 43 AS pri, '{X.LOCAL_HOST}' AS host,
   'syslogd' AS prog, 'syslogd: unknown name in selector "' || selector || '" of rule ' || rule_id AS msg
@@ -311,8 +317,8 @@ SELECT coalesce(f.facility, CAST(k.fac * 8 AS VARCHAR)) AS facility, s.priority,
 FROM k LEFT JOIN fac_names f ON f.fac = k.fac LEFT JOIN sev_names s ON s.sev = k.sev"""
 SQL["log_table_seq"] = f"""WITH {RECORDS} SELECT row_number() OVER (ORDER BY ts, seq) AS seq, strftime(ts, '%Y-%m-%d') AS date,
   strftime(ts, '%H:%M:%S') AS time, host, msg AS message FROM records"""
-SQL["sql_export"] = """SELECT 'INSERT INTO syslog (host, message) VALUES(''' || replace(replace(replace(replace(replace(url,
-  '\\', '\\\\'), '''', '\\'''), '"', '\\"'), chr(10), '\\' || chr(10)), chr(13), '\\' || chr(13)) || ''', ''' ||
+SQL["sql_export"] = """SELECT 'INSERT INTO syslog (host, message) VALUES(' || CASE WHEN page_id % 5 = 0 THEN 'NULL' ELSE '''' || replace(replace(replace(replace(replace(url,
+  '\\', '\\\\'), '''', '\\'''), '"', '\\"'), chr(10), '\\' || chr(10)), chr(13), '\\' || chr(13)) || '''' END || ', ''' ||
   replace(replace(replace(replace(replace(html, '\\', '\\\\'), '''', '\\'''), '"', '\\"'), chr(10), '\\' || chr(10)),
   chr(13), '\\' || chr(13)) || ''')' AS value FROM pages"""
 SQL["lookup"] = f"""WITH {RECORDS}, {FAC_NAMES}, {SEV_NAMES}

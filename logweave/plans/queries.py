@@ -95,13 +95,13 @@ def code_names(spark, sf):
 def escape_controls(spark, sf):
     """Letters turned into control characters, then escaped."""
     dirty = F.translate("text", "eaiou", "\x01\x1b\x7f\x85\t")
-    return src.spread(X.table(spark, sf, "documents")).select(
+    return X.table(spark, sf, "documents").select(
         "doc_id", text.escape_controls(dirty).alias("shown"))
 
 
 @query
 def mask_nonprint(spark, sf):
-    return src.spread(X.table(spark, sf, "documents")).select(
+    return X.table(spark, sf, "documents").select(
         "doc_id", text.mask_nonprint(F.col("text")).alias("masked"))
 
 
@@ -131,11 +131,11 @@ def translate_symbols(spark, sf):
 
 @query
 def file_input(spark, sf):
-    """File lines: default kern.crit, a leading PRI taken, name in front."""
+    """All lines of files: default kern.crit, a leading PRI taken, name in front."""
     raw = X.table(spark, sf, "documents").selectExpr(
-        "doc_id AS seq", "source", "TIMESTAMP_NTZ '2024-03-01 00:00:00' AS arrival_ts",
-        "CASE WHEN doc_id % 3 = 0 THEN concat('<', doc_id % 1100, '>') ELSE '' END "
-        "|| split_part(text, '\n', 1) AS line")
+        "doc_id", "source", "posexplode(split(text, '\n')) AS (at, line)").selectExpr(
+        "doc_id * 1000000 + at AS seq", "source", "TIMESTAMP_NTZ '2024-03-01 00:00:00' AS arrival_ts",
+        "CASE WHEN doc_id % 3 = 0 THEN concat('<', doc_id % 1100, '>') ELSE '' END || line AS line")
     return parse.parse_lines(src.file_lines(raw), default_host=X.LOCAL_HOST).select(
         "seq", _ts("ts"), "pri", "host", "prog", "msg")
 
@@ -361,6 +361,14 @@ def marks_due(spark, sf):
                                                        "host", "msg")
 
 
+@query
+def marks_odd(spark, sf):
+    """An interval of an odd number of seconds."""
+    written = routed(spark, sf).select("rule_id", F.col("ts").alias("at"))
+    return marks.marks(written, X.compiled(spark), "2024-01-01 00:00:00", "2024-01-31 00:00:00",
+                       interval=1201, local_host=X.LOCAL_HOST).select("rule_id", "dest", _ts("ts"))
+
+
 @query
 def diagnostics_records(spark, sf):
     """Rejected rules and skipped lines come back as records."""
@@ -422,7 +430,7 @@ def log_table_seq(spark, sf):
 @query
 def sql_export(spark, sf):
     rows = X.table(spark, sf, "pages").select(
-        F.col("url").alias("host"), F.col("html").alias("message"))
+        F.when(F.col("page_id") % 5 > 0, F.col("url")).alias("host"), F.col("html").alias("message"))
     return render.render_sql(rows, "syslog")
 
 

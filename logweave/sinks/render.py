@@ -67,8 +67,8 @@ def to_log_table_ts(routed: DataFrame) -> DataFrame:
 def render_sql(log_rows: DataFrame, table: str) -> DataFrame:
     """``value``: an INSERT statement per log-table row, for text exports."""
     cols = log_rows.columns
-    quoted = [F.concat(F.lit("'"), text.sql_escape(F.col(c).cast("string")), F.lit("'"))
-              for c in cols]
+    quoted = [F.coalesce(F.concat(F.lit("'"), text.sql_escape(F.col(c).cast("string")), F.lit("'")),
+                         F.lit("NULL")) for c in cols]
     head = f"INSERT INTO {table} ({', '.join(cols)}) VALUES("
     return log_rows.select(F.concat(F.lit(head), F.concat_ws(", ", *quoted),
                                     F.lit(")")).alias("value"))

@@ -7,6 +7,7 @@ text), ``trusted`` (own file or kernel: no escaping, kernel facility kept) and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -41,18 +42,6 @@ def read_log_files(spark: SparkSession, path, program: str | None = None, *,
     return file_lines(lines, time_format, start, time_length)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that has fewer splits than there are.
-
-    Text work is heavy per byte, and one small file is one split. Large inputs
-    have more splits than cores and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def with_seq(lines: DataFrame) -> DataFrame:
     """Number the rows of a batch in reading order, where there is no ``seq`` yet."""
     if "seq" in lines.columns:
@@ -75,7 +64,9 @@ def file_lines(lines: DataFrame, time_format: str | None = None, start: int = 0,
                             .otherwise(S.KERN_CRIT))
                 .withColumn("line", F.concat("source", F.lit(":"), codes.strip_pri(line)))
                 .withColumn("trusted", F.lit(True)).withColumn("stamped", F.lit(False)))
-    size = time_length or len(time_format.replace("'", ""))
+    if time_length is None and re.search(r"['zZVOXEaGQ\[]|M{3}", time_format):
+        raise ValueError("time_length is needed: texts of this format may differ in length from it")
+    size = time_length or len(time_format)
     found = F.try_to_timestamp(F.substring(line, start + 1, size),
                                F.lit(time_format)).cast("timestamp_ntz")
     rest = F.concat(F.substring(line, 1, start), F.substr(line, F.lit(start + size + 1)))
@@ -118,17 +109,17 @@ def from_stream(df: DataFrame, value: str = "value", peer: str | None = "peer",
                 source: str = "stream") -> DataFrame:
     """One datagram, one record: any frame with a value and, maybe, a peer.
 
-    Kafka's ``value``, ``timestamp``, ``partition`` and ``offset`` are taken as
-    they are; without an offset a batch numbers its rows itself.
+    Kafka's ``value`` and ``timestamp`` are taken as they are. An ``offset`` is
+    the ``seq`` where there are no partitions; offsets of several partitions or
+    topics repeat, so there a batch numbers its rows itself, as it does
+    without an offset: the reader keeps a partition's rows in order.
     """
     arrival = F.col("timestamp") if "timestamp" in df.columns else F.current_timestamp()
     given = F.col(peer) if peer and peer in df.columns else F.lit(None)
     cols = [F.lit(source).alias("source"), arrival.cast("timestamp_ntz").alias("arrival_ts"),
             given.cast("string").alias("peer"), F.col(value).cast("string").alias("line")]
-    if "offset" in df.columns:
-        seq = F.col("offset") * 4096 + F.col("partition") if "partition" in df.columns \
-            else F.col("offset")
-        cols.append(seq.cast("bigint").alias("seq"))
+    if "offset" in df.columns and "partition" not in df.columns:
+        cols.append(F.col("offset").cast("bigint").alias("seq"))
     made = df.select(*cols)
     return made if df.isStreaming else with_seq(made)
 
