@@ -125,20 +125,22 @@ def _protect_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if r.log_id != log:
                 raise ValueError(f"log {r.log_id!r} has no first key")
             data = bytes(r.data)
-            mac = line_digest(key, data)
+            inner = keyed_digest("sha1", key, data)
+            mac = keyed_digest("rmd160", inner, data)
             key = keyed_digest(method, key, data)
-            out.append((r.log_id, r.line_no, mac, key))
-        yield pd.DataFrame(out, columns=["log_id", "line_no", "mac", "key"])
+            out.append((r.log_id, r.line_no, mac, key, inner))
+        yield pd.DataFrame(out, columns=["log_id", "line_no", "mac", "key", "inner"])
 
 
 def protect(lines: DataFrame, keys: DataFrame) -> DataFrame:
-    """``(log_id, line_no, mac, key)``: digest and running key after each line.
+    """``(log_id, line_no, mac, key, inner)``: digest and running key after each line.
 
     ``lines`` is ``(log_id, line_no, line)``, ``keys`` as from
     :func:`init_keys`. Store ``mac``; of ``key`` keep :func:`last_keys` only.
+    ``inner`` is the keyed sha1 that ``mac`` is made from; it is not stored.
     """
     return _events(lines, keys).drop("last_key").mapInPandas(
-        _protect_batches, "log_id string, line_no bigint, mac binary, key binary")
+        _protect_batches, "log_id string, line_no bigint, mac binary, key binary, inner binary")
 
 
 def last_keys(protected: DataFrame, keys: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ order ``(second, seq)`` and bounded in size; windows run inside chunks, and
 only a row or two per chunk are looked at across chunks.
 
 A chunk is a day of a group. A day with more than ``hot_rows`` rows is cut into
-hours, such an hour into seconds, and a second into blocks of ``block``
-sequence numbers.
+hours, such an hour into seconds, and such a second at quantiles of its
+sequence numbers, into parts of about ``block`` rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.clock import epoch_seconds
-from logweave.operators.joins import fits_broadcast
+from logweave.operators.joins import lookup_join
 from logweave.session import freeze
 
 HOT_ROWS = 1_000_000
@@ -57,17 +57,41 @@ def add_chunks(df: DataFrame, keys: Sequence[str], ts: str = "ts", seq: str = "s
     if hot.isEmpty():
         by_hour: Column = F.lit(False)
         by_second: Column = F.lit(False)
-    elif fits_broadcast(hot):
-        timed = timed.join(F.broadcast(hot), [*keys, "_h"], "left")
+        block_of: Column = whole
+    else:
+        timed = lookup_join(timed, hot, [*keys, "_h"], "left", spread=[seq])
         by_hour = F.col("_hot").isNotNull()
         by_second = F.coalesce("_hot", F.lit(False))
-    else:
-        by_hour = by_second = F.lit(True)
-    return (timed.withColumn("_day", F.floor(F.col("_h") / 24))
+        cuts = freeze(_cut_seconds(timed.filter("_hot"), keys, seq, hot_rows, block))
+        block_of = whole
+        if not cuts.isEmpty():
+            timed = lookup_join(timed, cuts, [*keys, "_sec"], "left", spread=[seq])
+            block_of = F.when(F.col("_cuts").isNotNull() & by_second, F.size(F.filter(
+                "_cuts", lambda c: c <= F.col(seq))).cast("bigint")).otherwise(whole)
+    return (timed.withColumn("_block", block_of)
+            .withColumn("_day", F.floor(F.col("_h") / 24))
             .withColumn("_hour", F.when(by_hour, F.col("_h")).otherwise(whole))
             .withColumn("_slot", F.when(by_second, F.col("_sec")).otherwise(whole))
-            .withColumn("_block", F.when(by_second, F.floor(F.col(seq) / block)).otherwise(whole))
-            .drop("_hot", "_h"))
+            .drop("_hot", "_h", "_cuts"))
+
+
+def _cut_seconds(rows: DataFrame, keys: Sequence[str], seq: str, hot_rows: int, block: int) -> DataFrame:
+    """Seconds with more than ``hot_rows`` rows, and the numbers that cut them into parts of about ``block``.
+
+    The cuts are quantiles of the numbers that occur, so parts are filled
+    whatever gaps the numbers have.
+    """
+    counted = rows.groupBy(*keys, "_sec").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    large = freeze(counted)
+    if large.isEmpty():
+        return large.select(*keys, "_sec", F.array().cast("array<bigint>").alias("_cuts"))
+    inside = lookup_join(rows, large.select(*keys, "_sec"), [*keys, "_sec"], "inner", spread=[seq])
+    share = [i / 100 for i in range(1, 100)]
+    spots = inside.groupBy(*keys, "_sec").agg(F.percentile_approx(seq, share, 10_000).alias("_p"))
+    parts = F.least(F.ceil(F.col("_n") / block), F.lit(100))
+    places = F.sequence(F.lit(1), F.greatest(parts - 1, F.lit(1)).cast("int"))
+    picked = F.transform(places, lambda i: F.get("_p", F.floor(i * 100 / parts).cast("int") - 1).cast("bigint"))
+    return spots.join(large, [*keys, "_sec"]).select(*keys, "_sec", F.array_distinct(picked).alias("_cuts"))
 
 
 def in_chunk(keys: Sequence[str], seq: str = "seq"):

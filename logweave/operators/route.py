@@ -58,21 +58,24 @@ def route(records: DataFrame, compiled: DataFrame, max_rows: int = BROADCAST_ROW
     The rules, turned around into lists per (facility, severity) and per
     (facility, severity, program), are broadcast when measured to be small: no
     record is compared with a rule it cannot match and records are not
-    shuffled. A larger rule set is joined by a shuffle on (facility, severity)
-    and a salt, since 192 keys alone would not spread the records.
+    shuffled. A larger rule set is joined by a shuffle on (facility, severity,
+    program or none) and a salt, since a few of these keys may hold most records.
     """
     index = freeze(rule_index(compiled))
     if fits_broadcast(index, max_rows, max_bytes):
         found, cols = _matched(records, index)
         return (found.withColumn("_hit", F.explode("_hits"))
                 .select(*records.columns, *[F.col(f"_hit.{c}").alias(c) for c in cols]))
-    left = records.withColumn("_salt", F.pmod(F.xxhash64(*_spread(records)), F.lit(salts)).cast("int"))
+    # a rule with a program and one without have different keys, so a record asks for both
+    own = F.concat(F.lit("="), F.col("prog"))
+    left = (records.withColumn("_salt", F.pmod(F.xxhash64(*_spread(records)), F.lit(salts)).cast("int"))
+            .withColumn("_key", F.explode(F.array_compact(F.array(F.lit(""), own)))))
     right = (index.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-             .withColumnsRenamed({"fac": "_fac", "sev": "_sev"}))
+             .withColumn("_rkey", F.coalesce(F.concat(F.lit("="), "program"), F.lit("")))
+             .withColumnsRenamed({"fac": "_fac", "sev": "_sev"}).drop("program"))
     on = ((left["fac"] == right["_fac"]) & (left["sev"] == right["_sev"])
-          & (left["_salt"] == right["_rsalt"])
-          & (right["program"].isNull() | (right["program"] == left["prog"])))
-    return left.join(right, on, "inner").drop("_salt", "_rsalt", "_fac", "_sev", "program")
+          & (left["_key"] == right["_rkey"]) & (left["_salt"] == right["_rsalt"]))
+    return left.join(right, on, "inner").drop("_salt", "_rsalt", "_key", "_rkey", "_fac", "_sev")
 
 
 def unrouted(records: DataFrame, compiled: DataFrame, max_rows: int = BROADCAST_ROWS,

@@ -122,6 +122,19 @@ def tenant_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(NULL AS string) AS program", "c_mktsegment AS dest", "'file' AS sink")
 
 
+def program_rule(string: str) -> str:
+    """*both*: selector and program of a supplier's rule."""
+    return (f"'local' || CAST(s_suppkey % 8 AS {string}) || '.' || CASE s_suppkey % 3 WHEN 0 THEN 'info' "
+            "WHEN 1 THEN '=err' ELSE '!warning' END || CASE WHEN s_suppkey % 4 = 0 THEN ';cron.*' ELSE '' END AS selector, "
+            "CASE s_suppkey % 6 WHEN 1 THEN 'error' WHEN 3 THEN 'click' WHEN 5 THEN 'purchase' END AS program")
+
+
+def program_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "CAST(s_suppkey AS string) AS rule_id", f"{program_rule('string')}".split(" AS selector, ")[0] + " AS selector",
+        program_rule("string").split(" AS selector, ")[1], "'all' AS dest", "'file' AS sink")
+
+
 def config_text(string: str) -> str:
     """*both*: a line of a customer's rule text per order."""
     return ("CASE WHEN o_orderkey % 5 = 0 THEN '!' || lower(substr(o_orderpriority, 3, 4)) "

@@ -216,6 +216,12 @@ SQL["route_tenants"] = f"""WITH {RECORDS}, {TENANTS}, {compile_sql('tenants')},
 kinds AS (SELECT fac, sev, count(*) AS c FROM records GROUP BY 1, 2)
 SELECT m.rule_id, CAST(sum(c) AS BIGINT) AS n FROM kinds k JOIN masks m ON m.fac = k.fac AND m.mask <> 16
   AND (m.mask & (1 << k.sev)) <> 0 GROUP BY 1"""
+SQL["route_programs"] = f"""WITH {RECORDS}, owners AS (SELECT CAST(s_suppkey AS VARCHAR) AS rule_id,
+  {X.program_rule('VARCHAR')} FROM supplier), {compile_sql('owners')}
+SELECT o.rule_id, count(*) AS n, CAST(sum(r.seq) AS BIGINT) AS seq_sum FROM records r
+JOIN masks m ON m.fac = r.fac AND m.mask <> 16 AND (m.mask & (1 << r.sev)) <> 0
+JOIN owners o ON o.rule_id = m.rule_id AND (o.program IS NULL OR o.program = r.prog) GROUP BY 1"""
+SQL["route_programs_shuffled"] = SQL["route_programs"]
 SQL["default_rules"] = f"""WITH {RECORDS} SELECT rule_id, dest, count(*) AS n FROM records
 JOIN (VALUES ('default-1', 'console', 3), ('default-2', '*', 0)) d(rule_id, dest, worst) ON sev <= worst
 GROUP BY 1, 2"""
@@ -367,3 +373,28 @@ chain AS (SELECT DISTINCT conv_id, CAST(-1 AS BIGINT) AS turn, CASE conv_id % 2
         CASE WHEN n = 0 THEN 0 ELSE ('0x' || substr(h, 2 * (i % n) + 1, 2))::INT END))), '') AS x
     FROM chain c JOIN lines l ON l.conv_id = c.conv_id AND l.turn = c.turn + 1))
 SELECT CAST(conv_id AS VARCHAR) AS log_id, turn AS line_no, k AS key FROM chain WHERE turn >= 0"""
+
+# the keyed XOR of the chain once more, with the key before each line
+SQL["protect"] = SQL["protect_chain"].rsplit("SELECT CAST(conv_id", 1)[0] + """,
+inner_x AS (SELECT c.conv_id, l.turn, array_to_string(list_transform(
+      range(0, CASE WHEN n = 0 THEN strlen(k) // 2 WHEN n > strlen(k) // 2
+        THEN (n + strlen(k) // 2 - 1) // (strlen(k) // 2) * (strlen(k) // 2)
+        ELSE (strlen(k) // 2 + n - 1) // n * n END),
+      lambda i: printf('%02x', xor(('0x' || substr(k, 2 * (i % (strlen(k) // 2)) + 1, 2))::INT,
+        CASE WHEN n = 0 THEN 0 ELSE ('0x' || substr(h, 2 * (i % n) + 1, 2))::INT END))), '') AS x
+  FROM chain c JOIN lines l ON l.conv_id = c.conv_id AND l.turn = c.turn + 1)
+SELECT CAST(c.conv_id AS VARCHAR) AS log_id, c.turn AS line_no, sha1(unhex(x)) AS "inner", 20 AS mac_bytes, k AS key
+FROM chain c JOIN inner_x i ON i.conv_id = c.conv_id AND i.turn = c.turn"""
+
+SQL["protect_segments"] = f"""WITH RECURSIVE {RECORDS},
+lines AS (SELECT seq // 500 AS part, row_number() OVER (PARTITION BY seq // 500 ORDER BY seq) - 1 AS turn,
+  hex(t) AS h, strlen(t) AS n FROM (SELECT seq, {HEADER.format('ts')} || ' ' || host || ' ' || msg AS t FROM records)),
+chain AS (SELECT DISTINCT part, CAST(-1 AS BIGINT) AS turn, sha1('seed-hot|' || part) AS k FROM lines
+  UNION ALL SELECT part, turn, sha1(unhex(x)) FROM (SELECT c.part, l.turn, array_to_string(list_transform(
+      range(0, CASE WHEN n = 0 THEN strlen(k) // 2 WHEN n > strlen(k) // 2
+        THEN (n + strlen(k) // 2 - 1) // (strlen(k) // 2) * (strlen(k) // 2)
+        ELSE (strlen(k) // 2 + n - 1) // n * n END),
+      lambda i: printf('%02x', xor(('0x' || substr(k, 2 * (i % (strlen(k) // 2)) + 1, 2))::INT,
+        CASE WHEN n = 0 THEN 0 ELSE ('0x' || substr(h, 2 * (i % n) + 1, 2))::INT END))), '') AS x
+    FROM chain c JOIN lines l ON l.part = c.part AND l.turn = c.turn + 1))
+SELECT 'hot|' || part AS log_id, max_by(k, turn) AS last_key FROM chain GROUP BY part"""

@@ -249,6 +249,25 @@ def route_tenants(spark, sf):
             .agg(F.sum("c").cast("bigint").alias("n")))
 
 
+def _program_rules(spark, sf):
+    """A rule per supplier; every other one for one program only."""
+    return rules.compile_masks(X.program_rules(spark, sf))
+
+
+@query
+def route_programs(spark, sf):
+    """Every record against rules with and without a program."""
+    return (route.route(X.records(spark, sf), _program_rules(spark, sf)).groupBy("rule_id")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum")))
+
+
+@query
+def route_programs_shuffled(spark, sf):
+    """The same as for a rule set beyond the bound of a broadcast."""
+    return (route.route(X.records(spark, sf), _program_rules(spark, sf), max_rows=0).groupBy("rule_id")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum")))
+
+
 @query
 def default_rules(spark, sf):
     compiled = rules.compile_masks(rules.default_rules(spark))
@@ -493,10 +512,25 @@ def notify_fanout(spark, sf):
 
 @query
 def protect(spark, sf):
-    keys = integrity.init_keys(X.seeds(spark, sf))
-    return integrity.protect(X.conversations(spark, sf), keys).select(
-        "log_id", "line_no", text.to_hex(F.col("mac")).alias("mac"),
-        text.to_hex(F.col("key")).alias("key"))
+    """Running keys and the inner digests; the outer ones have no counterpart in SQL."""
+    seeds = X.seeds(spark, sf).withColumn("method", F.when(
+        F.col("log_id").cast("bigint") % 2 == 0, "sha1").otherwise("md5"))
+    return integrity.protect(X.conversations(spark, sf), integrity.init_keys(seeds)).select(
+        "log_id", "line_no", text.to_hex(F.col("inner")).alias("inner"),
+        F.length("mac").alias("mac_bytes"), text.to_hex(F.col("key")).alias("key"))
+
+
+@query
+def protect_segments(spark, sf):
+    """One hot log of rendered lines, cut into chains of 500 lines."""
+    lines = integrity.chain_lines(X.records(spark, sf)).select(
+        F.lit("hot").alias("log_id"), F.col("seq").alias("line_no"), "line")
+    cut = integrity.segments(lines, 500)
+    seeds = cut.select("log_id").distinct().select(
+        "log_id", F.lit("sha1").alias("method"), F.concat(F.lit("seed-"), "log_id").cast("binary").alias("seed"))
+    keys = integrity.init_keys(seeds)
+    made = integrity.protect(cut, keys)
+    return integrity.last_keys(made, keys).select("log_id", text.to_hex(F.col("last_key")).alias("last_key"))
 
 
 def _tampered(spark, sf):

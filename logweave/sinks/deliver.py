@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from logweave.sinks import render
 Sink = Callable[[DataFrame, int], None]
 _SINKS: dict[str, Sink] = {}
 _FILTERS: dict[str, Callable] = {}
+#: Name under which dead letters without a registered sink are kept.
+NO_SINK = "no_sink"
 
 
 def register_sink(name: str, fn: Sink) -> None:
@@ -19,6 +23,10 @@ def register_sink(name: str, fn: Sink) -> None:
     _SINKS[name] = fn
 
 
+def registered() -> list[str]:
+    return list(_SINKS)
+
+
 def register_filter(name: str, fn: Callable) -> None:
     """``fn(column) -> condition`` on the message, by name."""
     _FILTERS[name] = fn
@@ -67,19 +75,37 @@ def deliver(routed: DataFrame, batch_id: int, dead_letter: str | None = None) ->
     """Hand each registered sink its records; one failing sink does not stop others.
 
     What a sink did not take goes to the ``dead_letter`` table, marked with the
-    sink and batch. Returns the errors by sink.
+    sink and batch, and so do records whose sink is null or not registered
+    (under ``NO_SINK``). Without such a table either is an error. Returns the
+    errors by sink. The records are computed once for all sinks.
     """
     errors: dict[str, str] = {}
-    for name, fn in _SINKS.items():
-        mine = routed.filter(F.col("sink") == name)
-        try:
-            fn(mine, batch_id)
-        except Exception as e:  # noqa: BLE001 - any sink error must stay local
-            errors[name] = str(e)
+    known = F.coalesce(F.col("sink").isin(list(_SINKS)), F.lit(False)) if _SINKS else F.lit(False)
+    routed = routed.persist(StorageLevel.DISK_ONLY)
+
+    def bury(mine: DataFrame, name: str) -> None:
+        (mine.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+         .write.mode("overwrite").parquet(f"{dead_letter}/sink_name={name}/batch={batch_id}"))
+
+    try:
+        for name, fn in _SINKS.items():
+            mine = routed.filter(F.col("sink") == name)
+            try:
+                fn(mine, batch_id)
+            except Exception as e:  # noqa: BLE001 - any sink error must stay local
+                errors[name] = str(e)
+                if dead_letter is None:
+                    raise
+                bury(mine, name)
+        rest = routed.filter(~known)
+        names = [r[0] for r in rest.select("sink").distinct().limit(20).collect()]
+        if names:
+            errors[NO_SINK] = f"no sink is registered as {', '.join(sorted(map(str, names)))}"
             if dead_letter is None:
-                raise
-            (mine.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-             .write.mode("overwrite").parquet(f"{dead_letter}/sink_name={name}/batch={batch_id}"))
+                raise ValueError(errors[NO_SINK])
+            bury(rest, NO_SINK)
+    finally:
+        routed.unpersist()
     return errors
 
 
@@ -87,10 +113,31 @@ def undelivered(spark, dead_letter: str) -> DataFrame:
     return spark.read.parquet(dead_letter).drop("sink_name", "batch")
 
 
-def replay(dead_letter: DataFrame, name: str) -> int:
-    """Deliver the lost records of a sink again; returns how many there were."""
+def replay(dead_letter: DataFrame, name: str, ledger: str | None = None) -> int:
+    """Deliver the lost records of a sink again; returns how many there were.
+
+    ``ledger`` is a folder in which delivered (sink, batch) pairs are kept:
+    records of those are left out, so a second call delivers nothing twice.
+    """
     mine = dead_letter.filter(F.col("sink") == name)
-    n = mine.count()
-    if n:
-        _SINKS[name](mine, -1)
+    if ledger is not None and "batch_id" in mine.columns:
+        done = _ledger(mine.sparkSession, ledger).filter(F.col("sink") == name).select("batch_id")
+        mine = mine.join(F.broadcast(done), "batch_id", "left_anti")
+    mine = mine.persist(StorageLevel.DISK_ONLY)
+    try:
+        n = mine.count()
+        if n:
+            _SINKS[name](mine, -1)
+            if ledger is not None:
+                mine.select("sink", "batch_id").distinct().write.mode("append").parquet(ledger)
+    finally:
+        mine.unpersist()
     return n
+
+
+def _ledger(spark, path: str) -> DataFrame:
+    schema = "sink string, batch_id bigint"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # nothing was replayed yet
+        return spark.createDataFrame([], schema)

@@ -102,7 +102,9 @@ class LogStream:
                 [(clock, version, seen["late"] or 0)], _CLOCK), batch_id)
             if self.on_written:
                 self.on_written(out, batch_id)
-            deliver.deliver(out, batch_id, self.dead_letter)
+            # ``on_written`` alone may take the records; sinks, once there are any, must take all
+            if deliver.registered() or self.dead_letter or not self.on_written:
+                deliver.deliver(out, batch_id, self.dead_letter)
         finally:
             written.unpersist()
 

@@ -156,3 +156,26 @@ def test_marks_only_when_idle(spark):
                       "1970-01-01 01:00:00")
     # 1200: last write 599 s before, 2400: written now, 3600: 1200 s before
     assert rows(got.select("rule_id", epoch_seconds(F.col("ts")))) == [("a", 0), ("a", 3600)]
+
+
+def test_interleaved_sources_leave_few_edges(spark):
+    """500 files with a line per second each: numbers far apart, chunks filled all the same."""
+    lines = spark.range(120_000).selectExpr(
+        "'r' AS rule_id", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, id div 500) AS ts",
+        "(id % 500) * 8589934592 + id div 500 AS seq", "'h' AS host", "concat('m', id % 7) AS msg")
+    for hot, most in ((1000, 0.01), (100, 0.05)):
+        runs = collapse._local_runs(collapse._lines(lines, hot, hot, True))
+        edges = runs.filter("is_first OR is_last").count()
+        assert edges <= most * 120_000
+    assert collapse.collapse_runs(lines, hot_rows=100, block=100).agg({"n": "sum"}).first()[0] == 120_000
+
+
+def test_many_edges_of_one_rule_end_soon(spark):
+    import time
+
+    lines = spark.range(80_000).selectExpr(
+        "'r' AS rule_id", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts", "id AS seq",
+        "'h' AS host", "concat('m', id div 3) AS msg")
+    start = time.time()
+    assert collapse.collapse_emit(lines, hot_rows=2, block=2).count() >= 80_000 / 3
+    assert time.time() - start < 60

@@ -105,3 +105,19 @@ def test_mask_is_per_byte(spark):
 def test_program(spark):
     assert parse(spark, "<13>su2[1]: x").prog == "su2"
     assert parse(spark, "<13> x").prog == ""
+
+
+def test_clocks_ahead_stay_in_their_year(spark):
+    rows_in = [(0, "2024-06-01 00:00:00", "Jun  1 00:00:01 x"), (1, "2024-06-01 00:00:00", "Jun  2 00:00:01 x"),
+               (2, "2023-12-31 23:59:59", "Jan  1 00:00:01 x"), (3, "2024-01-01 00:00:00", "Dec 31 23:59:59 x")]
+    df = spark.createDataFrame(rows_in, "seq long, arrival_ts string, line string") \
+        .withColumn("arrival_ts", F.col("arrival_ts").cast("timestamp_ntz"))
+    got = {r.seq: str(r.ts) for r in parse_lines(df, default_host="l").collect()}
+    assert got == {0: "2024-06-01 00:00:01", 1: "2023-06-02 00:00:01", 2: "2024-01-01 00:00:01",
+                   3: "2023-12-31 23:59:59"}
+
+
+def test_long_hosts_and_programs_are_whole(spark):
+    df = spark.createDataFrame([(0, "h" * 300 + " " + "p" * 400 + ": x")], "seq long, line string")
+    got = parse_lines(df, default_host="l", trust_msg_host=True).first()
+    assert got.host == "h" * 300 and got.prog == "p" * 400

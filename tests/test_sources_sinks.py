@@ -258,3 +258,47 @@ def test_reload_marks_and_late_lines(spark, tmp_path):
     table.append(("b", "kern.*"))
     stream.process(batch("01:01:20"), 3)  # rules changed: the run is closed, a new one starts
     assert seen[3] == [("01:01:10", "same", 1), ("01:01:20", "same", 0)]
+
+
+def test_records_without_a_registered_sink_are_kept(spark, tmp_path):
+    df = spark.createDataFrame([("good", "a"), ("nobody", "b"), (None, "c")], "sink string, msg string")
+    got = []
+    deliver.register_sink("good", lambda frame, _: got.extend(r.msg for r in frame.collect()))
+    letters = str(tmp_path / "letters")
+    try:
+        assert list(deliver.deliver(df, 1, letters)) == [deliver.NO_SINK] and got == ["a"]
+        assert rows(deliver.undelivered(spark, letters).select("msg")) == [("b",), ("c",)]
+        with pytest.raises(ValueError):
+            deliver.deliver(df, 2)
+        deliver.register_sink("nobody", lambda frame, _: got.extend(r.msg for r in frame.collect()))
+        ledger = str(tmp_path / "ledger")
+        assert deliver.replay(deliver.undelivered(spark, letters), "nobody", ledger) == 1
+        assert deliver.replay(deliver.undelivered(spark, letters), "nobody", ledger) == 0
+        assert got == ["a", "a", "b"]
+    finally:
+        deliver._SINKS.clear()
+
+
+def test_sql_keeps_nulls(spark):
+    df = spark.createDataFrame([(None, "x")], "host string, message string")
+    assert rows(render.render_sql(df, "t")) == [("INSERT INTO t (host, message) VALUES(NULL, 'x')",)]
+
+
+def test_symbols_of_lines_without_a_key(spark):
+    df = spark.createDataFrame([(None, "a [<1>]"), (None, "a [<1>]"), (3, "b [<2>]"), (3, "c [<1>]")],
+                               "seq long, line string")
+    table = spark.createDataFrame([("1", "m", "f")], "addr string, module string, name string")
+    assert rows(symbols.translate_symbols(df, table)) == sorted(
+        [(None, "a  [<1> m.f ]"), (None, "a  [<1> m.f ]"), (3, "b [<2>]"), (3, "c  [<1> m.f ]")], key=repr)
+
+
+def test_kafka_rows_of_several_partitions_have_numbers_of_their_own(spark):
+    df = spark.range(6).selectExpr("current_timestamp() AS timestamp", "id div 3 * 5000 AS partition",
+                                   "id % 3 AS offset", "'x' AS value")
+    assert len({r.seq for r in src.from_stream(df).collect()}) == 6
+
+
+def test_time_length_is_asked_for(spark):
+    df = spark.createDataFrame([("s", "x")], "source string, line string")
+    with pytest.raises(ValueError):
+        src.file_lines(df, "MMM d HH:mm")
