@@ -7,6 +7,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from logweave.llm.common import stable, text_slices, with_row_key, worker_cache,
 #: Words that the network tells apart, words whose counts travel to the tasks, and words of a class at most.
 NETWORK_WORDS = 4096
 COUNTED_WORDS = 131_072
-CLASS_WORDS = 64
+CLASS_WORDS = 512
 #: Words whose neighbourhood tells classes apart, and groups of words with like neighbourhoods.
 ANCHORS = 48
 GROUPS = 16
@@ -33,6 +34,7 @@ WORKERS = 64
 ROUNDS = 2
 _TAILS = 16
 _LOG10 = math.log(10)
+_LETTER = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -40,13 +42,21 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def tail_class(word: bytes) -> int:
-    """Which of the classes of rarer words a word is in: by its first non-ASCII sign and its ending."""
-    ends = not (word[-1:].isalnum() or word[-1] > 127)
-    if word.isascii():
-        return int(ends)
-    second = next(word[i + 1] for i in range(len(word) - 1) if word[i] > 127) if len(word) > 1 else 0
-    return 2 * (1 + second % (_TAILS // 2 - 1)) + ends
+def tail_classes(words: list[bytes]) -> np.ndarray:
+    """Which of the classes of rarer words each word is in: by its first non-ASCII sign and its ending."""
+    if not words:
+        return np.zeros(0, np.int32)
+    data = np.frombuffer(b"".join(words) + b" ", np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    last = data[ends - 1]
+    sign = ~(_LETTER[last])
+    high = np.flatnonzero(data > 127)
+    first = np.searchsorted(high, np.concatenate([[0], ends[:-1]]))
+    place = np.concatenate([high, [len(data)]])[first]
+    own = place < ends
+    # the byte behind a lead byte tells letters of one alphabet apart
+    second = data[np.minimum(place + 1, len(data) - 1)].astype(np.int32)
+    return np.where(own, 2 * (1 + second % (_TAILS // 2 - 1)), 0).astype(np.int32) + sign
 
 
 @dataclass
@@ -74,8 +84,7 @@ class Counts:
         if kept.get("lm_token") != self.token:
             kept["lm_token"] = self.token
             kept["lm_ids"] = {w: i for i, w in enumerate(self.words)}
-            kept["lm_tails"] = np.array([tail_class(w) for w in self.words], np.int32) \
-                if self.words else np.zeros(0, np.int32)
+            kept["lm_tails"] = tail_classes(self.words)
         return kept["lm_ids"]
 
     def tails(self) -> np.ndarray:
@@ -122,18 +131,19 @@ def frequent(counts: DataFrame, ends: int, most: int = COUNTED_WORDS) -> Counts:
                   distinct + (ends > 0), ends)
 
 
-def _number(part: pa.RecordBatch, known: Counts) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+def _number(part: pa.RecordBatch, known: Counts, tails: bool = True) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
     """Word numbers of all texts in a line (-1 - tail class for words without one), text lengths, unnumbered words."""
     get, lengths, numbers, rare = known.ids().get, [], [], []
     for t in part.column("text").to_pylist():
         words = tokens_of(t)
-        own = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-        missing = np.flatnonzero(own < 0)
-        rare.append([words[i] for i in missing.tolist()])
-        own[missing] = [-1 - tail_class(w) for w in rare[-1]]
+        own = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
+        rare.append([words[i] for i in np.flatnonzero(own < 0).tolist()])
         lengths.append(len(words))
         numbers.append(own)
-    return (np.concatenate(numbers) if numbers else np.zeros(0, np.int32)), np.array(lengths, np.int64), rare
+    out = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
+    if tails:
+        out[out < 0] = -1 - tail_classes([w for r in rare for w in r])
+    return out, np.array(lengths, np.int64), rare
 
 
 def neighbourhoods(docs: DataFrame, known: Counts, text: str = "text") -> np.ndarray:
@@ -143,7 +153,7 @@ def neighbourhoods(docs: DataFrame, known: Counts, text: str = "text") -> np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(n * anchors, np.int64)
         for part in text_slices(batches, "text"):
-            own, _, _ = _number(part, known)
+            own, _, _ = _number(part, known, tails=False)
             a, b = own[:-1], own[1:]
             both = (a >= 0) & (a < anchors) & (b >= 0) & (b < n)
             cells += np.bincount(b[both].astype(np.int64) * anchors + a[both], minlength=n * anchors)
@@ -284,10 +294,13 @@ def _step(net: Network, x: np.ndarray, h: np.ndarray) -> tuple:
     return z, r, c, u[:, 2 * size:], c + z * (h - c)
 
 
-def _log_classes(net: Network, h: np.ndarray) -> np.ndarray:
-    x = h @ net.out + net.bias
-    x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _class_scores(net: Network, h: np.ndarray) -> np.ndarray:
+    """Scores of the classes, moved so that none is too large for an exponential."""
+    x = h @ net.out
+    x += net.bias
+    if x.size and x.max() > 60:
+        x -= x.max(1, keepdims=True)
+    return x
 
 
 def log_probability(net: Network, lanes: Lanes, texts: int) -> np.ndarray:
@@ -298,7 +311,9 @@ def log_probability(net: Network, lanes: Lanes, texts: int) -> np.ndarray:
 
     def flush() -> None:
         at = np.concatenate(places)
-        p = _log_classes(net, np.concatenate(states))[np.arange(len(at)), lanes.classes[at]]
+        x = _class_scores(net, np.concatenate(states))
+        p = x[np.arange(len(at)), lanes.classes[at]]
+        p = p - np.log(np.exp(x, out=x).sum(1))
         np.add(out, np.bincount(lanes.text[at], p, texts), out=out)
         states.clear()
         places.clear()
@@ -306,7 +321,10 @@ def log_probability(net: Network, lanes: Lanes, texts: int) -> np.ndarray:
     held = 0
     for t in range(lanes.steps):
         at = lanes.at(t)
-        h = np.where(lanes.start[at, None], np.float32(0), h[:len(at)])
+        h = h[:len(at)]
+        new = lanes.start[at]
+        if new.any():
+            h = np.where(new[:, None], np.float32(0), h)
         states.append(h)
         places.append(at)
         held += len(at)
@@ -335,7 +353,9 @@ def train(net: Network, lanes: Lanes, memory: list[np.ndarray], rate: float = RA
         places = np.concatenate([x[0] for x in held])
         before = np.concatenate([x[2] for x in held])
         n = len(places)
-        p = np.exp(_log_classes(net, before))
+        p = _class_scores(net, before)
+        np.exp(p, out=p)
+        p /= p.sum(1, keepdims=True)
         p[np.arange(n), lanes.classes[places]] -= 1
         d_out, d_bias = before.T @ p, p.sum(0)
         d_before = p @ net.out.T
@@ -480,8 +500,8 @@ def _tail_totals(counts: DataFrame, known: Counts) -> np.ndarray:
         for batch in batches:
             words = [w.encode() for w in batch.column("word").to_pylist()]
             n = batch.column("n").to_numpy()
-            at = np.array([-1 if w in inside else tail_class(w) for w in words], np.int64)
-            kept = at >= 0
+            at = tail_classes(words)
+            kept = np.array([w not in inside for w in words], bool)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(_TAILS)), pa.array(np.bincount(at[kept], n[kept], _TAILS).astype(np.int64)),
                  pa.array(np.bincount(at[kept], minlength=_TAILS))], names=["tail", "n", "words"])
