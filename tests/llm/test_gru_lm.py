@@ -54,7 +54,7 @@ def test_gradients_equal_differences():
     tokens = n.sum() + len(n)
     for k, part in enumerate(net.parts()):
         step = (part - after.parts()[k]) * math.sqrt(big) / rate
-        flat = np.random.default_rng(k).choice(part.size, 12, replace=False)
+        flat = np.random.default_rng(k).choice(part.size, min(7, part.size), replace=False)
         for i in flat:
             values = []
             for d in (1e-4, -1e-4):
@@ -65,7 +65,7 @@ def test_gradients_equal_differences():
 
 
 def test_training_lowers_the_loss():
-    r = np.random.default_rng(5)
+
     lengths = np.full(64, 30)
     c = np.concatenate([np.where(np.arange(30) % 2 == k % 2, 1, 2) for k in range(64)])
     net = small(3, 3, 8)
@@ -75,7 +75,6 @@ def test_training_lowers_the_loss():
     for _ in range(20):
         G.train(net, lanes, memory)
     assert G.log_probability(net, lanes, 64).sum() > 0.6 * before
-    assert r is not None
 
 
 def test_tail_classes():

@@ -28,7 +28,7 @@ def words(t):
 
 
 def grams(t, buckets):
-    w = words(re.sub(r"([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+)", r" \1 ", t or ""))
+    w = words(re.sub(r"(?<![\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E])(?=[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E])", " ", t or ""))
     return [xx(x) % buckets for x in w] + [xx(w[i - 1] if i else None, w[i]) % buckets for i in range(len(w))]
 
 
