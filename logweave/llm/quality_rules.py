@@ -18,9 +18,10 @@ SMOOTHING = 1.0
 #: A text is kept if its mean log ratio per n-gram is this or more.
 THRESHOLD = -0.3
 MIN_WORDS = 50
-#: White space between words, and what an n-gram's tokens are.
+#: White space between words, and what else ends a token: a run of signs begins.
 _SPACE = r"[\x20\x09-\x0D]+"
-_TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"
+_SIGN = r"\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E"
+_TOKEN_END = rf"{_SPACE}|(?=[{_SIGN}])(?<![{_SIGN}\x20\x09-\x0D])"
 _SCALE = 1_000_000
 
 
@@ -41,8 +42,8 @@ def signals(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         # hashes of the windows of three words
         "_h": F.when(n >= 3, F.transform(
-            F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))),
-            lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))))
+            F.slice("_w", 1, F.greatest(n - 2, F.lit(0))),
+            lambda w, i: F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2))))
         .otherwise(F.array().cast("array<bigint>"))}, [*keep, "n_symbols"])
     base = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines"]
     none = F.array().cast("array<struct<h:bigint,i:int>>")
@@ -66,11 +67,11 @@ def base_failed() -> Column:
 def _ngrams(df: DataFrame, text: str, keep: list[str], buckets: int) -> DataFrame:
     """One row per unigram and bigram: columns ``keep`` and the ``bucket`` of its hash.
 
-    Tokens are runs of letters and digits, and runs of other signs. The first
+    Tokens are words, cut before every run of ASCII signs. The first
     token of a text has none before it; as a bigram it is hashed alone.
     """
-    made = once(df, {"_t": F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_TOKEN), F.lit(0))},
-                keep)
+    tokens = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), _TOKEN_END), "")
+    made = once(df, {"_t": tokens}, keep)
     hashed = F.concat(
         F.transform("_t", lambda x: F.xxhash64(x)),
         F.transform("_t", lambda x, i: F.xxhash64(F.get("_t", i - 1), x)))
