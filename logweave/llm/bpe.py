@@ -204,14 +204,26 @@ def codec(path: str, pattern: str) -> tuple[PrefixEncoder, Chunks]:
         encoder, split = PrefixEncoder(load_ranks(path)), regex.compile(pattern).findall
         packed = {rank: rank.to_bytes(4, "little") for rank in encoder.bytes_of}.__getitem__
 
-        def whole(text: str) -> bytes:
-            return b"".join([packed(i) for p in split(text)
-                             for i in encoder.encode(p.encode("utf-8", "replace"))])
+        def piece(text: str) -> bytes:
+            return b"".join(map(packed, encoder.encode(text.encode("utf-8", "replace"))))
 
-        kept["bpe", path, pattern] = encoder, Chunks(whole)
+        kept["bpe", path, pattern] = encoder, Chunks(lambda t: b"".join(map(piece, split(t))), piece)
     return kept["bpe", path, pattern]
 
 
+def _unpack(packed: list[bytes | None], path: str) -> list[bytes | None]:
+    """The bytes that packed ids stand for."""
+    kept = worker_cache()
+    if ("bytes", path) not in kept:
+        kept["bytes", path] = {r: b for b, r in load_ranks(path).items()}
+    of = kept["bytes", path].__getitem__
+    return [None if ids is None else b"".join(map(of, np.frombuffer(ids, "<u4").tolist())) for ids in packed]
+
+
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """(doc_id, ids): each whole text as packed little-endian 32-bit token ids.
 
@@ -228,35 +240,41 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary())],
                                              names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")) \
-        .mapInArrow(run, "doc_id long, ids binary")
+    return _texts(docs, text).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded): the bytes that packed ids stand for; null ids give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = worker_cache()
-        if ("bytes", path) not in kept:
-            kept["bytes", path] = {r: b for b, r in load_ranks(path).items()}
-        of = kept["bytes", path].__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                decoded = [None if ids is None else
-                           b"".join(map(of, np.frombuffer(ids, "<u4").tolist()))
-                           for ids in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("ids"), pa.array(decoded, pa.binary())],
+                    [part.column("doc_id"), part.column("ids"),
+                     pa.array(_unpack(part.column("ids").to_pylist(), path), pa.binary())],
                     names=["doc_id", "ids", "decoded"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids") \
         .mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): ``encode`` and ``decode`` in one pass, with one Python worker a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, chunks = codec(path, pattern)
+        for part in text_slices(batches, "text"):
+            packed = list(map(chunks.text, part.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(packed, pa.binary()), pa.array(_unpack(packed, path), pa.binary())],
+                names=["doc_id", "ids", "decoded"])
+
+    return _texts(docs, text).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+
+
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """Per row of ``docs``: number of tokens, SHA-256 of the ids and of the decoded bytes."""
-    done = decode(encode(docs, path, pattern, text), path)
-    return done.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
-                       F.sha2("ids", 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(docs, path, pattern, text).select(
+        "doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -48,7 +48,7 @@ def build(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
         return [at - len(body[-1]), at]
 
     for k in range(bits - 1, -1, -1):
-        bit = (seq >> k & 1).astype(bool)
+        bit = (seq & seq.dtype.type(1 << k)) != 0
         raw = np.packbits(bit, bitorder="little")
         blocks, ones = [], 0
         for b in range(0, len(raw), _BLOCK):
@@ -56,7 +56,7 @@ def build(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
             blocks.append([*add(part.tobytes()), ones])
             ones += int(np.bitwise_count(part).sum())
         planes.append({"zeros": len(seq) - ones, "blocks": blocks})
-        seq = np.concatenate([seq[~bit], seq[bit]])
+        seq = np.concatenate([seq.take(np.flatnonzero(~bit)), seq.take(np.flatnonzero(bit))])
     head = {"n": len(ids), "planes": planes, "docs": len(doc_ids),
             "lengths": add(np.asarray(lengths, "<i8").tobytes()), "ids": add(json.dumps(doc_ids).encode())}
     text = json.dumps(head).encode()
@@ -164,22 +164,38 @@ class WaveletMatrix:
         out = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for k, plane in enumerate(reversed(self._head["planes"])):
             raw = b"".join(self._read(a, b) for a, b, _ in plane["blocks"])
-            bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
             before = np.empty_like(out)
-            before[~bit] = out[:plane["zeros"]]
-            before[bit] = out[plane["zeros"]:] | out.dtype.type(1 << k)
+            before[np.flatnonzero(~bit)] = out[:plane["zeros"]]
+            before[np.flatnonzero(bit)] = out[plane["zeros"]:] | out.dtype.type(1 << k)
             out = before
         return out
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable bytes stay, others follow 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def _chunks(path: str) -> Chunks:
+    """Remembered chunks of a tokenizers file; pieces go to its model, other texts through all its steps."""
     kept = worker_cache()
     if ("tokenizer", path) not in kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        kept["tokenizer", path] = Chunks(lambda t: np.array(
-            tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+        model, letters = tokenizer.model, _byte_letters()
+
+        def encode(text: str) -> bytes:
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+        def piece(text: str) -> bytes:
+            written = text.encode("utf-8", "replace").decode("latin-1").translate(letters)
+            return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(written)])
+
+        kept["tokenizer", path] = Chunks(encode, piece)
     return kept["tokenizer", path]
 
 

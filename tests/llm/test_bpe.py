@@ -72,4 +72,7 @@ def test_rows(spark, library):
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    path = P.path("byte_bpe_50k.tiktoken")
+    assert sorted(map(tuple, bpe.decode(bpe.encode(df, path, P.PATTERN), path).collect()), key=repr) == \
+        sorted(map(tuple, bpe.round_trip(df, path, P.PATTERN).collect()), key=repr)
     assert bpe.digests(df.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
