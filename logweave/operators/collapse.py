@@ -274,7 +274,10 @@ def _fold_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repeat_text(n: Column, msg: Column) -> Column:
-    """Text of a written record: the line, or the summary of several repeats."""
+    """Text of a written record: the line, or the summary of several repeats.
+
+    The summary's words are fixed values: readers of logs look for them.
+    """
     return F.when(n > 1, F.concat(F.lit("last message repeated "), n.cast("string"),
                                   F.lit(" times"))).otherwise(msg)
 
@@ -395,7 +398,7 @@ def _open_folder(clock: int):
                     run = (r.rule_id, r.gid)
                     carried = not pd.isna(r.lw)
                     fac, sev = (None if pd.isna(x) else int(x) for x in (r.fac, r.sev))
-                    about = (r.rule_id, int(r.run) if carried else r.seq, fac, sev, r.host, r.msg)
+                    about = (r.rule_id, int(r.run), fac, sev, r.host, r.msg)
                     skip = 1
                     if carried:
                         timer = RepeatTimer(int(r.lw), int(r.step), int(r.p), int(r.last))
@@ -416,9 +419,12 @@ def _open_folder(clock: int):
 
 
 def collapse_step(routed: DataFrame, state: DataFrame, clock: int, hot_rows: int = HOT_ROWS,
-                  block: int = BLOCK, collapse: bool = True) -> tuple[DataFrame, DataFrame]:
+                  block: int = BLOCK, collapse: bool = True, batch_id: int | None = None) -> tuple[DataFrame, DataFrame]:
     """One batch of a stream: ``(written, new state)``.
 
+    ``batch_id`` makes the numbers of runs differ from those of other batches,
+    whose lines are numbered from the start again.
+
     ``state`` is the open run of each rule (``STATE_SCHEMA``). It goes in as a
     first line of its rule, so runs continue over batches exactly as they do
     over chunks. ``clock`` is the latest second seen; pending repeats whose
@@ -433,7 +439,12 @@ def collapse_step(routed: DataFrame, state: DataFrame, clock: int, hot_rows: int
     timers = state.select("rule_id", F.lit(CARRY_SEQ).cast("bigint").alias("seq"), "run", "lw",
                           "step", "p", "last")
     # both sides are small: two pieces per chunk, a state row per rule
-    known = pieces.join(timers, ["rule_id", "seq"], "left")
+    def run_of(seq: str) -> Column:
+        return F.col(seq) if batch_id is None else F.xxhash64(F.lit(batch_id), F.col(seq))
+
+    known = (pieces.join(timers, ["rule_id", "seq"], "left")
+             .withColumn("run", F.coalesce("run", run_of("seq"))))
+    done = done.withColumn("run", run_of("run"))
     schema = f"kind string, {_EMITTED_SCHEMA}, lw bigint, step int, p bigint, last bigint"
     folded = freeze(_by_run(known).mapInPandas(_open_folder(clock), schema))
     written = done.unionByName(folded.filter("kind = 'w'").select(*_EMITTED))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave import schema as S
 from logweave.functions import codes
+from logweave.operators.filters import rejected_filters
 from logweave.operators.rules import parse_selectors
 
 
@@ -39,10 +40,17 @@ def rule_errors(rules: DataFrame, at: Column | str, local_host: str = "localhost
     return as_records(bad, text, at, S.SYSLOG_ERR, local_host, seq)
 
 
+def pattern_errors(rule_filters: DataFrame, at: Column | str, local_host: str = "localhost",
+                   seq: Column | None = None) -> DataFrame:
+    """A record per pattern that is not valid; its rule is rejected."""
+    text = F.concat(F.lit("no valid pattern \""), F.col("given"), F.lit("\" in rule "), F.col("rule_id"))
+    return as_records(rejected_filters(rule_filters), text, at, S.SYSLOG_ERR, local_host, seq)
+
+
 def line_errors(dropped: DataFrame, at: Column | str, local_host: str = "localhost",
                 seq: Column | None = None) -> DataFrame:
     """A record per line skipped because nothing follows its host."""
-    text = F.concat(F.lit("skipped invalid message ["), F.col("line"), F.lit("]"))
+    text = F.concat(F.lit("no text after the host in \""), F.col("line"), F.lit("\""))
     return as_records(dropped, text, at, S.SYSLOG_ERR, local_host, seq)
 
 
@@ -50,8 +58,7 @@ def lost_report(dead_letter: DataFrame, at: Column | str,
                 local_host: str = "localhost") -> DataFrame:
     """Undelivered records per sink, counted before the shuffle, as records."""
     lost = dead_letter.groupBy("sink").count()
-    text = F.concat(F.col("sink"), F.lit(": "), F.col("count").cast("string"),
-                    F.lit(" messages were lost due to lack of connection"))
+    text = F.concat(F.col("count").cast("string"), F.lit(" records not delivered to "), F.col("sink"))
     return as_records(lost, text, at, S.SYSLOG_ERR, local_host)
 
 

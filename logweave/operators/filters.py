@@ -11,11 +11,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import clock, text
 from logweave.operators.joins import lookup_join
+from logweave.session import freeze
 
 LITERAL_PATTERNS = 62
 
@@ -35,13 +37,29 @@ def passes(message_re: str | None = None, host_re: str | None = None,
     tests = []
     for name, pattern in given.items():
         if pattern is not None:
-            hit = F.rlike(_fields()[name], text.java_pattern(F.lit(pattern)))
+            java = text.java_pattern(pattern)
+            if java is None:
+                raise ValueError(f"no valid pattern: {pattern!r}")
+            hit = _fields()[name].rlike(java)
             tests.append(~hit if inverse else hit)
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
+def _java(pattern: Column) -> Column:
+    """Patterns of a rule table in Java's words, null where they are not valid."""
+    @F.pandas_udf("string")
+    def translated(patterns: pd.Series) -> pd.Series:
+        known = {p: text.java_pattern(p) for p in patterns.unique()}
+        return patterns.map(known)
+
+    return translated(pattern)
+
+
 def _tests(rule_filters: DataFrame) -> DataFrame:
-    """One row per single test: ``(rule_id, field, pattern, inverse)``."""
+    """One row per single test: ``(rule_id, field, given, pattern, inverse)``.
+
+    ``given`` is the pattern as the rule has it, ``pattern`` is null where that is not valid.
+    """
     fields = [c for c in ("message_re", "host_re", "date_re", "time_re")
               if c in rule_filters.columns]
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("re"))
@@ -49,24 +67,36 @@ def _tests(rule_filters: DataFrame) -> DataFrame:
     return (rule_filters.select("rule_id", F.coalesce("inverse", F.lit(False)).alias("inverse"),
                                 each.alias("t"))
             .filter("t.re IS NOT NULL")
-            .select("rule_id", F.col("t.field").alias("field"),
-                    text.java_pattern(F.col("t.re")).alias("pattern"), "inverse")
-            .distinct())
+            .select("rule_id", F.col("t.field").alias("field"), F.col("t.re").alias("given"), "inverse")
+            .distinct().withColumn("pattern", _java(F.col("given"))))
+
+
+def rejected_filters(rule_filters: DataFrame) -> DataFrame:
+    """``(rule_id, field, given)`` of tests whose pattern is not valid; their rules are rejected."""
+    return _tests(rule_filters).filter("pattern IS NULL").select("rule_id", "field", "given")
 
 
 def apply_filters(routed: DataFrame, rule_filters: DataFrame,
                   max_literal: int = LITERAL_PATTERNS, max_rows: int = 1_000_000) -> DataFrame:
     """Routed records that pass all filters of their rule; others pass freely.
 
+    A rule with a pattern that is not valid is rejected and passes nothing
+    (see :func:`rejected_filters`).
+
     Up to ``max_literal`` distinct tests are put into the plan as constant
     patterns, compiled once per task, and each rule carries a bit set of the
     tests it needs. With more, the patterns stay a column.
     """
-    tests = _tests(rule_filters)
-    kinds = tests.select("field", "pattern", "inverse").distinct()
+    tests = freeze(_tests(rule_filters))
+    kinds = tests.filter("pattern IS NOT NULL").select("field", "pattern", "inverse").distinct()
     known = kinds.limit(max_literal + 1).collect()  # bounded: tens of patterns
     fields = _fields()
     spread = [c for c in ("source", "seq", "host", "msg") if c in routed.columns]
+    bad = tests.filter("pattern IS NULL").select("rule_id", F.lit(True).alias("_bad")).distinct()
+    if not bad.isEmpty():
+        routed = lookup_join(routed, bad, ["rule_id"], "left", spread, max_rows).filter(
+            "_bad IS NULL").drop("_bad")
+        tests = tests.filter("pattern IS NOT NULL")
     if not known:
         return routed
     if len(known) <= max_literal:

@@ -18,20 +18,20 @@ LOCAL_HOST = "loghost"
 # Rules as an administrator would write them: id, selector, program, message,
 # host, date and time patterns, inverse, destination, sink.
 _RULE_ROWS = [
-    ("m1", "*.err;kern.*;auth.notice;authpriv.none", None, None, None, None, None, False, "console", "file"),
-    ("m2", "*.info;mail.none;authpriv.none", None, None, None, None, None, False, "messages", "file"),
-    ("m3", "authpriv.*", None, None, None, None, None, False, "secure", "file"),
-    ("m4", "mail.*", None, None, None, None, None, False, "maillog", "file"),
-    ("m5", "*.err", None, None, None, None, None, False, "everyone", "notify"),
-    ("m6", "*.err", None, None, None, None, None, False, "root,eric", "notify"),
-    ("m7", "uucp,news.err", None, None, None, None, None, False, "spoolerr", "file"),
-    ("m8", "*.*", "error", None, None, None, None, False, "spoolerr", "file"),
-    ("x1", "*.err", None, "[[:digit:]]{3}", None, None, None, True, "root", "notify"),
+    ("m1", "*.crit;daemon.*;cron.notice;lpr.none", None, None, None, None, None, False, "console", "file"),
+    ("m2", "*.notice;news.none;lpr.none", None, None, None, None, None, False, "messages", "file"),
+    ("m3", "lpr.*", None, None, None, None, None, False, "secure", "file"),
+    ("m4", "news.*", None, None, None, None, None, False, "maillog", "file"),
+    ("m5", "*.warning", None, None, None, None, None, False, "operators", "notify"),
+    ("m6", "*.warning", None, None, None, None, None, False, "alice,bob", "notify"),
+    ("m7", "ftp,local3.warning", None, None, None, None, None, False, "transfers", "file"),
+    ("m8", "*.*", "error", None, None, None, None, False, "problems", "file"),
+    ("x1", "*.warning", None, "[[:digit:]]{3}", None, None, None, True, "root", "notify"),
     ("x2", "*.err", None, "k \\{\"k\": 9", None, None, None, False, "root", "notify"),
-    ("x3", "*.err", None, None, "^h1", None, None, False, "webserver", "forward"),
-    ("x4", "auth.info", None, None, None, None, "^1", True, "webserver", "forward"),
-    ("c1", "*.notice", None, None, None, None, None, False, "central", "forward"),
-    ("p1", "auth.info", None, None, None, None, None, False, "authlog", "table"),
+    ("x3", "*.warning", None, None, "^h1", None, None, False, "collector", "forward"),
+    ("x4", "cron.info", None, None, None, None, "^1", True, "collector", "forward"),
+    ("c1", "*.info", None, None, None, None, None, False, "relay", "forward"),
+    ("p1", "cron.info", None, None, None, None, None, False, "cronlog", "table"),
     ("g1", "*.=warning", None, None, None, None, None, False, "warnings", "table"),
     ("g2", "*.*;mail.!err", None, None, None, None, None, False, "most", "table"),
     ("g3", "*.*;mail.!=info", None, None, None, None, None, False, "most", "table"),
@@ -45,6 +45,12 @@ _RULE_ROWS = [
 ]
 
 
+#: *both*: a pattern per supplier, the first five kinds are not valid.
+BAD_PATTERNS = ("CASE s_suppkey % 9 WHEN 0 THEN '[abc' WHEN 1 THEN '(x' WHEN 2 THEN '[[:word:]]' WHEN 3 THEN '*x' "
+                "WHEN 4 THEN 'x[[.long.]]' WHEN 5 THEN '[[]' WHEN 6 THEN 'k {x' WHEN 7 THEN '[]&&a]' "
+                "ELSE '[^[:digit:]]{2,3}' END")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -302,7 +302,7 @@ SELECT CAST(rule_id AS BIGINT) AS seq, '2024-06-01 00:00:00' AS ts, 43 AS pri, '
   'syslogd' AS prog, 'syslogd: unknown name in selector "' || selector || '" of rule ' || rule_id AS msg
 FROM tenants WHERE rule_id IN (SELECT rule_id FROM bad)
 UNION ALL SELECT seq, '2024-06-01 00:00:00', 43, '{X.LOCAL_HOST}', 'syslogd',
-  'syslogd: skipped invalid message [' || split_part(line, ' signup', 1) || ']' FROM raw WHERE line LIKE '% signup[%'"""
+  'syslogd: no text after the host in "' || split_part(line, ' signup', 1) || '"' FROM raw WHERE line LIKE '% signup[%'"""
 
 SQL["file_lines"] = f"""WITH {ROUTED} SELECT dest, seq, {HEADER.format('ts')} || ' ' || host || ' ' || msg AS value
 FROM routed"""
@@ -334,7 +334,7 @@ FROM records r LEFT JOIN fac_names f ON f.fac = r.fac LEFT JOIN sev_names s ON s
 WHERE ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-10 18:00:00' AND msg LIKE 'view%'"""
 SQL["lost_report"] = f"""WITH {ROUTED} SELECT '2024-06-01 00:00:00' AS ts, 5 AS fac, 3 AS sev, 43 AS pri,
   '{X.LOCAL_HOST}' AS host, 'syslogd' AS prog,
-  'syslogd: ' || sink || ': ' || count(*) || ' messages were lost due to lack of connection' AS msg FROM routed GROUP BY sink"""
+  'syslogd: ' || count(*) || ' records not delivered to ' || sink AS msg FROM routed GROUP BY sink"""
 SQL["volume_20min"] = f"""WITH {ROUTED} SELECT strftime(time_bucket(INTERVAL 20 MINUTE, ts), {T}) AS slot, dest, count(*) AS n
 FROM routed GROUP BY 1, 2"""
 SQL["header_text"] = f"""SELECT {HEADER.format('o_orderdate')} AS header, strftime(o_orderdate, '%Y-%m-%d') AS date,
@@ -398,3 +398,16 @@ chain AS (SELECT DISTINCT part, CAST(-1 AS BIGINT) AS turn, sha1('seed-hot|' ||
         CASE WHEN n = 0 THEN 0 ELSE ('0x' || substr(h, 2 * (i % n) + 1, 2))::INT END))), '') AS x
     FROM chain c JOIN lines l ON l.part = c.part AND l.turn = c.turn + 1))
 SELECT 'hot|' || part AS log_id, max_by(k, turn) AS last_key FROM chain GROUP BY part"""
+
+SQL["regex_rejected"] = f"""SELECT s_suppkey AS seq, 43 AS pri, '{X.LOCAL_HOST}' AS host,
+  'syslogd: no valid pattern "' || {X.BAD_PATTERNS} || '" in rule ' || s_suppkey AS msg FROM supplier WHERE s_suppkey % 9 < 5"""
+
+# the patterns look for one number before a brace; the last four kinds of the others as they are meant
+SQL["regex_many"] = f"""WITH {RECORDS}, hits AS (SELECT r.seq, r.msg, 1 + r.seq % 100 AS rule_id,
+  s.s_suppkey IS NULL AS free, s.s_suppkey % 7 = 3 AS odd, s.s_suppkey % 9 AS kind, s.s_suppkey % 2 = 0 AS inverse,
+  r.msg LIKE '%k": ' || CAST(s.s_suppkey % 90 AS VARCHAR) || '}}%' AS plain
+  FROM records r LEFT JOIN supplier s ON s.s_suppkey = 1 + r.seq % 100),
+tested AS (SELECT *, CASE WHEN NOT odd THEN plain WHEN kind = 5 THEN contains(msg, '[') WHEN kind = 6 THEN contains(msg, 'k {{x')
+  WHEN kind = 7 THEN contains(msg, ']') OR contains(msg, '&') OR contains(msg, 'a') ELSE regexp_matches(msg, '[^0-9]{{2,3}}') END AS hit FROM hits)
+SELECT CAST(rule_id AS VARCHAR) AS rule_id, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM tested
+WHERE free OR (NOT (odd AND kind < 5) AND hit <> inverse) GROUP BY 1"""

@@ -310,6 +310,28 @@ def regex_chain(spark, sf):
             .agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum")))
 
 
+@query
+def regex_rejected(spark, sf):
+    """Patterns that are not valid come back as records; the others are accepted."""
+    given = X.table(spark, sf, "supplier").selectExpr(
+        "CAST(s_suppkey AS string) AS rule_id", f"{X.BAD_PATTERNS} AS message_re", "false AS inverse")
+    return diagnostics.pattern_errors(given, "2024-06-01 00:00:00", X.LOCAL_HOST,
+                                      F.col("rule_id").cast("bigint")).select("seq", "pri", "host", "msg")
+
+
+@query
+def regex_many(spark, sf):
+    """A pattern per supplier, more than stand in the plan as constants; rules with a bad one pass nothing."""
+    rule = "CAST(1 + seq % 100 AS string)"
+    lines = X.records(spark, sf).withColumn("rule_id", F.expr(rule))
+    given = X.table(spark, sf, "supplier").selectExpr(
+        "CAST(s_suppkey AS string) AS rule_id",
+        f"CASE WHEN s_suppkey % 7 = 3 THEN {X.BAD_PATTERNS} ELSE concat('k.: ', s_suppkey % 90, '[}}&^]') END AS message_re",
+        "s_suppkey % 2 = 0 AS inverse")
+    return (filters.apply_filters(lines, given).groupBy("rule_id")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum")))
+
+
 @query
 def drop_empty(spark, sf):
     """Records left without a message are not written."""

@@ -29,7 +29,9 @@ OWN_NAME = "syslogd"  # fixed value: program name in records about ourselves
 SYSLOG_ERR = 43       # PRI of an error about ourselves
 SYSLOG_INFO = 46      # PRI of a notice about ourselves
 MAX_PRI = 1023
-COLLAPSE_BYTES = 120  # lines this long or longer are never collapsed
+# Bytes from which on lines are never collapsed, seconds between
+# summaries of repeats, seconds between marks, and their text.
+COLLAPSE_BYTES = 120
 REPEAT_INTERVALS = (30, 120, 600)
 MARK_SECONDS = 20 * 60
 MARK_TEXT = "-- MARK --"

@@ -15,7 +15,9 @@ def build_session(app: str = "logweave", master: str | None = None,
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.ui.enabled", "false"))
+         .config("spark.ui.enabled", "false")
+         # checkpoint files go when nothing refers to them any more
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if master:
         b = b.master(master)
     if shuffle_partitions:

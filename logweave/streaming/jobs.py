@@ -61,7 +61,11 @@ class LogStream:
         table = self.load_rules(self.spark)
         version = table.agg(F.bit_xor(F.xxhash64(*table.columns))).first()[0] or 0
         compiled = rules.compile_masks(table)
-        records = parse.drop_empty(parse.parse_lines(with_seq(batch), **self.parse_options))
+        lines = with_seq(batch)
+        records = parse.drop_empty(parse.parse_lines(lines, **self.parse_options))
+        own = self._own_records(lines, table, version, batch_id)
+        if own is not None:
+            records = records.unionByName(own, allowMissingColumns=True)
         routed = filters.apply_filters(route.route(records, compiled), table)
         routed = routed.persist(StorageLevel.DISK_ONLY)
         try:
@@ -69,6 +73,28 @@ class LogStream:
         finally:
             routed.unpersist()
 
+    def _own_records(self, lines: DataFrame, table: DataFrame, version: int, batch_id: int) -> DataFrame | None:
+        """Skipped lines and, when they come into force, rejected rules, as records about ourselves."""
+        host = self.parse_options.get("default_host", "localhost")
+        found = []
+        before = self.clocks.before(batch_id).first()
+        if before is None or before["version"] != version:
+            # numbers below those of lines, a time that a repeated batch finds again
+            at = from_epoch(F.lit(before["clock"] if before else 0))
+            bad = diagnostics.rule_errors(table, at, host, -F.xxhash64("rule_id").bitwiseAND((1 << 40) - 1) - 2)
+            if before is None and "arrival_ts" in lines.columns:
+                first = lines.agg(F.min("arrival_ts").cast("timestamp_ntz")).first()[0]
+                bad = bad.withColumn("ts", F.lit(first).cast("timestamp_ntz"))
+            found.append(bad)
+        if self.parse_options.get("trust_msg_host"):
+            _, dropped = parse.split_hosts(lines)
+            at = F.col("arrival_ts") if "arrival_ts" in lines.columns else F.current_timestamp()
+            found.append(diagnostics.line_errors(dropped, F.date_trunc("second", at), host, F.col("seq")))
+        out = None
+        for part in found:
+            out = part if out is None else out.unionByName(part)
+        return out
+
     def _write(self, routed, table, compiled, version, batch_id) -> None:
         before = self.clocks.before(batch_id).first()
         clock0 = before["clock"] if before else None
@@ -86,7 +112,7 @@ class LogStream:
             parts.append(collapse.close_state(state, clock0))
             state = self.spark.createDataFrame([], collapse.STATE_SCHEMA)
         written, opened = collapse.collapse_step(routed, state, clock, self.hot_rows, self.block,
-                                                 self.collapse)
+                                                 self.collapse, batch_id)
         self.runs.write(opened, batch_id)
         written = written.persist(StorageLevel.DISK_ONLY)
         try:
