@@ -15,8 +15,8 @@ from logweave.llm.chunks import Chunks
 from logweave.llm.common import text_slices, worker_cache
 
 #: Entries that a Python worker keeps of tables of first bytes and of tested token pairs.
-CACHE_HEADS = 150_000
-CACHE_PAIRS = 300_000
+CACHE_HEADS = 50_000
+CACHE_PAIRS = 100_000
 _HEAD = 6
 _NEVER = 1 << 40
 

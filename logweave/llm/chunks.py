@@ -11,7 +11,7 @@ _ODD = re.compile(r"^\Z|^\s|\s\Z|\s\s|[^\S\n]")
 #: Signs that one piece has behind letters; an apostrophe may begin a piece of its own.
 _SIGNS = "".join(c for c in string.punctuation if c != "'")
 #: Chunks that a Python worker remembers: this many twice, the older ones go.
-KEPT = 350_000
+KEPT = 140_000
 
 
 class _OddText(Exception):
