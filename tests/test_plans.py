@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from logweave.operators import collapse, ordering, route
 from logweave.operators.parse import parse_lines
 from logweave.plans import fixtures as X
+from logweave.plans.queries import REGISTRY
 
 
 def plan(df):
@@ -20,7 +21,7 @@ def method_sizes(spark, df):
     return [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_no_cross_joins_or_single_tasks(spark, sf, name):
     p = plan(entry.queries()[name](spark, sf))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
