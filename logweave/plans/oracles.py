@@ -411,3 +411,5 @@ tested AS (SELECT *, CASE WHEN NOT odd THEN plain WHEN kind = 5 THEN contains(ms
   WHEN kind = 7 THEN contains(msg, ']') OR contains(msg, '&') OR contains(msg, 'a') ELSE regexp_matches(msg, '[^0-9]{{2,3}}') END AS hit FROM hits)
 SELECT CAST(rule_id AS VARCHAR) AS rule_id, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM tested
 WHERE free OR (NOT (odd AND kind < 5) AND hit <> inverse) GROUP BY 1"""
+
+SQL["lookup_table"] = SQL["lookup"]

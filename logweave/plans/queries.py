@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from logweave.functions.clock import epoch_seconds as clock_seconds
 from logweave.operators import (collapse, diagnostics, filters, integrity, marks, notify, parse,
                                 reassemble, route, rules, symbols)
 from logweave.plans import fixtures as X
-from logweave.sinks import render
+from logweave.session import shared_dir
+from logweave.sinks import deliver, render
 from logweave.sources import lines as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -483,6 +485,16 @@ def lookup(spark, sf):
             .withColumn("date", F.col("date").cast("string")))
 
 
+@query
+def lookup_table(spark, sf):
+    """The same on a written table, partitioned by date."""
+    path = f"{shared_dir(spark)}/log-table-{uuid.uuid4().hex}"
+    deliver.write_log_table(X.records(spark, sf), path, batch_id=0)
+    found = render.lookup(spark.read.parquet(path), date="2024-01-10", time_from="06:00:00",
+                          time_to="18:00:00", prefix="view")
+    return found.select("facility", "priority", F.col("date").cast("string").alias("date"), "time", "host", "message")
+
+
 @query
 def lost_report(spark, sf):
     dead = routed(spark, sf).select("sink", "seq")

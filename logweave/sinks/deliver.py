@@ -36,9 +36,18 @@ def named_filter(records: DataFrame, name: str, column: str = "msg") -> DataFram
     return records.filter(_FILTERS[name](F.col(column)))
 
 
+def _place(path: str, mode: str, batch_id: int | None) -> tuple[str, str]:
+    """Where and how to write: a batch has a folder of its own, which a repeated run replaces."""
+    return (path, mode) if batch_id is None else (f"{path}/batch={batch_id}", "overwrite")
+
+
 def write_files(routed: DataFrame, path: str, mode: str = "append",
-                ordered: bool = False) -> None:
-    """One folder per destination. ``ordered`` sorts by range, without one big task."""
+                ordered: bool = False, batch_id: int | None = None) -> None:
+    """One folder per destination. ``ordered`` sorts by range, without one big task.
+
+    With ``batch_id`` the same batch may be written again without writing lines twice.
+    """
+    path, mode = _place(path, mode, batch_id)
     lines = render.render_file_lines(routed)
     if ordered:
         order = ["dest", *[c for c in ("ts", "seq") if c in lines.columns]]
@@ -46,14 +55,22 @@ def write_files(routed: DataFrame, path: str, mode: str = "append",
     lines.select("dest", "value").write.mode(mode).partitionBy("dest").text(path)
 
 
-def write_log_table(routed: DataFrame, path: str, mode: str = "append", **kw) -> None:
-    """Log table as Parquet, partitioned by date for lookups."""
+def write_log_table(routed: DataFrame, path: str, mode: str = "append",
+                    batch_id: int | None = None, **kw) -> None:
+    """Log table as Parquet, partitioned by date for lookups; ``batch_id`` as for files."""
+    path, mode = _place(path, mode, batch_id)
     render.to_log_table(routed, **kw).write.mode(mode).partitionBy("date").parquet(path)
 
 
 def write_forward(routed: DataFrame, format: str, add_host: bool = False,
-                  newline: bool = False, mode: str = "append", **options) -> None:
-    """Forwarded lines as ``value`` rows of any writer, for example ``kafka`` or ``text``."""
+                  newline: bool = False, mode: str = "append", batch_id: int | None = None,
+                  **options) -> None:
+    """Forwarded lines as ``value`` rows of any writer, for example ``kafka`` or ``text``.
+
+    ``batch_id`` is for writers with a ``path``; others append.
+    """
+    if "path" in options:
+        options["path"], mode = _place(options["path"], mode, batch_id)
     (render.render_forward(routed, add_host, newline).select("value")
      .write.format(format).mode(mode).options(**options).save())
 

@@ -70,3 +70,11 @@ def test_collapse_shuffles_lines_once(spark, sf, fn):
 def test_row_numbers_without_global_sort(spark, sf):
     p = plan(ordering.number_rows(X.records(spark, sf)))
     assert "rangepartitioning" not in p
+
+
+def test_lookup_reaches_the_scan(spark, sf):
+    p = entry.queries()["lookup_table"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in p.splitlines() if "FileScan parquet" in line)
+    assert "date" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    pushed = scan.split("PushedFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(time,06:00:00)" in pushed and "LessThan(time,18:00:00)" in pushed

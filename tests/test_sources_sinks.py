@@ -302,3 +302,15 @@ def test_time_length_is_asked_for(spark):
     df = spark.createDataFrame([("s", "x")], "source string, line string")
     with pytest.raises(ValueError):
         src.file_lines(df, "MMM d HH:mm")
+
+
+def test_a_batch_written_again_replaces_its_lines(spark, tmp_path):
+    df = spark.createDataFrame([("d", "a"), ("d", "b")], "dest string, msg string").selectExpr(
+        "dest", "msg", "'h' AS host", "timestamp_ntz '2024-01-01' AS ts", "1 AS fac", "2 AS sev")
+    for batch in (0, 1, 1):
+        deliver.write_files(df, str(tmp_path / "f"), batch_id=batch)
+        deliver.write_log_table(df, str(tmp_path / "t"), batch_id=batch)
+        deliver.write_forward(df, "text", path=str(tmp_path / "w"), batch_id=batch)
+    assert spark.read.text(str(tmp_path / "f")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+    assert spark.read.text(str(tmp_path / "w")).count() == 4
