@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.llm.common import stable
 from logweave.operators.joins import fits_broadcast
 from logweave.operators.once import once
 from logweave.session import freeze
@@ -116,6 +117,7 @@ def judge(docs: DataFrame, trusted: DataFrame, text: str = "text", threshold: fl
     most ``buckets`` rows and are summed up per row before the one small shuffle.
     Trusted ids are broadcast while they are measured small, else joined by shuffle.
     """
+    docs = stable(docs)
     ratios = freeze(log_ratios(docs, trusted, text, buckets, smoothing))
     keyed = docs.select(F.monotonically_increasing_id().alias("_row"),
                         F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"))

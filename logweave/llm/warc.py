@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import text_slices, with_row_key
+from logweave.llm.common import stable, text_slices, with_row_key
 from logweave.llm.files import new_folder, open_store, write_once
 from logweave.operators.joins import lookup_join
 from logweave.session import freeze
@@ -64,7 +64,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-
     payloads meet the rows by broadcast while measured small, else by a salted join.
     """
     folder = new_folder(pages.sparkSession, "warc")
-    keyed = with_row_key(pages.select(F.col("page_id").cast("long").alias("page_id"), "url",
+    keyed = with_row_key(stable(pages).select(F.col("page_id").cast("long").alias("page_id"), "url",
                                       F.coalesce("html", F.lit("")).alias("html"))) \
         .withColumn("digest", F.when(F.octet_length("html") >= least_bytes, F.sha1("html")))
     order = F.struct(F.coalesce("page_id", F.lit(_NO_ID)).alias("id"), F.col("_row").alias("row"))

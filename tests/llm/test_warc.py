@@ -24,7 +24,7 @@ def test_round_trip(spark, range_bytes):
     rows += [(None, "u", "same page", "c"), (7, "u", "again seven", "c"), (7, "u", "again seven", "c")]
     r.shuffle(rows)
     df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string").repartition(3)
-    files = warc.write_archives(warc_input(df), file_bytes=20_000)
+    files = warc.write_archives(df, file_bytes=20_000)
     assert files.count() > 3
     records = warc.read_archives(files, range_bytes=range_bytes)
     got = sorted(map(tuple, warc.page_digests(records).collect()), key=repr)
@@ -45,11 +45,6 @@ def test_round_trip(spark, range_bytes):
     assert texts == {(h or "").encode() for _, _, h, _ in rows}
 
 
-def warc_input(df):
-    from logweave.llm.common import stable
-    return stable(df)
-
-
 def test_broken_file_stops_at_the_break(spark):
     folder = new_folder(spark, "broken")
     good = b"".join(fake(i).encode() for i in range(5))
