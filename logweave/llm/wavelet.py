@@ -26,6 +26,8 @@ _BLOCK = 1 << 16
 #: Tokens of a shard (the document that passes it still belongs to it), bytes of text of a sort partition.
 SHARD_TOKENS = 4_000_000
 PARTITION_BYTES = 24 << 20
+#: Words that a worker remembers the ids of, twice; the library takes longest for new ones.
+KEPT_WORDS = 350_000
 _POPCOUNT = np.bitwise_count(np.arange(256, dtype=np.uint8)).astype(np.int64)
 
 
@@ -195,7 +197,7 @@ def _chunks(path: str) -> Chunks:
             written = text.encode("utf-8", "replace").decode("latin-1").translate(letters)
             return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(written)])
 
-        kept["tokenizer", path] = Chunks(encode, piece)
+        kept["tokenizer", path] = Chunks(encode, piece, KEPT_WORDS)
     return kept["tokenizer", path]
 
 
