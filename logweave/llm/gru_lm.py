@@ -20,7 +20,7 @@ from logweave.llm.common import stable, text_slices, with_row_key, worker_cache,
 #: Words that the network tells apart, words whose counts travel to the tasks, and words of a class at most.
 NETWORK_WORDS = 4096
 COUNTED_WORDS = 131_072
-CLASS_WORDS = 512
+CLASS_WORDS = 64
 #: Words whose neighbourhood tells classes apart, and groups of words with like neighbourhoods.
 ANCHORS = 48
 GROUPS = 16

@@ -128,3 +128,11 @@ def test_model_beats_counts_on_held_out_texts(spark):
     df = spark.createDataFrame([(i, text()) for i in range(1500)], "doc_id long, text string")
     got = G.score(df, df.filter("doc_id % 5 <> 1")).filter("doc_id % 5 = 1").collect()
     assert sum(x.score for x in got) > 0.9 * sum(x.base_score for x in got)
+
+
+def test_classes_stay_small():
+    r = np.random.default_rng(9)
+    n = G.NETWORK_WORDS
+    known = G.Counts([b"w%d" % i for i in range(n)], np.arange(2 * n, n, -1), 1 << 24, n, 1)
+    G.make_classes(known, r.integers(0, 50, (n, G.ANCHORS)).astype(float))
+    assert np.bincount(known.class_of).max() <= 64 and len(np.unique(known.class_of)) >= n // 64
