@@ -86,14 +86,16 @@ def page_tokens(page: str | None) -> list[tuple[str, str, int]]:
                 out.append((f"/{tag}", "", 0))
             continue
         words = {w for found in _MARKS.findall(token) for w in re.split(r"[^a-z]+", "".join(found).lower())}
-        mark = next((w for w in sorted(words) if w in _OUTSIDE_WORDS or w in _MAIN_WORDS), "")
+        # "main-menu" is a menu
+        mark = min(words & _OUTSIDE_WORDS, default="") or min(words & _MAIN_WORDS, default="")
         out.append((f"{tag}.{mark}", "", 0))
     close()
     return out
 
 
 # A wrapper is a list of nodes: {"k": unit} or {"k": "+", "body": [...]}, both with "o" if optional;
-# texts have "t": the slots of pages' structures that they stand for, and what is known of them.
+# texts have "t": the slots of pages' structures that they stand for, each with its place there (1 inside
+# article or main, -1 outside of what can be an article, else 0), and "f": what is known of them.
 
 def fold_repeats(units: list[str]) -> tuple[list, list[list[int]]]:
     """The structure of a page, groups that follow each other folded, and of each unit its slot's path."""
@@ -142,6 +144,12 @@ def structure(page: str | None) -> tuple[str, list[tuple[str, str, int]], list[i
 def _wrapper(skeleton: str, key: str, facts: dict[str, list]) -> list[dict]:
     """The wrapper of one structure; ``facts``: by slot, [texts, characters, link characters, text or null]."""
     at = 0
+    stack: list[str] = []
+
+    def place() -> int:
+        if any(x.split(".")[0] in _OUTSIDE or x.split(".")[1] in _OUTSIDE_WORDS for x in stack):
+            return -1
+        return int(any(x.split(".")[0] in _MAIN or x.split(".")[1] in _MAIN_WORDS for x in stack))
 
     def make(node) -> dict:
         nonlocal at
@@ -149,7 +157,16 @@ def _wrapper(skeleton: str, key: str, facts: dict[str, list]) -> list[dict]:
             return {"k": "+", "body": [make(x) for x in node[1]]}
         out = {"k": node}
         if node == "#":
-            out |= {"t": [[key, at]], "f": facts.get(str(at), [0, 0, 0, None])}
+            out |= {"t": [[key, at, place()]], "f": facts.get(str(at), [0, 0, 0, None])}
+        elif node[0] == "/":
+            names = [x.split(".")[0] for x in stack]
+            if node[1:] in names:
+                del stack[len(names) - 1 - names[::-1].index(node[1:]):]
+        else:
+            tag = node.split(".")[0]
+            while stack and stack[-1].split(".")[0] in _CLOSES.get(tag, ()):
+                stack.pop()
+            stack.append(node)
         at += 1
         return out
 
@@ -234,43 +251,26 @@ def kept_slots(wrapper: list[dict]) -> dict[str, list[int]]:
     """Of each structure that went into a wrapper, the slots that hold the article.
 
     A slot inside nav, footer and the like, or inside something whose class says so, is
-    not the article. If the wrapper has an article or main element, its other slots are; else those
+    not the article. If its own structure has an article or main element, its slots there are; else those
     that are not mostly links and do not say the same on all pages.
     """
-    found: list[tuple[list[list], bool, bool]] = []
-    stack: list[str] = []
-    has_main = False
+    found: list[tuple[str, int, int, bool]] = []
 
     def walk(nodes: list[dict]) -> None:
-        nonlocal has_main
         for node in nodes:
-            k = node["k"]
-            if k == "+":
+            if node["k"] == "+":
                 walk(node["body"])
-            elif k == "#":
-                outside = any(x.split(".")[0] in _OUTSIDE or x.split(".")[1] in _OUTSIDE_WORDS for x in stack)
-                inside = any(x.split(".")[0] in _MAIN or x.split(".")[1] in _MAIN_WORDS for x in stack)
-                has_main |= inside and not outside
+            elif node["k"] == "#":
                 texts, size, linked, same = node["f"]
                 plain = 2 * linked <= size and not (texts >= _FIXED_PAGES and same is not None)
-                if not outside:
-                    found.append((node["t"], inside, plain))
-            elif k[0] == "/":
-                names = [x.split(".")[0] for x in stack]
-                if k[1:] in names:
-                    del stack[len(names) - 1 - names[::-1].index(k[1:]):]
-            else:
-                tag = k.split(".")[0]
-                while stack and stack[-1].split(".")[0] in _CLOSES.get(tag, ()):
-                    stack.pop()
-                stack.append(k)
+                found.extend((key, slot, place, plain) for key, slot, place in node["t"])
 
     walk(wrapper)
+    with_main = {key for key, _, place, _ in found if place == 1}
     out: dict[str, list[int]] = {}
-    for slots, inside, plain in found:
-        if inside if has_main else plain:
-            for key, slot in slots:
-                out.setdefault(key, []).append(slot)
+    for key, slot, place, plain in found:
+        if place == 1 or (place == 0 and plain and key not in with_main):
+            out.setdefault(key, []).append(slot)
     return out
 
 

@@ -65,3 +65,18 @@ def test_extraction(spark):
     assert by[100] == by[101] == "" and by[102] == "only < this"
     assert by[103] == "\n".join(["long text"] * 30_000)
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_hosts_with_templates_of_different_kinds(spark):
+    rows, want = [], {}
+    for i in range(24):
+        words = [f"block {i} {j} with words of its own" for j in range(1 + i % 4)]
+        cells = "".join(f"<p>{w}</p>" for w in words)
+        menu = "<ul class='main-menu'><li>Home<li>Contact</ul>"
+        body = [f"<article>{cells}</article>", f"<div class=content>{cells}</div>",
+                f"<table><tr><td>{cells}</td></tr></table>"][i % 3]
+        rows.append((i, "http://mixed.example/x", f"{menu}<div id=main-nav>Go</div>{body}<footer>End</footer>"))
+        rows.append((100 + i, "http://menu.example/x", f"{menu}<div class='main-sidebar'>Side</div><div>{cells}</div>"))
+        want[i] = want[100 + i] = "\n".join(words)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in H.extract(df).collect()} == want
