@@ -112,6 +112,12 @@ class _Source:
         return self.file.read_at(max(0, min(size, self.length - start)), start) if start < self.length else b""
 
 
+def _may_be_header(data: bytes) -> bool:
+    """Whether the whole lines of ``data`` can begin a record header, of any length."""
+    first, *fields = data.split(b"\r\n")[:-1] or [b"WARC/1.1"]
+    return bool(re.fullmatch(rb"WARC/1\.[0-9]+", first)) and all(b":" in f for f in fields)
+
+
 def _header(source: _Source, at: int, known: bytes = b"") -> tuple[dict[str, str], int] | None:
     """Fields of the record header at ``at`` and where its block starts; None if there is none."""
     size = _PEEK
@@ -120,7 +126,8 @@ def _header(source: _Source, at: int, known: bytes = b"") -> tuple[dict[str, str
         end = data.find(b"\r\n\r\n")
         if end >= 0:
             break
-        if at + len(data) >= source.length or size > 1 << 24:
+        # what no header can begin with is not read on
+        if at + len(data) >= source.length or not _may_be_header(data):
             return None
         size *= 4
         data = source.read(at, size)
@@ -157,6 +164,12 @@ def boundaries(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     reached from there is no record. Ranges in which no record starts, and files that start with
     none, have no row; behind a broken record nothing is reached any more.
     """
+    links, reached = _reached(files, range_bytes)
+    return links.join(reached, ["uri", "place"]).select("uri", "start", "stop", F.col("place").alias("entry"))
+
+
+def _reached(files: DataFrame, range_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates of all ranges, and the places (uri, place) that are reached from the starts of files."""
     ranges = files.filter("length > 0").select("uri", F.explode(F.sequence(
         F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start")) \
         .withColumn("stop", F.col("start") + range_bytes)
@@ -198,7 +211,7 @@ def boundaries(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         reached = freeze(reached.union(further).distinct())
         ahead = jump.select("uri", F.col("place").alias("leave"), F.col("leave").alias("next"))
         jump = freeze(jump.join(ahead, ["uri", "leave"]).select("uri", "place", F.col("next").alias("leave")))
-    return links.join(reached, ["uri", "place"]).select("uri", "start", "stop", F.col("place").alias("entry"))
+    return links, reached
 
 
 def read_archives(files: DataFrame, payloads: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -206,7 +219,8 @@ def read_archives(files: DataFrame, payloads: bool = True, range_bytes: int = RA
 
     Columns: uri, offset, record_type, record_id, target_uri, refers_to (id of a record),
     payload_bytes and payload_digest (bare base32 SHA-1) of the full payload, and payload (null unless
-    asked for, and in revisits). What a record holds is digested again; a digest other than its header's raises.
+    asked for, and in revisits). What a record holds is digested again; a digest other than its header's
+    raises, and so does a file whose chain of records does not reach its length.
     """
     schema = ("uri string, offset long, record_type string, record_id string, target_uri string, "
               "refers_to string, payload_bytes long, payload_digest string, payload binary")
@@ -222,7 +236,7 @@ def read_archives(files: DataFrame, payloads: bool = True, range_bytes: int = RA
                     found = _header(source, at)
                     behind = _successor(source, at)
                     if found is None or behind is None:
-                        break
+                        raise ValueError(f"{uri}: no whole record at {at}")
                     fields, begin = found
                     block = source.read(begin, behind - 4 - begin)
                     payload = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
@@ -246,7 +260,13 @@ def read_archives(files: DataFrame, payloads: bool = True, range_bytes: int = RA
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    found = freeze(boundaries(files, range_bytes))
+    links, reached = _reached(files, range_bytes)
+    found = freeze(links.join(reached, ["uri", "place"]).select("uri", "start", "stop", F.col("place").alias("entry")))
+    # places that a chain comes to and no record is at: the start of a file, or behind a range
+    lost = (reached.join(files.select("uri", "length"), "uri").filter("place < length")
+            .join(links, ["uri", "place"], "left_anti").select("uri", "place").first())
+    if lost is not None:
+        raise ValueError(f"{lost.uri}: no whole record at {lost.place}")
     n = max(1, min(found.count(), 10 * files.sparkSession.sparkContext.defaultParallelism))
     return found.repartition(n, "uri", "start").mapInArrow(run, schema)
 

@@ -62,3 +62,16 @@ def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     files = warc.write_archives(df)
     assert files.count() == 0 and warc.read_archives(files).count() == 0
+
+
+def test_broken_files_raise_and_long_headers_are_read(spark):
+    good = b"".join(warc._record("response", f"urn:x-page:{i}", "http://a", "d", warc.base32_sha1(b"abc"), 3, None, b"abc")
+                    for i in range(5))
+    for k, data in enumerate((good[:-2], good + b"junk" + good, b"junk" + good)):
+        uri = write_once(new_folder(spark, "torn"), f"t{k}", data)
+        for r in (100, len(good), 1 << 20):
+            with pytest.raises(Exception, match="no whole record"):
+                warc.read_archives(spark.createDataFrame([(uri, len(data))], "uri string, length long"), range_bytes=r).count()
+    data = warc._record("response", "urn:x-page:1", "http://a/" + "u" * (70 << 20), "d", "X", 3, None, b"abc")
+    source = warc._Source(write_once(new_folder(spark, "long"), "l", data))
+    assert warc._successor(source, 0) == len(data)
