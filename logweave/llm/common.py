@@ -42,6 +42,14 @@ def stable(df: DataFrame) -> DataFrame:
     return written(df, "rows")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row_key(df: DataFrame, name: str = "_row") -> DataFrame:
     """``df`` with a number that tells rows apart even if their ids are null or repeated.
 
@@ -78,10 +86,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, word starts, word ends, and for each row the number of words before it (one more)."""
+def words(column: pa.Array, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, word starts, word ends, and for each row the number of words before it (one more).
+
+    ``between`` says of each byte whether it stands between words.
+    """
     data, offsets = text_buffers(column)
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     new_row = np.zeros(len(data) + 1, bool)
     new_row[offsets] = True
     before = np.zeros(len(data), bool)

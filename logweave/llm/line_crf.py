@@ -7,14 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.llm.common import text_slices, word_hashes, words
 
-#: Labelled documents that the model is fitted on, at most, and lines of each of them.
+#: Labelled documents that the model is fitted on, at most, and lines of all of them together.
 FIT_DOCUMENTS = 6000
-FIT_LINES = 500
+FIT_LINES = 3_000_000
 ROUNDS = 250
 RIDGE = 5e-5
 THRESHOLD = 0.3
@@ -190,8 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = FIT_
         lines: int = FIT_LINES) -> Model:
     """A model from ``labels`` (doc_id, quality 0/1), on a bounded sample of labelled rows.
 
-    The sample is the ``most`` labelled ids with the smallest hash, of each at
-    most ``lines`` lines; only their bins come to the driver. Null ids and
+    The sample is the ``most`` labelled ids with the smallest hash, in that
+    order and one row of each (that of the smallest text hash), all lines of
+    it; documents of more than ``lines`` lines are left out, and so are those from
+    where the sample would have more lines than that.
+    Only the sample's bins come to the driver. Null ids and
     labels are left out, of repeated ids the smaller label counts. Without
     labelled rows the model scores every text 0.5.
     """
@@ -202,16 +205,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = FIT_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
             bins, _, first = line_bins(part.column("text"))
-            packed = [bins[a:min(b, a + lines)].astype(np.uint8).tobytes()
-                      for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("good"), pa.array(packed, pa.binary())],
-                                             names=["good", "bins"])
-
-    # the sample has a bounded number of rows
-    rows = (docs.select("doc_id", F.col(text).alias("text"))
-            .join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
-            .select(F.col("_good").cast("int").alias("good"), "text")
-            .mapInArrow(run, "good int, bins binary").collect())
+            packed = [bins[a:b].astype(np.uint8).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), part.column("good"), part.column("hash"), pa.array(np.diff(first).astype(np.int64)),
+                 pa.array(packed, pa.binary())], names=["id", "good", "hash", "n", "bins"])
+
+    joined = (docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col(text).alias("text"))
+              .join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
+              .select(F.col("_id").cast("long").alias("id"), F.col("_good").cast("int").alias("good"),
+                      F.xxhash64("text").alias("hash"), "text")
+              .mapInArrow(run, "id long, good int, hash long, n long, bins binary"))
+    one = joined.groupBy("id").agg(F.min(F.struct("hash", "n", "good", "bins")).alias("row"))
+    # at most one row for each id of the sample: a window over all of them is bounded
+    upto = F.sum("row.n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = one.filter(F.col("row.n") <= lines).withColumn("upto", upto).filter(F.col("upto") <= lines).select("row.good", "row.bins").collect()
     rows.sort(key=lambda r: (r.good, r.bins))
     arrays = [np.frombuffer(r.bins, np.uint8).reshape(-1, len(_EDGES)) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int64)

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, decontaminate, gru_lm, html_wrappers, line_crf, quality_rules, simhash_dedup, substring_dedup, warc, wavelet
-from logweave.llm.common import read
+from logweave.llm import (bpe, conversation_trie, decontaminate, gru_lm, html_wrappers, license_scan, line_crf,
+                          quality_rules, simhash_dedup, substring_dedup, vector_codes, warc, wavelet)
+from logweave.llm.common import read, written
 
 
 def vocabulary(name: str) -> str:
@@ -76,6 +77,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.encode(read(spark, sf_dir, "embeddings"))
+    table = written(codes.table, "codes")
+    return vector_codes.label_errors(table).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversation_trie.sequences(read(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(conversation_trie.rebuild(found))
+
+
 REGISTRY = {"op1_benchmark_decontamination": op1_benchmark_decontamination,
             "op2_quality_rules": op2_quality_rules,
             "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_warc": op4_warc,
@@ -84,5 +101,7 @@ REGISTRY = {"op1_benchmark_decontamination": op1_benchmark_decontamination,
             "op7_wavelet_tokens": op7_wavelet_tokens,
             "op8_html_extraction": op8_html_extraction,
             "op9_byte_bpe": op9_byte_bpe,
-            "op10_quality_classifier": op10_quality_classifier}
-SQL: dict[str, str] = {}
+            "op10_quality_classifier": op10_quality_classifier,
+            "op11_vector_codes": op11_vector_codes, "op12_license_scan": op12_license_scan,
+            "op13_conversation_trie": op13_conversation_trie}
+SQL: dict[str, str] = {"op11_vector_codes": vector_codes.codes_sql(), "op12_license_scan": license_scan.scan_sql()}

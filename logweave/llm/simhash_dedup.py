@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import stable, text_slices
+from logweave.llm.common import free_name, stable, text_slices
 from logweave.llm.components import components
 from logweave.session import freeze
 
@@ -176,8 +176,9 @@ def deduplicate(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFr
     doc_id go if their class has a row with one; else one of them is kept.
     """
     docs = stable(docs)
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = freeze(_classes(keyed.select("_row", "doc_id", F.col(text).alias("text")), shingle, GROUP_LIMIT))
+    row = free_name(docs, "_row")
+    keyed = docs.withColumn(row, F.monotonically_increasing_id())
+    found = freeze(_classes(keyed.select(F.col(row).alias("_row"), "doc_id", F.col(text).alias("text")), shingle, GROUP_LIMIT))
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.col("_row"))).alias("head")
-    heads = found.groupBy("class").agg(first).select(F.col("head._row").alias("_row"))
-    return keyed.join(heads, "_row", "left_semi").select(docs.columns)
+    heads = found.groupBy("class").agg(first).select(F.col("head._row").alias(row))
+    return keyed.join(heads, row, "left_semi").select(docs.columns)

@@ -220,7 +220,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
     Texts without a removed word stay exactly as they are; a null text stays null.
     """
     docs = stable(docs)
-    whole = with_row_key(docs)
+    rest = [c for c in docs.columns if c != text]
+    whole = with_row_key(docs.select(F.struct(*rest).alias("_rest"), F.col(text).alias("_text")))
     marks = _with_repeats(docs, text, window).filter("starts IS NOT NULL").select("_row", "starts", "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,9 +234,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) ->
             yield pa.RecordBatch.from_arrays([part.column("_rest"), pa.array(new, pa.string())],
                                              names=["_rest", "_new"])
 
-    rest = [c for c in docs.columns if c != text]
-    joined = whole.join(marks, "_row", "left").select(
-        F.struct(*[whole[c] for c in rest]).alias("_rest"), whole[text].alias("_text"), "starts", "copy")
+    joined = whole.join(marks, "_row", "left").select("_rest", "_text", "starts", "copy")
     kind = joined.schema["_rest"].dataType.simpleString()
     cut = joined.mapInArrow(run, f"_rest {kind}, _new string")
     return cut.select(*[F.col("_new").alias(c) if c == text else F.col("_rest")[c].alias(c)

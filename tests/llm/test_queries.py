@@ -14,12 +14,14 @@ COLUMNS = {
     "op8_html_extraction": "page_id url text n_chars",
     "op9_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op10_quality_classifier": "doc_id held_out score predicted",
+    "op11_vector_codes": "vec_id code error label_error codebooks_sha256",
+    "op12_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
 }
 
 
 @pytest.mark.parametrize("name", COLUMNS)
 def test_whole_table(spark, sf, name):
-    table, key = ("pages", "page_id") if "page_id" in COLUMNS[name] else ("documents", "doc_id")
+    table, key = next((t, k) for t, k in (("pages", "page_id"), ("embeddings", "vec_id"), ("documents", "doc_id")) if k in COLUMNS[name])
     df = entry.queries()[name](spark, sf)
     assert df.columns[:len(COLUMNS[name].split())] == COLUMNS[name].split()
     want = sorted(r[0] for r in spark.read.parquet(f"{sf}/{table}.parquet").select(key).collect())
