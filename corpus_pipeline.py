@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, decontaminate, line_crf, near_copies, substring_dedup
+from logweave.llm import bpe, decontaminate, line_crf, simhash_dedup, substring_dedup
 from logweave.llm.common import read, run_stages
 from logweave.llm.queries import quality_model, vocabulary
 
@@ -21,8 +21,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word similarity of 0.8) stays, that of the smallest doc_id."""
-    return near_copies.deduplicate(docs)
+    """One document of each group of SimHash near copies stays, that of the smallest doc_id."""
+    return simhash_dedup.deduplicate(docs)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
