@@ -15,33 +15,39 @@ from logweave.operators.rules import compile_masks
 REF_TS = "2024-06-01 00:00:00"
 LOCAL_HOST = "loghost"
 
-# Rules as an administrator would write them: id, selector, program, message,
-# host, date and time patterns, inverse, destination, sink.
+# Rules of our own, one or two for each thing that selectors, blocks and filters
+# can say: id, selector, program, message, host, date and time patterns, inverse,
+# destination, sink. The lines have severities 3 to 7 in all facilities.
 _RULE_ROWS = [
-    ("m1", "*.crit;daemon.*;cron.notice;lpr.none", None, None, None, None, None, False, "console", "file"),
-    ("m2", "*.notice;news.none;lpr.none", None, None, None, None, None, False, "messages", "file"),
-    ("m3", "lpr.*", None, None, None, None, None, False, "secure", "file"),
-    ("m4", "news.*", None, None, None, None, None, False, "maillog", "file"),
-    ("m5", "*.warning", None, None, None, None, None, False, "operators", "notify"),
-    ("m6", "*.warning", None, None, None, None, None, False, "alice,bob", "notify"),
-    ("m7", "ftp,local3.warning", None, None, None, None, None, False, "transfers", "file"),
-    ("m8", "*.*", "error", None, None, None, None, False, "problems", "file"),
-    ("x1", "*.warning", None, "[[:digit:]]{3}", None, None, None, True, "root", "notify"),
-    ("x2", "*.err", None, "k \\{\"k\": 9", None, None, None, False, "root", "notify"),
-    ("x3", "*.warning", None, None, "^h1", None, None, False, "collector", "forward"),
-    ("x4", "cron.info", None, None, None, None, "^1", True, "collector", "forward"),
-    ("c1", "*.info", None, None, None, None, None, False, "relay", "forward"),
-    ("p1", "cron.info", None, None, None, None, None, False, "cronlog", "table"),
-    ("g1", "*.=warning", None, None, None, None, None, False, "warnings", "table"),
-    ("g2", "*.*;mail.!err", None, None, None, None, None, False, "most", "table"),
-    ("g3", "*.*;mail.!=info", None, None, None, None, None, False, "most", "table"),
-    ("g4", "*.!none", None, None, None, None, None, False, "all", "table"),
-    ("g5", "mail.nosuch", None, None, None, None, None, False, "never", "table"),
-    ("g6", "mark.info", None, None, None, None, None, False, "beat", "file"),
-    ("g7", "mail.crit,*.err", None, None, None, None, None, False, "errors", "table"),
-    ("g8", "*.=*", None, None, None, None, None, False, "never", "table"),
-    ("g9", "*.err;mark.*", "signup", None, None, "Jan 1[0-9]", None, False, "signups", "file"),
-    ("b1", "auth.*;mark.info", None, None, None, None, None, False, "authbeat", "file"),
+    ("whole", "syslog.*", None, None, None, None, None, False, "own.log", "file"),
+    ("least", "local2.notice", None, None, None, None, None, False, "tenant2.log", "file"),
+    ("groups", "user,local1,local4.info", None, None, None, None, None, False, "groups.log", "file"),
+    ("sums", "local6.err;kern.info;cron.debug", None, None, None, None, None, False, "sums.log", "file"),
+    ("general", "*.info;local5.none;uucp,ftp.!warn", None, None, None, None, None, False, "general.log", "file"),
+    ("exact", "*.=notice;daemon.=info", None, None, None, None, None, False, "steps", "table"),
+    ("dead", "user.=warning", None, None, None, None, None, False, "steps", "table"),
+    ("cut", "local0,local1.*;local1.!notice", None, None, None, None, None, False, "calm", "table"),
+    ("hole", "*.*;ftp.!=info;lpr.!=err", None, None, None, None, None, False, "holes", "table"),
+    ("filled", "lpr.!none;uucp.none", None, None, None, None, None, False, "filled", "table"),
+    ("comma", "local3.notice,uucp,ftp.err", None, None, None, None, None, False, "comma", "table"),
+    ("numbers", "16.5;184.=7", None, None, None, None, None, False, "numbers", "table"),
+    ("names", "SECURITY.Error;daemon.warning", None, None, None, None, None, False, "names", "table"),
+    ("no_level", "user.loud", None, None, None, None, None, False, "never", "table"),
+    ("no_facility", "nowhere.info;user.*", None, None, None, None, None, False, "never", "table"),
+    ("no_exact", "cron.=*", None, None, None, None, None, False, "never", "table"),
+    ("beat", "mark.info", None, None, None, None, None, False, "beat.log", "file"),
+    ("guarded", "local7.*;mark.info", None, None, None, None, None, False, "guarded.log", "file"),
+    ("sales", "*.*", "purchase", None, None, None, None, False, "sales.log", "file"),
+    ("fresh", "*.notice;mark.*", "signup", None, None, "Jan 2[0-4]", None, False, "fresh.log", "file"),
+    ("alarm", "*.err", None, None, None, None, None, False, "dora", "notify"),
+    ("loud", "*.warn", None, None, None, None, None, False, "dora,emil,finn", "notify"),
+    ("louder", "*.warn", None, None, None, None, None, False, "everyone", "notify"),
+    ("no_digits", "*.warning", None, "[[:digit:]]{3}", None, None, None, True, "emil", "notify"),
+    ("two_tests", "*.notice", None, "k [{]\"k\": [1-4]", "^h[02468][.]?", None, None, False, "finn", "notify"),
+    ("far", "local0,local2,local4.info", None, None, "[5-9]$", None, None, False, "vault", "forward"),
+    ("night", "*.err;syslog.none", None, None, None, None, "^0[0-5]:", False, "vault", "forward"),
+    ("day", "*.err", None, None, None, None, "^(0[0-5]|2[0-3]):", True, "relay", "forward"),
+    ("ledger", "news.notice", None, None, None, None, None, False, "ledger", "table"),
 ]
 
 

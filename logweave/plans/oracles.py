@@ -226,7 +226,7 @@ SQL["default_rules"] = f"""WITH {RECORDS} SELECT rule_id, dest, count(*) AS n FR
 JOIN (VALUES ('default-1', 'console', 3), ('default-2', '*', 0)) d(rule_id, dest, worst) ON sev <= worst
 GROUP BY 1, 2"""
 SQL["unrouted"] = f"""WITH {ROUTED} SELECT seq, fac, sev, prog FROM records WHERE seq NOT IN (
-  SELECT seq FROM routed WHERE rule_id IN ('m1', 'm3', 'm8', 'p1', 'g1'))"""
+  SELECT seq FROM routed WHERE rule_id IN ('whole', 'groups', 'sales', 'ledger', 'exact'))"""
 SQL["regex_message"] = f"""WITH {RECORDS} SELECT seq, host, msg FROM records
 WHERE regexp_matches(msg, '[[:digit:]]{{3}}.*9')"""
 SQL["regex_time_inverse"] = f"""WITH {RECORDS} SELECT seq, host, {stamp('ts')} AS ts FROM records
@@ -238,8 +238,8 @@ WHERE (message_re IS NULL OR regexp_matches(msg, message_re) <> inverse)
   AND (host_re IS NULL OR regexp_matches(host, host_re) <> inverse)
   AND (time_re IS NULL OR regexp_matches(strftime(ts, '%H:%M:%S'), time_re) <> inverse)
   AND (date_re IS NULL OR regexp_matches(strftime(ts, '%b ') || lpad(CAST(day(ts) AS VARCHAR), 2, ' '), date_re) <> inverse)
-  AND (rule_id NOT IN ('m5', 'm6') OR (msg LIKE '%error%' AND regexp_matches(host, '[13579]$') AND second(ts) % 2 = 0))
-  AND (rule_id <> 'm6' OR (msg NOT LIKE '%k: 1%' AND host NOT LIKE 'h1%'))
+  AND (rule_id NOT IN ('loud', 'louder') OR (msg LIKE '%error%' AND regexp_matches(host, '[13579]$') AND second(ts) % 2 = 0))
+  AND (rule_id <> 'louder' OR (msg NOT LIKE '%k: 1%' AND host NOT LIKE 'h1%'))
 GROUP BY 1"""
 SQL["drop_empty"] = "SELECT event_type AS msg, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1"
 
@@ -316,7 +316,7 @@ WHERE sink = 'table' GROUP BY 1, 2, 3, 4"""
 # facilities 12 to 15 have no name and are shown as numbers
 SQL["log_table"] = SQL["log_table"].replace("SELECT f.facility,", "SELECT coalesce(f.facility, CAST(r.fac * 8 AS VARCHAR)) AS facility,")
 SQL["log_table_plain"] = f"""WITH {ROUTED} SELECT strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M:%S') AS time, host,
-  msg AS message FROM routed WHERE rule_id = 'p1'"""
+  msg AS message FROM routed"""
 SQL["log_table_ts"] = f"""WITH {ROUTED}, {SEV_NAMES},
 k AS (SELECT ts, host, msg, arg_min(fac, seq) AS fac, arg_min(sev, seq) AS sev FROM routed WHERE sink = 'table' GROUP BY 1, 2, 3)
 SELECT coalesce(f.facility, CAST(k.fac * 8 AS VARCHAR)) AS facility, s.priority, {stamp('ts')} AS timestamp, host, msg AS message

@@ -279,7 +279,7 @@ def default_rules(spark, sf):
 
 @query
 def unrouted(spark, sf):
-    some = X.compiled(spark).filter("rule_id IN ('m1', 'm3', 'm8', 'p1', 'g1')")
+    some = X.compiled(spark).filter("rule_id IN ('whole', 'groups', 'sales', 'ledger', 'exact')")
     return route.unrouted(X.records(spark, sf), some).select("seq", "fac", "sev", "prog")
 
 
@@ -300,11 +300,11 @@ def regex_time_inverse(spark, sf):
 def regex_chain(spark, sf):
     """Filters of all rules, and a second one for some of them."""
     base = X.rules(spark).select("rule_id", "message_re", "host_re", "date_re", "time_re", "inverse")
-    more = base.filter("rule_id IN ('m5', 'm6')").select(
+    more = base.filter("rule_id IN ('loud', 'louder')").select(
         "rule_id", F.lit("error").alias("message_re"), F.lit("[13579]$").alias("host_re"),
         F.lit(None).cast("string").alias("date_re"), F.lit("[02468]$").alias("time_re"),
         F.lit(False).alias("inverse"))
-    more2 = more.filter("rule_id = 'm6'").withColumn("host_re", F.lit("^h1")) \
+    more2 = more.filter("rule_id = 'louder'").withColumn("host_re", F.lit("^h1")) \
         .withColumn("inverse", F.lit(True)).withColumn("message_re", F.lit("k: 1")) \
         .withColumn("time_re", F.lit(None).cast("string"))
     chain = base.unionByName(more).unionByName(more2)
@@ -452,8 +452,7 @@ def log_table(spark, sf):
 @query
 def log_table_plain(spark, sf):
     """Without facility and priority columns."""
-    to = routed(spark, sf).filter("rule_id = 'p1'")
-    return (render.to_log_table(to, facility=False, priority=False)
+    return (render.to_log_table(routed(spark, sf), facility=False, priority=False)
             .withColumn("date", F.col("date").cast("string")))
 
 

@@ -134,7 +134,7 @@ def test_number_rows(spark, sf, hot, block):
 
 
 def test_write_and_look_up(spark, sf, tmp_path):
-    routed = route.route(X.records(spark, sf), X.compiled(spark)).filter("rule_id IN ('m3', 'm4')")
+    routed = route.route(X.records(spark, sf), X.compiled(spark)).filter("rule_id IN ('whole', 'groups')")
     deliver.write_files(routed, str(tmp_path / "files"), ordered=True)
     text = spark.read.text(str(tmp_path / "files"))
     assert rows(text.select("dest", "value")) == rows(render.render_file_lines(routed).select("dest", "value"))
@@ -170,7 +170,7 @@ def test_delivery_survives_a_bad_sink(spark, tmp_path):
 
 
 def test_forward_and_notice(spark, sf, tmp_path):
-    routed = route.route(X.records(spark, sf), X.compiled(spark)).filter("rule_id = 'm3'")
+    routed = route.route(X.records(spark, sf), X.compiled(spark)).filter("rule_id = 'whole'")
     deliver.write_forward(routed, "text", path=str(tmp_path / "out"))
     assert rows(spark.read.text(str(tmp_path / "out"))) == rows(
         render.render_forward(routed).select("value"))
@@ -200,7 +200,7 @@ def stream_events(spark, sf):
 def test_whole_stream_equals_batch(spark, sf, tmp_path):
     options = dict(default_host="l", ref_ts=X.REF_TS, trust_msg_host=True, strip_domain=True)
     raw = stream_events(spark, sf)
-    ids = ["m2", "m5", "g2", "x1", "b1"]
+    ids = ["general", "loud", "hole", "no_digits", "guarded"]
 
     def load(s):
         return X.rules(s).filter(F.col("rule_id").isin(ids))
@@ -222,7 +222,7 @@ def test_whole_stream_equals_batch(spark, sf, tmp_path):
                                                rules.compile_masks(table)), table)
     want = [(r.rule_id, str(r.at), str(r.ts), r.msg, r.n) for r in collapse.collapse_emit(routed).collect()]
     assert sorted(g[:5] for g in got) == sorted(want)
-    assert {g[5] for g in got if g[0] == "m2"} <= {"messages", None}
+    assert {g[5] for g in got if g[0] == "general"} <= {"general.log", None}
     assert stream.diagnostics(last).count() == 0
 
 
