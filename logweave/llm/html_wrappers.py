@@ -42,7 +42,7 @@ _OUTSIDE_WORDS = set(
     "contentinfo complementary".split())
 #: Structure units that a repeated group may have.
 _LONGEST_GROUP = 24
-#: Pages in which a text outside article and main must be the same to count as part of the layout.
+#: Pages of different contents in which a text outside article and main must be the same to count as layout.
 _FIXED_PAGES = 5
 
 
@@ -142,7 +142,11 @@ def structure(page: str | None) -> tuple[str, list[tuple[str, str, int]], list[i
 
 
 def _wrapper(skeleton: str, key: str, facts: dict[str, list]) -> list[dict]:
-    """The wrapper of one structure; ``facts``: by slot, [texts, characters, link characters, text or null]."""
+    """The wrapper of one structure; ``facts``: by slot, [pages, characters, link characters, digest of the text or null].
+
+    ``pages`` are digests of the contents of pages that fill the slot, as many of them as decide what is layout: copies
+    of a page are one page, and so is a page in which a slot stands several times.
+    """
     at = 0
     stack: list[str] = []
 
@@ -157,7 +161,7 @@ def _wrapper(skeleton: str, key: str, facts: dict[str, list]) -> list[dict]:
             return {"k": "+", "body": [make(x) for x in node[1]]}
         out = {"k": node}
         if node == "#":
-            out |= {"t": [[key, at, place()]], "f": facts.get(str(at), [0, 0, 0, None])}
+            out |= {"t": [[key, at, place()]], "f": facts.get(str(at), [[], 0, 0, None])}
         elif node[0] == "/":
             names = [x.split(".")[0] for x in stack]
             if node[1:] in names:
@@ -182,7 +186,7 @@ def _keys(nodes: list[dict]) -> list[str]:
 
 
 def _facts(a: list, b: list) -> list:
-    return [a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] if a[3] == b[3] or not b[0] else b[3] if not a[0] else None]
+    return [sorted({*a[0], *b[0]})[:_FIXED_PAGES], a[1] + b[1], a[2] + b[2], a[3] if a[3] == b[3] or not b[0] else b[3] if not a[0] else None]
 
 
 def _join(a: dict, b: dict) -> dict:
@@ -252,7 +256,7 @@ def kept_slots(wrapper: list[dict]) -> dict[str, list[int]]:
 
     A slot inside nav, footer and the like, or inside something whose class says so, is
     not the article. If its own structure has an article or main element, its slots there are; else those
-    that are not mostly links and do not say the same on all pages.
+    that are not mostly links and do not say the same on pages of different contents.
     """
     found: list[tuple[str, int, int, bool]] = []
 
@@ -261,8 +265,8 @@ def kept_slots(wrapper: list[dict]) -> dict[str, list[int]]:
             if node["k"] == "+":
                 walk(node["body"])
             elif node["k"] == "#":
-                texts, size, linked, same = node["f"]
-                plain = 2 * linked <= size and not (texts >= _FIXED_PAGES and same is not None)
+                pages, size, linked, same = node["f"]
+                plain = 2 * linked <= size and not (len(pages) >= _FIXED_PAGES and same is not None)
                 found.extend((key, slot, place, plain) for key, slot, place in node["t"])
 
     walk(wrapper)
@@ -274,6 +278,17 @@ def kept_slots(wrapper: list[dict]) -> dict[str, list[int]]:
     return out
 
 
+def _outside(wrapper: list[dict]) -> set[int]:
+    """Slots of a wrapper inside menus, footers and the like."""
+    out = set()
+    for node in wrapper:
+        if node["k"] == "+":
+            out |= _outside(node["body"])
+        elif node["k"] == "#":
+            out.update(slot for _, slot, place in node["t"] if place < 0)
+    return out
+
+
 def host_of(url: str | None) -> str:
     """The host of a URL in lower case; empty where there is none."""
     try:
@@ -292,12 +307,18 @@ def _structures(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "html"):
             seen: dict[tuple[str, str], dict[str, list]] = {}
+            outside: dict[str, set[int]] = {}
             for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
                 skeleton, tokens, slot_of = structure(page)
                 facts = seen.setdefault((host_of(url), skeleton), {})
+                if skeleton not in outside:
+                    outside[skeleton] = _outside(_wrapper(skeleton, "", {}))
+                inside = [t for (unit, t, _), slot in zip(tokens, slot_of, strict=True)
+                          if unit == "#" and slot not in outside[skeleton]]
+                page_key = _key("\0".join(inside))[:16]
                 for (unit, text, linked), slot in zip(tokens, slot_of, strict=True):
                     if unit == "#":
-                        one = [1, len(text), linked, text if len(text) < 200 else None]
+                        one = [[page_key], len(text), linked, _key(text)[:16]]
                         facts[str(slot)] = _facts(facts[str(slot)], one) if str(slot) in facts else one
             rows = [(host, _key(s), s, json.dumps(f)) for (host, s), f in seen.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)],

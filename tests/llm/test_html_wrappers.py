@@ -80,3 +80,18 @@ def test_hosts_with_templates_of_different_kinds(spark):
         want[i] = want[100 + i] = "\n".join(words)
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {x.page_id: x.text for x in H.extract(df).collect()} == want
+
+
+def test_copies_lose_nothing(spark):
+    one = "<nav>{}</nav><div><h1>Headline here</h1><p>A short paragraph.</p></div><footer>{}</footer>"
+    cells = "<table>" + "<tr><td>same cell</td></tr>" * 9 + "</table>"
+    rows = []
+    for n in (1, 4, 5, 6, 300):
+        rows += [(n, f"http://copies{n}.example/", one.format(f"Menu {i}", f"seen {i}")) for i in range(n)]
+    rows += [(1000, "http://cells.example/", cells)]
+    long = "fixed words of the layout " * 20
+    rows += [(2000 + i, "http://layout.example/", f"<h1>Text {i}</h1><p>{long}</p>") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for x in H.extract(df).collect():
+        assert x.text == ("\n".join(["same cell"] * 9) if x.page_id == 1000 else f"Text {x.page_id - 2000}"
+                          if x.page_id >= 2000 else "Headline here\nA short paragraph."), x
