@@ -413,3 +413,4 @@ SELECT CAST(rule_id AS VARCHAR) AS rule_id, count(*) AS n, CAST(sum(seq) AS BIGI
 WHERE free OR (NOT (odd AND kind < 5) AND hit <> inverse) GROUP BY 1"""
 
 SQL["lookup_table"] = SQL["lookup"]
+SQL["followed_lines"] = f"""WITH {RAW} SELECT line, count(*) AS n, count(*) AS places FROM raw GROUP BY 1"""

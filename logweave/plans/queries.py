@@ -15,6 +15,7 @@ from logweave.operators import (collapse, diagnostics, filters, integrity, marks
 from logweave.plans import fixtures as X
 from logweave.session import shared_dir
 from logweave.sinks import deliver, render
+from logweave.sources import follow
 from logweave.sources import lines as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,6 +143,29 @@ def file_input(spark, sf):
         "seq", _ts("ts"), "pri", "host", "prog", "msg")
 
 
+@query
+def followed_lines(spark, sf):
+    """A stream over growing files, stopped and started again: half of the lines, then renamed files and the others."""
+    base = f"{shared_dir(spark)}/follow-{uuid.uuid4().hex}"
+    raw = X.raw_lines(spark, sf)
+
+    def run() -> None:
+        (follow.follow_lines(spark, f"{base}/in", split_bytes=1 << 18).writeStream.foreachBatch(
+            lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out/batch={i}"))
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+
+    raw.filter("seq % 2 = 0").select("line").write.text(f"{base}/in")
+    run()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(base).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for f in files.globStatus(path(f"{base}/in/part-*")):
+        files.rename(f.getPath(), f.getPath().suffix(".1"))
+    raw.filter("seq % 2 = 1").select("line").write.mode("append").text(f"{base}/in")
+    run()
+    return (spark.read.schema("file string, offset bigint, line string").parquet(f"{base}/out")
+            .groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file", "offset").alias("places")))
+
+
 @query
 def custom_time(spark, sf):
     """File lines with their own time format in the middle."""
