@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,17 +11,8 @@ _LATIN = "ISO-8859-1"
 # Optional PRI, month, day and hour:minute:second, when a word follows.
 _DATED_HEAD = r"^(?:<[0-9]+>)?\s*\S{1,3}\s*[0-9]+\s*[0-9]+:\s*[0-9]+:\s*[0-9]+\s+(?=\S)"
 _WORD = r"^\s*\S+\s*"
-_REPEAT = re.compile(r"\{[0-9]+(,[0-9]*)?\}")
-_SIGNS = "[]\\^&-"
 _BLANKS = " \t\n\r\f\x0b"
 
-# Bracket classes and what Java calls them.
-POSIX_CLASSES = {
-    "alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper",
-    "lower": "Lower", "punct": "Punct", "space": "Space", "blank": "Blank",
-    "cntrl": "Cntrl", "graph": "Graph", "print": "Print", "xdigit": "XDigit",
-}
-
 
 def flatten_newlines(text: Column) -> Column:
     return F.replace(text, F.lit("\n"), F.lit(" "))
@@ -109,65 +99,6 @@ def substitute(msg: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(msg, pattern, replacement)
 
 
-def java_pattern(pattern: str | None) -> str | None:
-    """A POSIX pattern in Java's words; None if it is no valid pattern (or null).
-
-    In brackets, classes such as ``[:alpha:]`` become Java's, and characters
-    that only Java takes for signs there are escaped. Outside, a brace that
-    begins no repetition is a character.
-    """
-    if pattern is None:
-        return None
-    out, i = [], 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "[":
-            found = _bracket(pattern, i)
-            if found is None:
-                return None
-            text, i = found
-            out.append(text)
-            continue
-        if c == "\\":
-            if i + 1 == len(pattern):
-                return None
-            out.append(pattern[i:i + 2])
-            i += 2
-            continue
-        out.append("\\{" if c == "{" and not _REPEAT.match(pattern, i) else c)
-        i += 1
-    java = "".join(out)
-    try:
-        regex.compile(java)
-    except (regex.error, OverflowError):
-        return None
-    return java
-
-
-def _bracket(pattern: str, i: int) -> tuple[str, int] | None:
-    """The bracket expression at ``i`` in Java's words and what follows it."""
-    out, i = ["["], i + 1
-    if pattern[i:i + 1] == "^":
-        out.append("^")
-        i += 1
-    first = i
-    while i < len(pattern):
-        c, two = pattern[i], pattern[i:i + 2]
-        if c == "]" and i > first:
-            return "".join(out) + "]", i + 1
-        if two in ("[:", "[.", "[="):
-            end = pattern.find(two[1] + "]", i + 2)
-            name = pattern[i + 2:end]
-            if end < 0 or (two == "[:" and name not in POSIX_CLASSES) or (two != "[:" and len(name) != 1):
-                return None
-            out.append("\\p{" + POSIX_CLASSES[name] + "}" if two == "[:" else "\\" + name if name in _SIGNS else name)
-            i = end + 2
-            continue
-        out.append("\\" + c if c in _SIGNS and c != "-" else c)
-        i += 1
-    return None
-
-
 def to_hex(data: Column) -> Column:
     return F.lower(F.hex(data))
 

@@ -9,17 +9,27 @@ when nothing matches.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions import clock, text
-from logweave.operators.joins import lookup_join
+from logweave.functions import clock, posix
+from logweave.operators import route
+from logweave.operators.joins import fits_broadcast, lookup_join
+from logweave.operators.patterns import PatternSet, RowTests
+from logweave.operators.rules import DEAD_MASK
 from logweave.session import freeze
 
 LITERAL_PATTERNS = 62
+#: Patterns, and bytes of them, that every task holds when messages are scanned once for all rules.
+SCAN_PATTERNS = 200_000
+SCAN_BYTES = 16 << 20
+_NAMES = ("message_re", "host_re", "date_re", "time_re")
 
 
 def _fields() -> dict[str, Column]:
@@ -37,7 +47,7 @@ def passes(message_re: str | None = None, host_re: str | None = None,
     tests = []
     for name, pattern in given.items():
         if pattern is not None:
-            java = text.java_pattern(pattern)
+            java = posix.java(pattern)
             if java is None:
                 raise ValueError(f"no valid pattern: {pattern!r}")
             hit = _fields()[name].rlike(java)
@@ -49,7 +59,7 @@ def _java(pattern: Column) -> Column:
     """Patterns of a rule table in Java's words, null where they are not valid."""
     @F.pandas_udf("string")
     def translated(patterns: pd.Series) -> pd.Series:
-        known = {p: text.java_pattern(p) for p in patterns.unique()}
+        known = {p: posix.java(p) for p in patterns.unique()}
         return patterns.map(known)
 
     return translated(pattern)
@@ -60,8 +70,7 @@ def _tests(rule_filters: DataFrame) -> DataFrame:
 
     ``given`` is the pattern as the rule has it, ``pattern`` is null where that is not valid.
     """
-    fields = [c for c in ("message_re", "host_re", "date_re", "time_re")
-              if c in rule_filters.columns]
+    fields = [c for c in _NAMES if c in rule_filters.columns]
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("re"))
                                for c in fields]))
     return (rule_filters.select("rule_id", F.coalesce("inverse", F.lit(False)).alias("inverse"),
@@ -85,7 +94,8 @@ def apply_filters(routed: DataFrame, rule_filters: DataFrame,
 
     Up to ``max_literal`` distinct tests are put into the plan as constant
     patterns, compiled once per task, and each rule carries a bit set of the
-    tests it needs. With more, the patterns stay a column.
+    tests it needs. With more, each row brings its rule's tests to a Python
+    worker, which keeps compiled patterns: a row costs the same however many rules there are.
     """
     tests = freeze(_tests(rule_filters))
     kinds = tests.filter("pattern IS NOT NULL").select("field", "pattern", "inverse").distinct()
@@ -116,15 +126,103 @@ def apply_filters(routed: DataFrame, rule_filters: DataFrame,
             conds.append(unused | (~hit if k["inverse"] else hit))
         return (joined.filter(F.col("_needs").isNull() | reduce(lambda a, b: a & b, conds))
                 .drop("_needs"))
-    needs = tests.groupBy("rule_id").agg(
-        F.collect_list(F.struct("field", "pattern", "inverse")).alias("_needs"))
+    number = reduce(lambda acc, k: acc.when(F.col("field") == k[1], F.lit(k[0])), enumerate(_NAMES), F.when(F.lit(False), 0))
+    each = F.sort_array(F.collect_list(F.struct(number.alias("f"), "given", "inverse")))
+    needs = tests.groupBy("rule_id").agg(F.to_json(each).alias("_needs"))
     joined = lookup_join(routed, needs, ["rule_id"], "left", spread, max_rows)
-    names = list(fields)
-
-    def value(test: Column) -> Column:
-        return reduce(lambda acc, n: acc.when(test["field"] == n, fields[n]), names[1:],
-                      F.when(test["field"] == names[0], fields[names[0]]))
-
-    good = F.forall(F.coalesce(F.col("_needs"), F.array().cast(needs.schema["_needs"].dataType)),
-                    lambda t: F.rlike(value(t), t["pattern"]) != t["inverse"])
-    return joined.filter(good).drop("_needs")
+    return joined.filter(_row_tests("_needs", *[fields[n] for n in _NAMES])).drop("_needs")
+
+
+def _row_tests(needs: str, *values: Column) -> Column:
+    """Whether a row passes the tests in its column ``needs``; true where it has none."""
+    kept = RowTests()
+
+    @F.pandas_udf("boolean")
+    def passing(tests: pd.Series, message: pd.Series, host: pd.Series, date: pd.Series, time: pd.Series) -> pd.Series:
+        out = []
+        for key, *row in zip(tests, message, host, date, time, strict=True):
+            if key is None:
+                out.append(True)
+                continue
+            found = kept.known.get(key)
+            if found is None:
+                found = kept.tests(key, [(t["f"], t["given"], t["inverse"]) for t in json.loads(key)])
+            out.append(kept.passes(found, tuple(row)))
+        return pd.Series(out, dtype=bool)
+
+    return passing(F.col(needs), *values)
+
+
+def route_matching(records: DataFrame, compiled: DataFrame, rule_filters: DataFrame,
+                   max_patterns: int = SCAN_PATTERNS, max_bytes: int = SCAN_BYTES) -> DataFrame:
+    """``apply_filters(route(records, compiled), rule_filters)`` for many rules that want the same records.
+
+    Each record is scanned once for the patterns of all rules, before it meets
+    a rule; a rule with a test that must match is looked up by that pattern, so a record is
+    compared with the rules one of whose patterns it matches, not with all that select
+    it. Rules of which no test must match are routed first and filtered after.
+    Patterns beyond the bounds, which are measured, take the other way.
+    """
+    tests = freeze(_tests(rule_filters).filter("given IS NOT NULL"))
+    kinds = tests.filter("pattern IS NOT NULL").select("field", "given").distinct()
+    if not fits_broadcast(kinds, max_patterns, max_bytes):
+        return apply_filters(route.route(records, compiled), rule_filters)
+    known = sorted(map(tuple, kinds.collect()))  # within the bounds just measured
+    if not known:
+        return apply_filters(route.route(records, compiled), rule_filters)
+    numbers = records.sparkSession.createDataFrame(
+        [(i, f, g) for i, (f, g) in enumerate(known)], "n int, field string, given string")
+    field = reduce(lambda acc, k: acc.when(F.col("field") == k[1], F.lit(-1 - k[0])), enumerate(_NAMES), F.when(F.lit(False), 0))
+    needs = tests.join(F.broadcast(numbers), ["field", "given"], "left").groupBy("rule_id").agg(
+        F.bool_or(F.col("pattern").isNull()).alias("_bad"),
+        F.array_sort(F.collect_set(F.when(~F.col("inverse"), F.col("n")))).alias("_all"),
+        F.array_union(F.collect_set(F.when(F.col("inverse"), F.col("n"))),
+                      F.collect_set(F.when(F.col("inverse"), field))).alias("_none"))
+    rules = freeze(compiled.join(needs, "rule_id", "left").filter("NOT coalesce(_bad, false)").drop("_bad"))
+    seen = _with_hits(records, known)
+    free = route.route(seen, rules.filter("_all IS NULL OR size(_all) = 0").select(compiled.columns))
+    bars = rules.filter("size(_all) = 0 AND size(_none) > 0").select("rule_id", "_none")
+    spread = [c for c in ("source", "seq", "host", "msg") if c in records.columns]
+    kept = lookup_join(free, bars, ["rule_id"], "left", spread).filter(
+        ~F.coalesce(F.arrays_overlap("_none", "_found"), F.lit(False))).drop("_none")
+    keyed = rules.filter("size(_all) > 0").select(
+        F.element_at("_all", -1).alias("_by"), "_all", "_none", "program", "masks", "rule_id",
+        *[c for c in free.columns if c not in seen.columns and c != "rule_id"])
+    by_hit = seen.withColumn("_by", F.explode("_found"))
+    mask = F.get("masks", F.col("fac"))
+    selected = (mask != DEAD_MASK) & (mask.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("sev"))) != 0)
+    met = lookup_join(by_hit, keyed, ["_by"], "inner", spread).filter(
+        (F.size(F.array_except("_all", "_found")) == 0) & ~F.arrays_overlap("_none", "_found")
+        & (F.col("program").isNull() | (F.col("program") == F.col("prog"))) & selected)
+    return kept.select(free.columns).unionByName(met.select(free.columns)).drop("_found")
+
+
+def _with_hits(records: DataFrame, known: list[tuple[str, str]]) -> DataFrame:
+    """``records`` with ``_found``: numbers of the patterns that match, and -1 - field for a null field."""
+    fields = _fields()
+    given = records.select("*", *[fields[n].alias(f"_{n}") for n in _NAMES])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [PatternSet((i, p) for i, (f, p) in enumerate(known) if f == n) for n in _NAMES]
+        short: list[dict] = [{} for _ in _NAMES]
+        for batch in batches:
+            found: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            for k, name in enumerate(_NAMES):
+                if not sets[k].search:
+                    continue
+                for hits, value in zip(found, batch.column(f"_{name}").to_pylist(), strict=True):
+                    if value is None:
+                        hits.append(-1 - k)
+                        continue
+                    same = short[k].get(value)
+                    if same is None:
+                        same = sets[k].matching(value)
+                        if len(short[k]) >= 10_000:
+                            short[k].clear()
+                        short[k][value] = same
+                    hits += same
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array(found, pa.list_(pa.int32()))], names=[*names, "_found"])
+
+    names = records.columns
+    return given.mapInArrow(run, records.withColumn("_found", F.array().cast("array<int>")).schema)

@@ -57,6 +57,33 @@ BAD_PATTERNS = ("CASE s_suppkey % 9 WHEN 0 THEN '[abc' WHEN 1 THEN '(x' WHEN 2 T
                 "ELSE '[^[:digit:]]{2,3}' END")
 
 
+#: *both*: a pattern of the grammar per customer, and the same question to the checking engine's patterns.
+GRAMMAR = [
+    (r"\<error\[", r"\berror\["), ("[[:digit:]]{{3}}.*}}$", "[0-9]{{3}}.*\\}}$"), ("k (x|[{{]\"k\": {n}[[:digit:]]?}})", "k (x|[{{]\"k\": {n}[0-9]?[}}])"),
+    ("^(click|view)[[]{n}", "^(click|view)\\[{n}"), ("[^]a-z :[]{{4}}", "[^]a-z :\\[]{{4}}"), ("(a|e|i)+r+o?r\\[.*{n}", "[aei]+r+o?r\\[.*{n}"),
+    ("k {{x|{n}[}}]", "k \\{{x|{n}[}}]"),
+]
+
+
+def grammar(ours: bool, string: str) -> str:
+    """*both*: the pattern of a customer, in our words or those of the checking engine."""
+    kinds = []
+    for i, pair in enumerate(GRAMMAR):
+        parts = pair[not ours].replace("{{", "\1").replace("}}", "\2").split("{n}")
+        quoted = ["'" + p.replace("\1", "{").replace("\2", "}").replace("\\", "\\\\" if string == "string" else "\\") + "'" for p in parts]
+        kinds.append(f"WHEN {i} THEN " + f" || CAST(c_custkey % 90 AS {string}) || ".join(quoted))
+    return f"CASE c_custkey % {len(GRAMMAR)} {' '.join(kinds)} END"
+
+
+def grammar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule per customer, all of which want the same records; every fifth takes those that do not match."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "CAST(c_custkey AS string) AS rule_id", "'local' || CAST(c_custkey % 3 AS string) || ',auth.info' AS selector",
+        "CAST(NULL AS string) AS program", "'all' AS dest", "'file' AS sink", f"{grammar(True, 'string')} AS message_re",
+        "CASE WHEN c_custkey % 4 = 0 THEN '^h[0-9]$' END AS host_re", "CAST(NULL AS string) AS date_re",
+        "CAST(NULL AS string) AS time_re", "c_custkey % 5 = 0 AS inverse")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

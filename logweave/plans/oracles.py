@@ -414,3 +414,10 @@ WHERE free OR (NOT (odd AND kind < 5) AND hit <> inverse) GROUP BY 1"""
 
 SQL["lookup_table"] = SQL["lookup"]
 SQL["followed_lines"] = f"""WITH {RAW} SELECT line, count(*) AS n, count(*) AS places FROM raw GROUP BY 1"""
+SQL["regex_grammar"] = f"""WITH {RECORDS}, asks AS (SELECT CAST(c_custkey AS VARCHAR) AS rule_id, c_custkey % 3 AS g,
+  c_custkey % 4 = 0 AS by_host, c_custkey % 5 = 0 AS inverse, {X.grammar(False, 'VARCHAR')} AS p FROM customer),
+kinds AS (SELECT DISTINCT p FROM asks), msgs AS (SELECT DISTINCT msg FROM records),
+hits AS (SELECT p, msg, regexp_matches(msg, p) AS hit FROM kinds, msgs)
+SELECT rule_id, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM records r
+JOIN asks a ON r.sev <= 6 AND (r.fac = 4 OR r.fac = 16 + a.g) JOIN hits h ON h.p = a.p AND h.msg = r.msg
+WHERE h.hit <> a.inverse AND (NOT by_host OR regexp_matches(r.host, '^h[0-9]$') <> a.inverse) GROUP BY 1"""

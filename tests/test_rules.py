@@ -138,12 +138,3 @@ def test_passes(spark, kw, want):
          (3, "y", "b", "2024-11-11 11:00:00")], "id int, msg string, host string, t string")
     df = df.withColumn("ts", F.col("t").cast("timestamp_ntz"))
     assert [r.id for r in df.filter(filters.passes(**kw)).orderBy("id").collect()] == want
-
-
-@pytest.mark.parametrize("posix,java", [
-    ("[[:alpha:]_]+", r"[\p{Alpha}_]+"), ("[^]a]", r"[^\]a]"), ("[[]", r"[\[]"), (r"[\d]", r"[\\d]"),
-    ("[a&&b]", r"[a\&\&b]"), ("a{2}b{x", r"a{2}b\{x"), (r"\[x", r"\[x"), ("[a-z^]", r"[a-z\^]"), ("[[.a.][=b=]]", "[ab]"),
-    ("[abc", None), ("(", None), ("[[:nope:]]", None), ("x\\", None), ("*a", None), (None, None)])
-def test_posix_patterns(posix, java):
-    from logweave.functions.text import java_pattern
-    assert java_pattern(posix) == java
