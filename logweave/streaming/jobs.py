@@ -27,14 +27,34 @@ from logweave.sinks import deliver
 from logweave.sources.lines import with_seq
 from logweave.streaming.state import BatchState
 
-_CLOCK = "clock bigint, version bigint, late bigint"
+# clock: the latest second, base: the same without idle time, wall: the beat when lines last came
+_CLOCK = "clock bigint, version bigint, late bigint, base bigint, wall bigint"
+_BEAT = "_beat"
+
+
+def _version(rules: DataFrame) -> int:
+    """A number that changes with any rule, with its place in a column, and with how often it stands there."""
+    each = F.xxhash64(F.to_json(F.struct(*rules.columns))).cast("decimal(38,0)")
+    row = rules.agg(F.sum(each).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    return (int(row["s"] or 0) * 31 + row["n"]) % (1 << 62)
 
 
 @dataclass
 class LogStream:
     """Settings of one stream. ``load_rules`` is called for every batch, so a
     changed rule table takes effect with the next batch; open runs are then
-    written out and start anew."""
+    written out and start anew.
+
+    Lines are written in the order of a clock, the latest time seen. A time more than ``ahead`` seconds
+    after the latest arrival of its batch does not move the clock, and a line
+    whose time is behind the clock is written now; both show the time they came with.
+    Those wrong by more than ``lateness`` seconds are also written, as records of their rules, to a folder of
+    their own (``late_dir``) and counted (:meth:`diagnostics`).
+
+    With ``heartbeat`` a beat a second comes with the lines, so batches run on without them: while
+    none come, the clock goes on as time passes, ``idle_delay`` seconds behind it, and
+    summaries and marks are written when they are due.
+    """
 
     spark: SparkSession
     load_rules: Callable[[SparkSession], DataFrame]
@@ -46,12 +66,21 @@ class LogStream:
     hot_rows: int = HOT_ROWS
     block: int = BLOCK
     on_written: Callable[[DataFrame, int], None] | None = None
+    ahead: int = 3600
+    lateness: int = 0
+    late_dir: str | None = None
+    heartbeat: bool = False
+    idle_delay: int = 5
 
     def __post_init__(self):
         self.runs = BatchState(self.spark, f"{self.state_dir}/runs", collapse.STATE_SCHEMA)
         self.clocks = BatchState(self.spark, f"{self.state_dir}/clock", _CLOCK)
 
     def start(self, raw: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
+        if self.heartbeat:
+            beats = (raw.sparkSession.readStream.format("rate").option("rowsPerSecond", 1)
+                     .option("numPartitions", 1).load().select(F.col("timestamp").alias(_BEAT)))
+            raw = raw.unionByName(beats, allowMissingColumns=True)
         return (raw.writeStream.foreachBatch(self.process)
                 .option("checkpointLocation", checkpoint)
                 .trigger(**(trigger or {"availableNow": True})).start())
@@ -59,7 +88,11 @@ class LogStream:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         self.spark = self.runs.spark = self.clocks.spark = batch.sparkSession
         table = self.load_rules(self.spark)
-        version = table.agg(F.bit_xor(F.xxhash64(*table.columns))).first()[0] or 0
+        version = _version(table)
+        beat = None
+        if _BEAT in batch.columns:
+            beat = batch.agg(F.max(F.unix_seconds(F.col(_BEAT).cast("timestamp")))).first()[0]
+            batch = batch.filter(F.col(_BEAT).isNull()).drop(_BEAT)
         compiled = rules.compile_masks(table)
         lines = with_seq(batch)
         records = parse.drop_empty(parse.parse_lines(lines, **self.parse_options))
@@ -69,10 +102,17 @@ class LogStream:
         routed = filters.apply_filters(route.route(records, compiled), table)
         routed = routed.persist(StorageLevel.DISK_ONLY)
         try:
-            self._write(routed, table, compiled, version, batch_id)
+            self._write(routed, table, compiled, version, batch_id, self._latest(lines), beat)
         finally:
             routed.unpersist()
 
+    def _latest(self, lines: DataFrame) -> int | None:
+        """The last second that a line of a batch may be of."""
+        if "arrival_ts" not in lines.columns:
+            return None
+        came = lines.agg(F.max(epoch_seconds(F.col("arrival_ts").cast("timestamp_ntz")))).first()[0]
+        return None if came is None else came + self.ahead
+
     def _own_records(self, lines: DataFrame, table: DataFrame, version: int, batch_id: int) -> DataFrame | None:
         """Skipped lines and, when they come into force, rejected rules, as records about ourselves."""
         host = self.parse_options.get("default_host", "localhost")
@@ -95,18 +135,33 @@ class LogStream:
             out = part if out is None else out.unionByName(part)
         return out
 
-    def _write(self, routed, table, compiled, version, batch_id) -> None:
+    def _write(self, routed, table, compiled, version, batch_id, latest, beat) -> None:
         before = self.clocks.before(batch_id).first()
         clock0 = before["clock"] if before else None
         state = self.runs.before(batch_id)
         reloaded = before is not None and before["version"] != version
         sec = epoch_seconds(F.col("ts"))
-        late = sec < F.lit(clock0)
-        seen = routed.agg(F.max(sec).alias("m"), F.count_if(late).alias("late")).first()
-        clock = max(x for x in (clock0, seen["m"], 0) if x is not None)
-        if clock0 is not None:
-            # a late line counts as arriving now: it is kept, in the order of arrival
-            routed = routed.withColumn("ts", F.greatest("ts", from_epoch(F.lit(clock0))))
+        wild = sec > F.lit(latest).cast("bigint") if latest is not None else F.lit(False)
+        behind = F.coalesce(sec < F.lit(clock0).cast("bigint"), F.lit(False))
+        wrong = wild | F.coalesce(sec < F.lit(clock0).cast("bigint") - self.lateness, F.lit(False))
+        seen = routed.agg(F.max(F.when(~wild, sec)).alias("m"), F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("wrong"),
+                          F.count_if(wild | behind).alias("moved")).first()
+        only_wild = latest - self.ahead if seen["m"] is None and seen["n"] else None
+        clock = max(x for x in (clock0, seen["m"], only_wild, 0) if x is not None)
+        base, wall = clock, beat
+        if not seen["n"] and before is not None:
+            base, wall = before["base"], before["wall"] if before["wall"] is not None else beat
+            if beat is not None and base is not None and wall is not None:
+                clock = max(clock, base + beat - wall - self.idle_delay)
+        if self.late_dir:
+            routed.filter(wrong).write.mode("overwrite").parquet(f"{self.late_dir}/batch={batch_id}")
+        moved = None
+        if seen["moved"]:
+            # such a line is kept, in the order of arrival, and shows its own time
+            moved = routed.filter(wild | behind).select(
+                "rule_id", F.xxhash64(F.lit(batch_id), "seq").alias("run"), F.col("ts").alias("_own"))
+            routed = routed.withColumn("ts", F.when(wild, from_epoch(F.lit(clock))).when(
+                behind, from_epoch(F.lit(clock0))).otherwise(F.col("ts")))
         parts = []
         if reloaded:
             parts.append(collapse.close_state(state, clock0))
@@ -114,6 +169,10 @@ class LogStream:
         written, opened = collapse.collapse_step(routed, state, clock, self.hot_rows, self.block,
                                                  self.collapse, batch_id)
         self.runs.write(opened, batch_id)
+        if moved is not None:
+            own = lookup_join(written, moved, ["rule_id", "run"], "left", ["rule_id", "at", "run"])
+            written = own.withColumn("ts", F.when(F.col("n") == 0, F.coalesce("_own", "ts")).otherwise(
+                F.col("ts"))).drop("_own")
         written = written.persist(StorageLevel.DISK_ONLY)
         try:
             parts.append(written)
@@ -125,7 +184,7 @@ class LogStream:
             where = table.select("rule_id", "dest", "sink")
             out = lookup_join(out, where, ["rule_id"], "left", ["rule_id", "at", "run"])
             self.clocks.write(self.spark.createDataFrame(
-                [(clock, version, seen["late"] or 0)], _CLOCK), batch_id)
+                [(clock, version, seen["wrong"] or 0, base, wall)], _CLOCK), batch_id)
             if self.on_written:
                 self.on_written(out, batch_id)
             # ``on_written`` alone may take the records; sinks, once there are any, must take all
@@ -147,6 +206,10 @@ class LogStream:
         due = marks.marks(busy, compiled, start, end, interval=step)
         return due.select("rule_id", F.col("ts").alias("at"), "ts", "fac", "sev", "host", "msg")
 
+    def late_lines(self) -> DataFrame:
+        """All lines that came late or with a time to come, with their own times (``late_dir``)."""
+        return self.spark.read.parquet(self.late_dir).drop("batch")
+
     def diagnostics(self, batch_id: int) -> DataFrame:
         """Late lines of a batch, as a record about ourselves."""
         late = self.clocks.at(batch_id).filter("late > 0")
