@@ -124,7 +124,7 @@ def _protect_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             if r.log_id != log:
                 raise ValueError(f"log {r.log_id!r} has no first key")
-            data = bytes(r.data)
+            data = bytes(r.data) if r.data is not None else b""
             inner = keyed_digest("sha1", key, data)
             mac = keyed_digest("rmd160", inner, data)
             key = keyed_digest(method, key, data)
@@ -138,6 +138,7 @@ def protect(lines: DataFrame, keys: DataFrame) -> DataFrame:
     ``lines`` is ``(log_id, line_no, line)``, ``keys`` as from
     :func:`init_keys`. Store ``mac``; of ``key`` keep :func:`last_keys` only.
     ``inner`` is the keyed sha1 that ``mac`` is made from; it is not stored.
+    A null line counts as an empty one, here and in :func:`verify`; a null digest never fits.
     """
     return _events(lines, keys).drop("last_key").mapInPandas(
         _protect_batches, "log_id string, line_no bigint, mac binary, key binary, inner binary")
@@ -179,12 +180,12 @@ def _verifier(with_macs: bool):
                     last = bytes(r.last_key) if r.last_key is not None else b""
                     broken = not key or not last or len(key) != len(last)
                 elif r.kind == _MAC:
-                    mac = (r.line_no, bytes(r.data))
+                    mac = (r.line_no, bytes(r.data) if r.data is not None else None)
                 else:
                     count += 1
                     if broken or bad is not None:
                         continue
-                    data = bytes(r.data)
+                    data = bytes(r.data) if r.data is not None else b""
                     if with_macs and (mac is None or mac[0] != r.line_no
                                       or mac[1] != line_digest(key, data)):
                         bad = int(r.line_no)

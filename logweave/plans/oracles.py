@@ -421,3 +421,8 @@ hits AS (SELECT p, msg, regexp_matches(msg, p) AS hit FROM kinds, msgs)
 SELECT rule_id, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM records r
 JOIN asks a ON r.sev <= 6 AND (r.fac = 4 OR r.fac = 16 + a.g) JOIN hits h ON h.p = a.p AND h.msg = r.msg
 WHERE h.hit <> a.inverse AND (NOT by_host OR regexp_matches(r.host, '^h[0-9]$') <> a.inverse) GROUP BY 1"""
+SQL["committed_batches"] = f"""WITH {ROUTED} SELECT rule_id, dest, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum
+FROM routed WHERE sink = 'forward' GROUP BY 1, 2"""
+SQL["saved_and_replayed"] = f"""WITH {ROUTED}, places AS (SELECT seq,
+  row_number() OVER (PARTITION BY seq % 2 ORDER BY ts, seq) AS place FROM routed WHERE sink = 'forward')
+SELECT seq, count(*) AS n, min(place) AS first, max(place) AS last FROM places GROUP BY 1"""

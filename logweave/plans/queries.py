@@ -14,7 +14,7 @@ from logweave.operators import (collapse, diagnostics, filters, integrity, marks
                                 reassemble, route, rules, symbols)
 from logweave.plans import fixtures as X
 from logweave.session import shared_dir
-from logweave.sinks import deliver, render
+from logweave.sinks import committed, deliver, render
 from logweave.sources import follow
 from logweave.sources import lines as src
 
@@ -635,3 +635,49 @@ def protect_chain(spark, sf):
         F.col("log_id").cast("bigint") % 2 == 0, "sha1").otherwise("md5"))
     made = integrity.protect(X.conversations(spark, sf), integrity.init_keys(seeds))
     return made.select("log_id", "line_no", text.to_hex(F.col("key")).alias("key"))
+
+
+# --- delivery that a crash does not repeat -----------------------------------
+
+def _batches(spark, sf):
+    """Forwarded records in two batches."""
+    to = routed(spark, sf).filter("sink = 'forward'").select("seq", "ts", "rule_id", "dest", "msg")
+    return to, [to.filter("seq % 2 = 0"), to.filter("seq % 2 = 1")]
+
+
+@query
+def committed_batches(spark, sf):
+    """A committed log after batches of which one ran twice."""
+    to, parts = _batches(spark, sf)
+    path = f"{shared_dir(spark)}/committed-{uuid.uuid4().hex}"
+    for batch_id, part in ((0, parts[0]), (0, parts[0]), (1, parts[1])):
+        committed.write_committed(part, path, batch_id)
+    return (committed.read_committed(spark, path, to.schema).groupBy("rule_id", "dest")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum")))
+
+
+@query
+def saved_and_replayed(spark, sf):
+    """A save buffer handed out in claims; the second claim is delivered, but its sink fails before it is acknowledged."""
+    to, parts = _batches(spark, sf)
+    base = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
+    buffer = committed.SaveBuffer(spark, base, to.schema)
+    failing = [1]
+
+    def sink(df, number):
+        committed.write_committed(df, f"{base}/out", number)
+        if number in failing:
+            failing.remove(number)
+            raise OSError("lost the connection after delivery")
+
+    for batch_id, part in enumerate(parts):
+        buffer.append(part, batch_id)
+        try:
+            buffer.replay("forward", sink, max(1, buffer.records().count() // 3))
+        except OSError:
+            pass
+    buffer.replay("forward", sink)
+    got = committed.read_committed(spark, f"{base}/out", buffer.schema)
+    place = F.col("position").bitwiseAND((1 << committed.ROW_BITS) - 1)
+    # rules that forward the same record have places side by side, in any order
+    return got.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))

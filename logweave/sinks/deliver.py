@@ -115,9 +115,13 @@ def deliver(routed: DataFrame, batch_id: int, dead_letter: str | None = None) ->
                     raise
                 bury(mine, name)
         rest = routed.filter(~known)
-        names = [r[0] for r in rest.select("sink").distinct().limit(20).collect()]
+        unknown = rest.select("sink").distinct()
+        names = [r[0] for r in unknown.limit(20).collect()]
         if names:
+            more = unknown.count() - 20 if len(names) == 20 else 0
             errors[NO_SINK] = f"no sink is registered as {', '.join(sorted(map(str, names)))}"
+            if more > 0:
+                errors[NO_SINK] += f", and {more} more"
             if dead_letter is None:
                 raise ValueError(errors[NO_SINK])
             bury(rest, NO_SINK)

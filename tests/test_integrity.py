@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from conftest import rows
 from pyspark.sql import functions as F
 
 from logweave.operators import integrity as I
@@ -139,3 +140,18 @@ def test_segments_split_a_log(spark, logs):
     assert made.groupBy("log_id").count().agg(F.max("count")).first()[0] == 7
     got = verdicts(I.verify(cut.filter("log_id <> 'log2|1'"), last, macs))
     assert got.pop("log2|1") == (1, None) and set(got.values()) == {(0, None)}
+
+
+def test_null_lines_count_as_empty(spark):
+    from logweave.operators import integrity
+    seeds = spark.createDataFrame([("a", "sha1", bytearray(b"seed"))], "log_id string, method string, seed binary")
+    keys = integrity.init_keys(seeds)
+    lines = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("a", 3, "y")], "log_id string, line_no bigint, line string")
+    made = integrity.protect(lines, keys)
+    empty = integrity.protect(lines.fillna(""), keys)
+    assert rows(made.select("line_no", "mac")) == rows(empty.select("line_no", "mac"))
+    known = integrity.last_keys(made, keys)
+    macs = made.select("log_id", "line_no", "mac")
+    assert integrity.verify(lines, known, macs).first().status == integrity.verify(lines.fillna(""), known, macs).first().status
+    gone = macs.withColumn("mac", F.when(F.col("line_no") != 2, F.col("mac")))
+    assert integrity.verify(lines, known, gone).first().bad_line == 2
