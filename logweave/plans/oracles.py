@@ -426,3 +426,4 @@ FROM routed WHERE sink = 'forward' GROUP BY 1, 2"""
 SQL["saved_and_replayed"] = f"""WITH {ROUTED}, places AS (SELECT seq,
   row_number() OVER (PARTITION BY seq % 2 ORDER BY ts, seq) AS place FROM routed WHERE sink = 'forward')
 SELECT seq, count(*) AS n, min(place) AS first, max(place) AS last FROM places GROUP BY 1"""
+SQL["log_table_ts_batches"] = SQL["log_table_ts"]

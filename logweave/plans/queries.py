@@ -494,6 +494,19 @@ def log_table_ts(spark, sf):
     return render.to_log_table_ts(to).withColumn("timestamp", _ts("timestamp"))
 
 
+@query
+def log_table_ts_batches(spark, sf):
+    """The same key over batches that overlap, one of which runs twice."""
+    to = routed(spark, sf).filter("sink = 'table'")
+    path = f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}"
+    cut = to.agg(F.expr("percentile_approx(seq, array(0.4, 0.5, 0.8))")).first()[0] or [0, 0, 0]
+    parts = [to.filter(F.col("seq") <= cut[1]), to.filter(F.col("seq").between(cut[0], cut[2])), to.filter(F.col("seq") > cut[1])]
+    for batch_id, part in ((0, parts[0]), (1, parts[1]), (1, parts[1]), (2, parts[2])):
+        rows = render.to_log_table_ts(part)
+        committed.write_keyed(rows, path, ["timestamp", "host", "message"], batch_id)
+    return committed.read_committed(spark, path, rows.schema).withColumn("timestamp", _ts("timestamp"))
+
+
 @query
 def log_table_seq(spark, sf):
     """Numbered without a global sort."""

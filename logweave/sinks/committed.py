@@ -151,6 +151,29 @@ def read_committed(spark: SparkSession, path: str, schema: str | T.StructType) -
     return spark.read.schema(schema).parquet(*[f"{path.rstrip('/')}/data/{f}" for f in files])
 
 
+def write_keyed(df: DataFrame, path: str, keys: list[str], batch_id: int) -> None:
+    """Add the rows of a batch whose key a committed log does not have yet: a unique key over its life.
+
+    Of rows with one key inside the batch any one is taken (give it unique
+    rows to choose); nulls are equal. Keys are unique on both sides of the join, so none is hot, and
+    only files whose range of the first key meets the batch's are read. A batch that is already there is
+    left as it is; there may be one writer at a time.
+    """
+    spark = df.sparkSession
+    store, folder = _store(path)
+    if _get(store, f"{folder}/commits/{batch_id:012d}.json") is not None:
+        return
+    df = df.dropDuplicates(keys)
+    low, high = df.agg(F.min(keys[0]), F.max(keys[0])).first()
+    first = F.col(keys[0])
+    near = first.isNull() | first.between(F.lit(low), F.lit(high)) if low is not None else first.isNull()
+    known = read_committed(spark, path, df.schema).filter(near).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & df[k].eqNullSafe(known[f"_k{i}"])
+    write_committed(df.join(known, same, "left_anti"), path, batch_id)
+
+
 def committed_sink(path: str) -> Callable[[DataFrame, int], None]:
     """A sink for ``register_sink`` that takes each batch once."""
     return lambda df, batch_id: write_committed(df, path, batch_id)

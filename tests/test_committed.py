@@ -112,3 +112,18 @@ def test_many_unknown_sinks_are_counted(spark, tmp_path):
     df = spark.range(30).selectExpr("concat('s', id) AS sink", "id AS seq")
     errors = deliver.deliver(df, 0, str(tmp_path / "dead"))
     assert errors[deliver.NO_SINK].endswith(", and 10 more")
+
+
+def test_a_key_over_the_life_of_a_table(spark, tmp_path):
+    path, schema = str(tmp_path / "k"), "ts timestamp_ntz, host string, msg string, n int"
+
+    def batch(*given):
+        return spark.createDataFrame([(h, m, n) for h, m, n in given], "host string, msg string, n int").select(
+            (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("n") % 2)).alias("ts"), "host", "msg", "n")
+    keys = ["ts", "host", "msg"]
+    C.write_keyed(batch(("a", "x", 0), (None, "x", 0), ("a", None, 1), ("a", "x", 0)), path, keys, 0)
+    C.write_keyed(batch(("a", "x", 0), (None, "x", 2), ("a", "x", 1), ("b", "x", 0)), path, keys, 1)
+    C.write_keyed(batch(("c", "x", 0)), path, keys, 1)  # runs again: what it wrote stays
+    C.write_keyed(batch(), path, keys, 2)
+    got = C.read_committed(spark, path, schema).select("host", "msg", "n")
+    assert rows(got) == sorted([("a", "x", 0), (None, "x", 0), ("a", None, 1), ("a", "x", 1), ("b", "x", 0)], key=repr)
