@@ -427,3 +427,12 @@ SQL["saved_and_replayed"] = f"""WITH {ROUTED}, places AS (SELECT seq,
   row_number() OVER (PARTITION BY seq % 2 ORDER BY ts, seq) AS place FROM routed WHERE sink = 'forward')
 SELECT seq, count(*) AS n, min(place) AS first, max(place) AS last FROM places GROUP BY 1"""
 SQL["log_table_ts_batches"] = SQL["log_table_ts"]
+SQL["actions_fanout"] = f"""WITH {RECORDS}, owners AS (SELECT CAST(s_suppkey AS VARCHAR) AS rule_id, s_suppkey AS k,
+  {X.program_rule('VARCHAR')} FROM supplier), {compile_sql('owners')},
+acts AS (SELECT rule_id, program, unnest(CASE WHEN k % 3 = 0 THEN [{{sink: 'file', dest: 'all'}},
+  {{sink: 'forward', dest: 'relay' || CAST(k % 5 AS VARCHAR)}}] ELSE [{{sink: 'table', dest: 'log'}}] END) AS a FROM owners)
+SELECT o.rule_id, a.sink AS sink, a.dest AS dest, count(*) AS n, CAST(sum(r.seq) AS BIGINT) AS seq_sum FROM records r
+JOIN masks m ON m.fac = r.fac AND m.mask <> 16 AND (m.mask & (1 << r.sev)) <> 0
+JOIN acts o ON o.rule_id = m.rule_id AND (o.program IS NULL OR o.program = r.prog) GROUP BY 1, 2, 3"""
+SQL["registered_parts"] = f"""WITH {RECORDS} SELECT host, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM records
+WHERE NOT contains(msg, 'view') AND regexp_matches(host, '[02468]$') GROUP BY 1"""

@@ -294,6 +294,35 @@ def route_programs_shuffled(spark, sf):
             .agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum")))
 
 
+@query
+def actions_fanout(spark, sf):
+    """Rules with several sinks each: a row of the rule's records per sink."""
+    number = "CAST(rule_id AS bigint)"
+    actions = (f"CASE WHEN {number} % 3 = 0 THEN array(named_struct('sink', 'file', 'dest', 'all'), "
+               f"named_struct('sink', 'forward', 'dest', concat('relay', {number} % 5))) "
+               "ELSE array(named_struct('sink', 'table', 'dest', 'log')) END")
+    given = X.program_rules(spark, sf).drop("dest", "sink").withColumn("actions", F.expr(actions))
+    compiled = rules.compile_masks(deliver.explode_actions(given))
+    return (route.route(X.records(spark, sf), compiled).groupBy("rule_id", "sink", "dest")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum")))
+
+
+@query
+def registered_parts(spark, sf):
+    """A source, a filter and a sink under names, put together."""
+    path = f"{shared_dir(spark)}/registered-{uuid.uuid4().hex}"
+    src.register_source("events", lambda s: X.raw_lines(s, sf))
+    deliver.register_filter("even hosts", lambda msg: ~msg.contains("view") & F.col("host").rlike("[02468]$"))
+    deliver.register_sink("registered", lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}"))
+    lines = parse.parse_lines(src.open_source(spark, "events"), default_host=X.LOCAL_HOST, ref_ts=X.REF_TS,
+                              trust_msg_host=True, strip_domain=True)
+    kept = deliver.named_filter(lines, "even hosts").select("seq", "host", "msg", F.lit("registered").alias("sink"))
+    deliver.deliver(kept, 0)
+    deliver.forget_sink("registered")
+    return spark.read.schema(kept.schema).parquet(path).groupBy("host").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum"))
+
+
 @query
 def default_rules(spark, sf):
     compiled = rules.compile_masks(rules.default_rules(spark))

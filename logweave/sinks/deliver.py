@@ -23,6 +23,11 @@ def register_sink(name: str, fn: Sink) -> None:
     _SINKS[name] = fn
 
 
+def forget_sink(name: str) -> None:
+    """Take a sink out again."""
+    _SINKS.pop(name, None)
+
+
 def registered() -> list[str]:
     return list(_SINKS)
 
