@@ -21,15 +21,21 @@ def flatten_newlines(text: Column) -> Column:
 def show_controls(flat: Column) -> Column:
     """Control characters to ``^X``, DEL and C1 to ``\\ooo``.
 
-    Most lines have none and are only looked at; the others take one plain
-    replacement per character. These stand in a lambda, which keeps them out
-    of the generated code: in it they would make a method too large to compile.
+    Most lines have none and are only looked at. The others are gone through a
+    few times: what stands before the last character of each sign is put in
+    front of the control characters, by ranges that share it, then these turn into that last
+    character all at once. This stands in a lambda, which keeps it out of the generated code.
     """
+    low = [chr(c) for c in range(1, 32)]
+    high = [chr(c) for c in range(127, 160)]
+    last = "".join(chr(ord(c) + 64) for c in low) + "".join(format(ord(c), "03o")[-1] for c in high)
+
     def replaced(text: Column) -> Column:
-        for code in [*range(1, 32), *range(127, 160)]:
-            shown = "^" + chr(code + 64) if code < 32 else "\\" + format(code, "03o")
-            text = F.replace(text, F.lit(chr(code)), F.lit(shown))
-        return text
+        text = F.regexp_replace(text, "(?=[\\x01-\\x1f])", "^")
+        text = F.regexp_replace(text, "(?=\\x7f)", "\\\\17")
+        for first in range(128, 160, 8):
+            text = F.regexp_replace(text, f"(?=[\\x{first:02x}-\\x{first + 7:02x}])", "\\\\" + format(first, "03o")[:2])
+        return F.translate(text, "".join(low + high), last)
 
     return (F.when(flat.rlike("[\\x01-\\x1f\\x7f-\\x9f]"),
                    F.transform(F.array(flat), replaced)[0]).otherwise(flat))
