@@ -14,7 +14,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions import clock
@@ -215,3 +215,63 @@ def verify(lines: DataFrame, keys: DataFrame, macs: DataFrame | None = None) ->
 def first_corrupt_line(lines: DataFrame, keys: DataFrame, macs: DataFrame) -> DataFrame:
     """First corrupted line of each log that has one."""
     return verify(lines, keys, macs).filter("bad_line IS NOT NULL").select("log_id", "bad_line")
+
+
+def _part(line_no: str, every: int):
+    return F.floor((F.col(line_no) - 1) / every).cast("bigint")
+
+
+def checkpoint_keys(protected: DataFrame, every: int) -> DataFrame:
+    """``(log_id, part, key)``: the running key after each part of ``every`` line numbers that has lines.
+
+    With them a chain can be verified in parts (:func:`verify_parts`). Whoever holds such a key can forge
+    what follows it, so keep them where first and last keys are kept, not beside the log.
+    """
+    last = F.max(F.struct("line_no", "key")).alias("_l")
+    return (protected.withColumn("part", _part("line_no", every)).groupBy("log_id", "part").agg(last)
+            .select("log_id", "part", F.col("_l.key").alias("key")))
+
+
+def verify_parts(lines: DataFrame, keys: DataFrame, checkpoints: DataFrame, every: int,
+                 macs: DataFrame | None = None) -> DataFrame:
+    """The verdicts of :func:`verify`, with the parts of each chain verified side by side.
+
+    A part begins with the key that the part before it ended with, and must end
+    with its own; the last one must end with the last key. A log is as good as its first bad
+    part. If that names no line, lines are missing at its end, and the first
+    line after it is the first that does not fit. ``every`` is that of the checkpoints.
+    """
+    name = F.to_json(F.struct("log_id", "part"))
+    order = Window.partitionBy("log_id").orderBy("part")
+    sealed = F.length("key0") > 0
+    whole = keys.withColumn("_whole", F.coalesce(sealed & (F.length("key0") == F.length("last_key")), F.lit(False)))
+    # a row per part of a log, some for each task's worth of lines
+    given = (checkpoints.withColumn("_before", F.lag("key").over(order)).withColumn("_next", F.lead("part").over(order))
+             .join(whole, "log_id")
+             .select(name.alias("_sid"), "method", F.coalesce("_before", "key0").alias("key0"),
+                     F.when(F.col("_next").isNull(), F.col("last_key")).otherwise(F.col("key")).alias("last_key")))
+    # without any part the chain is empty: its last key is its first one
+    none = whole.join(checkpoints.select("log_id").distinct(), "log_id", "left_anti").withColumn("part", F.lit(0).cast("bigint"))
+    given = given.unionByName(none.select(name.alias("_sid"), "method", "key0", "last_key")).withColumnRenamed("_sid", "log_id")
+    cut = lines.withColumn("part", _part("line_no", every))
+    digests = None
+    if macs is not None:
+        digests = macs.withColumn("part", _part("line_no", every)).select(name.alias("log_id"), "line_no", "mac").join(
+            given.select("log_id"), "log_id", "left_semi")
+    found = verify(cut.select(name.alias("log_id"), "line_no", "line"), given, digests)
+    ident = F.from_json("log_id", "log_id string, part bigint")
+    firsts = cut.groupBy("log_id", "part").agg(F.min("line_no").alias("_first"))
+    parts = (found.select(ident["log_id"].alias("log_id"), ident["part"].alias("part"), "status", "bad_line", "lines")
+             .join(firsts, ["log_id", "part"], "left"))
+    known = given.select(ident["log_id"].alias("log_id"), ident["part"].alias("part"), F.lit(True).alias("_known"))
+    parts = parts.join(known, ["log_id", "part"], "left")
+    bad = F.min(F.when(F.col("status") != 0, F.struct("part", "bad_line", "_first", "_known"))).alias("_b")
+    logs = parts.groupBy("log_id").agg(F.sum("lines").alias("lines"), bad)
+    after = (parts.join(logs.select("log_id", F.col("_b.part").alias("_p")), "log_id").filter("part > _p")
+             .groupBy("log_id").agg(F.min("_first").alias("_after")))
+    stray = F.when(F.col("_b._known").isNull(), F.col("_b._first"))  # lines where the chain has none
+    first_bad = F.coalesce("_b.bad_line", stray, "_after") if macs is not None else F.lit(None).cast("bigint")
+    sound = whole.select("log_id", "_whole")
+    return (logs.join(after, "log_id", "left").join(sound, "log_id", "left")
+            .select("log_id", F.when(F.coalesce("_whole", F.lit(False)) & F.col("_b").isNull(), 0).otherwise(1).alias("status"),
+                    F.when(F.coalesce("_whole", F.lit(False)), first_bad).alias("bad_line"), "lines"))

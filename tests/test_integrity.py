@@ -155,3 +155,29 @@ def test_null_lines_count_as_empty(spark):
     assert integrity.verify(lines, known, macs).first().status == integrity.verify(lines.fillna(""), known, macs).first().status
     gone = macs.withColumn("mac", F.when(F.col("line_no") != 2, F.col("mac")))
     assert integrity.verify(lines, known, gone).first().bad_line == 2
+
+
+@pytest.mark.parametrize("every", [1, 4, 7, 100])
+def test_parts_of_a_chain_give_the_same_verdicts(spark, logs, every):
+    lines, keys, macs = logs
+    made = I.protect(lines, keys)
+    marks = I.checkpoint_keys(made, every).cache()
+    cases = {
+        "intact": lines, "changed": edit(lines, "log1", lambda d: d.withColumn("line", F.when(F.col("line_no") == 9, "no").otherwise(F.col("line")))),
+        "end cut": lines.filter("log_id <> 'log2' OR line_no < 18"), "part cut": lines.filter("log_id <> 'log3' OR line_no NOT BETWEEN 5 AND 8"),
+        "one cut": lines.filter("log_id <> 'log0' OR line_no <> 8"), "first cut": lines.filter("log_id <> 'log4' OR line_no > 7"),
+        "all cut": lines.filter("log_id <> 'log5'"), "more": lines.union(spark.createDataFrame([("log1", 20, "x"), ("log2", 400, "y"), ("none", 1, "z")], lines.schema)),
+    }
+    joined = None
+    for case, df in cases.items():  # all cases in one job, as logs of their own
+        one = df.withColumn("log_id", F.concat("log_id", F.lit(f"/{case}")))
+        joined = one if joined is None else joined.union(one)
+    names = spark.createDataFrame([(c,) for c in cases], "case string")
+
+    def spread(df):
+        return df.crossJoin(names).withColumn("log_id", F.concat("log_id", F.lit("/"), "case")).drop("case")
+    broken = spread(keys).withColumn("key0", F.when(F.col("log_id") != "log5/intact", F.col("key0")))
+    for digests in (spread(macs), None):
+        want = sorted(map(tuple, I.verify(joined, broken, digests).collect()))
+        got = sorted(map(tuple, I.verify_parts(joined, broken, spread(marks), every, digests).collect()))
+        assert got == want
