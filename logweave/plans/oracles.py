@@ -436,3 +436,4 @@ JOIN masks m ON m.fac = r.fac AND m.mask <> 16 AND (m.mask & (1 << r.sev)) <> 0
 JOIN acts o ON o.rule_id = m.rule_id AND (o.program IS NULL OR o.program = r.prog) GROUP BY 1, 2, 3"""
 SQL["registered_parts"] = f"""WITH {RECORDS} SELECT host, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM records
 WHERE NOT contains(msg, 'view') AND regexp_matches(host, '[02468]$') GROUP BY 1"""
+SQL["verify_parts"] = SQL["verify"]

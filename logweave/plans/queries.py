@@ -659,6 +659,14 @@ def verify(spark, sf):
     return integrity.verify(lines, keys, macs)
 
 
+@query
+def verify_parts(spark, sf):
+    """The same with the parts of each chain side by side."""
+    made = integrity.protect(X.conversations(spark, sf), integrity.init_keys(X.seeds(spark, sf)))
+    lines, keys, macs = _tampered(spark, sf)
+    return integrity.verify_parts(lines, keys, integrity.checkpoint_keys(made, 2), 2, macs)
+
+
 @query
 def verify_without_macs(spark, sf):
     lines, keys, _ = _tampered(spark, sf)
