@@ -19,10 +19,9 @@ SMOOTHING = 1.0
 #: A text is kept if its mean log ratio per n-gram is this or more.
 THRESHOLD = -0.3
 MIN_WORDS = 50
-#: White space between words, and what else ends a token: a run of signs begins.
+#: White space between words; an n-gram's tokens, runs of letters and digits and runs of other signs.
 _SPACE = r"[\x20\x09-\x0D]+"
-_SIGN = r"\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E"
-_TOKEN_END = rf"{_SPACE}|(?=[{_SIGN}])(?<![{_SIGN}\x20\x09-\x0D])"
+_TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
 _SCALE = 1_000_000
 
 
@@ -68,10 +67,10 @@ def base_failed() -> Column:
 def _ngrams(df: DataFrame, text: str, keep: list[str], buckets: int) -> DataFrame:
     """One row per unigram and bigram: columns ``keep`` and the ``bucket`` of its hash.
 
-    Tokens are words, cut before every run of ASCII signs. The first
-    token of a text has none before it; as a bigram it is hashed alone.
+    Tokens are runs of letters and digits, and runs of other signs, in all of Unicode. The
+    first token of a text has none before it; as a bigram it is hashed alone.
     """
-    tokens = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), _TOKEN_END), "")
+    tokens = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_TOKEN), F.lit(0))
     made = once(df, {"_t": tokens}, keep)
     hashed = F.concat(
         F.transform("_t", lambda x: F.xxhash64(x)),
