@@ -332,6 +332,14 @@ SELECT coalesce(f.facility, CAST(r.fac * 8 AS VARCHAR)) AS facility, s.priority,
   strftime(ts, '%H:%M:%S') AS time, host, msg AS message
 FROM records r LEFT JOIN fac_names f ON f.fac = r.fac LEFT JOIN sev_names s ON s.sev = r.sev
 WHERE ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-10 18:00:00' AND msg LIKE 'view%'"""
+SQL["lookup_indexed"] = f"""WITH {RECORDS}, {FAC_NAMES}, {SEV_NAMES}, asked AS (
+  SELECT 'host' AS ask, * FROM records WHERE host = 'h7'
+  UNION ALL SELECT 'start' AS ask, * FROM records WHERE starts_with(msg, 'purchase[1')
+  UNION ALL SELECT 'all' AS ask, * FROM records WHERE ts >= TIMESTAMP '2024-01-10 06:00:00'
+    AND ts < TIMESTAMP '2024-01-10 18:00:00' AND host = 'h3' AND starts_with(msg, 'view'))
+SELECT ask, coalesce(f.facility, CAST(r.fac * 8 AS VARCHAR)) AS facility, s.priority, strftime(ts, '%Y-%m-%d') AS date,
+  strftime(ts, '%H:%M:%S') AS time, host, msg AS message
+FROM asked r LEFT JOIN fac_names f ON f.fac = r.fac LEFT JOIN sev_names s ON s.sev = r.sev"""
 SQL["lost_report"] = f"""WITH {ROUTED} SELECT '2024-06-01 00:00:00' AS ts, 5 AS fac, 3 AS sev, 43 AS pri,
   '{X.LOCAL_HOST}' AS host, 'syslogd' AS prog,
   'syslogd: ' || count(*) || ' records not delivered to ' || sink AS msg FROM routed GROUP BY sink"""

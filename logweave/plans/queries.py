@@ -14,7 +14,7 @@ from logweave.operators import (collapse, diagnostics, filters, integrity, marks
                                 reassemble, route, rules, symbols)
 from logweave.plans import fixtures as X
 from logweave.session import shared_dir
-from logweave.sinks import committed, deliver, render
+from logweave.sinks import committed, deliver, indexed, render
 from logweave.sources import follow
 from logweave.sources import lines as src
 
@@ -568,6 +568,20 @@ def lookup_table(spark, sf):
     return found.select("facility", "priority", F.col("date").cast("string").alias("date"), "time", "host", "message")
 
 
+@query
+def lookup_indexed(spark, sf):
+    """By host, by start of message and by all on a table laid out for such lookups."""
+    path = f"{shared_dir(spark)}/log-index-{uuid.uuid4().hex}"
+    indexed.write_indexed_log_table(X.records(spark, sf), path, batch_id=0)
+    table = spark.read.parquet(path)
+    asks = {"host": dict(host="h7"), "start": dict(prefix="purchase[1"),
+            "all": dict(date="2024-01-10", time_from="06:00:00", time_to="18:00:00", host="h3", prefix="view")}
+    found = [render.lookup(table, **ask).select(
+        F.lit(name).alias("ask"), "facility", "priority", F.col("date").cast("string").alias("date"), "time", "host",
+        "message") for name, ask in asks.items()]
+    return found[0].union(found[1]).union(found[2])
+
+
 @query
 def lost_report(spark, sf):
     dead = routed(spark, sf).select("sink", "seq")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ def render_forward(routed: DataFrame, add_host: bool = False, newline: bool = Fa
 
 
 def to_log_table(routed: DataFrame, facility: bool = True, priority: bool = True,
-                 number: bool = False, hot_rows: int = 1_000_000) -> DataFrame:
-    """Rows ``[facility, priority,] date, time, host, message[, seq]``.
+                 number: bool = False, hot_rows: int = 1_000_000, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows ``[facility, priority,] date, time, host, message[, seq]``, and columns ``keep`` behind.
 
     ``number`` adds a dense ``seq`` in time order without a global sort.
     """
@@ -49,7 +51,7 @@ def to_log_table(routed: DataFrame, facility: bool = True, priority: bool = True
              F.col("host"), F.col("msg").alias("message")]
     if number:
         cols.append(F.col("_no").cast("bigint").alias("seq"))
-    return df.select(*cols)
+    return df.select(*cols, *keep)
 
 
 def to_log_table_ts(routed: DataFrame) -> DataFrame:
