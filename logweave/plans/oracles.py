@@ -186,6 +186,11 @@ SELECT conv_id * 1000 + turn AS seq, CAST(CASE WHEN p > 1023 THEN 13 WHEN p < 8
   coalesce(s_name, '10') AS host, role AS prog, msg
 FROM m LEFT JOIN supplier ON s_suppkey = conv_id AND s_suppkey % 2 = 0"""
 
+_PLACE = "(conv_id * 1000 + turn) * 64 + conv_id % 7 AS seq"
+SQL["recorded_datagrams"] = f"""SELECT *, CAST(1 AS BIGINT) AS n FROM ({SQL["datagrams"].replace(
+    "conv_id * 1000 + turn AS seq", _PLACE)})
+UNION ALL SELECT NULL, NULL, '', '', '{{' || s_name, CAST(2 AS BIGINT) FROM supplier"""
+
 SQL["merge_sources"] = f"""SELECT event_id * 3 AS seq, 'app.log' AS source, 2 AS pri, '{X.LOCAL_HOST}' AS host,
   'app' AS prog, 'app.log:' || event_type AS msg, false AS is_kernel FROM events WHERE event_type = 'view'
 UNION ALL SELECT event_id * 3 + 1, 'kernel', 4, '{X.LOCAL_HOST}', 'kernel', 'kernel: ' || event_type, true

@@ -15,7 +15,7 @@ from logweave.operators import (collapse, diagnostics, filters, integrity, marks
 from logweave.plans import fixtures as X
 from logweave.session import shared_dir
 from logweave.sinks import committed, deliver, indexed, render
-from logweave.sources import follow
+from logweave.sources import follow, recorded
 from logweave.sources import lines as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -225,6 +225,34 @@ def datagrams(spark, sf):
         "seq", "pri", "host", "prog", "msg")
 
 
+@query
+def recorded_datagrams(spark, sf):
+    """A stream over recorded datagrams, stopped and started again; lines that are no records are told apart."""
+    base = f"{shared_dir(spark)}/recorded-{uuid.uuid4().hex}"
+    sent = X.table(spark, sf, "conversations").selectExpr(
+        "CAST(conv_id % 7 AS int) AS partition", "conv_id * 1000 + turn AS offset",
+        "TIMESTAMP_NTZ '2024-03-01 00:00:00' AS time", "concat('10.0.0.', conv_id) AS peer",
+        "CAST(concat('<', turn * 9, '>', role, ': ', text) AS binary) AS data")
+    noise = X.table(spark, sf, "supplier").select(F.concat(F.lit("{"), "s_name").alias("value"))
+
+    def run() -> None:
+        (recorded.follow_datagrams(spark, f"{base}/in", partitions=64, split_bytes=1 << 18).writeStream.foreachBatch(
+            lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out/batch={i}"))
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+
+    for half in (0, 1):
+        mine = recorded.record_datagrams(sent.filter(F.col("offset") % 2 == half))
+        mine.union(noise).write.mode("append").text(f"{base}/in")
+        run()
+    came = spark.read.parquet(f"{base}/out")
+    damaged = came.filter("damaged").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    parsed = parse.parse_lines(came.filter("NOT damaged").drop("damaged"), default_host=X.LOCAL_HOST, network=True,
+                               hosts=_hosts(spark, sf), strip_domain=True)
+    return parsed.select("seq", "pri", "host", "prog", "msg", F.lit(1).cast("bigint").alias("n")).unionByName(
+        damaged.select(F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("int").alias("pri"),
+                       F.lit("").alias("host"), F.lit("").alias("prog"), F.col("line").alias("msg"), "n"))
+
+
 @query
 def merge_sources(spark, sf):
     """File, kernel and network lines in one table of records."""

@@ -11,13 +11,23 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave import schema as S
 from logweave.functions import clock, codes, text
 
 
+#: Partitions that fit beside an offset unless told otherwise.
+MOST_PARTITIONS = 65_536
+
+
+def place(partition: Column, offset: Column, partitions: int = MOST_PARTITIONS) -> Column:
+    """One number for an offset in one of ``partitions``: unique over them, growing within each; else null."""
+    fits = partition.between(0, partitions - 1) & offset.between(0, (1 << 63) // partitions - 1)
+    return F.when(fits, offset.cast("bigint") * partitions + partition)
+
+
 def read_log_files(spark: SparkSession, path, program: str | None = None, *,
                    time_format: str | None = None, start: int = 0,
                    time_length: int | None = None, stream: bool = False,
@@ -106,19 +116,25 @@ def device_lines(lines: DataFrame) -> DataFrame:
 
 
 def from_stream(df: DataFrame, value: str = "value", peer: str | None = "peer",
-                source: str = "stream") -> DataFrame:
+                source: str = "stream", partitions: int | None = None) -> DataFrame:
     """One datagram, one record: any frame with a value and, maybe, a peer.
 
     Kafka's ``value`` and ``timestamp`` are taken as they are. An ``offset`` is
     the ``seq`` where there are no partitions; offsets of several partitions or
     topics repeat, so there a batch numbers its rows itself, as it does
-    without an offset: the reader keeps a partition's rows in order.
+    without an offset: the reader keeps a partition's rows in order. With
+    ``partitions``, for a frame of one topic, ``seq`` is made of offset and
+    partition, in batches and streams alike (:func:`place`); a row without
+    such a place is an error.
     """
     arrival = F.col("timestamp") if "timestamp" in df.columns else F.current_timestamp()
     given = F.col(peer) if peer and peer in df.columns else F.lit(None)
     cols = [F.lit(source).alias("source"), arrival.cast("timestamp_ntz").alias("arrival_ts"),
             given.cast("string").alias("peer"), F.col(value).cast("string").alias("line")]
-    if "offset" in df.columns and "partition" not in df.columns:
+    if partitions is not None:
+        wrong = F.raise_error(F.lit(f"a row has no offset in a partition below {partitions}")).cast("bigint")
+        cols.append(F.coalesce(place(F.col("partition"), F.col("offset"), partitions), wrong).alias("seq"))
+    elif "offset" in df.columns and "partition" not in df.columns:
         cols.append(F.col("offset").cast("bigint").alias("seq"))
     made = df.select(*cols)
     return made if df.isStreaming else with_seq(made)
