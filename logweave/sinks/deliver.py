@@ -148,7 +148,8 @@ def replay(dead_letter: DataFrame, name: str, ledger: str | None = None) -> int:
     mine = dead_letter.filter(F.col("sink") == name)
     if ledger is not None and "batch_id" in mine.columns:
         done = _ledger(mine.sparkSession, ledger).filter(F.col("sink") == name).select("batch_id")
-        mine = mine.join(F.broadcast(done), "batch_id", "left_anti")
+        # the ledger grows for ever: how it is joined follows from its size
+        mine = mine.join(done.distinct(), "batch_id", "left_anti")
     mine = mine.persist(StorageLevel.DISK_ONLY)
     try:
         n = mine.count()
