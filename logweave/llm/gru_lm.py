@@ -29,10 +29,13 @@ STATE = 16
 STEPS = 16
 LANES = 1024
 RATE = 0.1
+#: Steps of words in a class against those of the rest: a word has few tokens in a window.
+WORD_RATE = 0.125
 #: Models that are trained side by side and averaged, and how often.
 WORKERS = 64
 ROUNDS = 2
 _TAILS = 16
+_NO_WORD = -1e4
 _LOG10 = math.log(10)
 _LETTER = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 
@@ -70,7 +73,7 @@ class Counts:
     ends: int
     token: str = ""
     class_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    log_within: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    slot_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     tail_total: np.ndarray = field(default_factory=lambda: np.zeros(_TAILS))
     classes: int = 0
 
@@ -171,7 +174,8 @@ def neighbourhoods(docs: DataFrame, known: Counts, text: str = "text") -> np.nda
 def make_classes(known: Counts, near: np.ndarray) -> None:
     """Give each word of the network a class: like neighbourhoods first, then like frequency.
 
-    Class 0 is the end of a text, the next ones are those of rarer words.
+    Class 0 is the end of a text, the next ones are those of rarer words. The words
+    of a class are numbered in it (their slots).
     """
     n = known.network
     group = np.zeros(n, np.int64)
@@ -191,22 +195,29 @@ def make_classes(known: Counts, near: np.ndarray) -> None:
         for a in range(0, len(members), CLASS_WORDS):
             class_of[members[a:a + CLASS_WORDS]] = at
             at += 1
-    mass = np.bincount(class_of, known.counts[:n], at)
     known.class_of, known.classes = class_of, at
-    known.log_within = np.log(known.counts[:n] / np.maximum(mass[class_of], 1)) if n else np.zeros(0)
+    order = np.argsort(class_of, kind="stable")
+    size = np.bincount(class_of, minlength=at)
+    known.slot_of = np.empty(n, np.int32)
+    known.slot_of[order] = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
 
 
 @dataclass
 class Network:
-    """Weights: of inputs and state for gates and candidate, and of the classes."""
+    """Weights: of inputs and state for gates and candidate, of the classes, and of the words in them.
+
+    ``words`` and ``word_bias`` are by class and slot; slots without a word have a bias of ``_NO_WORD``.
+    """
 
     inputs: np.ndarray
     state: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    words: np.ndarray
+    word_bias: np.ndarray
 
     def parts(self) -> list[np.ndarray]:
-        return [self.inputs, self.state, self.out, self.bias]
+        return [self.inputs, self.state, self.out, self.bias, self.words, self.word_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
@@ -221,30 +232,37 @@ class Network:
 
 
 def first_network(known: Counts, tail_mass: np.ndarray, size: int = STATE) -> Network:
-    """Small random weights; the classes' bias is how often they occur."""
+    """Small random weights; the bias of classes, and of words in them, is how often they occur."""
     r = np.random.default_rng(7)
-    mass = np.bincount(known.class_of, known.counts[:known.network], known.classes).astype(float)
+    n = known.network
+    mass = np.bincount(known.class_of, known.counts[:n], known.classes).astype(float)
+    width = int(known.slot_of.max(initial=0)) + 1
+    word_bias = np.full((known.classes, width), _NO_WORD, np.float32)
+    word_bias[known.class_of, known.slot_of] = np.log(known.counts[:n] / np.maximum(mass[known.class_of], 1))
     mass[0], mass[1:1 + _TAILS] = known.ends, tail_mass
-    return Network((r.normal(size=(1 + _TAILS + known.network, 3 * size)) * 0.1).astype(np.float32),
+    return Network((r.normal(size=(1 + _TAILS + n, 3 * size)) * 0.1).astype(np.float32),
                    (r.normal(size=(size, 3 * size)) * 0.3).astype(np.float32),
                    (r.normal(size=(size, known.classes)) * 0.05).astype(np.float32),
-                   np.log((mass + 0.5) / (mass + 0.5).sum()).astype(np.float32))
+                   np.log((mass + 0.5) / (mass + 0.5).sum()).astype(np.float32),
+                   np.zeros((known.classes, width, size), np.float32), word_bias)
 
 
-def _sequences(own: np.ndarray, known: Counts, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and classes of word numbers; words outside the network stand for their tail class."""
+def _sequences(own: np.ndarray, known: Counts, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, classes and slots of word numbers; words outside the network stand for their tail class, slot -1."""
     n = known.network
     tail = np.where(own < 0, -1 - own, tails[np.maximum(own, 0)] if len(tails) else 0)
     inside = (own >= 0) & (own < n)
     inputs = np.where(inside, own + 1 + _TAILS, 1 + tail)
-    classes = np.where(inside, known.class_of[np.where(inside, own, 0)] if n else 0, 1 + tail)
-    return inputs.astype(np.int32), classes.astype(np.int32)
+    word = np.where(inside, own, 0)
+    classes = np.where(inside, known.class_of[word] if n else 0, 1 + tail)
+    slots = np.where(inside, known.slot_of[word] if n else 0, -1)
+    return inputs.astype(np.int32), classes.astype(np.int32), slots.astype(np.int32)
 
 
 class Lanes:
     """Texts dealt to lanes that run side by side, the longest lane first; each text ends with class 0."""
 
-    def __init__(self, inputs: np.ndarray, classes: np.ndarray, lengths: np.ndarray, lanes: int):
+    def __init__(self, inputs: np.ndarray, classes: np.ndarray, slots: np.ndarray, lengths: np.ndarray, lanes: int):
         first = np.cumsum(lengths) - lengths
         n = max(1, min(lanes, len(lengths)))
         order = np.argsort(-lengths, kind="stable")
@@ -263,6 +281,7 @@ class Lanes:
         begin = np.concatenate([[0], np.cumsum(self.size)])[:-1]
         total = int(self.size.sum())
         self.inputs, self.classes = np.zeros(total, np.int32), np.zeros(total, np.int32)
+        self.slots = np.full(total, -1, np.int32)
         self.start, self.text = np.zeros(total, bool), np.zeros(total, np.int32)
         n_own = lengths[order]
         at = np.cumsum(n_own + 1) - (n_own + 1)
@@ -270,6 +289,7 @@ class Lanes:
         target = np.repeat(at, n_own) + source
         source += np.repeat(first[order], n_own)
         self.inputs[target], self.classes[target] = inputs[source], classes[source]
+        self.slots[target] = slots[source]
         self.start[at] = True
         self.text[:] = np.repeat(order, n_own + 1)
         self.begin = begin
@@ -303,17 +323,39 @@ def _class_scores(net: Network, h: np.ndarray) -> np.ndarray:
     return x
 
 
+def _word_scores(net: Network, h: np.ndarray, classes: np.ndarray, slots: np.ndarray) -> tuple:
+    """Places that have a slot, in order of class, where each class begins and ends there, their states and
+    the scores of the words of their class, the largest zero."""
+    at = np.flatnonzero(slots >= 0)
+    at = at[np.argsort(classes[at].astype(np.int16), kind="stable")]
+    own, states = classes[at], h[at]
+    edges = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(at)).tolist()
+    spans = list(zip(edges, edges[1:], strict=False))
+    x = net.word_bias[own]
+    for a, b in spans:
+        x[a:b] += states[a:b] @ net.words[own[a]].T
+    x -= x.max(1, keepdims=True)
+    return at, spans, states, x
+
+
 def log_probability(net: Network, lanes: Lanes, texts: int) -> np.ndarray:
-    """Natural log of the classes' probability, summed per text; the state runs through whole texts."""
+    """Natural log of the probability of classes and of words in them, summed per text.
+
+    Both depend on the state, which runs through whole texts. A token without slot counts with its class alone.
+    """
     out = np.zeros(texts)
     h = np.zeros((len(lanes.size), net.state.shape[0]), np.float32)
     states, places = [], []
 
     def flush() -> None:
         at = np.concatenate(places)
-        x = _class_scores(net, np.concatenate(states))
+        h = np.concatenate(states)
+        x = _class_scores(net, h)
         p = x[np.arange(len(at)), lanes.classes[at]]
         p = p - np.log(np.exp(x, out=x).sum(1))
+        rows, _, _, x = _word_scores(net, h, lanes.classes[at], lanes.slots[at])
+        picked = x[np.arange(len(rows)), lanes.slots[at[rows]]]
+        p[rows] += picked - np.log(np.exp(x, out=x).sum(1))
         np.add(out, np.bincount(lanes.text[at], p, texts), out=out)
         states.clear()
         places.clear()
@@ -337,6 +379,12 @@ def log_probability(net: Network, lanes: Lanes, texts: int) -> np.ndarray:
     return out
 
 
+def _descend(part: np.ndarray, held_sum: np.ndarray, where: np.ndarray | slice, grad: np.ndarray, rate: float) -> None:
+    """One step against a gradient, shorter where gradients were large before."""
+    held_sum[where] += grad * grad
+    part[where] -= rate * grad / (np.sqrt(held_sum[where]) + 1e-6)
+
+
 def train(net: Network, lanes: Lanes, memory: list[np.ndarray], rate: float = RATE, steps: int = STEPS) -> None:
     """One pass over the lanes: windows of ``steps``, gradients end at a window's start, the state goes on."""
     size = net.state.shape[0]
@@ -359,6 +407,22 @@ def train(net: Network, lanes: Lanes, memory: list[np.ndarray], rate: float = RA
         p[np.arange(n), lanes.classes[places]] -= 1
         d_out, d_bias = before.T @ p, p.sum(0)
         d_before = p @ net.out.T
+        scale = np.float32(1 / n)
+        in_class, spans, states, p = _word_scores(net, before, lanes.classes[places], lanes.slots[places])
+        if spans:
+            np.exp(p, out=p)
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(p)), lanes.slots[places[in_class]]] -= 1
+            met = lanes.classes[places[in_class[[a for a, _ in spans]]]]
+            d_words = np.empty((len(met), *net.words.shape[1:]), p.dtype)
+            d_states = np.empty_like(states)
+            for k, (a, b) in enumerate(spans):
+                np.matmul(p[a:b].T, states[a:b], out=d_words[k])
+                np.matmul(p[a:b], net.words[met[k]], out=d_states[a:b])
+            d_before[in_class] += d_states
+            _descend(net.words, memory[4], met, d_words * scale, rate * WORD_RATE)
+            _descend(net.word_bias, memory[5], met, np.add.reduceat(p, [a for a, _ in spans]) * scale,
+                     rate * WORD_RATE)
         d_a = np.zeros((n, 3 * size), np.float32)
         d_state = np.zeros_like(net.state)
         d_h = np.zeros_like(h)
@@ -380,13 +444,9 @@ def train(net: Network, lanes: Lanes, memory: list[np.ndarray], rate: float = RA
         order = np.argsort(x, kind="stable")
         heads = np.flatnonzero(np.concatenate([[True], np.diff(x[order]) > 0]))
         rows, d_rows = x[order][heads], np.add.reduceat(d_a[order], heads, axis=0)
-        scale = np.float32(1 / n)
-        for part, held_sum, where, grad in (
-                (net.inputs, memory[0], rows, d_rows), (net.state, memory[1], slice(None), d_state),
-                (net.out, memory[2], slice(None), d_out), (net.bias, memory[3], slice(None), d_bias)):
-            grad = grad * scale
-            held_sum[where] += grad * grad
-            part[where] -= rate * grad / (np.sqrt(held_sum[where]) + 1e-6)
+        _descend(net.inputs, memory[0], rows, d_rows * scale, rate)
+        for part, held_sum, grad in zip(net.parts()[1:4], memory[1:4], (d_state, d_out, d_bias), strict=True):
+            _descend(part, held_sum, slice(None), grad * scale, rate)
 
 
 def fit(docs: DataFrame, known: Counts, net: Network, text: str = "text", rounds: int = ROUNDS,
@@ -437,9 +497,9 @@ def score(docs: DataFrame, training: DataFrame, text: str = "text", lanes: int =
 
     The model learns from all rows of ``training``. ``base_score`` is the log10 probability by smoothed word counts, ``score``
     that of the network: of each token's class given all tokens before it in
-    the text, times the word's share of its class in the training corpus (a
-    softmax over the logs of the counts; in the classes of rarer words, counts and one unseen word are
-    smoothed by a half). Texts end with a token of their own. Null and empty
+    the text, times that of the word among those of its class, a softmax with learned weights of the same
+    state. In the classes of words rarer than those of the network, a word's share is its count's, where
+    counts and one unseen word are smoothed by a half. Texts end with a token of their own. Null and empty
     texts are the end alone; null and repeated doc_ids give a row each; other columns are ignored;
     an empty table gives no rows; without training rows nothing is known.
 
@@ -460,14 +520,13 @@ def score(docs: DataFrame, training: DataFrame, text: str = "text", lanes: int =
         for part in text_slices(batches, "text", 1 << 23):
             own, lengths, rare = _number(part, known)
             n, text_of = len(lengths), np.repeat(np.arange(len(lengths)), lengths)
-            inputs, classes = _sequences(own, known, known.tails())
-            value = log_probability(net, Lanes(inputs, classes, lengths, lanes), n) / _LOG10
-            counted, inside = own >= 0, (own >= 0) & (own < known.network)
+            inputs, classes, slots = _sequences(own, known, known.tails())
+            value = log_probability(net, Lanes(inputs, classes, slots, lengths, lanes), n) / _LOG10
+            counted = own >= 0
             base = np.zeros(len(own))
             base[counted] = log_counts[own[counted]]
             within = np.zeros(len(own))
-            within[inside] = known.log_within[own[inside]] / _LOG10
-            tail = ~inside
+            tail = slots < 0
             within[tail] = base[tail] - np.log10(known.tail_total[classes[tail] - 1])
             yield pa.RecordBatch.from_arrays(
                 [part.column("_row"), part.column("doc_id"), pa.array(lengths + 1),

@@ -9,26 +9,39 @@ import numpy as np
 from logweave.llm import gru_lm as G
 
 
-def small(classes=7, inputs=9, size=4, seed=1):
+#: Words of each class; classes without have tokens without slot.
+WORDS = (0, 0, 3, 1, 5, 0, 4)
+
+
+def small(classes=7, inputs=9, size=4, seed=1, words=WORDS):
     r = np.random.default_rng(seed)
-    return G.Network(*(r.normal(size=s).astype(np.float64) * 0.5 for s in
-                       ((inputs, 3 * size), (size, 3 * size), (size, classes), (classes,))))
+    width = max(1, *words)
+    net = G.Network(*(r.normal(size=s).astype(np.float64) * 0.5 for s in
+                      ((inputs, 3 * size), (size, 3 * size), (size, classes), (classes,),
+                       (classes, width, size), (classes, width))))
+    net.word_bias[np.arange(width) >= np.array(words)[:, None]] = G._NO_WORD
+    return net
 
 
 def sequences(seed=2, texts=11):
     r = np.random.default_rng(seed)
     lengths = r.integers(0, 9, texts)
-    return r.integers(1, 9, lengths.sum()), r.integers(1, 7, lengths.sum()), lengths
+    classes = r.integers(1, 7, lengths.sum())
+    slots = np.array([r.integers(WORDS[c]) if WORDS[c] else -1 for c in classes])
+    return r.integers(1, 9, lengths.sum()), classes, slots, lengths
 
 
-def plain(net, inputs, classes, lengths):
+def plain(net, inputs, classes, slots, lengths):
     out, at = [], 0
     size = net.state.shape[0]
     for n in lengths:
         h, total = np.zeros(size), 0.0
-        for x, c in [*zip(inputs[at:at + n], classes[at:at + n]), (0, 0)]:
+        for x, c, word in [*zip(inputs[at:at + n], classes[at:at + n], slots[at:at + n]), (0, 0, -1)]:
             s = h @ net.out + net.bias
             total += s[c] - math.log(np.exp(s).sum())
+            if word >= 0:
+                s = {k: h @ net.words[c, k] + b for k, b in enumerate(net.word_bias[c]) if b > G._NO_WORD / 2}
+                total += s[word] - math.log(sum(math.exp(v) for v in s.values()))
             u, a = h @ net.state, net.inputs[x]
             z, r = (1 / (1 + np.exp(-(a + u)[k * size:(k + 1) * size])) for k in (0, 1))
             cand = np.tanh(a[2 * size:] + r * u[2 * size:])
@@ -39,15 +52,16 @@ def plain(net, inputs, classes, lengths):
 
 
 def test_state_runs_through_whole_texts():
-    net, (x, c, n) = small(), sequences()
-    want = plain(net, x, c, n)
+    net, (x, c, w, n) = small(), sequences()
+    want = plain(net, x, c, w, n)
     for lanes in (1, 3, 100):
-        assert np.allclose(G.log_probability(net, G.Lanes(x, c, n, lanes), len(n)), want, atol=1e-4)
+        assert np.allclose(G.log_probability(net, G.Lanes(x, c, w, n, lanes), len(n)), want, atol=1e-4)
 
 
-def test_gradients_equal_differences():
-    net, (x, c, n) = small(), sequences()
-    lanes = G.Lanes(x, c, n, 4)
+def test_gradients_equal_differences(monkeypatch):
+    monkeypatch.setattr(G, "WORD_RATE", 1.0)
+    net, (x, c, w, n) = small(), sequences()
+    lanes = G.Lanes(x, c, w, n, 4)
     big, rate = 1e12, 1.0
     after = G.Network(*(p.copy() for p in net.parts()))
     G.train(after, lanes, [np.full(p.shape, big) for p in net.parts()], rate=rate, steps=10_000)
@@ -60,7 +74,7 @@ def test_gradients_equal_differences():
             for d in (1e-4, -1e-4):
                 moved = G.Network(*(p.copy() for p in net.parts()))
                 moved.parts()[k].ravel()[i] += d
-                values.append(-plain(moved, x, c, n).sum() / tokens)
+                values.append(-plain(moved, x, c, w, n).sum() / tokens)
             assert abs((values[0] - values[1]) / 2e-4 - step.ravel()[i]) < 1e-3
 
 
@@ -68,8 +82,8 @@ def test_training_lowers_the_loss():
 
     lengths = np.full(64, 30)
     c = np.concatenate([np.where(np.arange(30) % 2 == k % 2, 1, 2) for k in range(64)])
-    net = small(3, 3, 8)
-    lanes = G.Lanes(c, c, lengths, 16)
+    net = small(3, 3, 8, words=(0, 0, 0))
+    lanes = G.Lanes(c, c, np.full(len(c), -1), lengths, 16)
     before = G.log_probability(net, lanes, 64).sum()
     memory = [np.full(p.shape, 1e-6) for p in net.parts()]
     for _ in range(20):
@@ -120,6 +134,65 @@ def test_counts_and_odd_rows(spark, monkeypatch):
     assert len(alone) == len(rows) and {x.n_known for x in alone} == {0} and {x.train_tokens for x in alone} == {0}
 
 
+def test_words_in_a_class_follow_the_state():
+    """Two words of one class by turns: only learned weights of the state tell which is next."""
+    lengths = np.full(64, 30)
+    w = np.concatenate([(np.arange(30) + k) % 2 for k in range(64)])
+    c = np.ones(len(w), int)
+    net = small(2, 3, 8, words=(0, 2))
+    lanes = G.Lanes(1 + w, c, w, lengths, 16)
+    memory = [np.full(p.shape, 1e-6) for p in net.parts()]
+    for _ in range(60):
+        G.train(net, lanes, memory)
+    # by counts each word has half of its class
+    assert G.log_probability(net, lanes, 64).sum() > 0.3 * len(w) * math.log(0.5)
+
+
+def test_score_equals_plain_steps(spark, monkeypatch):
+    """P(class) x P(word | class) of each token, step by step, from the counts of the training texts."""
+    monkeypatch.setattr(G, "NETWORK_WORDS", 40)
+    monkeypatch.setattr(G.frequent, "__defaults__", (70,))
+    kept = {}
+
+    def fitted(docs, known, net, text="text", **_):
+        r = np.random.default_rng(5)
+        kept["net"] = G.Network(*((p + r.normal(size=p.shape) * 0.3).astype(np.float32) for p in net.parts()))
+        kept["known"] = known
+        return kept["net"]
+
+    monkeypatch.setattr(G, "fit", fitted)
+    r = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(120)] + ["É.", "ß", "end."]
+    rows = [(i, " ".join(r.choices(vocabulary, [1 / (k + 1) for k in range(len(vocabulary))], k=r.randrange(50))))
+            for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.score for x in G.score(df, df.filter("doc_id < 60")).collect()}
+    net, known = kept["net"], kept["known"]
+    counts = Counter(w for i, t in rows if i < 60 for w in t.encode().lower().split())
+    number = {w: i for i, w in enumerate(known.words[:known.network])}
+    assert len(number) > 10 and net.word_bias.shape[1] > 1
+    mass, distinct = Counter(), Counter()
+    for w, n in counts.items():
+        if w not in number:
+            mass[int(G.tail_classes([w])[0])] += n
+            distinct[int(G.tail_classes([w])[0])] += 1
+    for i, t in rows:
+        x, c, slots, tails = [], [], [], 0.0
+        for w in t.encode().lower().split():
+            if w in number:
+                x.append(1 + G._TAILS + number[w])
+                c.append(known.class_of[number[w]])
+                slots.append(known.slot_of[number[w]])
+            else:
+                k = int(G.tail_classes([w])[0])
+                x.append(1 + k)
+                c.append(1 + k)
+                slots.append(-1)
+                tails += math.log((counts[w] + 0.5) / (mass[k] + 0.5 * (distinct[k] + 1)))
+        want = (plain(net, x, c, slots, [len(x)])[0] + tails) / math.log(10)
+        assert abs(got[i] - want) < 1e-4 * max(1, abs(want))
+
+
 def test_model_beats_counts_on_held_out_texts(spark):
     r = random.Random(3)
     def text():
