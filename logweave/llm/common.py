@@ -131,14 +131,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     return mix(out)
 
 
-def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of ``k`` consecutive entries of ``h``."""
+def rolling(h: np.ndarray, k: int, root: np.uint64 = _ROOT) -> np.ndarray:
+    """A hash of each run of ``k`` consecutive entries of ``h``; others come from other odd roots."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for j in range(k):
-        out *= _ROOT
+        out *= root
         out += h[j:n + j]
     return mix(out)
 

@@ -20,6 +20,8 @@ PREFIX = 10
 #: does, and beyond the second bound a group is split again and its first members meet once more.
 LONG_PREFIX = 5_000
 SPLIT = 20_000
+#: Root of the second hash of a window.
+_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _anchors(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,10 +58,11 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _suffixes(docs: DataFrame, window: int) -> DataFrame:
-    """(path, id, _row, start, n): suffixes whose window has an anchor met elsewhere.
+    """(path, more, id, _row, start, n): suffixes whose window has an anchor met elsewhere.
 
     ``docs`` has (_row, id, text, places: anchors with their number of occurrences). ``path`` is the
-    way down the tree: 16 bits of a hash of the suffix's first ``PREFIX`` words, then 48 of its first ``window``.
+    way down the tree: 16 bits of a hash of the suffix's first ``PREFIX`` words, then 48 of its first ``window``;
+    ``more`` are 64 bits of those by another hash, so that windows are told apart by 112 bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,13 +83,14 @@ def _suffixes(docs: DataFrame, window: int) -> DataFrame:
             short, whole = rolling(h, min(PREFIX, window))[at], rolling(h, window)[at]
             path = (short >> np.uint64(48) << np.uint64(48)) | (whole >> np.uint64(16))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(path.view(np.int64)), part.column("id").take(row), part.column("_row").take(row),
+                [pa.array(path.view(np.int64)), pa.array(rolling(h, window, _SECOND)[at].view(np.int64)),
+                 part.column("id").take(row), part.column("_row").take(row),
                  pa.array((at - first[row.to_numpy()]).astype(np.int32)),
                  pa.array(np.minimum(n, 1 << 30).astype(np.int32))],
-                names=["path", "id", "_row", "start", "n"])
+                names=["path", "more", "id", "_row", "start", "n"])
 
     return docs.select("_row", "id", "text", "places").mapInArrow(
-        run, "path long, id long, _row long, start int, n int")
+        run, "path long, more long, id long, _row long, start int, n int")
 
 
 def _subtrees(suffixes: DataFrame, group: Column, first_leaves: bool) -> DataFrame:
@@ -105,13 +109,14 @@ def _subtrees(suffixes: DataFrame, group: Column, first_leaves: bool) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            path = batch.column("path").to_numpy()
-            common = np.concatenate([[before == path[0]], path[1:] == path[:-1]])
-            before = path[-1]
+            path, more = batch.column("path").to_numpy(), batch.column("more").to_numpy()
+            common = np.concatenate([[before == (path[0], more[0])],
+                                     (path[1:] == path[:-1]) & (more[1:] == more[:-1])])
+            before = path[-1], more[-1]
             pick = ~common & (batch.column("n").to_numpy() > SPLIT) if first_leaves else common
             yield batch.filter(pa.array(pick))
 
-    return (suffixes.repartition(group).sortWithinPartitions("path", "id", "_row", "start")
+    return (suffixes.repartition(group).sortWithinPartitions("path", "more", "id", "_row", "start")
             .mapInArrow(run, suffixes.schema))
 
 

@@ -47,6 +47,23 @@ def test_equals_brute_force(spark, monkeypatch, seed, long, split):
     assert got == want
 
 
+@pytest.mark.parametrize("split,both", [(20000, False), (3, False), (20000, True)])
+def test_windows_with_one_path_are_told_apart(spark, monkeypatch, split, both):
+    """With one bit left of the hash in the path, the second hash decides; with one bit of both, nothing does."""
+    whole = S.rolling
+
+    def one_bit(h, k, *root):
+        out = whole(h, k, *root)
+        return out if k <= S.ANCHOR or (root and not both) else out & S.np.uint64(1 << 63)
+
+    monkeypatch.setattr(S, "rolling", one_bit)
+    monkeypatch.setattr(S, "SPLIT", split)
+    docs = list(texts(7, 40))
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept)
+                 for r in S.cut_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert (got == brute(docs)) != both
+
+
 def test_remove_keeps_columns_and_untouched_texts(spark):
     long = " ".join(f"x{i}" for i in range(30))
     df = spark.createDataFrame([(1, "a  b\nc", "s", 5), (2, long, "s", 1), (3, "new " + long + "  tail", None, 2),
