@@ -653,8 +653,11 @@ def notify_fanout(spark, sf):
     sessions = X.table(spark, sf, "customer").selectExpr(
         "c_name AS user", "CASE c_custkey % 5 WHEN 0 THEN concat('ftp', c_custkey) "
         "WHEN 1 THEN concat('uucp', c_custkey) ELSE concat('tty', c_custkey) END AS terminal")
-    return (notify.notify_fanout(alerts, sessions).groupBy("user", "terminal")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum")))
+    # added up per name before the join: an alert to everyone is told on every terminal
+    asked = notify.addressees(alerts).groupBy("users").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum"))
+    return (notify.notify_fanout(asked, sessions).groupBy("user", "terminal")
+            .agg(F.sum("n").alias("n"), F.sum("seq_sum").alias("seq_sum")))
 
 
 # --- integrity -----------------------------------------------------------------

@@ -10,6 +10,7 @@ from logweave.operators import collapse, diagnostics, filters, notify, parse, re
 from logweave.operators.joins import fits_broadcast, lookup_join
 from logweave.operators.ordering import number_rows
 from logweave.plans import fixtures as X
+from logweave.plans.queries import REGISTRY
 from logweave.sinks import deliver, render
 from logweave.sources import lines as src
 from logweave.streaming.jobs import LineStream, LogStream
@@ -116,6 +117,35 @@ def test_notify(spark):
                 .select("terminal")) == [("tty1",)]
 
 
+def test_notify_many_sessions(spark):
+    """Sessions beyond the bound: alerts are broadcast, and no task gets all sessions for everyone."""
+    sessions = spark.range(300).selectExpr("concat('u', id % 100) AS user", "concat('tty', id) AS terminal")
+    alerts = spark.createDataFrame([(1, "*"), (2, "u1,u2,u1"), (3, "u1 *"), (4, "*"), (5, None), (6, "")],
+                                   "id int, users string")
+    want = rows(notify.notify_fanout(alerts, sessions))
+    assert len(want) == 2 * 300 + 6 + 3
+    for limit in (0, 2, 10, 599):
+        assert rows(notify.notify_fanout(alerts, sessions, max_rows=limit)) == want
+    plan = notify.notify_fanout(alerts, sessions, max_rows=10)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    asked = notify.addressees(alerts).groupBy("users").count()
+    assert rows(asked) == [("*", 2), ("u1", 2), ("u2", 1)]
+    told = notify.notify_fanout(asked, sessions).groupBy("terminal").agg(F.sum("count"))
+    assert rows(told) == rows(notify.notify_fanout(alerts, sessions).groupBy("terminal").count())
+
+
+def test_notify_query_fans_out_names_once(spark, tmp_path):
+    """A row per terminal leaves the join, however many alerts go to everyone."""
+    spark.range(20_000).selectExpr("id AS event_id", "id AS user_id", "'error' AS event_type", "100D AS value",
+                                   "TIMESTAMP '2024-01-01 00:00:00' AS ts", "'' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(5_000).selectExpr("id AS c_custkey", "concat('c', id) AS c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    df = REGISTRY["notify_fanout"](spark, str(tmp_path))
+    got = df.agg(F.count("*"), F.min("n"), F.max("n"), F.max("seq_sum")).first()
+    assert tuple(got) == (3_000, 20_000, 20_000, 20_000 * 19_999 // 2)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Join") < plan.index("HashAggregate(keys=[users")  # the aggregate is below the join
+
+
 def test_lookup_join_paths(spark):
     big = spark.range(100).withColumn("k", F.col("id") % 3)
     dim = spark.createDataFrame([(0, "a"), (1, "b")], "k bigint, v string")
