@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ def _spread(records: DataFrame) -> list[str]:
 
 
 def route(records: DataFrame, compiled: DataFrame, max_rows: int = BROADCAST_ROWS,
-          max_bytes: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
+          max_bytes: int = BROADCAST_BYTES, salts: int = SALTS, few_records: bool = False) -> DataFrame:
     """Records with ``rule_id``, ``dest`` and ``sink`` of each rule that takes them.
 
     The rules, turned around into lists per (facility, severity) and per
@@ -60,24 +62,57 @@ def route(records: DataFrame, compiled: DataFrame, max_rows: int = BROADCAST_ROW
     record is compared with a rule it cannot match and records are not
     shuffled. A larger rule set is joined by a shuffle on (facility, severity,
     program or none) and a salt, since a few of these keys may hold most records.
+    With ``few_records`` the records are measured first and, if they are small,
+    broadcast to the rules, which then are neither written nor shuffled.
     """
-    index = freeze(rule_index(compiled))
-    if fits_broadcast(index, max_rows, max_bytes):
+    few = few_records and fits_broadcast(records, max_rows, max_bytes)
+    index = rule_index(compiled) if few else freeze(rule_index(compiled))
+    if not few and fits_broadcast(index, max_rows, max_bytes):
         found, cols = _matched(records, index)
         return (found.withColumn("_hit", F.explode("_hits"))
                 .select(*records.columns, *[F.col(f"_hit.{c}").alias(c) for c in cols]))
     # a rule with a program and one without have different keys, so a record asks for both
     own = F.concat(F.lit("="), F.col("prog"))
-    left = (records.withColumn("_salt", F.pmod(F.xxhash64(*_spread(records)), F.lit(salts)).cast("int"))
-            .withColumn("_key", F.explode(F.array_compact(F.array(F.lit(""), own)))))
-    right = (index.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-             .withColumn("_rkey", F.coalesce(F.concat(F.lit("="), "program"), F.lit("")))
+    left = records.withColumn("_key", F.explode(F.array_compact(F.array(F.lit(""), own))))
+    right = (index.withColumn("_rkey", F.coalesce(F.concat(F.lit("="), "program"), F.lit("")))
              .withColumnsRenamed({"fac": "_fac", "sev": "_sev"}).drop("program"))
-    on = ((left["fac"] == right["_fac"]) & (left["sev"] == right["_sev"])
-          & (left["_key"] == right["_rkey"]) & (left["_salt"] == right["_rsalt"]))
+    on = (left["fac"] == right["_fac"]) & (left["sev"] == right["_sev"]) & (left["_key"] == right["_rkey"])
+    if few:
+        return F.broadcast(left).join(right, on, "inner").drop("_key", "_rkey", "_fac", "_sev")
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(*_spread(records)), F.lit(salts)).cast("int"))
+    right = right.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    on = on & (left["_salt"] == right["_rsalt"])
     return left.join(right, on, "inner").drop("_salt", "_rsalt", "_key", "_rkey", "_fac", "_sev")
 
 
+def route_totals(records: DataFrame, compiled: DataFrame, sums: dict[str, str] | None = None,
+                 by: Sequence[str] = ("rule_id",), count: str | None = "n", max_rows: int = BROADCAST_ROWS,
+                 max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Per value of ``by`` (columns of the rules) the totals of the records :func:`route` gives it.
+
+    ``count`` names their number, ``sums`` names sums of columns; rules without records
+    have no row. Whether a rule takes a record depends on facility, severity and
+    program alone, so records are added up by these first and the totals are routed: by
+    facility and severity to rules without a program, with the program to
+    the others. A rule then meets a few hundred totals at most, however many records there are.
+    """
+    sums = sums or {}
+    names = [*([count] if count else []), *sums]
+    first = [*([F.count(F.lit(1)).alias(count)] if count else []), *[F.sum(c).alias(n) for n, c in sums.items()]]
+
+    def added(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+
+    own = freeze(records.groupBy("fac", "sev", "prog").agg(*first))
+    every = added(own, "fac", "sev").withColumn("prog", F.lit(None).cast("string"))
+    parts = []
+    for kinds, kept in ((every, "program IS NULL"), (own, "program IS NOT NULL")):
+        # a key has one total, so there is nothing that a salt could split
+        found = route(kinds, compiled.filter(kept), max_rows, max_bytes, salts=1, few_records=True)
+        parts.append(found.select(*by, *names))
+    return added(parts[0].union(parts[1]), *by)
+
+
 def unrouted(records: DataFrame, compiled: DataFrame, max_rows: int = BROADCAST_ROWS,
              max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Records that no rule takes, in one pass.

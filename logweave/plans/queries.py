@@ -297,10 +297,7 @@ def route_counts(spark, sf):
 def route_tenants(spark, sf):
     """Every record against a rule per customer."""
     compiled = rules.compile_masks(X.tenant_rules(spark, sf))
-    # counted per (facility, severity) before the join: same result, little data
-    kinds = X.records(spark, sf).groupBy("fac", "sev", "prog").agg(F.count(F.lit(1)).alias("c"))
-    return (route.route(kinds, compiled).groupBy("rule_id")
-            .agg(F.sum("c").cast("bigint").alias("n")))
+    return route.route_totals(X.records(spark, sf), compiled)
 
 
 def _program_rules(spark, sf):

@@ -138,3 +138,37 @@ def test_passes(spark, kw, want):
          (3, "y", "b", "2024-11-11 11:00:00")], "id int, msg string, host string, t string")
     df = df.withColumn("ts", F.col("t").cast("timestamp_ntz"))
     assert [r.id for r in df.filter(filters.passes(**kw)).orderBy("id").collect()] == want
+
+
+def test_totals_are_those_of_the_routed_rows(spark):
+    """Totals by facility, severity and program, broadcast either way or shuffled; nulls, doubles and rules without records."""
+    rnd = random.Random(11)
+    lines = [(i if i % 9 else None, rnd.choice([None, *range(24)]), rnd.choice([None, *range(8)]), rnd.choice([None, "a", "b", "=a", ""]))
+             for i in range(600)]
+    records = spark.createDataFrame(lines, "seq bigint, fac int, sev int, prog string")
+    facs, levels = ["*", "kern", "local1", "mail,cron"], ["*", "err", "=info", "!notice", "none"]
+    given = [(rnd.choice([None, "r", *map(str, range(40))]), f"{rnd.choice(facs)}.{rnd.choice(levels)};{rnd.choice(facs)}.{rnd.choice(levels)}",
+              rnd.choice([None, None, "a", "b", "=a", "*", "none"]), rnd.choice("xyz"), "file") for _ in range(120)]
+    compiled = rules.compile_masks(spark.createDataFrame(
+        given, "rule_id string, selector string, program string, dest string, sink string"))
+    for by in (["rule_id"], ["sink", "rule_id", "dest"]):
+        want = rows(route.route(records, compiled).groupBy(*by).agg(F.count(F.lit(1)), F.sum("seq")))
+        assert len(want) > 30
+        for limit in (10**6, 150, 20, 0):
+            assert rows(route.route_totals(records, compiled, {"s": "seq"}, by, max_rows=limit)) == want
+    assert rows(route.route_totals(records, compiled)) == rows(
+        route.route(records, compiled).groupBy("rule_id").agg(F.count(F.lit(1))))
+    assert rows(route.route(records, compiled, few_records=True)) == rows(route.route(records, compiled))
+
+
+def test_totals_of_many_rules_are_not_rows_per_record(spark):
+    """A rule meets a few hundred totals, and a rule set beyond the bound is neither written nor shuffled before it met them."""
+    records = spark.range(30_000).selectExpr("id AS seq", "CAST(id % 24 AS int) AS fac", "CAST(id % 8 AS int) AS sev", "concat('p', id) AS prog")
+    compiled = rules.compile_masks(spark.range(8_000).selectExpr(
+        "CAST(id AS string) AS rule_id", "'*.*' AS selector", "CASE WHEN id % 2 = 1 THEN concat('p', id) END AS program",
+        "'all' AS dest", "'file' AS sink"))
+    df = route.route_totals(records, compiled, {"s": "seq"}, max_rows=40_000)  # 1.5 million index rows, 120 million pairs
+    got = df.groupBy("n").agg(F.count("*"), F.min("s"), F.max("s"))
+    assert rows(got) == [(1, 4_000, 1, 7_999), (30_000, 4_000, 30_000 * 29_999 // 2, 30_000 * 29_999 // 2)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
