@@ -328,8 +328,7 @@ def actions_fanout(spark, sf):
                "ELSE array(named_struct('sink', 'table', 'dest', 'log')) END")
     given = X.program_rules(spark, sf).drop("dest", "sink").withColumn("actions", F.expr(actions))
     compiled = rules.compile_masks(deliver.explode_actions(given))
-    return (route.route(X.records(spark, sf), compiled).groupBy("rule_id", "sink", "dest")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum")))
+    return route.route_totals(X.records(spark, sf), compiled, {"seq_sum": "seq"}, ["rule_id", "sink", "dest"])
 
 
 @query
