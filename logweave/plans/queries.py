@@ -315,8 +315,7 @@ def route_programs(spark, sf):
 @query
 def route_programs_shuffled(spark, sf):
     """The same as for a rule set beyond the bound of a broadcast."""
-    return (route.route(X.records(spark, sf), _program_rules(spark, sf), max_rows=0).groupBy("rule_id")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum")))
+    return route.route_totals(X.records(spark, sf), _program_rules(spark, sf), {"seq_sum": "seq"}, max_rows=0)
 
 
 @query
