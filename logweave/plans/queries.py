@@ -308,8 +308,7 @@ def _program_rules(spark, sf):
 @query
 def route_programs(spark, sf):
     """Every record against rules with and without a program."""
-    return (route.route(X.records(spark, sf), _program_rules(spark, sf)).groupBy("rule_id")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum")))
+    return route.route_totals(X.records(spark, sf), _program_rules(spark, sf), {"seq_sum": "seq"})
 
 
 @query
