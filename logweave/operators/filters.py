@@ -163,38 +163,107 @@ def route_matching(records: DataFrame, compiled: DataFrame, rule_filters: DataFr
     it. Rules of which no test must match are routed first and filtered after.
     Patterns beyond the bounds, which are measured, take the other way.
     """
+    scan = _scan_rules(compiled, rule_filters, max_patterns, max_bytes)
+    if scan is None:
+        return apply_filters(route.route(records, compiled), rule_filters)
+    known, rules = scan
+    seen = _with_hits(records, known)
+    free = route.route(seen, rules.filter("_all IS NULL OR size(_all) = 0").select(compiled.columns))
+    bars = rules.filter("size(_all) = 0 AND size(_none) > 0").select("rule_id", "_none")
+    spread = [c for c in ("source", "seq", "host", "msg") if c in records.columns]
+    kept = lookup_join(free, bars, ["rule_id"], "left", spread).filter(
+        ~F.coalesce(F.arrays_overlap("_none", "_found"), F.lit(False))).drop("_none")
+    target = [c for c in free.columns if c not in seen.columns and c != "rule_id"]
+    met = _met(seen, rules.filter("size(_all) > 0").select("_all", "_none", "program", "masks", "rule_id", *target), spread)
+    return kept.select(free.columns).unionByName(met.select(free.columns)).drop("_found")
+
+
+def _scan_rules(compiled: DataFrame, rule_filters: DataFrame, max_patterns: int,
+                max_bytes: int) -> tuple[list[tuple[str, str]], DataFrame] | None:
+    """All patterns, numbered by their place, and the rules without invalid ones: ``_all`` must be found in a record, ``_none`` must not.
+
+    Nothing where there are no patterns, or more than the bounds.
+    """
     tests = freeze(_tests(rule_filters).filter("given IS NOT NULL"))
     kinds = tests.filter("pattern IS NOT NULL").select("field", "given").distinct()
     if not fits_broadcast(kinds, max_patterns, max_bytes):
-        return apply_filters(route.route(records, compiled), rule_filters)
+        return None
     known = sorted(map(tuple, kinds.collect()))  # within the bounds just measured
     if not known:
-        return apply_filters(route.route(records, compiled), rule_filters)
-    numbers = records.sparkSession.createDataFrame(
+        return None
+    numbers = compiled.sparkSession.createDataFrame(
         [(i, f, g) for i, (f, g) in enumerate(known)], "n int, field string, given string")
     field = reduce(lambda acc, k: acc.when(F.col("field") == k[1], F.lit(-1 - k[0])), enumerate(_NAMES), F.when(F.lit(False), 0))
     needs = tests.join(F.broadcast(numbers), ["field", "given"], "left").groupBy("rule_id").agg(
         F.bool_or(F.col("pattern").isNull()).alias("_bad"),
         F.array_sort(F.collect_set(F.when(~F.col("inverse"), F.col("n")))).alias("_all"),
-        F.array_union(F.collect_set(F.when(F.col("inverse"), F.col("n"))),
-                      F.collect_set(F.when(F.col("inverse"), field))).alias("_none"))
-    rules = freeze(compiled.join(needs, "rule_id", "left").filter("NOT coalesce(_bad, false)").drop("_bad"))
-    seen = _with_hits(records, known)
-    free = route.route(seen, rules.filter("_all IS NULL OR size(_all) = 0").select(compiled.columns))
-    bars = rules.filter("size(_all) = 0 AND size(_none) > 0").select("rule_id", "_none")
-    spread = [c for c in ("source", "seq", "host", "msg") if c in records.columns]
-    kept = lookup_join(free, bars, ["rule_id"], "left", spread).filter(
-        ~F.coalesce(F.arrays_overlap("_none", "_found"), F.lit(False))).drop("_none")
-    keyed = rules.filter("size(_all) > 0").select(
-        F.element_at("_all", -1).alias("_by"), "_all", "_none", "program", "masks", "rule_id",
-        *[c for c in free.columns if c not in seen.columns and c != "rule_id"])
-    by_hit = seen.withColumn("_by", F.explode("_found"))
+        F.array_sort(F.array_union(F.collect_set(F.when(F.col("inverse"), F.col("n"))),
+                                   F.collect_set(F.when(F.col("inverse"), field)))).alias("_none"))
+    return known, freeze(compiled.join(needs, "rule_id", "left").filter("NOT coalesce(_bad, false)").drop("_bad"))
+
+
+def _selected() -> Column:
+    """Whether the rule of a row, by its ``masks`` and ``program``, takes the row's record."""
     mask = F.get("masks", F.col("fac"))
-    selected = (mask != DEAD_MASK) & (mask.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("sev"))) != 0)
-    met = lookup_join(by_hit, keyed, ["_by"], "inner", spread).filter(
-        (F.size(F.array_except("_all", "_found")) == 0) & ~F.arrays_overlap("_none", "_found")
-        & (F.col("program").isNull() | (F.col("program") == F.col("prog"))) & selected)
-    return kept.select(free.columns).unionByName(met.select(free.columns)).drop("_found")
+    takes = (mask != DEAD_MASK) & (mask.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("sev"))) != 0)
+    return (F.col("program").isNull() | (F.col("program") == F.col("prog"))) & takes
+
+
+def _met(seen: DataFrame, keyed: DataFrame, spread: list[str]) -> DataFrame:
+    """Rows of ``seen`` with each rule that takes them, of rules with patterns that must be found: looked up by the last of these."""
+    by_hit = seen.withColumn("_by", F.explode("_found"))
+    return lookup_join(by_hit, keyed.withColumn("_by", F.element_at("_all", -1)), ["_by"], "inner", spread).filter(
+        (F.size(F.array_except("_all", "_found")) == 0) & ~F.arrays_overlap("_none", "_found") & _selected())
+
+
+def match_totals(records: DataFrame, compiled: DataFrame, rule_filters: DataFrame, sums: dict[str, str] | None = None,
+                 count: str = "n", max_patterns: int = SCAN_PATTERNS, max_bytes: int = SCAN_BYTES) -> DataFrame:
+    """Per ``rule_id`` the totals of the records :func:`route_matching` gives it: their number, and sums of columns.
+
+    Records are scanned in the same way and then added up by facility, severity, program and
+    the patterns found; rules that ask the same (masks, program and tests) are one class. Classes with a
+    pattern that must match are looked up by it. The others get the totals of all records they
+    select less those of records in which a pattern that must not match was found, looked up by that
+    pattern, so neither kind is compared with records it has no pattern in. Totals come back to the rules last.
+    """
+    sums = sums or {}
+    scan = _scan_rules(compiled, rule_filters, max_patterns, max_bytes)
+    if scan is None:
+        found = apply_filters(route.route(records, compiled), rule_filters)
+        return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias(count), *[F.sum(c).alias(n) for n, c in sums.items()])
+    known, rules = scan
+    asks = F.to_json(F.struct("program", "masks", "_all", "_none"))
+    rules = rules.select("rule_id", "program", "masks", "_all", "_none", asks.alias("_asks"))
+    classes = freeze(rules.groupBy("_asks").agg(*[F.first(c).alias(c) for c in ("program", "masks", "_all", "_none")])
+                     .withColumn("_class", F.monotonically_increasing_id()))
+    # a sum is null where no value is known, so these are counted
+    names = [count, *sums, *[f"_k_{n}" for n in sums]]
+    needed = sorted({"fac", "sev", "prog", "host", "msg", "ts", *sums.values()})
+    kinds = freeze(_with_hits(records.select(needed), known).groupBy("fac", "sev", "prog", "_found").agg(
+        F.count(F.lit(1)).alias(count), *[F.sum(c).alias(n) for n, c in sums.items()],
+        *[F.count(c).alias(f"_k_{n}") for n, c in sums.items()]))
+    added = [F.sum(n).alias(n) for n in names]
+    keyed = classes.filter("size(_all) > 0").select("_class", "program", "masks", "_all", "_none")
+    met = _met(kinds, keyed, []).groupBy("_class").agg(*added)
+    free = classes.filter("_all IS NULL OR size(_all) = 0").withColumnRenamed("_class", "rule_id")
+    every = route.route_totals(kinds, free.select("rule_id", "program", "masks"), {n: n for n in names}, count=None)
+    # a record with several of a class's patterns counts once, at the smallest
+    bars = free.filter("size(_none) > 0").select("rule_id", "program", "masks", "_none", F.explode("_none").alias("_by"))
+    by_hit = kinds.withColumn("_by", F.explode("_found"))
+    barred = (lookup_join(by_hit, bars, ["_by"]).filter(
+        (F.array_min(F.array_intersect("_none", "_found")) == F.col("_by")) & _selected())
+        .groupBy("rule_id").agg(*[F.sum(n).alias(f"_less_{n}") for n in names]))
+    rest = every.join(barred, "rule_id", "left").select(
+        F.col("rule_id").alias("_class"),
+        *[(F.col(n) - F.coalesce(f"_less_{n}", F.lit(0))).alias(n) for n in names])
+    totals = met.unionByName(rest).filter(F.col(count) > 0).join(classes.select("_class", "_asks"), "_class")
+    totals = freeze(totals.select("_asks", count, *[F.when(F.col(f"_k_{n}") > 0, F.col(n)).alias(n) for n in sums]))
+    # as route_matching has it, a rule of which no pattern must match and that comes k times takes a record k * k times
+    barred = F.coalesce((F.size("_all") == 0) & (F.size("_none") > 0), F.lit(False)).alias("_barred")
+    back = lookup_join(rules.select("rule_id", "_asks", barred), totals, ["_asks"], "left", ["rule_id"]).groupBy("rule_id").agg(
+        F.when(F.bool_or("_barred"), F.count(F.lit(1))).otherwise(F.lit(1)).alias("_times"),
+        *[F.sum(n).alias(n) for n in (count, *sums)])
+    return back.filter(F.col(count) > 0).select("rule_id", *[(F.col(n) * F.col("_times")).alias(n) for n in (count, *sums)])
 
 
 def _with_hits(records: DataFrame, known: list[tuple[str, str]]) -> DataFrame:

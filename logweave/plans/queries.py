@@ -413,8 +413,7 @@ def regex_many(spark, sf):
 def regex_grammar(spark, sf):
     """A rule per customer on the same records, each message scanned once for all patterns."""
     table = X.grammar_rules(spark, sf)
-    found = filters.route_matching(X.records(spark, sf), rules.compile_masks(table), table)
-    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum"))
+    return filters.match_totals(X.records(spark, sf), rules.compile_masks(table), table, {"seq_sum": "seq"})
 
 
 @query

@@ -169,6 +169,40 @@ def test_all_ways_agree(spark, sf):
     assert rows(filters.route_matching(records, some, none).select(cols)) == rows(route.route(records, some).select(cols))
 
 
+def test_totals_are_those_of_the_matched_rows(spark, sf):
+    """Inverse rules by what they bar, others by what they must find; null fields and numbers, rules that come twice or ask the same."""
+    from logweave import schema as S
+    table = spark.createDataFrame([*_rules(), *[(f"again{r[0]}", *r[1:]) for r in _rules()], *_rules()[5:12]], S.RULES)
+    more = spark.createDataFrame([("m", None, None, None, "^1", False), ("m", "zzz", None, None, None, True),
+                                  ("none", "k", None, None, "^0", True), ("none", "error", None, None, None, True)],
+                                 "rule_id string, message_re string, host_re string, date_re string, time_re string, inverse boolean")
+    chain = table.select(more.columns).unionByName(more)
+    records = parse.parse_lines(X.raw_lines(spark, sf), default_host="l", ref_ts=X.REF_TS, trust_msg_host=True, strip_domain=True)
+    records = records.withColumn("host", F.when(F.col("seq") % 9 > 0, F.col("host"))).withColumn(
+        "msg", F.when(F.col("seq") % 11 > 0, F.col("msg"))).withColumn("sev", F.when(F.col("seq") % 13 > 0, F.col("sev")))
+    records = records.withColumn("num", F.when(F.col("prog") != "click", F.col("seq")))
+    compiled = rules.compile_masks(table)
+    want = rows(filters.route_matching(records, compiled, chain).groupBy("rule_id").agg(F.count(F.lit(1)), F.sum("num")))
+    assert len(want) > 80 and ("prog", want[[r[0] for r in want].index("prog")][1], None) in want
+    assert rows(filters.match_totals(records, compiled, chain, {"s": "num"})) == want
+    single = rules.compile_masks(table.dropDuplicates(["rule_id"]))
+    want = rows(filters.match_totals(records, single, chain))
+    assert rows(filters.match_totals(records, single, chain, max_patterns=1)) == want
+
+
+def test_totals_of_many_inverse_rules(spark):
+    """Rules of which no pattern must match do not meet each record: two rules a class, and a hit per record."""
+    n = 40_000
+    records = spark.range(n).selectExpr("id AS seq", "16 AS fac", "6 AS sev", "'p' AS prog", "concat('m', id % 50, '.') AS msg", "'h' AS host",
+                                        "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts")
+    table = spark.range(10_000).selectExpr(
+        "CAST(id AS string) AS rule_id", "'*.*' AS selector", "CAST(NULL AS string) AS program", "'all' AS dest", "'file' AS sink",
+        "concat('m', id % 100, '[.]') AS message_re", "true AS inverse")
+    df = filters.match_totals(records, rules.compile_masks(table), table, {"s": "seq"})  # 400 million pairs
+    assert rows(df.groupBy("n").count()) == [(n, 5_000), (n - n // 50, 5_000)]
+    assert df.filter("rule_id = '3'").first().s == n * (n - 1) // 2 - sum(range(3, n, 50))
+
+
 def test_rejected_rules_do_not_stop_a_job(spark):
     table = spark.createDataFrame([("a", "(?P<n>a)", False), ("b", "x\\K", False), ("c", "fine", False)],
                                   "rule_id string, message_re string, inverse boolean")
