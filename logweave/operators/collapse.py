@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 
 from logweave import schema as S
 from logweave.functions.clock import epoch_seconds, from_epoch
-from logweave.operators.ordering import BLOCK, CHUNK, HOT_ROWS, add_chunks, in_chunk
+from logweave.operators.ordering import BLOCK, CHUNK, HOT_ROWS, add_chunks, count_hours, in_chunk
 from logweave.schema import REPEAT_INTERVALS
 from logweave.session import freeze
 
 KEYS = ["rule_id"]
 
 
-def _lines(routed: DataFrame, hot_rows: int, block: int, collapse: bool) -> DataFrame:
+def _lines(routed: DataFrame, hot_rows: int, block: int, collapse: bool, hours: DataFrame | None = None) -> DataFrame:
     """Lines in chunks with ``_new`` (starts a run), ``_pos`` and neighbours."""
     df = routed
     for name, default in (("is_mark", F.lit(False)), ("fac", F.lit(None).cast("int")),
@@ -38,7 +38,7 @@ def _lines(routed: DataFrame, hot_rows: int, block: int, collapse: bool) -> Data
     slim = df.select("rule_id", "ts", "seq", "fac", "sev", "host", "msg", "is_mark")
     w = in_chunk(KEYS)
     repeats = (F.lag("msg").over(w) == F.col("msg")) & (F.lag("host").over(w) == F.col("host"))
-    return (add_chunks(slim, KEYS, hot_rows=hot_rows, block=block)
+    return (add_chunks(slim, KEYS, hot_rows=hot_rows, block=block, hours=hours)
             .withColumn("_new", ~F.coalesce(repeats & _may_repeat(collapse), F.lit(False)))
             .withColumn("_pos", F.row_number().over(w))
             .withColumn("_prev_ts", F.lag("ts").over(w))
@@ -75,6 +75,28 @@ def _local_runs(lines: DataFrame) -> DataFrame:
         (~F.coalesce("_follows", F.lit(False))).alias("is_last")))
 
 
+def _joined_edges(edges: DataFrame, hours: DataFrame, collapse: bool, hot_rows: int, block: int) -> DataFrame:
+    """Edge runs of small chunks joined inside larger ones, of ``hot_rows`` and ``block`` lines.
+
+    What comes out has the columns of :func:`_local_runs` and is the same kind of thing: two rows
+    per large chunk may go on in its neighbours, the others are complete.
+    """
+    w = in_chunk(KEYS)
+    same = ((F.lag("msg").over(w) == F.col("msg")) & (F.lag("host").over(w) == F.col("host"))
+            & F.col("is_first") & _may_repeat(collapse))
+    head = F.struct("_sec", "seq", "ts", "fac", "sev", "host", "msg", "is_mark", "is_first")
+    pieces = (add_chunks(edges.drop("_sec", *CHUNK), KEYS, hot_rows=hot_rows, block=block, hours=hours)
+              .withColumn("_brk", ~F.coalesce(same, F.lit(False))).withColumn("_opens", F.row_number().over(w) == 1)
+              .withColumn("_at_end", F.lead(F.lit(1)).over(w).isNull())
+              .withColumn("_gid", F.sum(F.col("_brk").cast("bigint")).over(
+                  w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    return (pieces.groupBy(*KEYS, *CHUNK, "_gid")
+            .agg(F.min(head).alias("h"), F.sum("n").alias("n"), F.max(F.struct("_sec", "seq", "last_ts")).alias("t"),
+                 F.bool_or("_opens").alias("_opens"), F.bool_or("_at_end").alias("is_last"))
+            .select("rule_id", *CHUNK, *[f"h.{c}" for c in ("_sec", "seq", "ts", "fac", "sev", "host", "msg", "is_mark")],
+                    "n", "t.last_ts", (F.col("_opens") & F.col("h.is_first")).alias("is_first"), "is_last"))
+
+
 def _number_edges(edges: DataFrame, collapse: bool) -> DataFrame:
     """Edge runs with ``_gid``: pieces of one run share it. ``_brk`` starts a new one.
 
@@ -90,16 +112,26 @@ def _number_edges(edges: DataFrame, collapse: bool) -> DataFrame:
 
 
 def collapse_runs(routed: DataFrame, hot_rows: int = HOT_ROWS, block: int = BLOCK,
-                  collapse: bool = True) -> DataFrame:
+                  collapse: bool = True, edge_rows: int = HOT_ROWS) -> DataFrame:
     """One summary row per run: its first record, ``n`` lines, first and last time.
 
     ``(rule_id, first_seq)`` identifies a run.
+
+    Chunks smaller than the usual ones have as many edge runs as there are lines, so these are first
+    joined inside chunks of the usual size (``edge_rows``); two per such chunk are left for the window over a rule.
     """
-    runs = _local_runs(_lines(routed, hot_rows, block, collapse))
+    small = hot_rows < edge_rows or block < edge_rows
+    hours = count_hours(routed, KEYS) if small else None
+    runs = _local_runs(_lines(routed, hot_rows, block, collapse, hours))
     cols = ["rule_id", F.col("seq").alias("first_seq"), "host", "msg", "fac", "sev", "n",
             F.col("ts").alias("first_ts"), "last_ts"]
     inner = runs.filter("NOT is_first AND NOT is_last").select(*cols)
-    pieces = _number_edges(runs.filter("is_first OR is_last"), collapse)
+    edges = runs.filter("is_first OR is_last")
+    if small:
+        edges = _joined_edges(edges, hours, collapse, edge_rows, edge_rows)
+        inner = inner.unionByName(edges.filter("NOT is_first AND NOT is_last").select(*cols))
+        edges = edges.filter("is_first OR is_last")
+    pieces = _number_edges(edges, collapse)
     head = F.struct("_sec", "seq", "ts", "host", "msg", "fac", "sev")
     whole = (pieces.groupBy("rule_id", "_gid")
              .agg(F.min(head).alias("h"), F.sum("n").alias("n"),

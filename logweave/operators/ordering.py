@@ -32,6 +32,11 @@ def _timed(df: DataFrame, ts: str) -> DataFrame:
             .withColumn("_h", F.floor(F.col("_sec") / 3600)))
 
 
+def count_hours(df: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+    """Rows per group and hour, ``(keys, _h, count)``, as :func:`add_chunks` takes them."""
+    return freeze(_timed(df, ts).groupBy(*keys, "_h").count())
+
+
 def _hot_hours(hours: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
     """Hours of days that are too large, and whether the hour is so itself."""
     per_day = Window.partitionBy(*keys, F.floor(F.col("_h") / 24))
@@ -122,7 +127,7 @@ def number_rows(df: DataFrame, keys: Sequence[str] = (), name: str = "row_no",
     keys = list(keys)
     group = keys or ["_all"]
     base = df if keys else df.withColumn("_all", F.lit(0))
-    hours = freeze(_timed(base, ts).groupBy(*group, "_h").count())
+    hours = count_hours(base, group, ts)
     chunked = add_chunks(base, group, ts, seq, hot_rows, block, hours)
     whole = F.lit(-1).cast("bigint")
     days = (hours.groupBy(*group, F.floor(F.col("_h") / 24).alias("_day"))

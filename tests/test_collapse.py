@@ -170,6 +170,26 @@ def test_interleaved_sources_leave_few_edges(spark):
     assert collapse.collapse_runs(lines, hot_rows=100, block=100).agg({"n": "sum"}).first()[0] == 120_000
 
 
+def test_edges_are_joined_inside_larger_chunks(spark):
+    """Tiny chunks give the runs of large ones, and a handful of pieces is left for the window over a rule."""
+    rnd = random.Random(5)
+    lines, s = [], 0
+    for i in range(1500):
+        s += rnd.choice([0, 0, 0, 1, 40, 3000])
+        lines.append((rnd.choice("ab"), s, i, rnd.choice(["h", "h", "h", None]), "m" * rnd.choice([1, 1, 1, 1, 2, 130])))
+    df = frame(spark, lines).withColumn("is_mark", F.col("seq") % 50 == 0)
+    df = df.withColumn("ts", F.when(F.col("seq") % 97 > 0, F.col("ts"))).cache()
+    want = rows(collapse.collapse_runs(df))
+    for hot, block, edge in ((3, 2, 10**6), (3, 2, 20), (5, 3, 7), (3, 2, 4)):
+        assert rows(collapse.collapse_runs(df, hot_rows=hot, block=block, edge_rows=edge)) == want
+    whole = rows(collapse.collapse_runs(df, collapse=False))
+    assert len(whole) == 1500 and rows(collapse.collapse_runs(df, hot_rows=3, block=2, collapse=False)) == whole
+    runs = collapse._local_runs(collapse._lines(df, 3, 2, True)).filter("is_first OR is_last")
+    joined = collapse._joined_edges(runs, collapse.count_hours(df, ["rule_id"]), True, 10**6, 10**6)
+    days = df.select("rule_id", F.to_date("ts")).distinct().count()
+    assert runs.count() > 500 and joined.filter("is_first OR is_last").count() <= 2 * days
+
+
 def test_many_edges_of_one_rule_end_soon(spark):
     import time
 
