@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import string
 import struct
 from collections.abc import Iterator
 
@@ -16,8 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from logweave.llm.chunks import Chunks
-from logweave.llm.common import text_slices, with_row_key, worker_cache
+from logweave.llm.common import text_buffers, text_slices, with_row_key, worker_cache
 from logweave.llm.files import new_folder, read_whole, write_once
 from logweave.session import freeze
 
@@ -28,6 +28,17 @@ SHARD_TOKENS = 4_000_000
 PARTITION_BYTES = 24 << 20
 #: Words that a worker remembers the ids of, twice; the library takes longest for new ones.
 KEPT_WORDS = 350_000
+#: Bytes of text that are encoded at a time.
+SLICE_TEXT = 1 << 22
+#: Signs that one piece has behind letters; an apostrophe may begin a piece of its own.
+_SIGNS = string.punctuation.replace("'", "").encode()
+#: Kinds of bytes: white space to cut before, printed ASCII signs, ASCII letters, bytes of other signs.
+_BLANK, _PRINTED, _LETTER, _HIGH = 1, 2, 4, 8
+_KIND = np.zeros(256, np.uint8)
+_KIND[[0x20, 0x09, 0x0A, 0x0D]] = _BLANK
+_KIND[0x21:0x7F] = _PRINTED
+_KIND[list(string.ascii_letters.encode())] |= _LETTER
+_KIND[0x80:] = _HIGH
 _POPCOUNT = np.bitwise_count(np.arange(256, dtype=np.uint8)).astype(np.int64)
 
 
@@ -181,23 +192,105 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def _chunks(path: str) -> Chunks:
-    """Remembered chunks of a tokenizers file; pieces go to its model, other texts through all its steps."""
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts fall apart into chunks that the vocabulary's pattern encodes one by one.
+
+    No piece has white space behind another sign, nor another sign behind a letter, and what the pattern
+    finds does not depend on what stands before. So texts are cut before white space, between an ASCII
+    letter and an ASCII sign, and behind a single line feed. Signs that may be white space of Unicode, and
+    control characters, are not cut from the white space behind them.
+    """
+    kind = _KIND[data]
+    cut = np.zeros(len(data) + 1, bool)
+    before, own = kind[:-1], kind[1:]
+    high = (before & _HIGH) != 0
+    if high.any():
+        at = np.flatnonzero(high)
+        # the byte before, and the one before that, of the last byte of a sign
+        one, two = data[at - 1], data[at - 2]
+        odd = (at < 2) | (one == 0xC2) | ((two >= 0xE1) & (two <= 0xE3) & np.isin(one, (0x80, 0x81, 0x9A, 0xA0)))
+        high[at[odd]] = False
+    cut[1:-1] = (((own & _BLANK) != 0) & (high | ((before & _PRINTED) != 0))
+                 | ((before & _LETTER) != 0) & ((own & (_PRINTED | _LETTER)) == _PRINTED))
+    cut[offsets] = True
+    line = np.flatnonzero((data[:-1] == 10) & cut[:-2] & ((own & _PRINTED) != 0))
+    cut[line + 1] = True
+    return np.flatnonzero(cut[:-1])
+
+
+class _Encoder:
+    """Ids of whole columns of texts; a chunk goes to the library once while it is remembered."""
+
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model, self.names, self.kept = self.tokenizer.model, _byte_letters(), kept
+        self.now: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.letters: dict[str, bool] = {}
+
+    def _piece(self, chunk: bytes) -> bytes:
+        """Ids of a text that the pattern does not split."""
+        return b"".join([t.id.to_bytes(4, "little")
+                         for t in self.model.tokenize(chunk.decode("latin-1").translate(self.names))])
+
+    def _letter(self, sign: str) -> bool:
+        if sign not in self.letters:
+            self.letters[sign] = len(self.tokenizer.pre_tokenizer.pre_tokenize_str("a" + sign)) == 1
+        return self.letters[sign]
+
+    def _new(self, chunk: bytes) -> bytes:
+        """Ids of a chunk not remembered: letters and signs behind them are pieces, all else takes the library's steps."""
+        word = chunk[1:] if chunk[:1] == b" " else chunk
+        if word.isalpha():
+            return self._piece(chunk)
+        stem = word.rstrip(_SIGNS)
+        if not stem:
+            return self._piece(chunk) if word else self._whole(chunk)
+        text = stem.decode()
+        if text.isalpha() and all(map(self._letter, text)):
+            tail = len(chunk) - len(word) + len(stem)
+            return (self._remember(chunk[:tail]) + self._remember(chunk[tail:])
+                    if tail < len(chunk) else self._piece(chunk))
+        return self._whole(chunk)
+
+    def _whole(self, chunk: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _remember(self, chunk: bytes) -> bytes:
+        packed = self.now.get(chunk) or self.older.get(chunk) or self._new(chunk)
+        if len(chunk) <= 48:
+            if len(self.now) >= self.kept:
+                self.older, self.now = self.now, {}
+            self.now[chunk] = packed
+        return packed
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a line, and how many each text has."""
+        data, offsets = text_buffers(texts)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        starts = _cuts(data, offsets)
+        edges = pa.py_buffer(np.append(starts, len(data)))
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, edges, pa.py_buffer(data)])
+        chunks = chunks.dictionary_encode()
+        of, distinct = chunks.indices.to_numpy(), chunks.dictionary.to_pylist()
+        packed = [self._remember(c) if ids is None else ids
+                  for c, ids in zip(distinct, list(map(self.now.get, distinct)), strict=True)]
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        n = size[of]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(size) - size)[of] - ends + n, n)
+        at += np.arange(len(at))
+        before = np.append(0, ends)[np.searchsorted(starts, offsets)]
+        return np.frombuffer(b"".join(packed), "<u4")[at], np.diff(before)
+
+
+def _encoder(path: str) -> _Encoder:
     kept = worker_cache()
     if ("tokenizer", path) not in kept:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        model, letters = tokenizer.model, _byte_letters()
-
-        def encode(text: str) -> bytes:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-        def piece(text: str) -> bytes:
-            written = text.encode("utf-8", "replace").decode("latin-1").translate(letters)
-            return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(written)])
-
-        kept["tokenizer", path] = Chunks(encode, piece, KEPT_WORDS)
+        kept["tokenizer", path] = _Encoder(path)
     return kept["tokenizer", path]
 
 
@@ -220,24 +313,29 @@ def write_shards(docs: DataFrame, path: str, end: int = 0, text: str = "text",
     order = ["doc_id", F.xxhash64("text"), "_row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, tail = _chunks(path).text, int(end).to_bytes(4, "little")
-        part, seq = TaskContext.get().partitionId(), 0
+        encoder, part, seq = _encoder(path), TaskContext.get().partitionId(), 0
         packed, ids, lengths, n = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             uri = write_once(folder, f"shard-{part:06d}-{seq:06d}",
-                             build(np.frombuffer(b"".join(packed), "<u4"), ids, np.array(lengths)))
+                             build(np.concatenate(packed), ids, np.array(lengths)))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part]), pa.array([seq]), pa.array([uri]), pa.array([n])],
                 names=["part", "seq", "uri", "n_tokens"])
 
-        for batch in text_slices(batches, "text"):
-            for doc_id, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                one = of(t) + tail
-                packed.append(one)
-                ids.append(doc_id)
-                lengths.append(len(one) // 4)
-                n += lengths[-1]
+        for batch in text_slices(batches, "text", SLICE_TEXT):
+            found, size = encoder.column(batch.column("text"))
+            found, size = np.insert(found, np.cumsum(size), end), size + 1
+            doc_ids, begin, first = batch.column("doc_id").to_pylist(), 0, 0
+            ends = np.cumsum(size)
+            while first < len(doc_ids):
+                # up to the document that fills the file
+                last = min(int(np.searchsorted(ends, begin + shard_tokens - n)) + 1, len(doc_ids))
+                stop = int(ends[last - 1])
+                packed.append(found[begin:stop])
+                ids += doc_ids[first:last]
+                lengths += size[first:last].tolist()
+                n, begin, first = n + stop - begin, stop, last
                 if n >= shard_tokens:
                     yield flush()
                     packed, ids, lengths, n, seq = [], [], [], 0, seq + 1

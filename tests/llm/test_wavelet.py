@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -51,3 +52,30 @@ def test_shards(spark):
     checked = {x.start: x.ids_crc32 for x in W.checks(W.read_shards(W.write_shards(df, P.path("byte_bpe_50k.json")))).collect()}
     assert checked == {x.start: zlib.crc32(x.ids) for x in got}
     assert W.read_shards(W.write_shards(df.limit(0), P.path("byte_bpe_50k.json"))).count() == 0
+
+
+def test_columns_equal_the_library():
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    signs = ["a", "B", "é", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2003", "\u2028",
+             "\u3000", "\u1680", "\u202f", "\u205f", "\u180e", "\u200b", "'", "'s", "'re", "don't", ".", "!!", "1", "½", "²", "中",
+             "ß", "x\u0301", "«", "…", "\U0001f600", "\0", "\x7f", "_", "ª", "ʰ", "ⅷ", "<|endoftext|>", "The ", "\U00010d50"]
+    r = random.Random(6)
+    texts = [None, "", *("".join(r.choices(signs, k=r.randrange(14))) for _ in range(8000)), "w" * 3000, None]
+    encoder = W._Encoder(P.path("byte_bpe_50k.json"), kept=50)
+    ids, n = encoder.column(pa.array(texts).slice(1))
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts[1:]]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    assert [x.tolist() for x in encoder.column(pa.array([], pa.string()))] == [[], []]
+
+
+def test_words_are_encoded_once_whatever_signs_follow(monkeypatch):
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "klmné"]
+    text = "".join(f"{w}{s}" for s in (" ", ". ", ", ", "!\n", "; ") for w in words)
+    encoder, calls = W._Encoder(P.path("byte_bpe_50k.json")), []
+    for name in ("_piece", "_whole"):
+        monkeypatch.setattr(encoder, name, lambda c, of=getattr(encoder, name): calls.append(c) or of(c))
+    ids, _ = encoder.column(pa.array([text] * 3))
+    assert ids.tolist() == 3 * encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    # with a blank before them and without; signs count as well
+    assert len(calls) < 2.2 * len(words)
