@@ -71,10 +71,9 @@ def _ngrams(df: DataFrame, text: str, keep: list[str], buckets: int) -> DataFram
     first token of a text has none before it; as a bigram it is hashed alone.
     """
     tokens = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_TOKEN), F.lit(0))
-    made = once(df, {"_t": tokens}, keep)
-    hashed = F.concat(
-        F.transform("_t", lambda x: F.xxhash64(x)),
-        F.transform("_t", lambda x, i: F.xxhash64(F.get("_t", i - 1), x)))
+    made = once(df, {"_t": tokens}, keep).select(*keep, "_t", F.posexplode("_t").alias("_i", "_x"))
+    # hashed a row per token, in generated code: lambdas over arrays are interpreted
+    hashed = F.array(F.xxhash64("_x"), F.xxhash64(F.get("_t", F.col("_i") - 1), "_x"))
     return made.select(*keep, F.explode(hashed).alias("_h")).select(
         *keep, F.pmod("_h", F.lit(buckets)).alias("bucket"))
 
