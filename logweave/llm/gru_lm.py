@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import stable, text_slices, with_row_key, worker_cache, written
+from logweave.llm.common import stable, text_slices, with_row_key, words, worker_cache, written
 
 #: Words that the network tells apart, words whose counts travel to the tasks, and words of a class at most.
 NETWORK_WORDS = 4096
@@ -38,19 +37,43 @@ _TAILS = 16
 _NO_WORD = -1e4
 _LOG10 = math.log(10)
 _LETTER = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
-
-
-def tokens_of(text: str | None) -> list[bytes]:
-    """The words of a text, A-Z in lower case."""
-    return (text or "").encode("utf-8", "replace").lower().split()
-
-
-def tail_classes(words: list[bytes]) -> np.ndarray:
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Bytes of text whose words are counted or run through the network at a time; rows of counts that a task adds up at a time.
+_SLICE = 1 << 23
+_COUNT_ROWS = 800_000
+#: Rows of class scores that are turned into probabilities at a time.
+_ROWS = 1024
+
+
+def tokens_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a line, A-Z in lower case, and the number of words of each text; null has none."""
+    data, starts, ends, first = words(column)
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    # words[k] is at offsets[k] once the bytes between words are gone
+    step = np.zeros(len(data) + 1, np.int8)
+    step[starts] = 1
+    step[ends] -= 1
+    data = _LOWER[data[np.cumsum(step[:-1], dtype=np.int8).astype(bool)]]
+    return _binary(data, offsets), np.diff(first)
+
+
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1,
+                                            [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+
+
+def tail_classes(words: list[bytes] | pa.Array) -> np.ndarray:
     """Which of the classes of rarer words each word is in: by its first non-ASCII sign and its ending."""
-    if not words:
+    if not len(words):
         return np.zeros(0, np.int32)
-    data = np.frombuffer(b"".join(words) + b" ", np.uint8)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    if isinstance(words, list):
+        words = pa.array(words, pa.large_binary())
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[words.offset:words.offset + len(words) + 1]
+    data = np.append(np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]], np.uint8(32))
+    ends = offsets[1:] - offsets[0]
     last = data[ends - 1]
     sign = ~(_LETTER[last])
     high = np.flatnonzero(data > 127)
@@ -81,17 +104,17 @@ class Counts:
     def network(self) -> int:
         return min(NETWORK_WORDS, len(self.words))
 
-    def ids(self) -> dict[bytes, int]:
-        """Number of each word in order of frequency; kept in the worker."""
+    def index(self) -> pa.Array:
+        """The words as an Arrow array; kept in the worker."""
         kept = worker_cache()
         if kept.get("lm_token") != self.token:
             kept["lm_token"] = self.token
-            kept["lm_ids"] = {w: i for i, w in enumerate(self.words)}
-            kept["lm_tails"] = tail_classes(self.words)
-        return kept["lm_ids"]
+            kept["lm_words"] = pa.array(self.words, pa.large_binary())
+            kept["lm_tails"] = tail_classes(kept["lm_words"])
+        return kept["lm_words"]
 
     def tails(self) -> np.ndarray:
-        self.ids()
+        self.index()
         return worker_cache()["lm_tails"]
 
 
@@ -99,21 +122,22 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all words of all texts; counted in the tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())],
-                names=["word", "n"])
-
-        for part in text_slices(batches, "text"):
-            for t in part.column("text").to_pylist():
-                found.update(tokens_of(t))
-            if len(found) > 400_000:
-                yield flush()
-                found.clear()
-        if found:
-            yield flush()
+        held, rows = [], 0
+
+        def flush() -> list[pa.RecordBatch]:
+            found = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return pa.table({"word": found["word"].cast(pa.string()), "n": found["n_sum"]}).to_batches()
+
+        for part in text_slices(batches, "text", _SLICE):
+            own, _ = tokens_of(part.column("text"))
+            found = own.value_counts()
+            held.append(pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"]))
+            rows += len(found)
+            if rows > _COUNT_ROWS:
+                yield from flush()
+                held, rows = [], 0
+        if rows:
+            yield from flush()
 
     return (docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
@@ -134,19 +158,15 @@ def frequent(counts: DataFrame, ends: int, most: int = COUNTED_WORDS) -> Counts:
                   distinct + (ends > 0), ends)
 
 
-def _number(part: pa.RecordBatch, known: Counts, tails: bool = True) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+def _number(part: pa.RecordBatch, known: Counts, tails: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Word numbers of all texts in a line (-1 - tail class for words without one), text lengths, unnumbered words."""
-    get, lengths, numbers, rare = known.ids().get, [], [], []
-    for t in part.column("text").to_pylist():
-        words = tokens_of(t)
-        own = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-        rare.append([words[i] for i in np.flatnonzero(own < 0).tolist()])
-        lengths.append(len(words))
-        numbers.append(own)
-    out = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
+    own, lengths = tokens_of(part.column("text"))
+    found = pc.index_in(own, value_set=known.index())
+    rare = own.filter(found.is_null())
+    out = found.fill_null(-1).to_numpy().copy()
     if tails:
-        out[out < 0] = -1 - tail_classes([w for r in rare for w in r])
-    return out, np.array(lengths, np.int64), rare
+        out[out < 0] = -1 - tail_classes(rare)
+    return out, lengths, rare
 
 
 def neighbourhoods(docs: DataFrame, known: Counts, text: str = "text") -> np.ndarray:
@@ -276,6 +296,7 @@ class Lanes:
         place[rank] = np.arange(n)
         self.size = size[rank]
         self.steps = int(self.size[0]) if len(lengths) else 0
+        self.active = np.searchsorted(-self.size, -np.arange(self.steps), side="left")
         by_lane = np.argsort(place[lane], kind="stable")
         order, lane = order[by_lane], place[lane][by_lane]
         begin = np.concatenate([[0], np.cumsum(self.size)])[:-1]
@@ -296,46 +317,107 @@ class Lanes:
 
     def at(self, t: int) -> np.ndarray:
         """Places of step ``t`` of all lanes that are that long."""
-        n = int(np.searchsorted(-self.size, -t, side="left"))
-        return self.begin[:n] + t
+        return self.begin[:self.active[t]] + t
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+class Room:
+    """Arrays that windows use one after the other: memory given back and taken anew costs more than the sums in it."""
 
+    def __init__(self, dtype: np.dtype):
+        self.dtype, self.held = dtype, {}
 
-def _step(net: Network, x: np.ndarray, h: np.ndarray) -> tuple:
-    """One step of the gated unit: update and reset gates, candidate, the new state."""
-    size = h.shape[1]
-    a, u = net.inputs[x], h @ net.state
-    z = _sigmoid(a[:, :size] + u[:, :size])
-    r = _sigmoid(a[:, size:2 * size] + u[:, size:2 * size])
-    c = np.tanh(a[:, 2 * size:] + r * u[:, 2 * size:])
-    return z, r, c, u[:, 2 * size:], c + z * (h - c)
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, self.dtype)
+        return self.held[name][:size].reshape(shape)
 
+    def rows(self, name: str, of: np.ndarray, at: np.ndarray) -> np.ndarray:
+        # "clip" writes to the array itself
+        return np.take(of, at, axis=0, out=self(name, len(at), *of.shape[1:]), mode="clip")
 
-def _class_scores(net: Network, h: np.ndarray) -> np.ndarray:
-    """Scores of the classes, moved so that none is too large for an exponential."""
-    x = h @ net.out
-    x += net.bias
-    if x.size and x.max() > 60:
-        x -= x.max(1, keepdims=True)
-    return x
 
+def _run(net: Network, lanes: Lanes, begin: int, end: int, h: np.ndarray, room: Room) -> tuple:
+    """Steps ``begin`` to ``end`` of the gated unit from the states ``h``.
 
-def _word_scores(net: Network, h: np.ndarray, classes: np.ndarray, slots: np.ndarray) -> tuple:
+    Places, and a row for each: the state before (and a one), update and reset gate, candidate and what
+    the state gives it; then where each step begins and ends there, which lanes start a text, the last states.
+    """
+    size = net.state.shape[0]
+    places = np.concatenate([lanes.at(t) for t in range(begin, end)])
+    n = len(places)
+    edges = np.concatenate([[0], np.cumsum(lanes.active[begin:end])]).tolist()
+    spans = list(zip(edges, edges[1:], strict=False))
+    inputs = room.rows("inputs", net.inputs, lanes.inputs[places]).reshape(n, 3, size).swapaxes(0, 1)
+    weights = np.ascontiguousarray(net.state.reshape(size, 3, size).swapaxes(0, 1))
+    gates, cand = room("gates", 2, n, size), room("candidate", n, size)
+    # exp(-x) of a gate's sum: input and state have the sign already
+    np.negative(inputs[:2], out=gates)
+    np.negative(weights[:2], out=weights[:2])
+    cand[:] = inputs[2]
+    before, given, sums = room("before", n, size), room("given", n, size), room("sums", 3 * len(h) * size)
+    start = lanes.start[places]
+    fresh = [start[s:e] if any_ else None
+             for (s, e), any_ in zip(spans, np.logical_or.reduceat(start, edges[:-1]).tolist(), strict=True)]
+    for (s, e), new in zip(spans, fresh, strict=True):
+        h = h[:e - s]
+        if new is not None:
+            h[new] = 0
+        before[s:e] = h
+        u = np.matmul(h, weights, out=sums[:3 * h.size].reshape(3, e - s, size))
+        g, c, u_c = gates[:, s:e], cand[s:e], u[2]
+        g += u[:2]
+        np.exp(g, out=g)
+        g += 1
+        np.reciprocal(g, out=g)
+        given[s:e] = u_c
+        u_c *= g[1]
+        c += u_c
+        np.tanh(c, out=c)
+        h = h - c
+        h *= g[0]
+        h += c
+    states = room("states", n, size + 1)
+    states[:, :-1], states[:, -1] = before, 1
+    return places, states, before, gates, cand, given, spans, fresh, h
+
+
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """Turn scores into exponentials in place: their sums by row, and what was taken off the scores of a row before."""
+    off = 0.0
+    # the first score of a row is never that of a slot without word, so that no sum comes out zero
+    if x.size and (x.max() > 60 or x[:, 0].min() < -60):
+        off = x.max(1)
+        x -= off[:, None]
+    np.exp(x, out=x)
+    return x @ np.ones(x.shape[1], x.dtype), off
+
+
+def _with_bias(net: Network, room: Room) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the classes and of the words in them, the bias last."""
+    words = room("words", *net.word_bias.shape, net.words.shape[2] + 1)
+    words[:, :, :-1], words[:, :, -1] = net.words, net.word_bias
+    return np.concatenate([net.out, net.bias[None]]), words
+
+
+def _word_scores(words: np.ndarray, states: np.ndarray, classes: np.ndarray, slots: np.ndarray, room: Room) -> tuple:
     """Places that have a slot, in order of class, where each class begins and ends there, their states and
-    the scores of the words of their class, the largest zero."""
+    the scores of the words of their class."""
     at = np.flatnonzero(slots >= 0)
     at = at[np.argsort(classes[at].astype(np.int16), kind="stable")]
-    own, states = classes[at], h[at]
-    edges = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(at)).tolist()
+    own, states = classes[at], room.rows("word states", states, at)
+    edges = np.append(_heads(own), len(at)).tolist()
     spans = list(zip(edges, edges[1:], strict=False))
-    x = net.word_bias[own]
-    for a, b in spans:
-        x[a:b] += states[a:b] @ net.words[own[a]].T
-    x -= x.max(1, keepdims=True)
-    return at, spans, states, x
+    met = own[edges[:-1]]
+    x = room("word scores", len(at), words.shape[1])
+    for c, (a, b) in zip(met.tolist(), spans, strict=True):
+        np.matmul(states[a:b], words[c].T, out=x[a:b])
+    return at, met, spans, states, x
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal entries begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
 
 
 def log_probability(net: Network, lanes: Lanes, texts: int) -> np.ndarray:
@@ -344,108 +426,115 @@ def log_probability(net: Network, lanes: Lanes, texts: int) -> np.ndarray:
     Both depend on the state, which runs through whole texts. A token without slot counts with its class alone.
     """
     out = np.zeros(texts)
-    h = np.zeros((len(lanes.size), net.state.shape[0]), np.float32)
-    states, places = [], []
-
-    def flush() -> None:
-        at = np.concatenate(places)
-        h = np.concatenate(states)
-        x = _class_scores(net, h)
-        p = x[np.arange(len(at)), lanes.classes[at]]
-        p = p - np.log(np.exp(x, out=x).sum(1))
-        rows, _, _, x = _word_scores(net, h, lanes.classes[at], lanes.slots[at])
-        picked = x[np.arange(len(rows)), lanes.slots[at[rows]]]
-        p[rows] += picked - np.log(np.exp(x, out=x).sum(1))
-        np.add(out, np.bincount(lanes.text[at], p, texts), out=out)
-        states.clear()
-        places.clear()
-
-    held = 0
-    for t in range(lanes.steps):
-        at = lanes.at(t)
-        h = h[:len(at)]
-        new = lanes.start[at]
-        if new.any():
-            h = np.where(new[:, None], np.float32(0), h)
-        states.append(h)
-        places.append(at)
-        held += len(at)
-        if held >= 16_384:
-            flush()
-            held = 0
-        h = _step(net, lanes.inputs[at], h)[-1]
-    if places:
-        flush()
+    size = net.state.shape[0]
+    room = Room(net.state.dtype)
+    weights, words = _with_bias(net, room)
+    h = np.zeros((len(lanes.size), size), net.state.dtype)
+    ends = np.cumsum(lanes.active)
+    begin = 0
+    while begin < lanes.steps:
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + 16_384, side="right")))
+        places, states, *_, h = _run(net, lanes, begin, end, h, room)
+        begin = end
+        classes, slots = lanes.classes[places], lanes.slots[places]
+        p = np.empty(len(places), states.dtype)
+        for a in range(0, len(places), _ROWS):
+            own = states[a:a + _ROWS]
+            x = np.matmul(own, weights, out=room("scores", len(own), weights.shape[1]))
+            picked = x[np.arange(len(x)), classes[a:a + _ROWS]]
+            total, off = _exponentials(x)
+            p[a:a + _ROWS] = picked - off - np.log(total)
+        at, _, _, _, x = _word_scores(words, states, classes, slots, room)
+        picked = x[np.arange(len(at)), slots[at]]
+        total, off = _exponentials(x)
+        p[at] += picked - off - np.log(total)
+        np.add(out, np.bincount(lanes.text[places], p, texts), out=out)
     return out
 
 
 def _descend(part: np.ndarray, held_sum: np.ndarray, where: np.ndarray | slice, grad: np.ndarray, rate: float) -> None:
     """One step against a gradient, shorter where gradients were large before."""
-    held_sum[where] += grad * grad
-    part[where] -= rate * grad / (np.sqrt(held_sum[where]) + 1e-6)
+    total = grad * grad
+    total += held_sum[where]
+    held_sum[where] = total
+    total = np.sqrt(total)
+    total += 1e-6
+    np.divide(grad, total, out=total)
+    total *= rate
+    part[where] -= total
 
 
 def train(net: Network, lanes: Lanes, memory: list[np.ndarray], rate: float = RATE, steps: int = STEPS) -> None:
     """One pass over the lanes: windows of ``steps``, gradients end at a window's start, the state goes on."""
     size = net.state.shape[0]
-    h = np.zeros((len(lanes.size), size), np.float32)
+    room = Room(net.state.dtype)
+    h = np.zeros((len(lanes.size), size), net.state.dtype)
     for begin in range(0, lanes.steps, steps):
-        held = []
-        for t in range(begin, min(begin + steps, lanes.steps)):
-            at = lanes.at(t)
-            keep = ~lanes.start[at, None]
-            h = h[:len(at)] * keep
-            z, r, c, u, new = _step(net, lanes.inputs[at], h)
-            held.append((at, keep, h, z, r, c, u))
-            h = new
-        places = np.concatenate([x[0] for x in held])
-        before = np.concatenate([x[2] for x in held])
+        places, states, before, (z, r), cand, given, edges, fresh, h = _run(
+            net, lanes, begin, min(begin + steps, lanes.steps), h, room)
         n = len(places)
-        p = _class_scores(net, before)
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(n), lanes.classes[places]] -= 1
-        d_out, d_bias = before.T @ p, p.sum(0)
-        d_before = p @ net.out.T
-        scale = np.float32(1 / n)
-        in_class, spans, states, p = _word_scores(net, before, lanes.classes[places], lanes.slots[places])
+        scale = before.dtype.type(1 / n)
+        classes, slots = lanes.classes[places], lanes.slots[places]
+        weights, words = _with_bias(net, room)
+        d_before, d_out = room("to states", n, size), np.zeros_like(weights)
+        for a in range(0, n, _ROWS):
+            own = states[a:a + _ROWS]
+            p = np.matmul(own, weights, out=room("scores", len(own), weights.shape[1]))
+            p /= _exponentials(p)[0][:, None]
+            p[np.arange(len(p)), classes[a:a + _ROWS]] -= 1
+            d_out += own.T @ p
+            np.matmul(p, net.out.T, out=d_before[a:a + _ROWS])
+        in_class, met, spans, states, p = _word_scores(words, states, classes, slots, room)
         if spans:
-            np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(p)), lanes.slots[places[in_class]]] -= 1
-            met = lanes.classes[places[in_class[[a for a, _ in spans]]]]
-            d_words = np.empty((len(met), *net.words.shape[1:]), p.dtype)
-            d_states = np.empty_like(states)
-            for k, (a, b) in enumerate(spans):
+            p /= _exponentials(p)[0][:, None]
+            p[np.arange(len(p)), slots[in_class]] -= 1
+            d_words = room("to words", len(met), *words.shape[1:])
+            d_states = room("to word states", len(p), size)
+            for k, (c, (a, b)) in enumerate(zip(met.tolist(), spans, strict=True)):
                 np.matmul(p[a:b].T, states[a:b], out=d_words[k])
-                np.matmul(p[a:b], net.words[met[k]], out=d_states[a:b])
+                np.matmul(p[a:b], net.words[c], out=d_states[a:b])
             d_before[in_class] += d_states
-            _descend(net.words, memory[4], met, d_words * scale, rate * WORD_RATE)
-            _descend(net.word_bias, memory[5], met, np.add.reduceat(p, [a for a, _ in spans]) * scale,
-                     rate * WORD_RATE)
-        d_a = np.zeros((n, 3 * size), np.float32)
-        d_state = np.zeros_like(net.state)
-        d_h = np.zeros_like(h)
-        end = n
-        for at, keep, before_t, z, r, c, u in reversed(held):
-            k = len(at)
-            rows = slice(end - k, end)
-            end -= k
-            if len(d_h) < k:
-                d_h = np.concatenate([d_h, np.zeros((k - len(d_h), size), np.float32)])
-            d_c = d_h * (1 - z) * (1 - c * c)
-            d_z = d_h * (before_t - c) * z * (1 - z)
-            d_r = d_c * u * r * (1 - r)
-            d_a[rows] = np.concatenate([d_z, d_r, d_c], 1)
-            d_u = np.concatenate([d_z, d_r, d_c * r], 1)
-            d_state += before_t.T @ d_u
-            d_h = (d_h * z + d_u @ net.state.T + d_before[rows]) * keep
+            _descend(net.words, memory[4], met, d_words[:, :, :-1] * scale, rate * WORD_RATE)
+            _descend(net.word_bias, memory[5], met, d_words[:, :, -1] * scale, rate * WORD_RATE)
+        # what the gradient of a state is multiplied by on its way to the gates and the candidate
+        factor, to_c, x = room("factor", n, 3, size), room("to candidate", n, size), room("x", n, size)
+        y = np.subtract(1, z, out=room("y", n, size))
+        np.multiply(cand, cand, out=to_c)
+        np.subtract(1, to_c, out=to_c)
+        to_c *= y
+        y *= z
+        np.subtract(before, cand, out=x)
+        np.multiply(x, y, out=factor[:, 0])
+        np.multiply(to_c, r, out=x)
+        factor[:, 2] = x
+        x *= given
+        np.subtract(1, r, out=y)
+        np.multiply(x, y, out=factor[:, 1])
+        after = room("after", n, size)
+        weights = np.ascontiguousarray(net.state.T)
+        d_h = after[:0]
+        for (s, e), new in zip(reversed(edges), reversed(fresh), strict=True):
+            own = after[s:e]
+            own[:len(d_h)], own[len(d_h):] = d_h, 0
+            d_u = factor[s:e]
+            d_u *= own[:, None]
+            d_h = d_u.reshape(e - s, 3 * size) @ weights
+            own_z = z[s:e]
+            own_z *= own
+            d_h += own_z
+            d_h += d_before[s:e]
+            if new is not None:
+                d_h[new] = 0
+        d_state = before.T @ factor.reshape(n, 3 * size)
+        np.multiply(to_c, after, out=factor[:, 2])
         x = lanes.inputs[places]
-        order = np.argsort(x, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], np.diff(x[order]) > 0]))
-        rows, d_rows = x[order][heads], np.add.reduceat(d_a[order], heads, axis=0)
-        _descend(net.inputs, memory[0], rows, d_rows * scale, rate)
-        for part, held_sum, grad in zip(net.parts()[1:4], memory[1:4], (d_state, d_out, d_bias), strict=True):
+        order = np.argsort(x.astype(np.int16) if len(net.inputs) < 1 << 15 else x, kind="stable")
+        heads = _heads(x[order])
+        d_rows = np.add.reduceat(room.rows("inputs", factor.reshape(n, 3 * size), order), heads, axis=0)
+        d_rows *= scale
+        _descend(net.inputs, memory[0], x[order[heads]], d_rows, rate)
+        for part, held_sum, grad in zip(net.parts()[1:4], memory[1:4], (d_state, d_out[:-1], d_out[-1]), strict=True):
             _descend(part, held_sum, slice(None), grad * scale, rate)
 
 
@@ -467,7 +556,7 @@ def fit(docs: DataFrame, known: Counts, net: Network, text: str = "text", rounds
             own = Network.of(start, net)
             memory = [np.full(p.shape, 1e-6, np.float32) for p in own.parts()]
             seen = 0
-            for part in text_slices(batches, "text", 1 << 23):
+            for part in text_slices(batches, "text", _SLICE):
                 numbers, lengths, _ = _number(part, known)
                 train(own, Lanes(*_sequences(numbers, known, known.tails()), lengths, lanes), memory)
                 seen += int(lengths.sum()) + len(lengths)
@@ -517,7 +606,7 @@ def score(docs: DataFrame, training: DataFrame, text: str = "text", lanes: int =
     log_counts = np.log10(known.counts + 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text", 1 << 23):
+        for part in text_slices(batches, "text", _SLICE):
             own, lengths, rare = _number(part, known)
             n, text_of = len(lengths), np.repeat(np.arange(len(lengths)), lengths)
             inputs, classes, slots = _sequences(own, known, known.tails())
@@ -532,7 +621,8 @@ def score(docs: DataFrame, training: DataFrame, text: str = "text", lanes: int =
                 [part.column("_row"), part.column("doc_id"), pa.array(lengths + 1),
                  pa.array(np.bincount(text_of, counted, n).astype(np.int64)),
                  pa.array(np.bincount(text_of, base, n)), pa.array(value + np.bincount(text_of, within, n)),
-                 pa.array([[w.decode() for w in r] for r in rare], pa.list_(pa.string()))],
+                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(text_of, ~counted, n))]),
+                                                   pa.int32(), safe=False), rare.cast(pa.string()))],
                 names=["_row", "doc_id", "n_tokens", "n_known", "base", "score", "rare"])
 
     made = written(with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")))

@@ -2,9 +2,11 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from logweave.llm import gru_lm as G
 
@@ -209,3 +211,62 @@ def test_classes_stay_small():
     known = G.Counts([b"w%d" % i for i in range(n)], np.arange(2 * n, n, -1), 1 << 24, n, 1)
     G.make_classes(known, r.integers(0, 50, (n, G.ANCHORS)).astype(float))
     assert np.bincount(known.class_of).max() <= 64 and len(np.unique(known.class_of)) >= n // 64
+
+
+def test_words_are_numbered_at_less_cost_than_one_by_one():
+    r = random.Random(6)
+    vocabulary = [f"W{i}" for i in range(3000)] + ["É.", "ß", "Ende!", "señor,", "日本"]
+    texts = ["", None, "\t  \n", "no", "spaces", " in\x0bfront\x0cand  behind ", "nb\xa0sp A\x00b"]
+    texts += [" ".join(r.choices(vocabulary, k=200)) for _ in range(1000)]
+    counts = Counter(w for t in texts for w in (t or "").encode().lower().split())
+    words = [w for w, _ in counts.most_common(2000)]
+    known = G.Counts(words, np.array([counts[w] for w in words]), sum(counts.values()), len(counts), len(texts), "numbers")
+    # slices of a batch have offsets of their own
+    part = pa.RecordBatch.from_arrays([pa.array(["before", *texts, "behind"])], names=["text"]).slice(1, len(texts))
+
+    def plain():
+        ids, out, rare, lengths = {w: i for i, w in enumerate(words)}, [], [], []
+        for t in part.column("text").to_pylist():
+            own = (t or "").encode().lower().split()
+            found = [ids.get(w, -1) for w in own]
+            rare += [w for w, i in zip(own, found) if i < 0]
+            lengths.append(len(own))
+            out += found
+        out = np.array(out)
+        out[out < 0] = -1 - G.tail_classes(rare)
+        return out, lengths, rare
+
+    def seconds(run):
+        taken = []
+        for _ in range(7):
+            begin = time.process_time()
+            run()
+            taken.append(time.process_time() - begin)
+        return min(taken)
+
+    own, lengths, rare = G._number(part, known)
+    want = plain()
+    assert own.tolist() == want[0].tolist() and lengths.tolist() == want[1] and rare.to_pylist() == want[2]
+    assert seconds(lambda: G._number(part, known)) < 0.8 * seconds(plain)
+
+
+def test_counts_are_added_up_over_flushes(spark, monkeypatch):
+    monkeypatch.setattr(G, "_COUNT_ROWS", 50)
+    monkeypatch.setattr(G, "_SLICE", 300)
+    r = random.Random(8)
+    texts = [" ".join(r.choices(["A", "a", "É", "b\nc", *map(str, range(60))], k=r.randrange(40))) for _ in range(90)] + [None, ""]
+    got = G.word_counts(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).collect()
+    want = Counter(w.decode() for t in texts for w in (t or "").encode().lower().split())
+    assert {x.word: x.n for x in got} == want and len(got) == len(want)
+
+
+def test_rows_with_large_scores():
+    """Scores far from zero give what a softmax in double precision gives."""
+    r = np.random.default_rng(3)
+    for move in (0, 200, -200):
+        x = (r.normal(size=(9, 6)) * 3 + move).astype(np.float32)
+        x[:, 4] = G._NO_WORD
+        want = x.astype(float) - (move + np.log(np.exp(x.astype(float) - move).sum(1, keepdims=True)))
+        picked = x[:, 1].copy()
+        total, off = G._exponentials(x)
+        assert np.allclose(picked - off - np.log(total), want[:, 1], atol=1e-3)
